@@ -9,6 +9,7 @@ from collections.abc import Callable
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ from cairnsearch.streaming import ingest, progress
 
 # Task functions travel by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(cairnsearch)
+if __name__ in sys.modules:
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 QUERY_VECTOR_ID = oracles.QUERY_VECTOR_ID
 TEXT_QUERIES = oracles.TEXT_QUERIES
@@ -51,6 +54,12 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.corpus_view(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, title, content)`` for work on whole texts, which asks for every core."""
+    rows = documents.corpus_texts(table(spark, sf_dir, "documents"))
+    return documents.spread_small_file(rows, f"{sf_dir}/documents.parquet")
+
+
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     """The bound query parameter: one vector."""
     vectors = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == QUERY_VECTOR_ID)
@@ -58,7 +67,8 @@ def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 def text_queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEXT_QUERIES, "query_id long, query_text string")
+    ids, words = zip(*TEXT_QUERIES)
+    return spark.createDataFrame(pa.table({"query_id": ids, "query_text": words}))
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +84,9 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_query(spark: SparkSession, sf_dir: str, words: str = "in the") -> DataFrame:
+    vector = query_vector(spark, sf_dir)
     return spark.createDataFrame(
-        [(1, words, query_vector(spark, sf_dir))],
-        "query_id long, query_text string, query_vec array<double>",
+        pa.table({"query_id": [1], "query_text": [words], "query_vec": [vector]})
     )
 
 
@@ -85,7 +95,7 @@ def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
         path = shared_folder(spark, "postings")
-        write_postings(build_postings(corpus(spark, sf_dir)), path)
+        write_postings(build_postings(texts(spark, sf_dir)), path)
         _indexes[key] = path
     from cairnsearch.operators.postings import read_postings
 
@@ -232,7 +242,8 @@ def embed_truncate(spark, sf_dir):
 
 def embed_dimension_check(spark, sf_dir):
     checked = embedding.check_dimension(corpus(spark, sf_dir), dim=64)
-    return checked.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n_documents"))
+    dim = F.coalesce(F.size("embedding"), F.lit(0))
+    return checked.groupBy(dim.alias("dim")).agg(F.count("*").alias("n_documents"))
 
 
 def embed_distinct_queries(spark, sf_dir):
@@ -302,13 +313,13 @@ def similarity_percent(spark, sf_dir):
 
 
 def tokenise_simple(spark, sf_dir):
-    return tokenised(corpus(spark, sf_dir), weighted=False).select(
+    return tokenised(texts(spark, sf_dir), weighted=False).select(
         "id", F.size("tokens").alias("n_tokens"), F.concat_ws(" ", "tokens").alias("words")
     )
 
 
 def postings_build(spark, sf_dir):
-    return build_postings(corpus(spark, sf_dir)).select(
+    return build_postings(texts(spark, sf_dir)).select(
         "lexeme", "id", "field", F.concat_ws(",", F.col("positions").cast("array<string>")).alias("positions")
     )
 
@@ -324,7 +335,7 @@ def postings_weighted(spark, sf_dir):
 
 
 def postings_backfill(spark, sf_dir):
-    rows = corpus(spark, sf_dir)
+    rows = texts(spark, sf_dir)
     path = shared_folder(spark, "postings")
     labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
     partial = write_postings(build_postings(rows.join(labelled, "id", "left_semi")), path)
@@ -339,7 +350,7 @@ def fts_match_all(spark, sf_dir):
         benchmark_queries(spark, sf_dir)
         .select((F.col("query_id") + 1000).alias("query_id"), "query_text")
     )
-    return scan_hits(corpus(spark, sf_dir), queries).select("query_id", "id", "n_terms")
+    return scan_hits(texts(spark, sf_dir), queries).select("query_id", "id", "n_terms")
 
 
 def fts_match_all_indexed(spark, sf_dir):
@@ -355,9 +366,9 @@ def rounded_ranks(found: DataFrame) -> DataFrame:
 
 
 def frequency_ranks(spark, sf_dir, single: bool):
-    hits = scan_hits(corpus(spark, sf_dir), text_queries(spark))
+    hits = scan_hits(texts(spark, sf_dir), text_queries(spark))
     chosen = hits.filter((F.col("n_terms") == 1) if single else (F.col("n_terms") > 1))
-    rank = frequency_rank(F.col("hits"), F.col("n_terms"))
+    rank = frequency_rank()
     return rounded_ranks(chosen.select("query_id", "id", rank.alias("rank")))
 
 
@@ -370,7 +381,7 @@ def fts_rank_and(spark, sf_dir):
 
 
 def fts_rank_cd(spark, sf_dir):
-    hits = scan_hits(corpus(spark, sf_dir), text_queries(spark), weighted=True)
+    hits = scan_hits(texts(spark, sf_dir), text_queries(spark), weighted=True)
     return rounded_ranks(ranked(hits, "cover_density"))
 
 
@@ -381,7 +392,7 @@ def fts_rank_cd_indexed(spark, sf_dir):
 
 def fts_rank_cd_limited(spark, sf_dir):
     path = shared_folder(spark, "postings")
-    limited = write_postings(build_postings(corpus(spark, sf_dir), PositionLimits()), path)
+    limited = write_postings(build_postings(texts(spark, sf_dir), PositionLimits()), path)
     return rounded_ranks(ranked(indexed_hits(limited, text_queries(spark)), "cover_density"))
 
 
@@ -391,7 +402,7 @@ def fts_topk(spark, sf_dir):
 
 
 def fts_topk_scan(spark, sf_dir):
-    return rounded_ranks(search_text(text_queries(spark), TOP, documents=corpus(spark, sf_dir)))
+    return rounded_ranks(search_text(text_queries(spark), TOP, documents=texts(spark, sf_dir)))
 
 
 def fts_topk_batch(spark, sf_dir):
@@ -402,7 +413,7 @@ def fts_topk_batch(spark, sf_dir):
 
 def fts_topk_batch_scan(spark, sf_dir):
     queries = benchmark_queries(spark, sf_dir)
-    return rounded_ranks(search_text(queries, TOP, documents=corpus(spark, sf_dir)))
+    return rounded_ranks(search_text(queries, TOP, documents=texts(spark, sf_dir)))
 
 
 # Fusion and compositions
@@ -410,7 +421,7 @@ def fts_topk_batch_scan(spark, sf_dir):
 
 def fusion_inputs(spark, sf_dir, k: int = 60):
     near = nearest(corpus(spark, sf_dir), one_query(spark, sf_dir), k)
-    found = search_text(one_query(spark, sf_dir), k, documents=corpus(spark, sf_dir))
+    found = search_text(one_query(spark, sf_dir), k, documents=texts(spark, sf_dir))
     half = F.lit(0.5)
     vector_scores = near.withColumn("score", scores.semantic_score(F.col("dist"), half))
     text_scores = found.withColumn("score", scores.reciprocal_rank_score(F.col("r"), half))
@@ -448,22 +459,28 @@ def rounded_results(found: DataFrame) -> DataFrame:
     return found.select(*columns)
 
 
+def search_both(spark, sf_dir, queries: DataFrame, **options) -> DataFrame:
+    return hybrid_search(
+        texts(spark, sf_dir), queries, vectors=corpus(spark, sf_dir).select("id", "embedding"), **options
+    )
+
+
 def hybrid_unified(spark, sf_dir):
-    return rounded_results(hybrid_search(corpus(spark, sf_dir), one_query(spark, sf_dir)))
+    return rounded_results(search_both(spark, sf_dir, one_query(spark, sf_dir)))
 
 
 def hybrid_unified_indexed(spark, sf_dir):
     return rounded_results(
-        hybrid_search(
-            corpus(spark, sf_dir), one_query(spark, sf_dir), postings=stored_postings(spark, sf_dir)
+        search_both(
+            spark, sf_dir, one_query(spark, sf_dir), postings=stored_postings(spark, sf_dir)
         )
     )
 
 
 def hybrid_unified_batch(spark, sf_dir):
     return rounded_results(
-        hybrid_search(
-            corpus(spark, sf_dir),
+        search_both(
+            spark, sf_dir,
             benchmark_queries(spark, sf_dir).filter(F.col("query_vec").isNotNull()),
             postings=stored_postings(spark, sf_dir),
         )
@@ -472,17 +489,17 @@ def hybrid_unified_batch(spark, sf_dir):
 
 def hybrid_vector_only(spark, sf_dir):
     queries = benchmark_queries(spark, sf_dir).withColumn("enable_text", F.lit(False))
-    return rounded_results(hybrid_search(corpus(spark, sf_dir), queries))
+    return rounded_results(search_both(spark, sf_dir, queries))
 
 
 def hybrid_text_only(spark, sf_dir):
     queries = one_query(spark, sf_dir).withColumn("vector_mode", F.lit("NONE"))
-    return rounded_results(hybrid_search(corpus(spark, sf_dir), queries))
+    return rounded_results(search_both(spark, sf_dir, queries))
 
 
 def hybrid_text_only_position(spark, sf_dir):
     queries = one_query(spark, sf_dir).withColumn("vector_mode", F.lit("NONE"))
-    return rounded_results(hybrid_search(corpus(spark, sf_dir), queries, text_score="position"))
+    return rounded_results(search_both(spark, sf_dir, queries, text_score="position"))
 
 
 def semantic_search_turns(spark, sf_dir):

@@ -1,13 +1,14 @@
-"""Full-text ranks over one document's term hits, as column expressions.
+"""Full-text ranks over one document's term hits, as SQL expressions.
 
-``hits`` is an ``array<struct<pos int, term int, weight double>>`` in position order, where
-``term`` is the 1-based index of the query term found at ``pos``. Everything about one
-(query, document) pair is in one row, so ranking needs no join and no shuffle.
+They read the columns of one (query, document) row: ``hits``, an ``array<struct<pos int,
+term int, weight double>>`` in position order where ``term`` is the 1-based index of the query
+word found at ``pos``; ``n_terms``; and ``doc_length``. All that ranking needs is in the row,
+so it takes no join and no shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,137 +17,85 @@ from pyspark.sql import functions as F
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 INVERSE_SQUARE_SUM = 1.64493406685
 NEAR = 100
-FAR_FACTOR = 1e-30
+FAR_CLOSENESS = 1e-15  # the square root of the distance factor beyond NEAR, 1e-30
+
+# One term: each later occurrence is worth 1/j^2, but the first heaviest one counts in full.
+_SINGLE_TERM = f"""
+  transform(array(transform(hits, h -> h.weight)), weights ->
+    transform(array(array_position(weights, array_max(weights))), top ->
+      ( array_max(weights)
+      + aggregate(transform(weights, (w, j) -> w / ((j + 1D) * (j + 1D))), 0D, (s, x) -> s + x)
+      - array_max(weights) / (top * top * 1D)
+      ) / {INVERSE_SQUARE_SUM}D)[0])[0]
+"""
 
+# Several terms: 1 - prod(1 - closeness) over all pairs of positions of different terms. Pairs
+# up to NEAR words apart are walked, each hit against the hits still within reach. All other
+# pairs share one closeness; their sum needs no walk, being the sum over all pairs less the
+# near ones, which give theirs back as they are met. Same-position pairs count as neither.
+_REACH = ", ".join(
+    ["0D"] + [f"{(1.005 + 0.05 * math.exp(d / 1.5 - 2)) ** -0.5!r}D" for d in range(1, NEAR + 1)]
+)
+_ROOTED = "transform(hits, h -> named_struct('pos', h.pos, 'term', h.term, 'root', sqrt(h.weight)))"
+_NEAR_PAIRS = f"""
+  aggregate(
+    rooted,
+    named_struct('within', cast(array() AS array<struct<pos: int, term: int, root: double>>),
+                 'total', 0D),
+    (state, h) -> transform(
+      array(filter(state.within, n -> h.pos - n.pos <= {NEAR})),
+      within -> named_struct(
+        'within', array_append(within, h),
+        'total', aggregate(
+          filter(within, n -> n.term <> h.term), state.total,
+          (s, n) -> s + log1p(-h.root * n.root * array({_REACH})[h.pos - n.pos])
+                      + h.root * n.root * {FAR_CLOSENESS}D)))[0],
+    state -> state.total)
+"""
+_MASS = "aggregate({0}, 0D, (s, h) -> s + h.root)"
+_ALL_PAIRS = f"""
+  ( pow({_MASS.format('rooted')}, 2)
+  - aggregate(transform(sequence(1, n_terms), t -> {_MASS.format('filter(rooted, h -> h.term = t)')}),
+              0D, (s, m) -> s + m * m)
+  ) / 2
+"""
+_PROXIMITY = f"""
+  transform(array({_ROOTED}), rooted ->
+    -expm1({_NEAR_PAIRS} - {FAR_CLOSENESS}D * {_ALL_PAIRS}))[0]
+"""
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once for use in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+# Cover density: the sum over the shortest spans that hold every term. One pass keeps, per
+# term, the index of its latest hit. The least of these is where the shortest complete span
+# ending at hit i begins; a span counts when that start is new.
+_SPAN = """
+  (i - first + 1) / aggregate(slice(hits, first, i - first + 1), 0D, (s, h) -> s + 1D / h.weight)
+  / (1D + if(hits[i - 1].pos - hits[first - 1].pos < i - first, (i - first) div 2,
+             hits[i - 1].pos - hits[first - 1].pos - (i - first)))
+"""
+_COVER_DENSITY = f"""
+  aggregate(
+    sequence(1, size(hits)),
+    named_struct('latest', array_repeat(0, n_terms), 'start', 0, 'total', 0D),
+    (state, i) -> transform(
+      array(transform(state.latest, (seen, t) -> if(t + 1 = hits[i - 1].term, i, seen))),
+      latest -> named_struct(
+        'latest', latest,
+        'start', greatest(state.start, array_min(latest)),
+        'total', state.total + if(
+          array_min(latest) > state.start, transform(array(array_min(latest)), first -> {_SPAN})[0], 0D)))[0],
+    state -> state.total
+  ) / ln(doc_length + 1D)
+"""
 
 
-def as_float4(value: Column) -> Column:
+def _float4(rank: str) -> Column:
     """Ranks are single precision; keeping that makes equal ranks tie exactly."""
-    return value.cast("float").cast("double")
-
-
-def single_term_rank(hits: Column) -> Column:
-    """Occurrences of one term, each later one worth 1/j^2, the first heaviest one worth full weight."""
-    weights = F.transform(hits, lambda h: h["weight"])
-    heaviest = F.array_max(weights)
-    at = F.array_position(weights, heaviest).cast("double")
-    decayed = F.aggregate(
-        F.transform(weights, lambda w, j: w / ((j + 1.0) * (j + 1.0))), F.lit(0.0), lambda s, x: s + x
-    )
-    return (heaviest + decayed - heaviest / (at * at)) / F.lit(INVERSE_SQUARE_SUM)
-
-
-def proximity_rank(hits: Column, n_terms: Column) -> Column:
-    """1 - prod(1 - closeness) over all pairs of positions of different terms.
-
-    Positions are distinct, so a hit's partners within ``NEAR`` words are among the next
-    ``NEAR`` hits and only those are walked. All remaining pairs share one factor, and their
-    total is known without visiting them: the sum over all pairs less the sum over near ones.
-    """
-
-    def closeness(a: Column, b: Column) -> Column:
-        distance = (b["pos"] - a["pos"]).cast("double")
-        factor = F.lit(1.0) / (F.lit(1.005) + F.lit(0.05) * F.exp(distance / 1.5 - 2.0))
-        return F.sqrt(a["weight"] * b["weight"] * factor)
-
-    def add_partners(total: Column, i: Column) -> Column:
-        here = F.element_at(hits, i)
-        partners = F.filter(
-            F.slice(hits, i + 1, F.lit(NEAR) + n_terms),
-            lambda h: (h["term"] != here["term"]) & (h["pos"] - here["pos"] <= NEAR),
-        )
-        return F.aggregate(
-            partners,
-            total,
-            lambda t, h: F.struct(
-                (
-                    t["log_miss"]
-                    + F.when(h["pos"] > here["pos"], F.log1p(-closeness(here, h))).otherwise(0.0)
-                ).alias("log_miss"),
-                (t["near_mass"] + F.sqrt(here["weight"] * h["weight"])).alias("near_mass"),
-            ),
-        )
-
-    near = F.aggregate(
-        F.sequence(F.lit(1), F.size(hits)),
-        F.struct(F.lit(0.0).alias("log_miss"), F.lit(0.0).alias("near_mass")),
-        add_partners,
-    )
-
-    def mass(selected: Column) -> Column:
-        return F.aggregate(selected, F.lit(0.0), lambda s, h: s + F.sqrt(h["weight"]))
-
-    same_term = F.aggregate(
-        F.transform(
-            F.sequence(F.lit(1), n_terms),
-            lambda t: mass(F.filter(hits, lambda h: h["term"] == t)),
-        ),
-        F.lit(0.0),
-        lambda s, m: s + m * m,
-    )
-    all_pairs = (mass(hits) * mass(hits) - same_term) / 2.0
-    far_factor = FAR_FACTOR**0.5
-    return _let(
-        near,
-        lambda n: -F.expm1(
-            n["log_miss"] - F.lit(far_factor) * F.greatest(all_pairs - n["near_mass"], F.lit(0.0))
-        ),
-    )
-
-
-def frequency_rank(hits: Column, n_terms: Column) -> Column:
-    return as_float4(
-        F.when(n_terms == 1, single_term_rank(hits)).otherwise(proximity_rank(hits, n_terms))
-    )
-
-
-def cover_density_rank(hits: Column, n_terms: Column, doc_length: Column) -> Column:
-    """Sum over the shortest spans that hold every term, divided by ln(length + 1).
+    return F.expr(f"cast(cast({rank} AS float) AS double)")
 
-    One pass keeps, per term, the index of its latest hit. The least of these is where the
-    shortest complete span ending here begins; a span counts when that start is new.
-    """
 
-    def span_score(first: Column, last: Column) -> Column:
-        n = last - first + 1
-        inverse = F.aggregate(
-            F.slice(hits, first, n), F.lit(0.0), lambda s, h: s + F.lit(1.0) / h["weight"]
-        )
-        gap = (F.element_at(hits, last)["pos"] - F.element_at(hits, first)["pos"]) - (n - 1)
-        noise = F.when(gap < 0, F.floor((n - 1) / F.lit(2)).cast("int")).otherwise(gap)
-        return n.cast("double") / inverse / (F.lit(1.0) + noise)
+def frequency_rank() -> Column:
+    return _float4(f"if(n_terms = 1, {_SINGLE_TERM}, {_PROXIMITY})")
 
-    def visit(state: Column, i: Column) -> Column:
-        term = F.element_at(hits, i)["term"]
-        latest = F.transform(
-            state["latest"], lambda seen, t: F.when(t + 1 == term, i).otherwise(seen)
-        )
-        return _let(
-            latest,
-            lambda seen: F.struct(
-                seen.alias("latest"),
-                F.greatest(state["start"], F.array_min(seen)).alias("start"),
-                (
-                    state["total"]
-                    + F.when(
-                        F.array_min(seen) > state["start"], span_score(F.array_min(seen), i)
-                    ).otherwise(0.0)
-                ).alias("total"),
-            ),
-        )
 
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.size(hits)),
-        F.struct(
-            F.array_repeat(F.lit(0), n_terms).alias("latest"),
-            F.lit(0).alias("start"),
-            F.lit(0.0).alias("total"),
-        ),
-        visit,
-        lambda state: state["total"],
-    )
-    return as_float4(walked / F.log(doc_length.cast("double") + 1.0))
+def cover_density_rank() -> Column:
+    return _float4(_COVER_DENSITY)

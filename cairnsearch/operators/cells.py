@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -28,11 +29,6 @@ class CellIndex:
     def lists(self) -> int:
         return len(self.centroids)
 
-    def centroid_rows(self) -> DataFrame:
-        spark = self.vectors.sparkSession
-        rows = [(i, [float(x) for x in c]) for i, c in enumerate(self.centroids)]
-        return spark.createDataFrame(rows, "id long, embedding array<double>")
-
 
 def train_centroids(vectors: DataFrame, lists: int = DEFAULT_LISTS, seed: int = 42) -> np.ndarray:
     """Cosine k-means. Where centres lie affects speed only, so a bounded share of rows trains them."""
@@ -51,26 +47,20 @@ def train_centroids(vectors: DataFrame, lists: int = DEFAULT_LISTS, seed: int =
 
 def assign_cells(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     """``(id, embedding, cell)`` with the nearest centre of each vector; a zero vector goes to cell 0."""
-    unit = centroids / np.linalg.norm(centroids, axis=1, keepdims=True)
-    shared = vectors.sparkSession.sparkContext.broadcast(unit)
+    shared = vectors.sparkSession.sparkContext.broadcast(_unit(centroids))
 
     @F.pandas_udf("int")
-    def nearest_cell(column):
+    def nearest_cell(column: pd.Series) -> pd.Series:
         if not len(column):
-            return column.astype("int32")
-        return _series(np.argmax(np.stack(column.to_list()) @ shared.value.T, axis=1))
+            return pd.Series([], dtype="int32")
+        found = np.argmax(np.stack(column.to_list()) @ shared.value.T, axis=1)
+        return pd.Series(found.astype(np.int32))
 
     return vectors.filter(F.col("embedding").isNotNull()).select(
         "id", "embedding", nearest_cell("embedding").alias("cell")
     )
 
 
-def _series(values: np.ndarray):
-    import pandas as pd
-
-    return pd.Series(values.astype("int32"))
-
-
 def build_cells(vectors: DataFrame, lists: int = DEFAULT_LISTS, seed: int = 42) -> CellIndex:
     centroids = train_centroids(vectors, lists, seed)
     return CellIndex(centroids, assign_cells(vectors, centroids))
@@ -105,43 +95,47 @@ def search_cells(
     """
     queries = queries.filter(F.size("query_vec") > 0).select("query_id", "query_vec")
     probes = min(probes, index.lists)
-    if strategy == "auto":
-        strategy = "broadcast" if exact.fits_broadcast(queries) else "blocks"
-    if strategy == "broadcast":
-        scored = _search_few(index, queries, k, probes)
+    few = exact.few_queries(queries) if strategy != "blocks" else None
+    if few is not None:
+        scored = _search_few(index, few, queries.schema["query_id"].dataType, k, probes)
+    elif strategy == "broadcast":
+        raise ValueError("too many queries to broadcast")
     else:
         scored = _search_many(index, queries, k, probes)
     return exact.top_k_per_query(scored, k, "dist", "id")
 
 
-def _search_few(index: CellIndex, queries: DataFrame, k: int, probes: int) -> DataFrame:
-    found = queries.collect()
-    if not found:
-        return exact.score_against_broadcast(index.vectors, queries, k)
-    matrix = np.array([row["query_vec"] for row in found], dtype=np.float64)
-    unit = index.centroids / np.linalg.norm(index.centroids, axis=1, keepdims=True)
-    order = np.argsort(-(matrix @ unit.T), axis=1, kind="stable")[:, :probes]
-    chosen = {row["query_id"]: [int(c) for c in cells] for row, cells in zip(found, order)}
-    wanted = sorted({cell for cells in chosen.values() for cell in cells})
+def _unit(centroids: np.ndarray) -> np.ndarray:
+    return centroids / np.linalg.norm(centroids, axis=1, keepdims=True)
+
+
+def _nearest_cells(vectors: np.ndarray, unit: np.ndarray, probes: int) -> np.ndarray:
+    return np.argsort(-(vectors @ unit.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+
+
+def _search_few(index: CellIndex, queries: list, query_id_type, k: int, probes: int) -> DataFrame:
+    """Vectors are read in place, and only from the cells some query probes."""
+    if not queries:
+        return exact.score_against_broadcast(index.vectors, queries, query_id_type, k)
+    matrix = np.array([vector for _, vector in queries], dtype=np.float64)
+    cells = _nearest_cells(matrix, _unit(index.centroids), probes)
+    chosen = {query_id: found.tolist() for (query_id, _), found in zip(queries, cells)}
+    wanted = sorted({cell for found in chosen.values() for cell in found})
     vectors = index.vectors
     if len(wanted) < index.lists:
         vectors = vectors.filter(F.col("cell").isin(wanted))
-    return exact.score_against_broadcast(vectors, queries, k, chosen)
+    return exact.score_against_broadcast(vectors, queries, query_id_type, k, chosen)
 
 
 def _search_many(index: CellIndex, queries: DataFrame, k: int, probes: int) -> DataFrame:
     """Each query finds its own cells in its task; the equi-join on cell is then cut into blocks."""
-    unit = index.centroids / np.linalg.norm(index.centroids, axis=1, keepdims=True)
-    shared = queries.sparkSession.sparkContext.broadcast(unit)
+    shared = queries.sparkSession.sparkContext.broadcast(_unit(index.centroids))
 
     @F.pandas_udf("array<int>")
-    def nearest_cells(column):
-        import pandas as pd
-
+    def nearest_cells(column: pd.Series) -> pd.Series:
         if not len(column):
             return pd.Series([], dtype=object)
-        similar = np.stack(column.to_list()) @ shared.value.T
-        return pd.Series(list(np.argsort(-similar, axis=1, kind="stable")[:, :probes].astype("int32")))
+        return pd.Series(list(_nearest_cells(np.stack(column.to_list()), shared.value, probes)))
 
     probed = queries.select("query_id", "query_vec", F.explode(nearest_cells("query_vec")).alias("cell"))
     return exact.score_in_blocks(index.vectors, probed, k)

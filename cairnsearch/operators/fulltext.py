@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from cairnsearch.functions.ranking import WEIGHTS, cover_density_rank, frequency_rank
 from cairnsearch.functions.text import word_tokens
 from cairnsearch.operators.nearest import top_k_per_query
-from cairnsearch.operators.postings import CONTENT_WEIGHT, TITLE_WEIGHT, tokenised, weight_value
-from cairnsearch.operators.sizing import broadcast_if, is_small
+from cairnsearch.operators.postings import CONTENT_WEIGHT, TITLE_WEIGHT, tokenised
+from cairnsearch.operators.sizing import MAX_BYTES, Size, broadcast_if, measure
 
 FEW_QUERIES = 16
-PUSHED_LEXEMES = 2_000
+PUSHED_LEXEMES = 500
+# A one-letter word takes two bytes of text and about nine as an array element.
+BYTES_PER_TEXT_BYTE = 5
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -53,7 +55,17 @@ def _rarest_word(terms: DataFrame, frequencies: DataFrame, small: bool) -> DataF
     )
 
 
-def scan_hits(documents: DataFrame, queries: DataFrame, weighted: bool = False) -> DataFrame:
+def measure_texts(queries: DataFrame) -> Size:
+    return measure(queries.select("query_id", "query_text"))
+
+
+def _is_small(size: Size) -> bool:
+    return size.within(max_bytes=MAX_BYTES // BYTES_PER_TEXT_BYTE)
+
+
+def scan_hits(
+    documents: DataFrame, queries: DataFrame, weighted: bool = False, size: Size | None = None
+) -> DataFrame:
     """Hits by scanning: ``(query_id, id, n_terms, doc_length, hits)``.
 
     Tokenising, pairing on the pivot, checking all words and collecting positions happen
@@ -62,8 +74,9 @@ def scan_hits(documents: DataFrame, queries: DataFrame, weighted: bool = False)
     terms = query_terms(queries)
     docs = tokenised(documents, weighted)
     words = F.explode_outer(F.array_distinct("tokens"))
-    small = is_small(terms)
-    if small and is_small(terms, max_rows=FEW_QUERIES):
+    size = size or measure_texts(queries)
+    small = _is_small(size)
+    if small and size.rows <= FEW_QUERIES:
         pivots = _longest_word(terms)
     else:
         frequencies = (
@@ -74,18 +87,16 @@ def scan_hits(documents: DataFrame, queries: DataFrame, weighted: bool = False)
         )
         pivots = _rarest_word(terms, frequencies, small)
     holds_all = F.size(F.array_except("terms", "tokens")) == 0
-    weight = F.lit(WEIGHTS[CONTENT_WEIGHT])
-
-    def hit(token, at):
-        placed = weight
-        if weighted:
-            placed = F.when(at < F.col("title_tokens"), F.lit(WEIGHTS[TITLE_WEIGHT])).otherwise(weight)
-        return F.struct(
-            (at + 1).alias("pos"),
-            F.array_position("terms", token).cast("int").alias("term"),
-            placed.alias("weight"),
-        )
-
+    weight = f"{WEIGHTS[CONTENT_WEIGHT]}D"
+    if weighted:
+        weight = f"if(i <= title_tokens, {WEIGHTS[TITLE_WEIGHT]}D, {weight})"
+    hits = F.expr(
+        f"""transform(
+              filter(sequence(1, size(tokens)), i -> array_contains(terms, tokens[i - 1])),
+              i -> named_struct('pos', i,
+                                'term', cast(array_position(terms, tokens[i - 1]) AS int),
+                                'weight', {weight}))"""
+    )
     return (
         docs.select("id", "tokens", "title_tokens", words.alias("pivot"))
         .join(broadcast_if(small, pivots), "pivot")
@@ -95,28 +106,27 @@ def scan_hits(documents: DataFrame, queries: DataFrame, weighted: bool = False)
             "id",
             F.size("terms").alias("n_terms"),
             F.size("tokens").cast("long").alias("doc_length"),
-            F.filter(F.transform("tokens", hit), lambda h: h["term"] > 0).alias("hits"),
+            hits.alias("hits"),
         )
     )
 
 
-def indexed_hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
+def indexed_hits(postings: DataFrame, queries: DataFrame, size: Size | None = None) -> DataFrame:
     """Hits from the inverted index, same columns as ``scan_hits``.
 
-    The words asked for are pushed into the scan as an ``IN`` list when they are few, which
-    skips the rest of a lexeme-sorted index. Positions are read only for documents that hold
-    the query's pivot.
+    A short list of words is pushed into the scan, which skips the rest of a lexeme-sorted
+    index. For a few queries all their postings are then grouped by document; for many, only
+    those of documents holding a query's pivot.
     """
     terms = query_terms(queries)
-    small = is_small(terms)
+    size = size or measure_texts(queries)
+    small = _is_small(size)
     vocabulary = _vocabulary(terms)
-    asked = postings
-    if small:
-        few = vocabulary.limit(PUSHED_LEXEMES + 1).collect()
-        if len(few) <= PUSHED_LEXEMES:
-            asked = postings.filter(F.col("lexeme").isin([row["lexeme"] for row in few]))
-    if small and is_small(terms, max_rows=FEW_QUERIES):
-        pivots = _longest_word(terms)
+    asked = _asked_for(postings, vocabulary) if small else postings
+    words = F.posexplode("terms").alias("at", "lexeme")
+    if small and size.rows <= FEW_QUERIES:
+        wanted = terms.select("query_id", F.size("terms").alias("n_terms"), words)
+        found = asked.join(F.broadcast(wanted), "lexeme")
     else:
         frequencies = (
             asked.select("lexeme")
@@ -124,33 +134,24 @@ def indexed_hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
             .groupBy("lexeme")
             .agg(F.count("*").alias("df"))
         )
-        pivots = _rarest_word(terms, frequencies, small)
-    candidates = (
-        asked.select(F.col("lexeme").alias("pivot"), "id")
-        .join(broadcast_if(small, pivots.select("query_id", "pivot")), "pivot")
-        .select("query_id", "id")
-        .distinct()
-    )
-    wanted = candidates.join(broadcast_if(small, terms), "query_id").select(
-        "query_id",
-        "id",
-        F.size("terms").alias("n_terms"),
-        F.posexplode("terms").alias("at", "lexeme"),
+        pivots = _rarest_word(terms, frequencies, small).select("query_id", "pivot")
+        candidates = (
+            asked.select(F.col("lexeme").alias("pivot"), "id")
+            .join(broadcast_if(small, pivots), "pivot")
+            .select("query_id", "id")
+            .distinct()
+        )
+        wanted = candidates.join(broadcast_if(small, terms), "query_id").select(
+            "query_id", "id", F.size("terms").alias("n_terms"), words
+        )
+        found = wanted.join(asked, ["lexeme", "id"])
+    placed = F.expr(
+        f"""transform(positions, p -> named_struct(
+              'pos', p, 'term', at + 1,
+              'weight', if(weight = '{TITLE_WEIGHT}', {WEIGHTS[TITLE_WEIGHT]}D, {WEIGHTS[CONTENT_WEIGHT]}D)))"""
     )
-    found = wanted.join(asked, ["lexeme", "id"]).select(
-        "query_id",
-        "id",
-        "n_terms",
-        "doc_length",
-        (F.col("at") + 1).alias("term"),
-        F.transform(
-            "positions",
-            lambda p: F.struct(
-                p.alias("pos"),
-                (F.col("at") + 1).alias("term"),
-                weight_value(F.col("weight")).alias("weight"),
-            ),
-        ).alias("placed"),
+    found = found.select(
+        "query_id", "id", "n_terms", "doc_length", "at", placed.alias("placed")
     )
     return (
         found.groupBy("query_id", "id")
@@ -158,36 +159,49 @@ def indexed_hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
             F.first("n_terms").alias("n_terms"),
             F.first("doc_length").alias("doc_length"),
             F.sort_array(F.flatten(F.collect_list("placed"))).alias("hits"),
-            F.size(F.collect_set("term")).alias("found"),
+            F.size(F.collect_set("at")).alias("found"),
         )
         .filter(F.col("found") == F.col("n_terms"))
         .drop("found")
     )
 
 
+def _asked_for(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The postings of the words in ``vocabulary``, which is known to be small."""
+    words = vocabulary.limit(PUSHED_LEXEMES + 1).collect()
+    if len(words) <= PUSHED_LEXEMES:
+        return postings.filter(F.col("lexeme").isin([row["lexeme"] for row in words]))
+    return postings.join(F.broadcast(vocabulary), "lexeme", "left_semi")
+
+
 def ranked(hits: DataFrame, method: str) -> DataFrame:
     """``(query_id, id, rank)`` with ``method`` ``frequency`` or ``cover_density``."""
     if method == "frequency":
-        rank = frequency_rank(F.col("hits"), F.col("n_terms"))
+        rank = frequency_rank()
     elif method == "cover_density":
-        rank = cover_density_rank(F.col("hits"), F.col("n_terms"), F.col("doc_length"))
+        rank = cover_density_rank()
     else:
         raise ValueError(f"unknown rank method: {method}")
     return hits.select("query_id", "id", rank.alias("rank"))
 
 
 def search_text(
-    queries: DataFrame, k: int, documents: DataFrame | None = None, postings: DataFrame | None = None
+    queries: DataFrame,
+    k: int,
+    documents: DataFrame | None = None,
+    postings: DataFrame | None = None,
+    size: Size | None = None,
 ) -> DataFrame:
     """``(query_id, id, rank, r)``: the k best documents holding all words of each query.
 
     With ``postings`` the stored weighted vectors are searched and ranked by cover density;
     without, ``documents`` are scanned as plain text and ranked by frequency and proximity.
+    ``size`` is that of ``queries`` if it has been measured already.
     """
     if postings is not None:
-        scored = ranked(indexed_hits(postings, queries), "cover_density")
+        scored = ranked(indexed_hits(postings, queries, size), "cover_density")
     elif documents is not None:
-        scored = ranked(scan_hits(documents, queries), "frequency")
+        scored = ranked(scan_hits(documents, queries, size=size), "frequency")
     else:
         raise ValueError("give documents to scan or postings to read")
     return top_k_per_query(scored, k, F.desc("rank"), "id")

@@ -2,7 +2,7 @@
 
 * One query: a column expression and ``orderBy().limit()``, which Spark runs as
   ``TakeOrderedAndProject``. Nothing is shuffled.
-* A measured, bounded set: the query matrix is broadcast; each task scores its own Arrow
+* A bounded set: the query matrix is broadcast; each task scores its own Arrow
   batches with one matrix product and hands on at most k rows per query. Vectors stay put.
 * Any number: vectors and queries are cut into blocks, each block pair is one bounded group.
   Only the best k of each block pair leave the group, never the pairs themselves.
@@ -17,12 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cairnsearch.functions.scores import cosine_distance
-from cairnsearch.operators.sizing import measure
 
 MAX_BROADCAST_QUERIES = 4096
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+MAX_BROADCAST_VALUES = 8 * 1024 * 1024
 VECTOR_BLOCK = 65_536
 QUERY_BLOCK = 2_048
 SCORED_AT_ONCE = 4_000_000
@@ -123,44 +124,49 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, strategy: str = "aut
 
     ``vectors(id, embedding)``; ``queries(query_id, query_vec)``. Null vectors never match;
     queries with a null or empty vector get no rows. ``strategy`` is ``auto``, ``broadcast``
-    or ``blocks``; ``auto`` measures the queries and broadcasts them only if they are few.
+    or ``blocks``; ``auto`` broadcasts the queries only if they are few.
     """
     vectors = vectors.filter(F.col("embedding").isNotNull()).select("id", "embedding")
     queries = queries.filter(F.size("query_vec") > 0).select("query_id", "query_vec")
-    if strategy == "auto":
-        strategy = "broadcast" if fits_broadcast(queries) else "blocks"
-    if strategy == "broadcast":
-        scored = score_against_broadcast(vectors, queries, k)
+    few = few_queries(queries) if strategy != "blocks" else None
+    if few is not None:
+        scored = score_against_broadcast(vectors, few, queries.schema["query_id"].dataType, k)
+    elif strategy == "broadcast":
+        raise ValueError("too many queries to broadcast")
     else:
         one_cell = F.lit(0).alias("cell")
         scored = score_in_blocks(vectors.select("*", one_cell), queries.select("*", one_cell), k)
     return top_k_per_query(scored, k, "dist", "id")
 
 
-def fits_broadcast(queries: DataFrame) -> bool:
-    rows, size = measure(queries)
-    return rows <= MAX_BROADCAST_QUERIES and size <= MAX_BROADCAST_BYTES
+def few_queries(queries: DataFrame) -> list[tuple[object, list[float]]] | None:
+    """The queries themselves if they are few enough to broadcast, else None."""
+    found = queries.select("query_id", "query_vec").limit(MAX_BROADCAST_QUERIES + 1).collect()
+    values = sum(len(row["query_vec"]) for row in found)
+    if len(found) > MAX_BROADCAST_QUERIES or values > MAX_BROADCAST_VALUES:
+        return None
+    return [(row["query_id"], row["query_vec"]) for row in found]
 
 
 def score_against_broadcast(
-    vectors: DataFrame, queries: DataFrame, k: int, probes: dict[object, list[int]] | None = None
+    vectors: DataFrame,
+    queries: list[tuple[object, list[float]]],
+    query_id_type: T.DataType,
+    k: int,
+    probes: dict[object, list[int]] | None = None,
 ) -> DataFrame:
-    """Each task's best k per query. The caller has checked that ``queries`` are few.
+    """Each task's best k per query, for a bounded list of ``(query_id, query_vec)``.
 
     With ``probes`` (query_id -> cells to look in), ``vectors`` carry a ``cell`` column.
     """
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id long, dist double"
-    found = queries.select("query_id", "query_vec").collect()
-    if not found:
-        return queries.sparkSession.createDataFrame([], schema)
-    shared = queries.sparkSession.sparkContext.broadcast(
-        (
-            [row["query_id"] for row in found],
-            np.array([row["query_vec"] for row in found], dtype=np.float64),
-            _queries_by_cell([row["query_id"] for row in found], probes),
-        )
-    )
-    id_type = pa.int64() if "bigint" in schema else pa.int32() if " int," in schema else pa.string()
+    spark = vectors.sparkSession
+    schema = f"query_id {query_id_type.simpleString()}, id long, dist double"
+    if not queries:
+        return spark.createDataFrame([], schema)
+    ids = [query_id for query_id, _ in queries]
+    matrix = np.array([vector for _, vector in queries], dtype=np.float64)
+    shared = spark.sparkContext.broadcast((ids, matrix, _queries_by_cell(ids, probes)))
+    id_type = to_arrow_type(query_id_type)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, matrix, by_cell = shared.value

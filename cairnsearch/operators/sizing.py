@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,15 +34,19 @@ def row_bytes(df: DataFrame) -> Column:
     return total
 
 
-def measure(df: DataFrame) -> tuple[int, int]:
-    """(rows, bytes) by one aggregation job."""
-    found = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df)).alias("b")).first()
-    return found["n"], found["b"] or 0
+@dataclass(frozen=True)
+class Size:
+    rows: int
+    bytes: int
 
+    def within(self, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
+        return self.rows <= max_rows and self.bytes <= max_bytes
 
-def is_small(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
-    rows, size = measure(df)
-    return rows <= max_rows and size <= max_bytes
+
+def measure(df: DataFrame) -> Size:
+    """Rows and bytes of ``df``, by one aggregation job."""
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df)).alias("b")).first()
+    return Size(found["n"], found["b"] or 0)
 
 
 def broadcast_if(small: bool, df: DataFrame) -> DataFrame:

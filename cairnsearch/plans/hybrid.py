@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from cairnsearch.functions import scores
 from cairnsearch.functions.text import snippet_hybrid
 from cairnsearch.operators.cells import CellIndex, search_cells
-from cairnsearch.operators.fulltext import search_text
+from cairnsearch.operators.fulltext import measure_texts, search_text
 from cairnsearch.operators.fusion import merge_outer, with_documents
 from cairnsearch.operators.nearest import nearest
-from cairnsearch.operators.sizing import broadcast_if, is_small
+from cairnsearch.operators.sizing import MAX_ROWS, Size, broadcast_if
 from cairnsearch.plans.requests import (
     TEXT_ONLY,
     UNIFIED,
@@ -20,12 +20,14 @@ from cairnsearch.plans.requests import (
     prepare_requests,
 )
 
-MAX_BROADCAST_HITS = 100_000
+# Broadcast hits are (ids, two scores): MAX_ROWS of them are a few megabytes.
+MOST_HITS_PER_QUERY = 100
 
 
 def hybrid_search(
     documents: DataFrame,
     queries: DataFrame,
+    vectors: DataFrame | None = None,
     postings: DataFrame | None = None,
     cells: CellIndex | None = None,
     probes: int = 1,
@@ -36,13 +38,16 @@ def hybrid_search(
 
     Each row of ``queries`` picks its own mode, weight and limit (``prepare_requests``). Text
     is read from ``postings`` if given, else scanned; vectors are searched through ``cells`` if
-    given, else exactly. A query with both sides fuses them: cosine score plus scaled reciprocal
+    given, else exactly, in ``vectors(id, embedding)`` if these are kept apart from ``documents``. A query with both sides fuses them: cosine score plus scaled reciprocal
     rank. ``text_score`` sets how text-only search scores: ``rank_value`` puts the rank's value
     into the reciprocal (a better rank then scores lower), ``position`` uses its place.
     """
     requests = prepare_requests(queries)
-    hits = hybrid_scores(requests, documents, postings, cells, probes, text_score, rrf_k)
-    few = is_small(requests.select("query_id"), max_rows=MAX_BROADCAST_HITS // 100)
+    size = measure_texts(requests)
+    hits = hybrid_scores(
+        requests, size, documents, vectors, postings, cells, probes, text_score, rrf_k
+    )
+    few = size.rows * MOST_HITS_PER_QUERY <= MAX_ROWS
     return with_documents(hits, documents, few).select(
         "query_id",
         "id",
@@ -55,7 +60,9 @@ def hybrid_search(
 
 def hybrid_scores(
     requests: DataFrame,
+    size: Size,
     documents: DataFrame,
+    vectors: DataFrame | None = None,
     postings: DataFrame | None = None,
     cells: CellIndex | None = None,
     probes: int = 1,
@@ -65,14 +72,14 @@ def hybrid_scores(
     """``(query_id, id, total_score, similarity_percent)``, at most ``max_hits`` rows per query."""
     if text_score not in ("rank_value", "position"):
         raise ValueError(f"unknown text score: {text_score}")
-    few = is_small(requests.drop("query_vec", "query_text"))
+    few = size.within()
     settings = requests.select(
         "query_id", "kind", "candidates", "max_hits", "keyword_weight", "semantic_weight"
     )
 
     with_vector = requests.filter(F.col("kind") != TEXT_ONLY)
     if cells is None:
-        near = nearest(documents, with_vector, UNIFIED_CANDIDATES)
+        near = nearest(documents if vectors is None else vectors, with_vector, UNIFIED_CANDIDATES)
     else:
         near = search_cells(cells, with_vector, UNIFIED_CANDIDATES, probes)
     unified = F.col("kind") == UNIFIED
@@ -88,7 +95,7 @@ def hybrid_scores(
     )
 
     with_text = requests.filter(F.col("kind") != VECTOR_ONLY)
-    found = search_text(with_text, UNIFIED_CANDIDATES, documents, postings)
+    found = search_text(with_text, UNIFIED_CANDIDATES, documents, postings, size)
     by_place = scores.reciprocal_rank_score(F.col("r"), F.col("keyword_weight"), rrf_k)
     by_value = scores.rank_value_score(F.col("rank"), F.col("keyword_weight"))
     text_scores = (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnsearch.functions.scores import clamp, clamp_limit
-from cairnsearch.functions.text import is_blank, unicode_trim
+from cairnsearch.functions.text import unicode_trim
 
 # Fixed values.
 DEFAULT_LIMIT = 20
@@ -27,34 +27,32 @@ def prepare_requests(queries: DataFrame) -> DataFrame:
     """
     given = set(queries.columns)
 
-    def optional(name: str, default):
-        return F.coalesce(F.col(name), F.lit(default)) if name in given else F.lit(default)
+    def optional(name: str, default: str) -> str:
+        return f"coalesce({name}, {default})" if name in given else default
 
-    mode = optional("vector_mode", DEFAULT_VECTOR_MODE)
-    weight = clamp(optional("keyword_weight", DEFAULT_KEYWORD_WEIGHT).cast("double"), 0.0, 1.0)
+    mode = optional("vector_mode", f"'{DEFAULT_VECTOR_MODE}'")
+    weight = optional("keyword_weight", str(DEFAULT_KEYWORD_WEIGHT))
     shaped = queries.select(
         "query_id",
         unicode_trim(F.col("query_text")).alias("query_text"),
         "query_vec",
-        clamp_limit(optional("max_hits", DEFAULT_LIMIT).cast("int")).alias("max_hits"),
-        weight.alias("keyword_weight"),
-        (F.lit(1.0) - weight).alias("semantic_weight"),
-        F.when(is_blank(mode), F.lit(DEFAULT_VECTOR_MODE)).otherwise(mode).alias("vector_mode"),
-        optional("enable_text", True).alias("enable_text"),
-    ).filter(~is_blank(F.col("query_text")))
-    use_vector = (F.col("vector_mode") != "NONE") & F.col("query_vec").isNotNull()
-    kind = (
-        F.when(use_vector & F.col("enable_text"), F.lit(UNIFIED))
-        .when(use_vector, F.lit(VECTOR_ONLY))
-        .when(F.col("enable_text"), F.lit(TEXT_ONLY))
-    )
+        clamp_limit(F.expr(f"cast({optional('max_hits', str(DEFAULT_LIMIT))} AS int)")).alias("max_hits"),
+        clamp(F.expr(f"cast({weight} AS double)"), 0.0, 1.0).alias("keyword_weight"),
+        F.expr(f"if(trim({mode}) = '', '{DEFAULT_VECTOR_MODE}', {mode})").alias("vector_mode"),
+        F.expr(optional("enable_text", "true")).alias("enable_text"),
+    ).filter("query_text <> ''")
+    use_vector = "vector_mode <> 'NONE' AND query_vec IS NOT NULL"
     return (
-        shaped.withColumn("kind", kind)
-        .filter(F.col("kind").isNotNull() & ~(use_vector & (F.size("query_vec") == 0)))
-        .withColumn(
-            "candidates",
-            F.when(F.col("kind") == UNIFIED, F.lit(UNIFIED_CANDIDATES)).otherwise(
-                F.lit(SINGLE_CANDIDATES)
-            ),
+        shaped.selectExpr(
+            "*",
+            "1D - keyword_weight AS semantic_weight",
+            f"""CASE WHEN {use_vector} AND enable_text THEN '{UNIFIED}'
+                     WHEN {use_vector} THEN '{VECTOR_ONLY}'
+                     WHEN enable_text THEN '{TEXT_ONLY}' END AS kind""",
+        )
+        .filter(f"kind IS NOT NULL AND NOT ({use_vector} AND size(query_vec) = 0)")
+        .selectExpr(
+            "*",
+            f"if(kind = '{UNIFIED}', {UNIFIED_CANDIDATES}, {SINGLE_CANDIDATES}) AS candidates",
         )
     )

@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from cairnsearch.functions.scores import similarity_percent
 from cairnsearch.functions.text import lexically_confirmed, snippet_plain
 from cairnsearch.operators.cells import CellIndex, search_cells
+from cairnsearch.operators.fulltext import measure_texts
 from cairnsearch.operators.fusion import with_documents
 from cairnsearch.operators.nearest import nearest
-from cairnsearch.operators.sizing import broadcast_if, is_small
-from cairnsearch.plans.hybrid import MAX_BROADCAST_HITS
+from cairnsearch.operators.sizing import MAX_BYTES, MAX_ROWS, broadcast_if
+from cairnsearch.plans.hybrid import MOST_HITS_PER_QUERY
 from cairnsearch.plans.requests import prepare_requests
 
 MIN_SIMILARITY_PERCENT = 55.0
-MOST_HITS = 100
 
 
 def semantic_search(
     documents: DataFrame,
     queries: DataFrame,
+    vectors: DataFrame | None = None,
     min_similarity: float = MIN_SIMILARITY_PERCENT,
     cells: CellIndex | None = None,
     probes: int = 1,
@@ -31,10 +32,13 @@ def semantic_search(
     """
     requests = prepare_requests(queries)
     if cells is None:
-        near = nearest(documents, requests, MOST_HITS)
+        near = nearest(documents if vectors is None else vectors, requests, MOST_HITS_PER_QUERY)
     else:
-        near = search_cells(cells, requests, MOST_HITS, probes)
-    few = is_small(requests.select("query_id", "query_text"), max_rows=MAX_BROADCAST_HITS // MOST_HITS)
+        near = search_cells(cells, requests, MOST_HITS_PER_QUERY, probes)
+    # Each of a query's hits carries the query's text to the documents.
+    few = measure_texts(requests).within(
+        MAX_ROWS // MOST_HITS_PER_QUERY, MAX_BYTES // MOST_HITS_PER_QUERY
+    )
     asked = requests.select("query_id", "query_text", "max_hits")
     percent = similarity_percent(F.col("dist"))
     similar = (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 SOURCE_COLUMNS = ("title", "text", "namespace", "contributors")
 ROWS_IN_ONE_TASK = 100_000
 BUCKETS_PER_PASS = 1024
+SPREAD_BELOW = 64 * 1024 * 1024
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -16,6 +17,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def spread_small_file(df: DataFrame, path: str, key: str = "id", below: int = SPREAD_BELOW) -> DataFrame:
+    """Deal a small file's rows out over all cores.
+
+    A file is read by as many tasks as it has row groups, and a small one has a single row
+    group. Large inputs are left as they are: their own splits keep every core busy.
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getContentSummary(target).getLength() >= below:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism, key)
+
+
 def select_shards(manifest: DataFrame, split: str = "train", all_shards: bool = False) -> list[str]:
     """Paths from ``manifest(ordinal, url, split)``.
 
@@ -129,12 +144,15 @@ def corpus_view(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
 
     The title is the start of the text's first line; a document without a vector keeps null.
     """
-    shaped = documents.select(
+    vectors = embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    return corpus_texts(documents).join(vectors, "id", "left")
+
+
+def corpus_texts(documents: DataFrame) -> DataFrame:
+    return documents.select(
         F.col("doc_id").alias("id"),
         F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("title"),
         F.col("text").alias("content"),
         F.col("lang").alias("namespace"),
         F.col("source").alias("contributors"),
     )
-    vectors = embeddings.select(F.col("vec_id").alias("id"), "embedding")
-    return shaped.join(vectors, "id", "left")

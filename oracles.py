@@ -101,15 +101,20 @@ per_term AS (
 pairs AS (
   SELECT query_id, id, (sum(n) * sum(n) - sum(n * n)) / 2 AS n_pairs FROM per_term GROUP BY query_id, id),
 close AS (
-  SELECT a.query_id, a.id, count(*) AS n_close,
-         sum(ln(1 - sqrt(a.w * b.w / (1.005 + 0.05 * exp(abs(a.pos - b.pos) / 1.5 - 2))))) AS miss
-  FROM hits a JOIN hits b ON a.query_id = b.query_id AND a.id = b.id AND a.lexeme < b.lexeme
-       AND abs(a.pos - b.pos) <= 100
-  WHERE a.n_terms > 1 GROUP BY a.query_id, a.id),
-several AS (
-  SELECT query_id, id, CASE WHEN n_close > 0 THEN 1 - exp(miss)
-                            ELSE n_pairs * 0.1 * 1e-15 END AS rank
+  SELECT query_id, id, count(*) AS n_close,
+         sum(CASE WHEN c < 1e-6 THEN -c ELSE ln(1 - c) END) AS miss
+  FROM (
+    SELECT a.query_id, a.id,
+           sqrt(a.w * b.w / (1.005 + 0.05 * exp(abs(a.pos - b.pos) / 1.5 - 2))) AS c
+    FROM hits a JOIN hits b ON a.query_id = b.query_id AND a.id = b.id AND a.lexeme < b.lexeme
+         AND abs(a.pos - b.pos) <= 100 WHERE a.n_terms > 1)
+  GROUP BY query_id, id),
+logs AS (
+  SELECT query_id, id,
+         coalesce(miss, 0) - (n_pairs - coalesce(n_close, 0)) * 0.1::DOUBLE * 1e-15::DOUBLE AS x
   FROM pairs LEFT JOIN close USING (query_id, id)),
+several AS (
+  SELECT query_id, id, CASE WHEN x < -1e-5 THEN 1 - exp(x) ELSE -x - x * x / 2 END AS rank FROM logs),
 rated AS (
   SELECT query_id, id, rank::FLOAT::DOUBLE AS rank
   FROM (SELECT * FROM single UNION ALL SELECT * FROM several))"""
@@ -247,7 +252,7 @@ FROM documents""",
         "embed_truncate": """SELECT doc_id, least(length(text), 8192) AS text_length,
   substr(text, 1, 512) AS query_for_embedding, length(text) AS unlimited_length FROM documents""",
         "embed_dimension_check": f"""WITH {CORPUS}
-SELECT len(embedding)::INT AS dim, count(*) AS n_documents FROM corpus GROUP BY 1""",
+SELECT coalesce(len(embedding), 0)::INT AS dim, count(*) AS n_documents FROM corpus GROUP BY 1""",
         "embed_distinct_queries": f"""SELECT doc_id AS query_id, {letters('substr(text, 1, 512)')}
 FROM documents""",
         "vector_topk": f"""WITH {CORPUS}, {distances(ONE_VECTOR)}
