@@ -19,7 +19,7 @@ import oracles
 from cairnsearch.functions import scores, text
 from cairnsearch.functions.ranking import frequency_rank
 from cairnsearch.operators import embed as embedding
-from cairnsearch.operators.cells import build_cells, search_cells, write_cells
+from cairnsearch.operators.cells import CellIndex, build_cells, search_cells, write_cells
 from cairnsearch.operators.fulltext import indexed_hits, ranked, scan_hits, search_text
 from cairnsearch.operators.fusion import merge_outer
 from cairnsearch.operators.nearest import nearest, nearest_to_one
@@ -27,6 +27,7 @@ from cairnsearch.operators.postings import (
     PositionLimits,
     build_postings,
     missing_postings,
+    read_postings,
     tokenised,
     write_postings,
 )
@@ -97,8 +98,6 @@ def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = shared_folder(spark, "postings")
         write_postings(build_postings(texts(spark, sf_dir)), path)
         _indexes[key] = path
-    from cairnsearch.operators.postings import read_postings
-
     return read_postings(spark, _indexes[key])
 
 
@@ -280,11 +279,21 @@ def vector_topk_batch_blocks(spark, sf_dir):
     return rounded_hits(nearest(corpus(spark, sf_dir), queries, TOP, strategy="blocks"))
 
 
+def stored_cells(spark: SparkSession, sf_dir: str) -> CellIndex:
+    """The cell index, trained and stored once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _cells:
+        cells = build_cells(corpus(spark, sf_dir).select("id", "embedding"), lists=100)
+        _cells[key] = write_cells(cells, shared_folder(spark, "cells"))
+    return _cells[key]
+
+
+_cells: dict[tuple[str, str], CellIndex] = {}
+
+
 def cell_search(spark, sf_dir, strategy: str) -> DataFrame:
-    cells = build_cells(corpus(spark, sf_dir).select("id", "embedding"), lists=100)
-    stored = write_cells(cells, shared_folder(spark, "cells"))
-    queries = benchmark_queries(spark, sf_dir)
-    return rounded_hits(search_cells(stored, queries, TOP, probes=stored.lists, strategy=strategy))
+    cells, queries = stored_cells(spark, sf_dir), benchmark_queries(spark, sf_dir)
+    return rounded_hits(search_cells(cells, queries, TOP, probes=cells.lists, strategy=strategy))
 
 
 def vector_ivf_search(spark, sf_dir):

@@ -15,7 +15,7 @@ from cairnsearch.functions.ranking import WEIGHTS, cover_density_rank, frequency
 from cairnsearch.functions.text import word_tokens
 from cairnsearch.operators.nearest import top_k_per_query
 from cairnsearch.operators.postings import CONTENT_WEIGHT, TITLE_WEIGHT, tokenised
-from cairnsearch.operators.sizing import MAX_BYTES, Size, broadcast_if, measure
+from cairnsearch.operators.sizing import MAX_BYTES, Size, broadcast_if, localise, measure
 
 FEW_QUERIES = 16
 PUSHED_LEXEMES = 500
@@ -198,6 +198,8 @@ def search_text(
     without, ``documents`` are scanned as plain text and ranked by frequency and proximity.
     ``size`` is that of ``queries`` if it has been measured already.
     """
+    if size is None:
+        queries, size = localise(queries.select("query_id", "query_text"))
     if postings is not None:
         scored = ranked(indexed_hits(postings, queries, size), "cover_density")
     elif documents is not None:

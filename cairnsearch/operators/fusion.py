@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnsearch.operators.sizing import broadcast_if
+from cairnsearch.operators.sizing import MAX_ROWS, broadcast_if, localise
+
+PUSHED_HITS = 2_000
+PUSHED_RANGES = 64
 
 
 def merge_outer(vector_scores: DataFrame, text_scores: DataFrame) -> DataFrame:
@@ -15,23 +20,49 @@ def merge_outer(vector_scores: DataFrame, text_scores: DataFrame) -> DataFrame:
     with one aggregation gives the outer join's rows with one exchange in place of two, and
     pre-aggregates before it.
     """
-    return (
-        vector_scores.select("query_id", "id", "score", "dist")
-        .unionByName(
-            text_scores.select("query_id", "id", "score", F.lit(None).cast("double").alias("dist"))
-        )
-        .groupBy("query_id", "id")
-        .agg(
-            F.sum("score").alias("total_score"),
-            F.coalesce(F.max("dist"), F.lit(1.0)).alias("dist"),
-        )
+    scored = vector_scores.select("query_id", "id", "score", "dist").unionByName(
+        text_scores.select("query_id", "id", "score", F.lit(None).cast("double").alias("dist"))
     )
+    return merge_scored(scored)
+
 
+def merge_scored(scored: DataFrame, *carried: str) -> DataFrame:
+    """One row per hit from ``scored(query_id, id, score, dist, carried...)``.
 
-def with_documents(hits: DataFrame, documents: DataFrame, small: bool) -> DataFrame:
+    ``carried`` columns depend on ``query_id`` alone and are kept.
+    """
+    return scored.groupBy("query_id", "id").agg(
+        F.sum("score").alias("total_score"),
+        F.coalesce(F.max("dist"), F.lit(1.0)).alias("dist"),
+        *[F.first(name).alias(name) for name in carried],
+    )
+
+
+def with_documents(hits: DataFrame, documents: DataFrame, most_hits: int) -> DataFrame:
     """Fetch ``title`` and ``content`` for ranked hits, after the final cut.
 
-    ``small`` says the number of hits has been bounded (queries counted, times the limit); only
-    then are they broadcast and the documents read in place.
+    ``most_hits`` bounds their number (queries counted, times the limit). A short list of hits is
+    worked out first, and the documents are then read by id range, so that a corpus stored in
+    id order is not read as a whole for a page of results. A longer list is broadcast, and one
+    too long for that is joined by shuffling.
     """
-    return documents.select("id", "title", "content").join(broadcast_if(small, hits), "id")
+    found = documents.select("id", "title", "content")
+    if most_hits > PUSHED_HITS:
+        return found.join(broadcast_if(most_hits <= MAX_ROWS, hits), "id")
+    hits, _ = localise(hits)
+    ids = [row["id"] for row in hits.select("id").collect()]
+    if not ids:
+        return hits.join(found.limit(0), "id")
+    return found.filter(_near_ids(ids)).join(F.broadcast(hits), "id")
+
+
+def _near_ids(ids: list[int]) -> Column:
+    """A filter the scan can prune by: at most ``PUSHED_RANGES`` id ranges that cover ``ids``."""
+    ids = sorted(set(ids))
+    gaps = sorted(range(1, len(ids)), key=lambda i: ids[i - 1] - ids[i])[: PUSHED_RANGES - 1]
+    starts = [0, *sorted(gaps)]
+    ranges = [
+        F.col("id").between(ids[start], ids[end - 1])
+        for start, end in zip(starts, [*starts[1:], len(ids)])
+    ]
+    return reduce(Column.__or__, ranges)

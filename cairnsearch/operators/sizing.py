@@ -1,4 +1,4 @@
-"""Broadcast only what has been measured to be small."""
+"""Broadcast, or hold on the driver, only what has been measured to be small."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 MAX_ROWS = 200_000
 MAX_BYTES = 64 * 1024 * 1024
+MAX_LOCAL_ROWS = 4096
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -49,6 +50,18 @@ def measure(df: DataFrame) -> Size:
     return Size(found["n"], found["b"] or 0)
 
 
+def localise(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> tuple[DataFrame, Size]:
+    """``df`` with its size; if small, computed now and held as a local relation.
+
+    A search mentions its queries in several places of one plan. Held locally they are worked
+    out once, and what only depends on them needs no job at all.
+    """
+    size = measure(df)
+    if not size.within(max_rows):
+        return df, size
+    return df.sparkSession.createDataFrame(df.toArrow()), size
+
+
 def broadcast_if(small: bool, df: DataFrame) -> DataFrame:
     """With ``small`` unproven the join is left to the optimiser: shuffled, and skew-split by AQE."""
     return F.broadcast(df) if small else df

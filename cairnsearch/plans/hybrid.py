@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from cairnsearch.functions import scores
 from cairnsearch.functions.text import snippet_hybrid
 from cairnsearch.operators.cells import CellIndex, search_cells
-from cairnsearch.operators.fulltext import measure_texts, search_text
-from cairnsearch.operators.fusion import merge_outer, with_documents
+from cairnsearch.operators.fulltext import search_text
+from cairnsearch.operators.fusion import merge_scored, with_documents
 from cairnsearch.operators.nearest import nearest
-from cairnsearch.operators.sizing import MAX_ROWS, Size, broadcast_if
+from cairnsearch.operators.sizing import Size, broadcast_if, localise
 from cairnsearch.plans.requests import (
     TEXT_ONLY,
     UNIFIED,
@@ -20,7 +20,6 @@ from cairnsearch.plans.requests import (
     prepare_requests,
 )
 
-# Broadcast hits are (ids, two scores): MAX_ROWS of them are a few megabytes.
 MOST_HITS_PER_QUERY = 100
 
 
@@ -42,13 +41,11 @@ def hybrid_search(
     rank. ``text_score`` sets how text-only search scores: ``rank_value`` puts the rank's value
     into the reciprocal (a better rank then scores lower), ``position`` uses its place.
     """
-    requests = prepare_requests(queries)
-    size = measure_texts(requests)
+    requests, size = localise(prepare_requests(queries))
     hits = hybrid_scores(
         requests, size, documents, vectors, postings, cells, probes, text_score, rrf_k
     )
-    few = size.rows * MOST_HITS_PER_QUERY <= MAX_ROWS
-    return with_documents(hits, documents, few).select(
+    return with_documents(hits, documents, size.rows * MOST_HITS_PER_QUERY).select(
         "query_id",
         "id",
         "title",
@@ -72,42 +69,35 @@ def hybrid_scores(
     """``(query_id, id, total_score, similarity_percent)``, at most ``max_hits`` rows per query."""
     if text_score not in ("rank_value", "position"):
         raise ValueError(f"unknown text score: {text_score}")
-    few = size.within()
-    settings = requests.select(
-        "query_id", "kind", "candidates", "max_hits", "keyword_weight", "semantic_weight"
-    )
-
     with_vector = requests.filter(F.col("kind") != TEXT_ONLY)
     if cells is None:
         near = nearest(documents if vectors is None else vectors, with_vector, UNIFIED_CANDIDATES)
     else:
         near = search_cells(cells, with_vector, UNIFIED_CANDIDATES, probes)
-    unified = F.col("kind") == UNIFIED
-    vector_scores = (
-        near.join(broadcast_if(few, settings), "query_id")
-        .filter(F.col("r") <= F.col("candidates"))
-        .withColumn(
-            "score",
-            F.when(unified, scores.semantic_score(F.col("dist"), F.col("semantic_weight"))).otherwise(
-                F.col("semantic_weight") * scores.cosine_score(F.col("dist"))
-            ),
-        )
-    )
-
     with_text = requests.filter(F.col("kind") != VECTOR_ONLY)
     found = search_text(with_text, UNIFIED_CANDIDATES, documents, postings, size)
-    by_place = scores.reciprocal_rank_score(F.col("r"), F.col("keyword_weight"), rrf_k)
-    by_value = scores.rank_value_score(F.col("rank"), F.col("keyword_weight"))
-    text_scores = (
-        found.join(broadcast_if(few, settings), "query_id")
+    candidates = near.selectExpr(
+        "query_id", "id", "r", "dist", "cast(NULL AS double) AS rank"
+    ).unionByName(found.selectExpr("query_id", "id", "r", "cast(NULL AS double) AS dist", "rank"))
+
+    unified = F.col("kind") == UNIFIED
+    dist, semantic, keyword = F.col("dist"), F.col("semantic_weight"), F.col("keyword_weight")
+    by_place = scores.reciprocal_rank_score(F.col("r"), keyword, rrf_k)
+    score = (
+        F.when(F.col("rank").isNull() & unified, scores.semantic_score(dist, semantic))
+        .when(F.col("rank").isNull(), semantic * scores.cosine_score(dist))
+        .when(unified | F.lit(text_score == "position"), by_place)
+        .otherwise(scores.rank_value_score(F.col("rank"), keyword))
+    )
+    settings = requests.select(
+        "query_id", "kind", "candidates", "max_hits", "keyword_weight", "semantic_weight"
+    )
+    scored = (
+        candidates.join(broadcast_if(size.within(), settings), "query_id")
         .filter(F.col("r") <= F.col("candidates"))
-        .withColumn(
-            "score",
-            by_place if text_score == "position" else F.when(unified, by_place).otherwise(by_value),
-        )
+        .withColumn("score", score)
     )
-
-    fused = merge_outer(vector_scores, text_scores).join(broadcast_if(few, settings), "query_id")
+    fused = merge_scored(scored, "kind", "max_hits")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("total_score"), "id"))
     return (
         fused.withColumn("place", place)
@@ -117,8 +107,7 @@ def hybrid_scores(
             "id",
             "total_score",
             F.when(unified, scores.score_percent(F.col("total_score")))
-            .otherwise(scores.similarity_percent(F.col("dist")))
+            .otherwise(scores.similarity_percent(dist))
             .alias("similarity_percent"),
         )
     )
-

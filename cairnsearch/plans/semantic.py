@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from cairnsearch.functions.scores import similarity_percent
 from cairnsearch.functions.text import lexically_confirmed, snippet_plain
 from cairnsearch.operators.cells import CellIndex, search_cells
-from cairnsearch.operators.fulltext import measure_texts
 from cairnsearch.operators.fusion import with_documents
 from cairnsearch.operators.nearest import nearest
-from cairnsearch.operators.sizing import MAX_BYTES, MAX_ROWS, broadcast_if
+from cairnsearch.operators.sizing import broadcast_if, localise
 from cairnsearch.plans.hybrid import MOST_HITS_PER_QUERY
 from cairnsearch.plans.requests import prepare_requests
 
@@ -30,24 +29,21 @@ def semantic_search(
 
     Both filters follow the limit, so a query may get fewer rows than it asked for.
     """
-    requests = prepare_requests(queries)
+    requests, size = localise(prepare_requests(queries))
     if cells is None:
         near = nearest(documents if vectors is None else vectors, requests, MOST_HITS_PER_QUERY)
     else:
         near = search_cells(cells, requests, MOST_HITS_PER_QUERY, probes)
-    # Each of a query's hits carries the query's text to the documents.
-    few = measure_texts(requests).within(
-        MAX_ROWS // MOST_HITS_PER_QUERY, MAX_BYTES // MOST_HITS_PER_QUERY
-    )
-    asked = requests.select("query_id", "query_text", "max_hits")
+    asked = requests.select("query_id", "max_hits")
     percent = similarity_percent(F.col("dist"))
     similar = (
-        near.join(broadcast_if(few, asked), "query_id")
+        near.join(broadcast_if(size.within(), asked), "query_id")
         .filter((F.col("r") <= F.col("max_hits")) & (percent >= min_similarity))
-        .select("query_id", "id", "query_text", percent.alias("similarity_percent"))
+        .select("query_id", "id", percent.alias("similarity_percent"))
     )
     return (
-        with_documents(similar, documents, few)
+        with_documents(similar, documents, size.rows * MOST_HITS_PER_QUERY)
+        .join(broadcast_if(size.within(), requests.select("query_id", "query_text")), "query_id")
         .filter(lexically_confirmed(F.col("query_text"), F.col("title"), F.col("content")))
         .select(
             "query_id",
