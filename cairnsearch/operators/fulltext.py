@@ -19,6 +19,7 @@ from cairnsearch.operators.sizing import MAX_BYTES, Size, broadcast_if, localise
 
 FEW_QUERIES = 16
 PUSHED_LEXEMES = 500
+MAX_CANDIDATES = 200_000
 # A one-letter word takes two bytes of text and about nine as an array element.
 BYTES_PER_TEXT_BYTE = 5
 
@@ -68,8 +69,8 @@ def scan_hits(
 ) -> DataFrame:
     """Hits by scanning: ``(query_id, id, n_terms, doc_length, hits)``.
 
-    Tokenising, pairing on the pivot, checking all words and collecting positions happen
-    within one stage on the document's own row.
+    With the queries broadcast, tokenising, pairing on the pivot, checking all words and
+    collecting positions happen within one stage on the document's own row.
     """
     terms = query_terms(queries)
     docs = tokenised(documents, weighted)
@@ -97,17 +98,24 @@ def scan_hits(
                                 'term', cast(array_position(terms, tokens[i - 1]) AS int),
                                 'weight', {weight}))"""
     )
-    return (
-        docs.select("id", "tokens", "title_tokens", words.alias("pivot"))
-        .join(broadcast_if(small, pivots), "pivot")
-        .filter(holds_all)
-        .select(
-            "query_id",
-            "id",
-            F.size("terms").alias("n_terms"),
-            F.size("tokens").cast("long").alias("doc_length"),
-            hits.alias("hits"),
+    if small:
+        paired = docs.select("id", "tokens", "title_tokens", words.alias("pivot")).join(
+            F.broadcast(pivots), "pivot"
+        )
+    else:
+        # Shuffle bare (word, id) pairs; texts then meet their queries once per document.
+        pairs = (
+            docs.select("id", words.alias("pivot"))
+            .join(pivots.select("query_id", "pivot"), "pivot")
+            .select("query_id", "id")
         )
+        paired = docs.join(pairs, "id").join(terms, "query_id")
+    return paired.filter(holds_all).select(
+        "query_id",
+        "id",
+        F.size("terms").alias("n_terms"),
+        F.size("tokens").cast("long").alias("doc_length"),
+        hits.alias("hits"),
     )
 
 
@@ -122,18 +130,17 @@ def indexed_hits(postings: DataFrame, queries: DataFrame, size: Size | None = No
     size = size or measure_texts(queries)
     small = _is_small(size)
     vocabulary = _vocabulary(terms)
-    asked = _asked_for(postings, vocabulary) if small else postings
-    words = F.posexplode("terms").alias("at", "lexeme")
+    if small:
+        asked = _asked_for(postings, vocabulary)
+    else:
+        asked = postings.join(vocabulary, "lexeme", "left_semi")
+    wanted = terms.select(
+        "query_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("at", "lexeme")
+    )
     if small and size.rows <= FEW_QUERIES:
-        wanted = terms.select("query_id", F.size("terms").alias("n_terms"), words)
         found = asked.join(F.broadcast(wanted), "lexeme")
     else:
-        frequencies = (
-            asked.select("lexeme")
-            .join(broadcast_if(small, vocabulary), "lexeme", "left_semi")
-            .groupBy("lexeme")
-            .agg(F.count("*").alias("df"))
-        )
+        frequencies = asked.groupBy("lexeme").agg(F.count("*").alias("df"))
         pivots = _rarest_word(terms, frequencies, small).select("query_id", "pivot")
         candidates = (
             asked.select(F.col("lexeme").alias("pivot"), "id")
@@ -141,14 +148,18 @@ def indexed_hits(postings: DataFrame, queries: DataFrame, size: Size | None = No
             .select("query_id", "id")
             .distinct()
         )
-        wanted = candidates.join(broadcast_if(small, terms), "query_id").select(
-            "query_id", "id", F.size("terms").alias("n_terms"), words
-        )
-        found = wanted.join(asked, ["lexeme", "id"])
+        held = _held(candidates) if small else None
+        if held is not None:
+            in_candidates = asked.join(F.broadcast(held), "id")
+            found = in_candidates.join(F.broadcast(wanted), ["query_id", "lexeme"])
+        else:
+            pairs = candidates.join(broadcast_if(small, wanted), "query_id")
+            found = pairs.join(asked, ["lexeme", "id"])
     placed = F.expr(
         f"""transform(positions, p -> named_struct(
               'pos', p, 'term', at + 1,
-              'weight', if(weight = '{TITLE_WEIGHT}', {WEIGHTS[TITLE_WEIGHT]}D, {WEIGHTS[CONTENT_WEIGHT]}D)))"""
+              'weight', if(weight = '{TITLE_WEIGHT}',
+                           {WEIGHTS[TITLE_WEIGHT]}D, {WEIGHTS[CONTENT_WEIGHT]}D)))"""
     )
     found = found.select(
         "query_id", "id", "n_terms", "doc_length", "at", placed.alias("placed")
@@ -166,6 +177,18 @@ def indexed_hits(postings: DataFrame, queries: DataFrame, size: Size | None = No
     )
 
 
+def _held(candidates: DataFrame) -> DataFrame | None:
+    """Candidate pairs, computed now, if they are few enough to broadcast; else None.
+
+    Knowing them, the index is read in place, where otherwise all postings of the words asked
+    for would be shuffled to meet them.
+    """
+    pairs = candidates.limit(MAX_CANDIDATES + 1).toArrow()
+    if pairs.num_rows > MAX_CANDIDATES:
+        return None
+    return candidates.sparkSession.createDataFrame(pairs)
+
+
 def _asked_for(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """The postings of the words in ``vocabulary``, which is known to be small."""
     words = vocabulary.limit(PUSHED_LEXEMES + 1).collect()

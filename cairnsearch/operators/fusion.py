@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnsearch.operators.sizing import MAX_ROWS, broadcast_if, localise
+from cairnsearch.operators.sizing import MAX_ROWS, broadcast_if
 
 PUSHED_HITS = 2_000
 PUSHED_RANGES = 64
@@ -49,11 +49,12 @@ def with_documents(hits: DataFrame, documents: DataFrame, most_hits: int) -> Dat
     found = documents.select("id", "title", "content")
     if most_hits > PUSHED_HITS:
         return found.join(broadcast_if(most_hits <= MAX_ROWS, hits), "id")
-    hits, _ = localise(hits)
-    ids = [row["id"] for row in hits.select("id").collect()]
-    if not ids:
-        return hits.join(found.limit(0), "id")
-    return found.filter(_near_ids(ids)).join(F.broadcast(hits), "id")
+    ranked = hits.toArrow()  # PUSHED_HITS rows of ids and scores at most
+    local = documents.sparkSession.createDataFrame(ranked)
+    if not ranked.num_rows:
+        return local.join(found.limit(0), "id")
+    ids = ranked.column("id").to_pylist()
+    return found.filter(_near_ids(ids)).join(F.broadcast(local), "id")
 
 
 def _near_ids(ids: list[int]) -> Column:

@@ -117,16 +117,23 @@ def _limited(lists: DataFrame, limits: PositionLimits) -> DataFrame:
 
 
 def missing_postings(documents: DataFrame, postings: DataFrame) -> DataFrame:
-    """Index rows for documents the index does not hold yet, ready to be appended."""
-    indexed = postings.select("id").distinct()
+    """Index rows for documents the index does not hold yet, ready to be appended.
+
+    Every indexed document has exactly one posting with position 1, so its id need not be
+    gathered from all its postings.
+    """
+    indexed = postings.filter(F.array_min("positions") == 1).select("id")
     return build_postings(documents.join(indexed, "id", "left_anti"))
 
 
-def write_postings(postings: DataFrame, path: str, mode: str = "overwrite", partitions: int | None = None) -> DataFrame:
+def write_postings(
+    postings: DataFrame, path: str, mode: str = "overwrite", partitions: int | None = None
+) -> DataFrame:
     """Store the index in (lexeme, id) order.
 
     Range partitioning by both columns splits a lexeme found everywhere over many files, and
-    sorted files let the reader skip every row group that holds no asked-for lexeme.
+    sorted files let the reader skip every row group that holds no asked-for lexeme. Without
+    ``partitions`` there are as many as ``spark.sql.shuffle.partitions`` says.
     """
     order = ["lexeme", "id"]
     ranged = (

@@ -36,10 +36,12 @@ def hybrid_search(
     """``(query_id, id, title, content_snippet, similarity_percent, total_score)`` for all queries.
 
     Each row of ``queries`` picks its own mode, weight and limit (``prepare_requests``). Text
-    is read from ``postings`` if given, else scanned; vectors are searched through ``cells`` if
-    given, else exactly, in ``vectors(id, embedding)`` if these are kept apart from ``documents``. A query with both sides fuses them: cosine score plus scaled reciprocal
-    rank. ``text_score`` sets how text-only search scores: ``rank_value`` puts the rank's value
-    into the reciprocal (a better rank then scores lower), ``position`` uses its place.
+    is read from ``postings`` if given, else scanned. Vectors are searched through ``cells`` if
+    given, else exactly, in ``vectors(id, embedding)`` if these are kept apart from ``documents``.
+
+    A query with both sides fuses them: cosine score plus scaled reciprocal rank. ``text_score``
+    sets how text-only search scores: ``rank_value`` puts the rank's value into the reciprocal
+    (a better rank then scores lower), ``position`` uses its place.
     """
     requests, size = localise(prepare_requests(queries))
     hits = hybrid_scores(

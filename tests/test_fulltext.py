@@ -82,17 +82,17 @@ def expected(docs, queries, weighted):
 @pytest.fixture(scope="module")
 def data():
     rng = random.Random(5)
-    vocabulary = ["the", "of", "tree", "wiki", "나무", "é", "rare"] + [f"w{i}" for i in range(40)]
+    vocabulary = ["the", "of", "tree", "river", "바다", "é", "rare"] + [f"w{i}" for i in range(40)]
     weights = [30, 20, 6, 4, 3, 2, 1] + [3] * 40
     docs = []
     for doc_id in range(60):
         content = " ".join(rng.choices(vocabulary, weights, k=rng.choice([5, 40, 400])))
         title = " ".join(rng.choices(vocabulary, weights, k=rng.randint(0, 4)))
         docs.append((doc_id, title.title(), content.replace(" of ", ", OF - ")))
-    docs.append((60, "", "tree " + "x " * 150 + "wiki"))
-    docs.append((61, "", "tree tree " + "x " * 150 + "wiki"))
-    queries = [(1, "the of"), (2, "Tree"), (3, "wiki, TREE tree"), (4, "나무 the of"), (5, "rare é"),
-               (6, "the"), (7, "nowhere the"), (8, " - "), (9, "tree wiki of the")]
+    docs.append((60, "", "tree " + "x " * 150 + "river"))
+    docs.append((61, "", "tree tree " + "x " * 150 + "river"))
+    queries = [(1, "the of"), (2, "Tree"), (3, "river, TREE tree"), (4, "바다 the of"), (5, "rare é"),
+               (6, "the"), (7, "nowhere the"), (8, " - "), (9, "tree river of the")]
     return docs, queries
 
 
@@ -149,6 +149,15 @@ def test_unmeasured_queries_are_shuffled_not_broadcast(data, tables, monkeypatch
     )
 
 
+def test_more_candidates_than_can_be_held(data, tables, monkeypatch):
+    from cairnsearch.operators import fulltext
+
+    monkeypatch.setattr(fulltext, "FEW_QUERIES", 0)
+    monkeypatch.setattr(fulltext, "MAX_CANDIDATES", 5)
+    hits = indexed_hits(index.build_postings(tables[0]), tables[1])
+    assert ranks(ranked(hits, "cover_density")) == pytest.approx(expected(*data, weighted=True), rel=1e-6)
+
+
 def test_top_k_breaks_ties_by_id(spark):
     docs = spark.createDataFrame([(i, "", "same words here") for i in range(9, -1, -1)], "id long, title string, content string")
     queries = spark.createDataFrame([(1, "words"), (2, "same here")], "query_id long, query_text string")

@@ -13,7 +13,7 @@ def one(spark, expression, **columns):
     "query, tokens",
     [
         ("  #a a ##b # b ", ["a", "#b", "b"]),
-        ("나무 #위키\t나무", ["나무", "위키"]),
+        ("바다 #산\t바다", ["바다", "산"]),
         ("　\t", []),
         (None, []),
     ],
