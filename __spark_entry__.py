@@ -489,13 +489,29 @@ def hybrid_unified_indexed(spark, sf_dir):
 def hybrid_unified_batch(spark, sf_dir):
     return rounded_results(
         search_both(
-            spark, sf_dir,
-            benchmark_queries(spark, sf_dir).filter(F.col("query_vec").isNotNull()),
+            spark,
+            sf_dir,
+            benchmark_queries(spark, sf_dir),
             postings=stored_postings(spark, sf_dir),
         )
     )
 
 
+def hybrid_mode_dispatch(spark, sf_dir):
+    """Every benchmark passage searches in the mode, weight and limit its own id selects."""
+    kind = F.col("query_id") % 4
+    queries = benchmark_queries(spark, sf_dir).select(
+        "*",
+        F.when(kind == 0, F.lit("NONE")).when(kind == 1, F.lit("HNSW")).alias("vector_mode"),
+        (kind != 2).alias("enable_text"),
+        (F.col("query_id") % 11 / 8.0 - 0.1).alias("keyword_weight"),
+        (F.col("query_id") % 30).alias("max_hits"),
+    )
+    return rounded_results(
+        search_both(spark, sf_dir, queries, postings=stored_postings(spark, sf_dir))
+    )
+
+
 def hybrid_vector_only(spark, sf_dir):
     queries = benchmark_queries(spark, sf_dir).withColumn("enable_text", F.lit(False))
     return rounded_results(search_both(spark, sf_dir, queries))
@@ -669,6 +685,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         hybrid_unified,
         hybrid_unified_indexed,
         hybrid_unified_batch,
+        hybrid_mode_dispatch,
         hybrid_vector_only,
         hybrid_text_only,
         hybrid_text_only_position,

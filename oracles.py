@@ -186,6 +186,32 @@ SELECT b.query_id, b.id, c.title, {SNIPPET.format('c.content')} AS content_snipp
 FROM best b JOIN corpus c USING (id) WHERE place <= 20"""
 
 
+def dispatched() -> str:
+    """Each benchmark passage in its own mode: id % 4 = 0 text only, 2 vectors only, else both."""
+    return f"""WITH {text_search(BENCHMARK_ROWS, COVER_DENSITY)}, {distances(BENCHMARK_VECTORS)},
+setting AS (
+  SELECT item_id AS query_id, item_id IN (SELECT query_id FROM queryvec) AND item_id % 4 <> 0 AS by_vector,
+         item_id % 4 <> 2 AS by_text, greatest(1, item_id % 30) AS max_hits,
+         greatest(0, least(1, (item_id % 11) / 8::DOUBLE - 0.1::DOUBLE)) AS kw FROM benchmark),
+part AS (
+  SELECT query_id, id, dist, (1 - kw) * (1 - dist / 2) AS score, by_text AS is_unified
+  FROM near JOIN setting USING (query_id) WHERE by_vector AND r <= CASE WHEN by_text THEN 60 ELSE 50 END
+  UNION ALL
+  SELECT query_id, id, NULL, kw * 61 * CASE WHEN by_vector THEN 1::DOUBLE / (60 + r) ELSE 1 / (60 + rank) END,
+         by_vector
+  FROM texts JOIN setting USING (query_id) WHERE by_text AND r <= CASE WHEN by_vector THEN 60 ELSE 50 END),
+fusion AS (
+  SELECT query_id, id, sum(score) AS total_score, coalesce(max(dist), 1) AS dist, any_value(is_unified) AS is_unified
+  FROM part GROUP BY query_id, id),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total_score DESC, id) AS place FROM fusion)
+SELECT b.query_id, b.id, c.title, {SNIPPET.format('c.content')} AS content_snippet,
+       round(CASE WHEN is_unified THEN greatest(0, least(1, total_score)) ELSE (2 - dist) / 2 END * 100, 6)
+         AS similarity_percent,
+       round(total_score, 6) AS total_score
+FROM best b JOIN corpus c USING (id) JOIN setting USING (query_id) WHERE place <= max_hits"""
+
+
 def fusion_parts(k: int) -> str:
     return f"""WITH {text_search(ONE_TEXT_ROW, FREQUENCY)}, {distances(ONE_VECTOR)},
 vector_part AS (SELECT id, 0.5::DOUBLE * (1 - dist / 2) AS score, dist FROM near WHERE r <= {k}),
@@ -301,6 +327,7 @@ FROM (SELECT id, score FROM vector_part UNION ALL SELECT id, score FROM text_par
         "hybrid_unified": hybrid(ONE_TEXT_ROW, ONE_VECTOR, FREQUENCY),
         "hybrid_unified_indexed": hybrid(ONE_TEXT_ROW, ONE_VECTOR, COVER_DENSITY),
         "hybrid_unified_batch": hybrid(BENCHMARK_ROWS, BENCHMARK_VECTORS, COVER_DENSITY),
+        "hybrid_mode_dispatch": dispatched(),
         "hybrid_vector_only": single_mode(
             f"{CORPUS}, {distances(BENCHMARK_VECTORS)}", "near", "0.5::DOUBLE * ((2 - dist) / 2)", "dist"
         ),
