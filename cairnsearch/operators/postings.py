@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnsearch.functions.text import word_tokens
@@ -94,26 +94,19 @@ def _limited(lists: DataFrame, limits: PositionLimits) -> DataFrame:
         F.transform("positions", lambda p: F.least(p, F.lit(limits.highest)))
     )
     per_field = lists.withColumn("positions", F.slice(clamped, 1, limits.per_field))
-    in_title = per_field.filter(F.col("field") == "title").select(
-        "id",
-        "lexeme",
-        F.lit("content").alias("field"),
-        F.size("positions").alias("used"),
-        (F.element_at("positions", -1) == limits.highest).alias("full"),
-    )
-    room = F.lit(limits.per_document) - F.coalesce("used", F.lit(0))
+    # The title's positions come first and leave the content what room there is.
+    title_first = Window.partitionBy("id", "lexeme").orderBy(F.desc("field"))
+    before = title_first.rowsBetween(Window.unboundedPreceding, -1)
+    used = F.coalesce(F.sum(F.size("positions")).over(before).cast("int"), F.lit(0))
+    reached = F.coalesce(F.max(F.array_max("positions")).over(before), F.lit(0))
+    room = F.when(reached == limits.highest, F.lit(0)).otherwise(F.lit(limits.per_document) - used)
     kept = (
-        per_field.join(in_title, ["id", "lexeme", "field"], "left")
-        .withColumn(
-            "positions",
-            F.when(
-                F.coalesce("full", F.lit(False)), F.array().cast("array<int>")
-            ).otherwise(F.slice("positions", F.lit(1), room)),
-        )
+        per_field.withColumn("room", room)
+        .withColumn("positions", F.slice("positions", F.lit(1), F.col("room")))
         .filter(F.size("positions") > 0)
     )
-    lengths = kept.groupBy("id").agg(F.sum(F.size("positions")).cast("long").alias("doc_length"))
-    return kept.drop("doc_length").join(lengths, "id")
+    length = F.sum(F.size("positions")).over(Window.partitionBy("id"))
+    return kept.withColumn("doc_length", length.cast("long"))
 
 
 def missing_postings(documents: DataFrame, postings: DataFrame) -> DataFrame:
