@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RRF_K = 60
-SCORE_LIMITS = (1, 100)
+HIT_LIMITS = (1, 100)
 
 
 def clamp(value: Column, low, high) -> Column:
@@ -17,7 +17,7 @@ def clamp(value: Column, low, high) -> Column:
 
 
 def clamp_limit(limit: Column) -> Column:
-    low, high = SCORE_LIMITS
+    low, high = HIT_LIMITS
     return F.when(limit.isNotNull(), F.least(F.greatest(limit, F.lit(low)), F.lit(high)))
 
 
