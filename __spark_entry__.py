@@ -37,6 +37,14 @@ from cairnsearch.session import shared_folder
 from cairnsearch.sources import config_table, corpus_table, documents
 from cairnsearch.streaming import ingest, progress
 
+try:
+    from cairnsearch.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    # The training-data operators can be left out; any other missing module is an error.
+    if missing.name not in ("cairnsearch.llm", "corpus_pipeline"):
+        raise
+    llm_queries = None
+
 # Task functions travel by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(cairnsearch)
 if __name__ in sys.modules:
@@ -703,8 +711,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ]
     named = {query.__name__: query for query in registered}
     named["semantic_search"] = semantic_search_turns
-    return named
+    return named | (llm_queries.queries() if llm_queries else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return oracles.oracle_sql() | (llm_queries.oracle_sql() if llm_queries else {})
