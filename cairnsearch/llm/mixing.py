@@ -9,7 +9,8 @@ from cairnsearch.llm.common import broadcast_checked, store
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
-FAN_IN = 32
+FAN_IN = 100
+STEPS = (10, 100)
 
 
 def word_count(text: Column) -> Column:
@@ -82,6 +83,27 @@ def _pair_up(items: Column, seed: int, kind: str) -> Column:
     return F.aggregate(items, empty, meet)
 
 
+def _reduce(level: DataFrame, groups: int, fan_in: int, seed: int) -> tuple[list[DataFrame], DataFrame]:
+    """Pair up ``(source, place, item)`` level by level, at first in ``groups`` places a source at most.
+
+    Returns the decided items, and for each source the last open one with its ``open`` probability, decided by draw.
+    """
+    kind = dict(level.dtypes)["item"]
+    decided, depth = [], 0
+    while True:
+        grouped = level.groupBy("source", "place").agg(F.array_sort(F.collect_list("item")).alias("items"))
+        paired = store(grouped.select("source", "place", _pair_up(F.col("items"), seed + depth, kind).alias("r")), "mixing-level")
+        decided.append(paired.select(F.explode("r.done").alias("item")))
+        level = paired.filter("r.open IS NOT NULL").select(
+            "source", F.floor(F.col("place") / fan_in).alias("place"), F.col("r.open").alias("item")
+        )
+        if groups == 1:
+            drawn = (_draw(F.col("item.key"), F.lit(seed)) < F.col("item.p")).cast("double")
+            last = level.select("source", F.struct("item.key", "item.w", drawn.alias("p")).alias("item"), F.col("item.p").alias("open"))
+            return [*decided, last.select("item")], last
+        groups, depth = -(-groups // fan_in), depth + 1
+
+
 def copy_numbers(
     docs: DataFrame,
     *,
@@ -91,6 +113,7 @@ def copy_numbers(
     weights: tuple[int, ...] = WEIGHTS,
     max_copies: int = MAX_COPIES,
     fan_in: int = FAN_IN,
+    steps: tuple[int, ...] = STEPS,
     seed: int = 1,
 ) -> DataFrame:
     """``(id, source, size, source_size, target, copies)``: how often the mix takes each document.
@@ -98,8 +121,10 @@ def copy_numbers(
     A document of a source is to be taken ``target / source_size`` times on average: its whole part surely, and
     the fraction as a copy probability. Fractions are rounded in a reduction tree: documents of a source are
     dealt by hash into groups of about ``fan_in``, each group is rounded by :func:`_pair_up` and hands its one
-    open document to the next level. So every source misses its target by less than one document,
-    while copies keep their expected numbers. Draws are hashes of ids and ``seed``: reruns agree.
+    open document to the next level. The last one is drawn. Large documents go first, those above a tenth of
+    their source, then above a hundredth (``steps``); what the last draw missed moves the probabilities of the
+    smaller ones. So a source misses its target by about its smaller documents' size, and copies keep
+    their expected numbers. Draws are hashes of ids and ``seed``: reruns agree.
 
     Null texts and texts without words have size 0 and no say: only the whole part is taken. A null source is
     a source, and comes last. Rows that repeat id, source and size are one item and are taken alike,
@@ -117,34 +142,46 @@ def copy_numbers(
     )
     rows = sized.join(rated, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     same = ["id", "source", "size"]
-    items = rows.filter("size > 0 AND p > 0").groupBy(*same).agg(F.count("*").alias("n"), F.max("p").alias("p"))
+    items = rows.filter("size > 0 AND p > 0").groupBy(*same).agg(
+        F.count("*").alias("n"), F.max("p").alias("p"), F.max("source_size").alias("source_size")
+    )
     # the order within groups is by hash, so that neither ids nor sizes decide who meets whom
     key = F.struct(F.xxhash64(*same, F.lit(seed)).alias("turn"), *same)
-    item = F.struct(key.alias("key"), (F.col("size") * F.col("n")).cast("double").alias("w"), "p")
-    number = items.groupBy("source").agg(F.count("*").alias("m"))
-    groups = broadcast_checked(number.select(F.col("source").alias("s"), F.ceil(F.col("m") / fan_in).cast("long").alias("groups")))
-    level = items.join(groups, F.col("source").eqNullSafe(F.col("s"))).select(
-        "source", F.pmod(F.xxhash64("id", "size", F.lit(seed + 1)), F.col("groups")).alias("place"), item.alias("item")
+    kind = F.lit(len(steps))
+    for i in reversed(range(len(steps))):
+        kind = F.when(F.col("size") * steps[i] > F.col("source_size"), i).otherwise(kind)
+    items = store(
+        items.select("source", key.alias("key"), (F.col("size") * F.col("n")).cast("double").alias("w"), "p", kind.alias("kind")), "mixing-items"
     )
-    kind = dict(level.dtypes)["item"]
-    decided, most = [], number.agg(F.max(F.ceil(F.col("m") / fan_in))).first()[0] or 0
-    for depth in range(64):
+    decided, owed = [], None
+    for i in range(len(steps) + 1):
+        part = items.filter(F.col("kind") == i).drop("kind")
+        sums = part.groupBy("source").agg(F.sum("w").alias("all"), F.sum(F.col("w") * F.col("p")).alias("full"), F.count("*").alias("m"))
+        if owed is None:
+            sums = sums.withColumn("owed", F.lit(0.0))
+        else:
+            # what the larger documents took too little or too much of, the smaller ones make up for
+            late = owed.select(F.col("source").alias("o"), "owed")
+            sums = sums.join(broadcast_checked(late), F.col("source").eqNullSafe(F.col("o")), "left").drop("o").fillna(0.0, ["owed"])
+        sums = store(sums.select(F.col("source").alias("s"), "m", (F.col("owed") / F.col("all")).alias("shift"), "owed"), "mixing-sums")
+        most = sums.agg(F.max("m")).first()[0]
         if not most:
-            break
-        grouped = level.groupBy("source", "place").agg(F.array_sort(F.collect_list("item")).alias("items"))
-        paired = store(grouped.select("source", "place", _pair_up(F.col("items"), seed + depth, kind).alias("r")), "mixing-level")
-        decided.append(paired.select(F.explode("r.done").alias("item")))
-        # an item that has just come to 0 or 1 needs no further meeting
-        over = F.col("r.open.p").isin(0.0, 1.0)
-        decided.append(paired.filter(over).select(F.col("r.open").alias("item")))
-        level = paired.filter("r.open IS NOT NULL").filter(~over).select(
-            "source", F.floor(F.col("place") / fan_in).alias("place"), F.col("r.open").alias("item")
-        )
-        if most == 1:
-            last = _draw(F.col("item.key"), F.lit(seed)) < F.col("item.p")
-            decided.append(level.select(F.struct("item.key", "item.w", last.cast("double").alias("p")).alias("item")))
-            break
-        most = -(-most // fan_in)
+            continue
+        part = part.join(broadcast_checked(sums.drop("owed")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        moved = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") + F.col("shift")))
+        groups = F.ceil(F.col("m") / fan_in).cast("long")
+        place = F.pmod(F.xxhash64("key.id", "key.size", F.lit(seed + 1)), groups)
+        level = part.select("source", place.alias("place"), F.struct("key", "w", moved.alias("p")).alias("item"))
+        done, last = _reduce(level, -(-most // fan_in), fan_in, seed + 100 * i)
+        decided += done
+        given = part.groupBy("source").agg(F.sum(F.col("w") * (moved - F.col("p"))).alias("given"))
+        missed = last.select("source", (F.col("item.w") * (F.col("open") - F.col("item.p"))).alias("missed"))
+        news = given.select("source", F.negative("given").alias("owed")).unionByName(missed.select("source", F.col("missed").alias("owed")))
+        news = news.unionByName(sums.select(F.col("s").alias("source"), "owed"))
+        if owed is not None:
+            absent = owed.join(sums.select("s"), F.col("source").eqNullSafe(F.col("s")), "left_anti")
+            news = news.unionByName(absent)
+        owed = store(news.groupBy("source").agg(F.sum("owed").alias("owed")), "mixing-owed")
     taken = rows.withColumn("extra", F.lit(0))
     if decided:
         up = decided[0]

@@ -9,7 +9,7 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnsearch.llm.common import join_hot, only_members, store
@@ -191,6 +191,10 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return joined.withColumn(text_col, clean(F.col(text_col), "__found")).select(*docs.columns)
 
 
+def _of_kind(kind: int) -> Column:
+    return F.filter("spans", lambda s: s["kind"] == kind)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     found = find_personal_data(docs)
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -198,10 +202,7 @@ def digest(docs: DataFrame) -> DataFrame:
     terms = F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["end"]))
     return found.select(
         "doc_id",
-        *[
-            F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}")
-            for k, kind in enumerate(KINDS)
-        ],
+        *[F.size(_of_kind(k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
         F.sha2(F.array_join(named, ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.concat(named, F.array_distinct(terms)), ",").alias("spans"),
     )
