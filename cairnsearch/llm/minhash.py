@@ -16,6 +16,8 @@ from cairnsearch.llm.components import connected
 WORDS = 5
 BANDS = 32
 ROWS = 4
+ROUNDS = 3
+CELLS = 64
 SHIFT = np.uint32(0x9E3779B1)
 STEP = 2048
 MAX_WORDS_KEPT = 400_000
@@ -118,14 +120,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
     return rows_in.mapInArrow(sign, "id long, n_shingles long, set_hi long, set_lo long, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The ``pairs (a, b)`` whose shingle sets, taken from both whole texts, are similar enough.
+def verified(pairs: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
+    """The ``pairs (a, b)`` whose shingle sets, taken from both whole texts of ``wanted``, are similar enough.
 
-    Texts of other documents are left out by a Bloom filter before anything is shuffled. Both joins
-    are plain and feed a per-row check, so Spark may split a hot ``a``.
+    Both joins are plain and feed a per-row check, so Spark may split a hot ``a``.
     """
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = store(only_members(texts, "id", asked), "minhash-texts")
     right = pairs.join(wanted.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = right.join(wanted.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -154,6 +153,44 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
+def _open(placed: DataFrame, total: int) -> DataFrame:
+    """The rows of bands whose members are not all in one component yet."""
+    spans = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+    found = join_hot(placed, spans.filter("low < high"), ["band"], "n", total).filter("low IS NOT NULL")
+    return found.select(*placed.columns)
+
+
+def useful_shingles(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``(id, useful)``: a document's shingles that another one of ``ids`` has too, counted in ``CELLS`` cells by hash.
+
+    Two documents have no more shingles in common than the smaller count of each cell, summed over cells.
+    """
+
+    def each_text(emit, names, schema):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = WordHashes()
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    part = batch.slice(start, 256)
+                    found = [emit(shingle_hashes(t, words, known)) for t in part.column("text").to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found)], names=names)
+
+        return texts.join(ids, "id", "left_semi").mapInArrow(run, schema)
+
+    def in_cells(shingles: np.ndarray) -> np.ndarray:
+        return np.bincount((shingles % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.int32)
+
+    cells = each_text(in_cells, ["id", "cells"], "id long, cells array<int>")
+    each = each_text(lambda x: x.view(np.int64), ["id", "shingles"], "id long, shingles array<long>")
+    each = each.select("id", F.explode("shingles").alias("shingle"))
+    holders = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last")
+    # a signed hash and an unsigned one fall into the same cell, CELLS being a power of two
+    alone = holders.groupBy("id", F.pmod("shingle", F.lit(CELLS)).cast("int").alias("cell")).agg(F.count("*").cast("int").alias("n"))
+    alone = alone.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("alone"))
+    useful = F.transform("cells", lambda c, i: c - F.coalesce(F.try_element_at("alone", i), F.lit(0)))
+    return cells.join(alone, "id", "left").select("id", useful.alias("useful"))
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -163,16 +200,21 @@ def near_duplicates(
     percent: int = 80,
     bands: int = BANDS,
     rows: int = ROWS,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
     """``(id, n_shingles, component_id, kept)``: near copies by exact Jaccard, joined to components.
 
     1. Equal shingle sets fall together by a 128-bit name; the smallest id speaks for them.
     2. Speakers that share a band are candidates. A band's members are first compared with its
        smallest id only, and the links found are joined to components.
-    3. Where a band still holds several components, the pairs across them are compared, so no pair of
+    3. For ``rounds`` rounds, each band that still holds several components draws another leader, which
+       is compared with the members outside its component: a number of pairs that grows as the rows do.
+    4. Where a band holds several components even then, the pairs across them are compared, so no pair of
        a group that is already one component is ever made, and no link between components is missed.
        A pair at exactly the threshold shares no band with probability (1 - 0.8**4)**32 = 5e-8.
-    4. Sizes that rule the similarity out are dropped before texts are read; all else is confirmed on full sets.
+    5. Pairs are dropped before texts are read if sizes rule the similarity out. From step 3 on, shingles that
+       occur in one document of the open bands only cannot be common, and no more than the smaller number of the
+       others in each cell of :func:`useful_shingles` can. All else is confirmed on full sets.
 
     Texts with fewer words are one shingle; null texts and texts without words have no shingle, link with
     nothing and are kept. Rows that share an id count as one document in links; each gets its own row. A
@@ -180,7 +222,6 @@ def near_duplicates(
     id and text are ignored, whatever their names. An empty table gives an empty result.
     """
     found = store(signatures(docs, id_col, text_col, words, bands, rows), "minhash-signatures")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = found.count()
     sets = ["set_hi", "set_lo", "n_shingles"]
     classes = (
@@ -206,21 +247,48 @@ def near_duplicates(
     star = members.filter((F.col("id") != F.col("leader")) & close("n_shingles", "leader_n"))
     star = star.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     star = store(star, "minhash-star")
-    links = store(verified(star, texts, words, percent), "minhash-links")
+    # texts of documents that share no band are left out by a Bloom filter before anything is shuffled
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    wanted = store(only_members(texts, "id", members.select("id").distinct()), "minhash-texts")
+    links = store(verified(star, wanted, words, percent), "minhash-links")
     component = connected(links)
-    placed = members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = placed.select("band", "id", "n_shingles", "component")
-    spans = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-    still = join_hot(placed, spans.filter("low < high"), ["band"], "n", rows_banded).filter("low IS NOT NULL")
-    left = store(still.select("band", "id", "n_shingles", "component"), "minhash-open")
-    a = left.select("band", *[F.col(c).alias(f"{c}_a") for c in ("id", "n_shingles", "component")])
-    b = left.select("band", *[F.col(c).alias(f"{c}_b") for c in ("id", "n_shingles", "component")])
+    placed = members.join(component, "id", "left").select("band", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    open_rows = store(_open(placed, rows_banded), "minhash-open")
+    useful = useful_shingles(wanted, open_rows.select("id").distinct(), words)
+    open_rows = open_rows.join(useful.dropDuplicates(["id"]), "id")
+    enough = F.aggregate("useful", F.lit(0).cast("long"), lambda total, x: total + x) * 100 >= F.col("n_shingles") * percent
+    open_rows = store(_open(open_rows.filter(enough), rows_banded), "minhash-open")
+
+    def possible(n_x: str, useful_x: str, n_y: str, useful_y: str):
+        smaller = F.zip_with(useful_x, useful_y, lambda x, y: F.least(x, y))
+        common = F.aggregate(smaller, F.lit(0).cast("long"), lambda total, x: total + x)
+        return common * (100 + percent) >= (F.col(n_x) + F.col(n_y)) * percent
+
+    tested = star
+    for round_ in range(rounds):
+        first = F.min(F.struct(F.xxhash64("id", "band", F.lit(round_)).alias("draw"), "id", "n_shingles", "useful", "component"))
+        leaders = open_rows.groupBy("band").agg(first.alias("l"), F.count("*").alias("n"))
+        led = join_hot(open_rows, leaders, ["band"], "n", rows_banded)
+        pairs = led.filter((F.col("component") != F.col("l.component")) & possible("n_shingles", "useful", "l.n_shingles", "l.useful"))
+        pairs = pairs.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
+        pairs = store(pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
+        if pairs.isEmpty():
+            break
+        more = store(verified(pairs, wanted, words, percent), "minhash-links")
+        tested, links = tested.unionByName(pairs), links.unionByName(more)
+        component = connected(links)
+        again = open_rows.drop("component").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        open_rows = store(_open(again, rows_banded), "minhash-open")
+    a = open_rows.select("band", *[F.col(c).alias(f"{c}_a") for c in ("id", "n_shingles", "useful", "component")])
+    b = open_rows.select("band", *[F.col(c).alias(f"{c}_b") for c in ("id", "n_shingles", "useful", "component")])
     across = a.join(b, "band").filter(
-        (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & close("n_shingles_a", "n_shingles_b")
+        (F.col("id_a") < F.col("id_b"))
+        & (F.col("component_a") != F.col("component_b"))
+        & possible("n_shingles_a", "useful_a", "n_shingles_b", "useful_b")
     )
-    across = across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = verified(store(across, "minhash-across"), texts, words, percent)
-    component = connected(store(links.unionByName(more), "minhash-links"))
+    across = across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    more = store(verified(store(across, "minhash-across"), wanted, words, percent), "minhash-links")
+    component = component if more.isEmpty() else connected(links.unionByName(more))
     named = classes.join(component.withColumnRenamed("id", "speaker"), "speaker", "left").select(
         *sets, "members", F.coalesce("component", "speaker").alias("component_id")
     )
