@@ -16,7 +16,6 @@ from cairnsearch.llm.components import connected
 WORDS = 5
 BANDS = 32
 ROWS = 4
-ROUNDS = 3
 CELLS = 64
 SHIFT = np.uint32(0x9E3779B1)
 STEP = 2048
@@ -200,19 +199,16 @@ def near_duplicates(
     percent: int = 80,
     bands: int = BANDS,
     rows: int = ROWS,
-    rounds: int = ROUNDS,
 ) -> DataFrame:
     """``(id, n_shingles, component_id, kept)``: near copies by exact Jaccard, joined to components.
 
     1. Equal shingle sets fall together by a 128-bit name; the smallest id speaks for them.
     2. Speakers that share a band are candidates. A band's members are first compared with its
        smallest id only, and the links found are joined to components.
-    3. For ``rounds`` rounds, each band that still holds several components draws another leader, which
-       is compared with the members outside its component: a number of pairs that grows as the rows do.
-    4. Where a band holds several components even then, the pairs across them are compared, so no pair of
+    3. Where a band still holds several components, the pairs across them are compared, so no pair of
        a group that is already one component is ever made, and no link between components is missed.
        A pair at exactly the threshold shares no band with probability (1 - 0.8**4)**32 = 5e-8.
-    5. Pairs are dropped before texts are read if sizes rule the similarity out. From step 3 on, shingles that
+    4. Pairs are dropped before texts are read if sizes rule the similarity out. From step 3 on, shingles that
        occur in one document of the open bands only cannot be common, and no more than the smaller number of the
        others in each cell of :func:`useful_shingles` can. All else is confirmed on full sets.
 
@@ -255,38 +251,23 @@ def near_duplicates(
     placed = members.join(component, "id", "left").select("band", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
     open_rows = store(_open(placed, rows_banded), "minhash-open")
     useful = useful_shingles(wanted, open_rows.select("id").distinct(), words)
-    open_rows = open_rows.join(useful.dropDuplicates(["id"]), "id")
-    enough = F.aggregate("useful", F.lit(0).cast("long"), lambda total, x: total + x) * 100 >= F.col("n_shingles") * percent
+    mass = F.aggregate("useful", F.lit(0).cast("long"), lambda total, x: total + x)
+    open_rows = open_rows.join(useful.dropDuplicates(["id"]).withColumn("mass", mass), "id")
+    enough = F.col("mass") * 100 >= F.col("n_shingles") * percent
     open_rows = store(_open(open_rows.filter(enough), rows_banded), "minhash-open")
 
-    def possible(n_x: str, useful_x: str, n_y: str, useful_y: str):
-        smaller = F.zip_with(useful_x, useful_y, lambda x, y: F.least(x, y))
-        common = F.aggregate(smaller, F.lit(0).cast("long"), lambda total, x: total + x)
-        return common * (100 + percent) >= (F.col(n_x) + F.col(n_y)) * percent
-
-    tested = star
-    for round_ in range(rounds):
-        first = F.min(F.struct(F.xxhash64("id", "band", F.lit(round_)).alias("draw"), "id", "n_shingles", "useful", "component"))
-        leaders = open_rows.groupBy("band").agg(first.alias("l"), F.count("*").alias("n"))
-        led = join_hot(open_rows, leaders, ["band"], "n", rows_banded)
-        pairs = led.filter((F.col("component") != F.col("l.component")) & possible("n_shingles", "useful", "l.n_shingles", "l.useful"))
-        pairs = pairs.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
-        pairs = store(pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-        if pairs.isEmpty():
-            break
-        more = store(verified(pairs, wanted, words, percent), "minhash-links")
-        tested, links = tested.unionByName(pairs), links.unionByName(more)
-        component = connected(links)
-        again = open_rows.drop("component").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_rows = store(_open(again, rows_banded), "minhash-open")
-    a = open_rows.select("band", *[F.col(c).alias(f"{c}_a") for c in ("id", "n_shingles", "useful", "component")])
-    b = open_rows.select("band", *[F.col(c).alias(f"{c}_b") for c in ("id", "n_shingles", "useful", "component")])
+    needed = (F.col("n_shingles_a") + F.col("n_shingles_b")) * percent
+    smaller = F.zip_with("useful_a", "useful_b", lambda x, y: F.least(x, y))
+    common = F.aggregate(smaller, F.lit(0).cast("long"), lambda total, x: total + x)
+    a = open_rows.select("band", *[F.col(c).alias(f"{c}_a") for c in ("id", "n_shingles", "useful", "mass", "component")])
+    b = open_rows.select("band", *[F.col(c).alias(f"{c}_b") for c in ("id", "n_shingles", "useful", "mass", "component")])
     across = a.join(b, "band").filter(
         (F.col("id_a") < F.col("id_b"))
         & (F.col("component_a") != F.col("component_b"))
-        & possible("n_shingles_a", "useful_a", "n_shingles_b", "useful_b")
+        & (F.least("mass_a", "mass_b") * (100 + percent) >= needed)
+        & (common * (100 + percent) >= needed)
     )
-    across = across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    across = across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = store(verified(store(across, "minhash-across"), wanted, words, percent), "minhash-links")
     component = component if more.isEmpty() else connected(links.unionByName(more))
     named = classes.join(component.withColumnRenamed("id", "speaker"), "speaker", "left").select(
