@@ -43,8 +43,9 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, tot
 
     Keys with more than one in ``HOT_SHARE`` of the ``total`` left rows number fewer than
     ``HOT_SHARE``: they are broadcast, and their rows stay where they are. The rest is
-    shuffled, no key of it being large. Null keys match nothing.
+    shuffled, no key of it being large. Null keys match nothing. ``right`` is written down first, being used twice.
     """
+    right = store(right, "join")
     hot = F.col(count) * HOT_SHARE > total
     values = [c for c in right.columns if c not in keys]
     warm = left.join(F.broadcast(right.filter(hot).withColumn("__hot", F.lit(True))), keys, "left")

@@ -23,7 +23,8 @@ def connected(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-        edges = store(_small_star(_large_star(edges, now[0]), now[0]), "components")
+        edges = store(_large_star(edges, now[0]), "components")
+        edges = store(_small_star(edges, now[0]), "components")
     roots = edges.select(F.col("v").alias("id")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         roots.select("id", F.col("id").alias("component"))

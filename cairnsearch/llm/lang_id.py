@@ -58,8 +58,9 @@ def gram_counts(texts: list[str | None]) -> np.ndarray:
         nonlocal parts, owners, size
         if parts:
             points = _letters()[np.frombuffer("\0".join(["", *parts, ""]).encode("utf-32-le", "replace"), dtype=np.uint32)]
-            lengths = np.array([1, *(len(p) + 1 for p in parts)])
-            owner = np.repeat(np.array([owners[0], *owners]), lengths)
+            # the 0 before a text is its own, so the grams that begin there are too
+            lengths = np.array([*(len(p) + 1 for p in parts), 1])
+            owner = np.repeat(np.array([*owners, owners[-1]]), lengths)
             at, grams = _grams(points)
             low = owners[0]
             flat = np.bincount((owner[at] - low) * DIMENSIONS + grams, minlength=(owners[-1] - low + 1) * DIMENSIONS)
