@@ -305,7 +305,7 @@ def cell_search(spark, sf_dir, strategy: str) -> DataFrame:
 
 
 def vector_ivf_search(spark, sf_dir):
-    return cell_search(spark, sf_dir, "broadcast")
+    return cell_search(spark, sf_dir, "auto")
 
 
 def vector_ivf_search_blocks(spark, sf_dir):

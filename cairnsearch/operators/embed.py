@@ -27,11 +27,11 @@ def embed(
     dim: int | None = None,
     output: str = "embedding",
     batch_size: int = EMBED_BATCH,
-    max_length: int = MAX_TEXT_LENGTH,
+    max_length: int | None = None,
 ) -> DataFrame:
     """Add ``output array<float>``; ``make_embedder`` runs once per task, where the model loads.
 
-    Only the truncated text travels to Python; all other columns stay in the JVM and are put
+    Whole texts are embedded unless a ``max_length`` is given. Only the text travels to Python; all other columns stay in the JVM and are put
     back beside their vectors by Spark, so no join is needed. A wrong number of vectors, or
     with ``dim`` a wrong length, fails the job.
     """
@@ -52,7 +52,8 @@ def embed(
                 raise ValueError(f"expected {dim} dimensions, got {sorted({len(v) for v in done})}")
             yield pd.Series(done, dtype=object)
 
-    return df.withColumn(output, vectors(truncate(F.col(text_column), max_length)))
+    text = F.col(text_column)
+    return df.withColumn(output, vectors(text if max_length is None else truncate(text, max_length)))
 
 
 def embed_distinct(
@@ -60,15 +61,18 @@ def embed_distinct(
     make_embedder: Callable[[], Embedder],
     dim: int | None = None,
     rows_per_salt: int = ROWS_PER_SALT,
+    max_length: int | None = None,
 ) -> DataFrame:
     """Add ``query_vec`` to ``queries(query_id, query_text, ...)``, embedding each distinct text once.
 
+    Whole texts are embedded unless a ``max_length`` is given. A null text keeps its row, with a null vector.
+
     One text may make up much of ``queries``. The grouping folds repeats before the shuffle;
     joining back is salted for texts above ``rows_per_salt`` rows, so that none of them lands
     in one task. Salts are kept per hash of the text, at most one per ``rows_per_salt`` rows.
     """
     text_hash = F.xxhash64("query_text").alias("text_hash")
-    counted = queries.groupBy("query_text").agg(F.count("*").alias("repeats"))
+    counted = queries.filter("query_text IS NOT NULL").groupBy("query_text").agg(F.count("*").alias("repeats"))
     salts = (
         counted.groupBy(text_hash)
         .agg(F.ceil(F.sum("repeats") / rows_per_salt).alias("salts"))
@@ -86,12 +90,12 @@ def embed_distinct(
         make_embedder,
         dim,
         output="query_vec",
-        max_length=MAX_QUERY_LENGTH,
+        max_length=max_length,
     )
     copies = salted(vectors, F.explode(F.sequence(F.lit(0).cast("long"), n_salts - 1)))
     return (
         salted(queries, F.pmod(F.xxhash64("query_id"), n_salts))
-        .join(copies, ["query_text", "salt"])
+        .join(copies, ["query_text", "salt"], "left")
         .select(*queries.columns, "query_vec")
     )
 

@@ -53,6 +53,6 @@ def prepare_requests(queries: DataFrame) -> DataFrame:
         .filter(f"kind IS NOT NULL AND NOT ({use_vector} AND size(query_vec) = 0)")
         .selectExpr(
             "*",
-            f"if(kind = '{UNIFIED}', {UNIFIED_CANDIDATES}, {SINGLE_CANDIDATES}) AS candidates",
+            f"greatest(if(kind = '{UNIFIED}', {UNIFIED_CANDIDATES}, {SINGLE_CANDIDATES}), max_hits) AS candidates",
         )
     )

@@ -249,7 +249,7 @@ SELECT query_id, id, n_terms FROM matched"""
     tags = "list_transform(string_split_regex(trimmed, '\\s+'), lambda w: regexp_replace(w, '^#', ''))"
     token = "string_split(text, ' ')[2]"
     percent = "greatest(0, least(100, (2 - greatest(0, least(2, dist))) / 2 * 100))"
-    cut = "substr(text, 1, 8192)"
+    cut = "text"
     stored = f"SELECT doc_id AS id, {TITLE} AS title, length(text) AS content_length, lang AS namespace, {letters(cut)} FROM documents"
     return {
         "doc_source_normalised": """SELECT
@@ -279,7 +279,7 @@ FROM documents""",
   substr(text, 1, 512) AS query_for_embedding, length(text) AS unlimited_length FROM documents""",
         "embed_dimension_check": f"""WITH {CORPUS}
 SELECT coalesce(len(embedding), 0)::INT AS dim, count(*) AS n_documents FROM corpus GROUP BY 1""",
-        "embed_distinct_queries": f"""SELECT doc_id AS query_id, {letters('substr(text, 1, 512)')}
+        "embed_distinct_queries": f"""SELECT doc_id AS query_id, {letters('text')}
 FROM documents""",
         "vector_topk": f"""WITH {CORPUS}, {distances(ONE_VECTOR)}
 SELECT c.id, c.title, length(c.content) AS content_length, round(n.dist, 6) AS dist
