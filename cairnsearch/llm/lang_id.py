@@ -80,9 +80,12 @@ def gram_counts(texts: list[str | None]) -> np.ndarray:
 
 
 def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    weights = np.log1p(counts) * idf
-    length = np.sqrt(np.einsum("ij,ij->i", weights, weights))[:, None]
-    return weights / np.where(length > 0, length, 1)
+    """``counts`` turned, in place, into weights of length 1."""
+    np.log1p(counts, out=counts)
+    counts *= idf
+    length = np.sqrt(np.einsum("ij,ij->i", counts, counts))[:, None]
+    counts /= np.where(length > 0, length, 1)
+    return counts
 
 
 def _bucket(counts: np.ndarray) -> np.ndarray:
@@ -98,13 +101,13 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         counts = gram_counts(texts)
+        blank, size = counts.sum(axis=1) == 0, _bucket(counts)
         cosine = _weigh(counts, self.idf) @ self.centroids.T if self.languages else np.zeros((len(texts), 1), np.float32)
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(texts)), best], 0, 1).astype(np.float64)
-        blank = counts.sum(axis=1) == 0
         names = ["und" if none or not self.languages else self.languages[b] for b, none in zip(best, blank)]
         score[blank] = 0
-        rejected = blank | (1 - score > self.radius[_bucket(counts)]) | np.full(len(texts), not self.languages)
+        rejected = blank | (1 - score > self.radius[size]) | np.full(len(texts), not self.languages)
         return names, score, rejected
 
 
@@ -162,43 +165,44 @@ def fit(
 
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts = gram_counts(batch.column("text").to_pylist())
-        places = [np.flatnonzero(row).astype(np.int32) for row in counts]
+        places = [np.flatnonzero(row).astype(np.int16) for row in counts]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("lang"),
                 batch.column("draw"),
-                pa.array([p.tolist() for p in places], pa.list_(pa.int32())),
-                pa.array([row[p].tolist() for row, p in zip(counts, places)], pa.list_(pa.float32())),
+                pa.array(places, pa.list_(pa.int16())),
+                pa.array([row[p] for row, p in zip(counts, places)], pa.list_(pa.float32())),
             ],
             names=["lang", "draw", "place", "number"],
         )
 
     sample = map_batches(
-        sampled.select("lang", "draw", "text"), counted, "lang string, draw double, place array<int>, number array<float>", 64
+        sampled.select("lang", "draw", "text"), counted, "lang string, draw double, place array<smallint>, number array<float>", 64
     ).toArrow()
-    order = sorted(range(sample.num_rows), key=lambda i: (sample["lang"][i].as_py(), sample["draw"][i].as_py()))
-    langs, rows_of, taken = [], [], {}
-    for i in order:
-        lang = sample["lang"][i].as_py()
-        taken[lang] = taken.get(lang, 0) + 1
-        if taken[lang] <= per_language:
-            row = np.zeros(DIMENSIONS, dtype=np.float32)
-            row[sample["place"][i].values.to_numpy(zero_copy_only=False)] = sample["number"][i].values.to_numpy(zero_copy_only=False)
-            if row.any():
-                langs.append(lang)
-                rows_of.append(row)
-    if not langs:
+    labels, draws = sample["lang"].to_pylist(), sample["draw"].to_pylist()
+    chosen, taken = [], {}
+    for i in sorted(range(sample.num_rows), key=lambda i: (labels[i], draws[i])):
+        taken[labels[i]] = taken.get(labels[i], 0) + 1
+        if taken[labels[i]] <= per_language and len(sample["place"][i].values):
+            chosen.append(i)
+    if not chosen:
         return Model(np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), (), np.ones(BUCKETS))
-    counts, langs = np.stack(rows_of), np.array(langs)
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.05)
+    # one matrix, weighed where it stands: it is what the driver's memory is needed for
+    counts, langs = np.zeros((len(chosen), DIMENSIONS), dtype=np.float32), np.array([labels[i] for i in chosen])
+    for row, i in enumerate(chosen):
+        counts[row, sample["place"][i].values.to_numpy(zero_copy_only=False)] = sample["number"][i].values.to_numpy(zero_copy_only=False)
+    del sample
+    pa.default_memory_pool().release_unused()
+    sizes = _bucket(counts)
+    idf = np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))).astype(np.float32) + np.float32(0.05)
     x = _weigh(counts, idf)
     parts = [(lang, _clusters(x[langs == lang], centroids)) for lang in sorted(set(langs))]
     names = tuple(str(lang) for lang, c in parts for _ in c)
     centres = np.concatenate([c for _, c in parts]).astype(np.float32)
     own = np.where(np.array(names)[None, :] == langs[:, None], x @ centres.T, -1).max(axis=1)
-    size, radius = _bucket(counts), np.zeros(BUCKETS)
+    radius = np.zeros(BUCKETS)
     for b in range(BUCKETS):
-        far = 1 - own[size >= b]
+        far = 1 - own[sizes >= b]
         radius[b] = min(1.0, far.max() * 1.25 + 0.1) if len(far) else radius[b - 1]
     return Model(idf, centres, names, radius)
 
