@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
+import types
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +24,25 @@ Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 """Texts in, one vector per text out, in the same order."""
 
 
+def once_per_worker(make: Callable[[], Embedder]) -> Callable[[], Embedder]:
+    """``make`` for use in tasks: a worker process keeps what it made for its later tasks.
+
+    Functions arrive in each task as new copies, so the model is kept outside them, under a
+    name made from the factory's pickled form. A worker holds one model at a time.
+    """
+    name = "model_" + hashlib.sha256(cloudpickle.dumps(make)).hexdigest()
+
+    def held() -> Embedder:
+        kept = sys.modules.setdefault("cairnsearch_worker", types.ModuleType("cairnsearch_worker"))
+        if getattr(kept, "name", None) != name:
+            kept.name, kept.model = None, None
+            kept.model = make()
+            kept.name = name
+        return kept.model
+
+    return held
+
+
 def embed(
     df: DataFrame,
     text_column: str,
@@ -29,16 +52,17 @@ def embed(
     batch_size: int = EMBED_BATCH,
     max_length: int | None = None,
 ) -> DataFrame:
-    """Add ``output array<float>``; ``make_embedder`` runs once per task, where the model loads.
+    """Add ``output array<float>``; ``make_embedder`` runs once per Python worker, where the model loads.
 
-    Whole texts are embedded unless a ``max_length`` is given. Only the text travels to Python; all other columns stay in the JVM and are put
-    back beside their vectors by Spark, so no join is needed. A wrong number of vectors, or
-    with ``dim`` a wrong length, fails the job.
+    Whole texts are embedded unless a ``max_length`` is given. Only the text travels to Python;
+    all other columns stay in the JVM and are put back beside their vectors by Spark, so no
+    join is needed. A wrong number of vectors, or with ``dim`` a wrong length, fails the job.
     """
+    worker_model = once_per_worker(make_embedder)
 
     @F.pandas_udf("array<float>")
     def vectors(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        embedder = make_embedder()
+        embedder = worker_model()
         for column in columns:
             done: list[np.ndarray] = []
             texts = column.to_list()
