@@ -11,6 +11,8 @@ from cairnsearch.operators.sizing import MAX_ROWS, broadcast_if
 
 PUSHED_HITS = 2_000
 PUSHED_RANGES = 64
+# Ids alone are eight bytes each: 32 MB.
+MAX_IDS = 4_000_000
 
 
 def merge_outer(vector_scores: DataFrame, text_scores: DataFrame) -> DataFrame:
@@ -39,15 +41,18 @@ def merge_scored(scored: DataFrame, *carried: str) -> DataFrame:
 
 
 def with_documents(hits: DataFrame, documents: DataFrame, most_hits: int) -> DataFrame:
-    """Fetch ``title`` and ``content`` for ranked hits, after the final cut.
+    """Fetch the columns of ``documents(id, ...)`` for ranked hits, after the final cut.
 
-    ``most_hits`` bounds their number (queries counted, times the limit). A short list of hits is
+    ``most_hits`` bounds their number (the sum of the queries' limits). A short list of hits is
     worked out first, and the documents are then read by id range, so that a corpus stored in
-    id order is not read as a whole for a page of results. A longer list is broadcast, and one
-    too long for that is joined by shuffling.
+    id order is not read as a whole for a page of results. A longer list is broadcast. One too
+    long for that leaves out the documents without a hit by its broadcast ids before anything
+    is shuffled, if their bound allows; else both sides are shuffled as they are.
     """
-    found = documents.select("id", "title", "content")
+    found = documents
     if most_hits > PUSHED_HITS:
+        if MAX_ROWS < most_hits <= MAX_IDS:
+            found = found.join(F.broadcast(hits.select("id").distinct()), "id", "left_semi")
         return found.join(broadcast_if(most_hits <= MAX_ROWS, hits), "id")
     ranked = hits.toArrow()  # PUSHED_HITS rows of ids and scores at most
     local = documents.sparkSession.createDataFrame(ranked)

@@ -20,8 +20,6 @@ from cairnsearch.plans.requests import (
     prepare_requests,
 )
 
-MOST_HITS_PER_QUERY = 100
-
 
 def hybrid_search(
     documents: DataFrame,
@@ -47,13 +45,11 @@ def hybrid_search(
     hits = hybrid_scores(
         requests, size, documents, vectors, postings, cells, probes, text_score, rrf_k
     )
-    return with_documents(hits, documents, size.rows * MOST_HITS_PER_QUERY).select(
-        "query_id",
-        "id",
-        "title",
-        snippet_hybrid(F.col("content")).alias("content_snippet"),
-        "similarity_percent",
-        "total_score",
+    most_hits = requests.agg(F.sum("max_hits")).first()[0] or 0
+    # cut before the join, so that whole contents are never shuffled
+    shown = documents.select("id", "title", snippet_hybrid(F.col("content")).alias("content_snippet"))
+    return with_documents(hits, shown, most_hits).select(
+        "query_id", "id", "title", "content_snippet", "similarity_percent", "total_score"
     )
 
 

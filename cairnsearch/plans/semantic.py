@@ -11,7 +11,6 @@ from cairnsearch.operators.cells import CellIndex, search_cells
 from cairnsearch.operators.fusion import with_documents
 from cairnsearch.operators.nearest import nearest
 from cairnsearch.operators.sizing import broadcast_if, localise
-from cairnsearch.plans.hybrid import MOST_HITS_PER_QUERY
 from cairnsearch.plans.requests import prepare_requests
 
 MIN_SIMILARITY_PERCENT = 55.0
@@ -30,10 +29,12 @@ def semantic_search(
     Both filters follow the limit, so a query may get fewer rows than it asked for.
     """
     requests, size = localise(prepare_requests(queries))
+    limits = requests.agg(F.max("max_hits").alias("largest"), F.sum("max_hits").alias("all")).first()
+    k = limits["largest"] or 1
     if cells is None:
-        near = nearest(documents if vectors is None else vectors, requests, MOST_HITS_PER_QUERY)
+        near = nearest(documents if vectors is None else vectors, requests, k)
     else:
-        near = search_cells(cells, requests, MOST_HITS_PER_QUERY, probes)
+        near = search_cells(cells, requests, k, probes)
     asked = requests.select("query_id", "max_hits")
     percent = similarity_percent(F.col("dist"))
     similar = (
@@ -42,7 +43,7 @@ def semantic_search(
         .select("query_id", "id", percent.alias("similarity_percent"))
     )
     return (
-        with_documents(similar, documents, size.rows * MOST_HITS_PER_QUERY)
+        with_documents(similar, documents.select("id", "title", "content"), limits["all"] or 0)
         .join(broadcast_if(size.within(), requests.select("query_id", "query_text")), "query_id")
         .filter(lexically_confirmed(F.col("query_text"), F.col("title"), F.col("content")))
         .select(

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SOURCE_COLUMNS = ("title", "text", "namespace", "contributors")
-ROWS_IN_ONE_TASK = 100_000
 BUCKETS_PER_PASS = 1024
 SPREAD_BELOW = 64 * 1024 * 1024
 
@@ -31,19 +30,16 @@ def spread_small_file(df: DataFrame, path: str, key: str = "id", below: int = SP
     return df.repartition(spark.sparkContext.defaultParallelism, key)
 
 
-def select_shards(manifest: DataFrame, split: str = "train", all_shards: bool = False) -> list[str]:
-    """Paths from ``manifest(ordinal, url, split)``.
+def select_shards(manifest: DataFrame, split: str = "train", first_only: bool = False) -> list[str]:
+    """Paths of the wanted split's files from ``manifest(ordinal, url, split)``; an error if it has none.
 
-    The first file of the wanted split, else the first file of any split, else an error. With
-    ``all_shards`` every file of the split that file belongs to.
+    All of them, or with ``first_only`` the one that comes first.
     """
-    first = manifest.orderBy(F.desc(F.col("split") == split), "ordinal").first()
-    if first is None:
+    shards = manifest.filter(F.col("split") == split).orderBy("ordinal").select("url")
+    urls = [row["url"] for row in (shards.limit(1) if first_only else shards).collect()]
+    if not urls:
         raise ValueError(f"the manifest lists no file for split {split}")
-    if not all_shards:
-        return [first["url"]]
-    shards = manifest.filter(F.col("split") == first["split"]).orderBy("ordinal")
-    return [row["url"] for row in shards.select("url").collect()]
+    return urls
 
 
 def resolve_paths(
@@ -55,7 +51,7 @@ def resolve_paths(
     file_name: str | None = None,
     manifest: DataFrame | None = None,
     split: str = "train",
-    all_shards: bool = False,
+    first_only: bool = False,
 ) -> list[str]:
     """A given path wins, as it stands or below ``working_dir``; then a pinned file; then the manifest."""
 
@@ -74,7 +70,7 @@ def resolve_paths(
         return [f"{(repository or '').rstrip('/')}/{given(commit)}/{given(file_name)}"]
     if manifest is None:
         raise ValueError("no path, no pinned file and no manifest")
-    return select_shards(manifest, split, all_shards)
+    return select_shards(manifest, split, first_only)
 
 
 def normalise(raw: DataFrame) -> DataFrame:
@@ -102,28 +98,28 @@ def read_documents(spark: SparkSession, paths: list[str], limit: int = 0) -> Dat
     return documents.limit(limit) if limit > 0 else documents
 
 
-def first_rows(df: DataFrame, n: int, key: str = "id", in_one_task: int = ROWS_IN_ONE_TASK) -> DataFrame:
-    """The ``n`` rows with the lowest ``key`` (a unique long); all rows if ``n`` is 0 or less.
+def first_rows(df: DataFrame, n: int, key: str = "id") -> DataFrame:
+    """The rows with the ``n`` lowest values of the long ``key``; all rows if ``n`` is 0 or less.
 
-    A few rows are a top-n. For many, the n-th key is located by counting keys in ever
-    narrower ranges, so the result is a plain range filter the scan can prune by, and no
-    task has to hold the n rows.
+    Null keys come last. Rows that tie with the n-th one stay too, so a unique key gives
+    exactly ``n`` rows and every run gives the same ones. The n-th key is located by counting
+    keys in ever narrower ranges, so the result is a plain range filter the scan can prune by,
+    and no task has to hold the n rows.
     """
     if n <= 0:
         return df
-    if n <= in_one_task:
-        return df.orderBy(key).limit(n)
     threshold = _nth_key(df, n, key)
     return df if threshold is None else df.filter(F.col(key) <= threshold)
 
 
 def _nth_key(df: DataFrame, n: int, key: str) -> int | None:
+    """The n-th lowest key, or None if fewer than ``n`` rows have one."""
     low, high, total = df.agg(F.min(key), F.max(key), F.count(key)).first()
-    if total <= n:
+    if total < n:
         return None
     while low < high:
         width = (high - low) // BUCKETS_PER_PASS + 1
-        bucket = F.floor((F.col(key) - low) / F.lit(width)).cast("int")
+        bucket = F.expr(f"cast((`{key}` - {low}L) div {width}L AS int)")
         counts = (
             df.filter(F.col(key).between(low, high))
             .groupBy(bucket.alias("bucket"))
