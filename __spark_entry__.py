@@ -24,7 +24,6 @@ from cairnsearch.operators.fulltext import indexed_hits, ranked, scan_hits, sear
 from cairnsearch.operators.fusion import merge_outer
 from cairnsearch.operators.nearest import nearest, nearest_to_one
 from cairnsearch.operators.postings import (
-    PositionLimits,
     build_postings,
     missing_postings,
     read_postings,
@@ -145,7 +144,7 @@ def doc_source_limit(spark, sf_dir):
 
 def doc_source_limit_range(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return documents.first_rows(docs, 150, key="doc_id", in_one_task=0)
+    return documents.first_rows(docs, 150, key="doc_id")
 
 
 def doc_sink_append(spark, sf_dir):
@@ -407,12 +406,6 @@ def fts_rank_cd_indexed(spark, sf_dir):
     return rounded_ranks(ranked(hits, "cover_density"))
 
 
-def fts_rank_cd_limited(spark, sf_dir):
-    path = shared_folder(spark, "postings")
-    limited = write_postings(build_postings(texts(spark, sf_dir), PositionLimits()), path)
-    return rounded_ranks(ranked(indexed_hits(limited, text_queries(spark)), "cover_density"))
-
-
 def fts_topk(spark, sf_dir):
     found = search_text(text_queries(spark), TOP, postings=stored_postings(spark, sf_dir))
     return rounded_ranks(found)
@@ -587,8 +580,9 @@ def keyword_tokens(spark, sf_dir):
 
 def query_remove_token(spark, sf_dir):
     token = F.element_at(F.split("text", " "), 2)
-    turns = table(spark, sf_dir, "conversations").filter(F.size(F.split("text", " ")) > 1)
-    return turns.select("conv_id", "turn", text.remove_token(F.col("text"), token).alias("query"))
+    several = F.size(F.split("text", " ")) > 1
+    query = F.when(several, text.remove_token(F.col("text"), token)).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", query.alias("query"))
 
 
 def snippet_plain(spark, sf_dir):
@@ -639,11 +633,27 @@ def stream_ingest(spark, sf_dir):
     return stored_letters(ingest.read_ingested(spark, tables))
 
 
-def ingest_progress_history(spark, sf_dir):
-    totals = table(spark, sf_dir, "documents").agg(F.count("*").alias("n_rows"))
-    return progress.progress_snapshots(totals).select(
-        "seq", "rows_read", "inserted", text.status_label(F.lit(progress.DONE)).alias("label")
-    )
+def run_in_parts(spark, sf_dir):
+    """A stream's tables and last query; good documents arrive first, then other labelled ones, then the rest."""
+    tables, source = ingest.StreamTables(shared_folder(spark, "stream")), shared_folder(spark, "arriving")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    for part in ("quality = 1", "quality <> 1", "quality IS NULL"):
+        corpus_rows(docs.filter(part)).write.mode("append").parquet(source)
+        rows = spark.readStream.schema(corpus_rows(docs).schema).parquet(source)
+        stream = ingest.start_stream(rows, tables, letter_counter, dim=26)
+        stream.awaitTermination()
+    return tables, stream
+
+
+def run_history(spark, sf_dir):
+    tables, _ = run_in_parts(spark, sf_dir)
+    return progress.run_history(ingest.read_log(spark, tables)).select("batch_id", "rows_read", "inserted")
+
+
+def run_status(spark, sf_dir):
+    tables, stream = run_in_parts(spark, sf_dir)
+    return ingest.stream_status(spark, tables, stream).drop("finished_at")
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -682,7 +692,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         fts_rank_and,
         fts_rank_cd,
         fts_rank_cd_indexed,
-        fts_rank_cd_limited,
         fts_topk,
         fts_topk_scan,
         fts_topk_batch,
@@ -707,7 +716,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ingest_totals,
         ingest_batch,
         stream_ingest,
-        ingest_progress_history,
+        run_history,
+        run_status,
     ]
     named = {query.__name__: query for query in registered}
     named["semantic_search"] = semantic_search_turns

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnsearch.functions.text import word_tokens
@@ -15,19 +13,6 @@ POSTINGS_SCHEMA = (
 )
 
 
-@dataclass(frozen=True)
-class PositionLimits:
-    """Position limits of a stored text vector. They change ranks of long texts, never matches.
-
-    Fixed values: the highest position, and how many positions one lexeme keeps within one
-    field and within the whole document.
-    """
-
-    highest: int = 16_383
-    per_field: int = 255
-    per_document: int = 256
-
-
 def tokenised(documents: DataFrame, weighted: bool) -> DataFrame:
     """``(id, tokens, title_tokens)``: one document's words in order, in one array.
 
@@ -66,7 +51,7 @@ def token_positions(tokens: DataFrame) -> DataFrame:
     )
 
 
-def build_postings(documents: DataFrame, limits: PositionLimits | None = None) -> DataFrame:
+def build_postings(documents: DataFrame) -> DataFrame:
     """The inverted index: one row per lexeme, document and field (``POSTINGS_SCHEMA``).
 
     All words of a document come from one input row, so map-side aggregation already forms
@@ -83,32 +68,9 @@ def build_postings(documents: DataFrame, limits: PositionLimits | None = None) -
             F.when(F.col("field") == "title", F.lit(TITLE_WEIGHT)).otherwise(F.lit(CONTENT_WEIGHT)),
         )
     )
-    if limits is not None:
-        lists = _limited(lists, limits)
     return lists.select("lexeme", "id", "field", "weight", "positions", "doc_length")
 
 
-def _limited(lists: DataFrame, limits: PositionLimits) -> DataFrame:
-    """Clamp and thin positions, and count document length over what is kept."""
-    clamped = F.array_distinct(
-        F.transform("positions", lambda p: F.least(p, F.lit(limits.highest)))
-    )
-    per_field = lists.withColumn("positions", F.slice(clamped, 1, limits.per_field))
-    # The title's positions come first and leave the content what room there is.
-    title_first = Window.partitionBy("id", "lexeme").orderBy(F.desc("field"))
-    before = title_first.rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(F.size("positions")).over(before).cast("int"), F.lit(0))
-    reached = F.coalesce(F.max(F.array_max("positions")).over(before), F.lit(0))
-    room = F.when(reached == limits.highest, F.lit(0)).otherwise(F.lit(limits.per_document) - used)
-    kept = (
-        per_field.withColumn("room", room)
-        .withColumn("positions", F.slice("positions", F.lit(1), F.col("room")))
-        .filter(F.size("positions") > 0)
-    )
-    length = F.sum(F.size("positions")).over(Window.partitionBy("id"))
-    return kept.withColumn("doc_length", length.cast("long"))
-
-
 def missing_postings(documents: DataFrame, postings: DataFrame) -> DataFrame:
     """Index rows for documents the index does not hold yet, ready to be appended.
 

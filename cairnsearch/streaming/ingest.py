@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cairnsearch.operators.embed import Embedder, embed
-from cairnsearch.sources.corpus_table import append_documents, read_corpus
+from cairnsearch.sources.corpus_table import CORPUS_SCHEMA, append_documents, read_corpus
 from cairnsearch.sources.documents import path_exists
+from cairnsearch.streaming.progress import run_status
 
 LOG_SCHEMA = "batch_id long, at timestamp, rows_read long, inserted long"
 
@@ -90,9 +91,22 @@ def start_stream(
 
 
 def read_ingested(spark: SparkSession, tables: StreamTables) -> DataFrame:
+    if not path_exists(spark, tables.documents):
+        return spark.createDataFrame([], CORPUS_SCHEMA)
     return read_corpus(spark, tables.documents)
 
 
+def stream_status(spark: SparkSession, tables: StreamTables, stream) -> DataFrame:
+    """The status of ``stream`` as ``start_stream`` returned it (None: not started) with its logged counts."""
+    failure = stream.exception() if stream is not None else None
+    return run_status(
+        read_log(spark, tables),
+        started=stream is not None,
+        active=stream is not None and stream.isActive,
+        error=None if failure is None else str(failure),
+    )
+
+
 def read_log(spark: SparkSession, tables: StreamTables) -> DataFrame:
     if not path_exists(spark, tables.log):
         return spark.createDataFrame([], LOG_SCHEMA)

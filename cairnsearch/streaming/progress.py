@@ -1,4 +1,4 @@
-"""Progress of an ingestion run: totals, snapshots, history and status."""
+"""Progress of an ingestion run, from its log: history and status."""
 
 from __future__ import annotations
 
@@ -9,65 +9,10 @@ from cairnsearch.functions.text import status_label
 
 # Fixed values.
 HISTORY_SIZE = 120
-SNAPSHOT_INTERVAL = 1000
-EMBED_BATCH = 32
-INSERT_BATCH = 100
 
 IDLE, RUNNING, DONE, ERROR = "IDLE", "RUNNING", "DONE", "ERROR"
 
 
-def progress_snapshots(
-    totals: DataFrame,
-    embed_batch: int = EMBED_BATCH,
-    insert_batch: int = INSERT_BATCH,
-    interval: int = SNAPSHOT_INTERVAL,
-    keep: int = HISTORY_SIZE,
-) -> DataFrame:
-    """``(seq, rows_read, inserted)``: the last ``keep`` snapshots of a run over ``totals(n_rows)``.
-
-    A snapshot follows each embed batch, each ``interval``-th row (taken before that row's own
-    batch is stored), each closing write, and the end. All depend on the row count alone, and
-    only the last ``keep`` of each kind can survive, so no row is numbered and nothing grows
-    with the run.
-    """
-    per_flush = min(embed_batch, insert_batch)
-    n = F.col("n_rows")
-    flushes = F.floor(n / embed_batch)
-    backlog = n - flushes * per_flush
-
-    def last(count: Column) -> Column:
-        start = F.greatest(F.lit(1).cast("long"), count - (keep - 1))
-        steps = F.sequence(start, F.greatest(count, start))
-        return F.explode(F.filter(steps, lambda i: i <= count))
-
-    def events(kind: int, step: Column, rows_read: Column, inserted: Column) -> DataFrame:
-        return totals.select("n_rows", step.alias("step")).select(
-            rows_read.alias("rows_read"), inserted.alias("inserted"), F.lit(kind).alias("kind"), "step"
-        )
-
-    step = F.col("step")
-    at_interval = events(
-        0, last(F.floor(n / interval)), step * interval, F.floor((step * interval - 1) / embed_batch) * per_flush
-    )
-    at_flush = events(1, last(flushes), step * embed_batch, step * per_flush)
-    at_close = events(
-        2,
-        last(F.ceil(backlog / insert_batch)),
-        n,
-        F.least(n, F.floor(n / embed_batch) * per_flush + step * insert_batch),
-    )
-    at_end = events(3, F.lit(1).cast("long"), n, n)
-    newest = (
-        at_interval.unionByName(at_flush)
-        .unionByName(at_close)
-        .unionByName(at_end)
-        .orderBy(F.desc("rows_read"), F.desc("kind"), F.desc("step"))
-        .limit(keep)
-    )
-    order = Window.orderBy("rows_read", "kind", "step")  # at most `keep` rows
-    return newest.select(F.row_number().over(order).alias("seq"), "rows_read", "inserted")
-
-
 def run_history(run_log: DataFrame, keep: int = HISTORY_SIZE) -> DataFrame:
     """``(batch_id, at, rows_read, inserted)``, running totals of the last ``keep`` micro-batches.
 

@@ -52,7 +52,7 @@ BENCHMARK_VECTORS = (
 )
 
 
-def positions(weighted: bool, limited: bool = False) -> str:
+def positions(weighted: bool) -> str:
     """``occurrence(id, lexeme, pos, w, doc_length)``, one row per word."""
     if not weighted:
         return f"""words AS (
@@ -60,25 +60,13 @@ def positions(weighted: bool, limited: bool = False) -> str:
 occurrence AS (
   SELECT id, unnest(tokens) AS lexeme, generate_subscripts(tokens, 1) AS pos, 0.1::DOUBLE AS w,
          len(tokens) AS doc_length FROM words)"""
-    base = f"""words AS (
+    return f"""words AS (
   SELECT id, {WORDS.format("title")} AS t, {WORDS.format("content")} AS c FROM corpus),
-placed AS (
+occurrence AS (
   SELECT id, unnest(t) AS lexeme, generate_subscripts(t, 1) AS pos, 1.0::DOUBLE AS w,
          len(t) + len(c) AS doc_length FROM words
   UNION ALL
   SELECT id, unnest(c), len(t) + generate_subscripts(c, 1), 0.1::DOUBLE, len(t) + len(c) FROM words)"""
-    if not limited:
-        return base + ", occurrence AS (SELECT * FROM placed)"
-    return base + """,
-clamped AS (SELECT DISTINCT id, lexeme, w, least(pos, 16383) AS pos FROM placed),
-fieldwise AS (
-  SELECT *, row_number() OVER (PARTITION BY id, lexeme, w ORDER BY pos) AS n FROM clamped),
-docwise AS (
-  SELECT *, row_number() OVER (PARTITION BY id, lexeme ORDER BY w DESC, pos) AS m
-  FROM fieldwise WHERE n <= 255),
-occurrence AS (
-  SELECT id, lexeme, pos, w, count(*) OVER (PARTITION BY id) AS doc_length
-  FROM docwise WHERE m <= 256)"""
 
 
 HITS = f"""terms AS (
@@ -148,9 +136,9 @@ PLACED = """texts AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, id) AS r FROM rated)"""
 
 
-def text_search(asked: str, method: str, limited: bool = False) -> str:
+def text_search(asked: str, method: str) -> str:
     weighted = method == COVER_DENSITY
-    return ", ".join([CORPUS, asked, positions(weighted, limited), HITS, method, PLACED])
+    return ", ".join([CORPUS, asked, positions(weighted), HITS, method, PLACED])
 
 
 RANKS = "SELECT query_id, id, round(rank, 6) AS rank FROM rated"
@@ -312,7 +300,6 @@ SELECT id, max(doc_length) AS doc_length, count(*) AS n_positions FROM occurrenc
         "WHERE query_id IN (SELECT query_id FROM terms WHERE n_terms > 1)",
         "fts_rank_cd": cover_ranks,
         "fts_rank_cd_indexed": cover_ranks,
-        "fts_rank_cd_limited": f"WITH {text_search(TEXT_QUERY_ROWS, COVER_DENSITY, limited=True)} {RANKS}",
         "fts_topk": f"WITH {text_search(TEXT_QUERY_ROWS, COVER_DENSITY)} {TOP_TEXTS}",
         "fts_topk_scan": f"WITH {text_search(TEXT_QUERY_ROWS, FREQUENCY)} {TOP_TEXTS}",
         "fts_topk_batch": f"WITH {text_search(BENCHMARK_ROWS, COVER_DENSITY)} {TOP_TEXTS}",
@@ -367,10 +354,11 @@ numbered AS (
   SELECT conv_id, turn, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM listed),
 firsts AS (SELECT conv_id, turn, token, min(i) AS i FROM numbered GROUP BY conv_id, turn, token)
 SELECT conv_id, turn, string_agg(token, '|' ORDER BY i) AS tokens FROM firsts GROUP BY conv_id, turn""",
-        "query_remove_token": f"""SELECT conv_id, turn, CASE WHEN {token} = '' THEN text ELSE
+        "query_remove_token": f"""SELECT conv_id, turn,
+  CASE WHEN len(string_split(text, ' ')) < 2 OR {token} = '' THEN text ELSE
   trim(regexp_replace(regexp_replace(text, '\\s*' || regexp_escape({token}) || '\\s*', ' ', 'g'),
                       '\\s+', ' ', 'g')) END AS query
-FROM conversations WHERE len(string_split(text, ' ')) > 1""",
+FROM conversations""",
         "snippet_plain": """SELECT doc_id, CASE WHEN length(text) <= 500 THEN text
   ELSE substr(text, 1, 500) || '...' END AS snippet FROM documents""",
         "snippet_hybrid": f"SELECT doc_id, {SNIPPET.format('text')} AS snippet FROM documents",
@@ -382,14 +370,13 @@ SELECT doc_id, CASE
         "ingest_totals": "SELECT count(*) AS rows_read, count(*) AS inserted FROM documents",
         "ingest_batch": stored,
         "stream_ingest": stored,
-        "ingest_progress_history": """WITH total AS (SELECT count(*) AS n FROM documents),
-steps AS (
-  SELECT i AS rows_read, i - 1 - (i - 1) % 32 AS inserted, 0 AS kind
-  FROM total, generate_series(1, n) g(i) WHERE i % 1000 = 0
-  UNION ALL SELECT i, i, 1 FROM total, generate_series(1, n) g(i) WHERE i % 32 = 0
-  UNION ALL SELECT n, n, 2 FROM total WHERE n % 32 > 0
-  UNION ALL SELECT n, n, 3 FROM total),
-newest AS (SELECT * FROM steps ORDER BY rows_read DESC, kind DESC LIMIT 120)
-SELECT row_number() OVER (ORDER BY rows_read, kind) AS seq, rows_read, inserted, '완료' AS label
-FROM newest""",
+        "run_history": """WITH best AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+part AS (
+  SELECT CASE WHEN quality IS NULL THEN 2 WHEN quality = 1 THEN 0 ELSE 1 END AS batch_id
+  FROM documents LEFT JOIN best USING (doc_id)),
+counted AS (SELECT batch_id, count(*) AS n FROM part GROUP BY batch_id)
+SELECT batch_id::BIGINT AS batch_id, (sum(n) OVER (ORDER BY batch_id))::BIGINT AS rows_read,
+       (sum(n) OVER (ORDER BY batch_id))::BIGINT AS inserted FROM counted""",
+        "run_status": """SELECT 'DONE' AS status, '완료' AS label, count(*) AS rows_read, count(*) AS inserted,
+       NULL::VARCHAR AS error_message FROM documents""",
     }

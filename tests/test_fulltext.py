@@ -177,14 +177,14 @@ def test_title_positions_precede_content(spark):
     ]
 
 
-def test_position_limits(spark):
+def test_long_texts_keep_all_positions(spark):
     body = "a " * 400 + "b " * 16_500
     docs = spark.createDataFrame([(1, "a b", body)], "id long, title string, content string")
-    rows = index.build_postings(docs, index.PositionLimits()).collect()
+    rows = index.build_postings(docs).collect()
     kept = {(r["lexeme"], r["field"]): r["positions"] for r in rows}
-    assert len(kept["a", "content"]) == 255 and kept["a", "title"] == [1]
-    assert len(kept["b", "content"]) == 255 and max(kept["b", "content"]) <= 16_383
-    assert {r["doc_length"] for r in rows} == {255 + 255 + 2}
+    assert len(kept["a", "content"]) == 400 and kept["a", "title"] == [1]
+    assert kept["b", "content"] == list(range(403, 16_903))
+    assert {r["doc_length"] for r in rows} == {16_902}
 
 
 def test_backfill_adds_only_missing_documents(spark, tables):

@@ -88,9 +88,10 @@ def test_split_selection(spark):
     manifest = spark.createDataFrame(
         [(0, "a", "test"), (1, "b", "train"), (2, "c", "train")], "ordinal int, url string, split string"
     )
-    assert documents.select_shards(manifest) == ["b"]
-    assert documents.select_shards(manifest, "train", all_shards=True) == ["b", "c"]
-    assert documents.select_shards(manifest, "validation") == ["a"]
+    assert documents.select_shards(manifest) == ["b", "c"]
+    assert documents.select_shards(manifest, "train", first_only=True) == ["b"]
+    with pytest.raises(ValueError):
+        documents.select_shards(manifest, "validation")
     with pytest.raises(ValueError):
         documents.select_shards(manifest.limit(0))
 
@@ -113,10 +114,42 @@ def test_first_rows_by_range_equals_top_n(spark, n):
     df = spark.range(100).select((F.col("id") * F.col("id") * 977 - 1000).alias("id"))
     want = sorted(r["id"] for r in df.collect())
     want = want[:n] if n else want
-    assert sorted(r["id"] for r in documents.first_rows(df, n, in_one_task=0).collect()) == want
     assert sorted(r["id"] for r in documents.first_rows(df, n).collect()) == want
 
 
+def test_first_rows_with_ties_and_null_keys(spark):
+    keys = [None, 1, 2, 2, 2, -(2**60), 2**60, None]
+    df = spark.createDataFrame([(k,) for k in keys], "id long")
+
+    def first(n):
+        found = [r["id"] for r in documents.first_rows(df, n).collect()]
+        return sorted((k for k in found if k is not None)), found.count(None)
+
+    assert first(1) == ([-(2**60)], 0)
+    assert first(2) == ([-(2**60), 1], 0)
+    assert first(3) == first(5) == ([-(2**60), 1, 2, 2, 2], 0)
+    assert first(6) == ([-(2**60), 1, 2, 2, 2, 2**60], 0)
+    assert first(7) == first(99) == ([-(2**60), 1, 2, 2, 2, 2**60], 2)
+    assert documents.first_rows(df.limit(0), 3).count() == 0
+
+
+def test_model_is_made_once_per_worker(spark, tmp_path):
+    made = str(tmp_path)
+
+    def recording():
+        import os
+        import uuid
+
+        open(f"{made}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda texts: [[float(len(t))] for t in texts]
+
+    assert embed(rows(spark, 64).repartition(32), "text", recording, dim=1).filter("embedding[0] = id % 7").count() == 64
+    import os
+
+    workers = [name.split("-")[0] for name in os.listdir(made)]
+    assert len(workers) == len(set(workers)) < 32
+
+
 def test_append_duplicates_on_rerun(spark):
     path = shared_folder(spark, "corpus")
     docs = rows(spark, 5).withColumnRenamed("text", "content")
@@ -147,42 +180,10 @@ def test_config_table(spark):
     assert config_table.lookup_prefix(config, "search_.").count() == 2
 
 
-def expected_snapshots(n, embed_batch, insert_batch, interval):
-    events, buffered, ready, inserted = [], 0, 0, 0
-    for row in range(1, n + 1):
-        buffered += 1
-        if row % interval == 0:
-            events.append((row, inserted))
-        if buffered == embed_batch:
-            ready, buffered = ready + buffered, 0
-            done = min(ready, insert_batch)
-            ready, inserted = ready - done, inserted + done
-            events.append((row, inserted))
-    ready += buffered
-    while ready:
-        done = min(ready, insert_batch)
-        ready, inserted = ready - done, inserted + done
-        events.append((n, inserted))
-    events.append((n, n))
-    return events[-120:]
-
-
-@pytest.mark.parametrize(
-    "n, embed_batch, insert_batch",
-    [(0, 32, 100), (4, 2, 2), (70, 32, 100), (1000, 32, 100), (4000, 32, 100), (10_000, 32, 100), (500, 32, 10)],
-)
-def test_progress_snapshots(spark, n, embed_batch, insert_batch):
-    totals = spark.createDataFrame([(n,)], "n_rows long")
-    found = progress.progress_snapshots(totals, embed_batch, insert_batch).orderBy("seq").collect()
-    assert [(r["rows_read"], r["inserted"]) for r in found] == expected_snapshots(
-        n, embed_batch, insert_batch, 1000
-    )
-
-
 def test_run_history_and_status(spark):
     log = spark.range(150).select(
         F.col("id").alias("batch_id"),
-        F.timestamp_millis(F.col("id") * 1000).alias("at"),
+        progress.snapshot_time(F.col("id") * 1000).alias("at"),
         F.lit(10).cast("long").alias("rows_read"),
         F.lit(9).cast("long").alias("inserted"),
     )
@@ -220,6 +221,8 @@ def test_stream_ingest_resumes_and_replays_without_duplicates(spark, tmp_path):
     source = str(tmp_path / "in")
     tables = ingest.StreamTables(shared_folder(spark, "stream"))
     assert ingest.read_log(spark, tables).count() == 0
+    assert ingest.read_ingested(spark, tables).count() == 0
+    assert ingest.stream_status(spark, tables, None).first()["status"] == "IDLE"
     rows(spark, 30).coalesce(1).write.parquet(source)
 
     def arriving():
