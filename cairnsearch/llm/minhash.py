@@ -205,7 +205,7 @@ def near_duplicates(
     1. Equal shingle sets fall together by a 128-bit name; the smallest id speaks for them.
     2. Speakers that share a band are candidates. A band's members are first compared with its
        smallest id only, and the links found are joined to components.
-    3. Where a band still holds several components, the pairs across them are compared, so no pair of
+    3. Where the others of a band still make several components, the pairs across them are compared, so no pair of
        a group that is already one component is ever made, and no link between components is missed.
        A pair at exactly the threshold shares no band with probability (1 - 0.8**4)**32 = 5e-8.
     4. Pairs are dropped before texts are read if sizes rule the similarity out. From step 3 on, shingles that
@@ -248,7 +248,9 @@ def near_duplicates(
     wanted = store(only_members(texts, "id", members.select("id").distinct()), "minhash-texts")
     links = store(verified(star, wanted, words, percent), "minhash-links")
     component = connected(links)
-    placed = members.join(component, "id", "left").select("band", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    # a band's smallest id has met all members already
+    placed = members.filter("id != leader").join(component, "id", "left")
+    placed = placed.select("band", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
     open_rows = store(_open(placed, rows_banded), "minhash-open")
     useful = useful_shingles(wanted, open_rows.select("id").distinct(), words)
     mass = F.aggregate("useful", F.lit(0).cast("long"), lambda total, x: total + x)
@@ -269,7 +271,8 @@ def near_duplicates(
     )
     across = across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = store(verified(store(across, "minhash-across"), wanted, words, percent), "minhash-links")
-    component = component if more.isEmpty() else connected(links.unionByName(more))
+    if not more.isEmpty():
+        component = connected(component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.join(component.withColumnRenamed("id", "speaker"), "speaker", "left").select(
         *sets, "members", F.coalesce("component", "speaker").alias("component_id")
     )
