@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +84,8 @@ def circulant_signature(shingles: np.ndarray, size: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """``(id, n_shingles, set_hi, set_lo, bands)``: a 128-bit name of the whole set, and its band keys."""
+    """``(id, n_shingles, set_hi, set_lo, bands, sketch)``: a 128-bit name of the whole set, its band keys, and the
+    lowest bit of each coordinate."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -89,7 +93,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                sizes, names, keys = [], [], []
+                sizes, names, keys, sketches = [], [], [], []
                 for text in part.column("text").to_pylist():
                     s = shingle_hashes(text, words, known)
                     sizes.append(len(s))
@@ -97,13 +101,18 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
                         name = xxhash.xxh3_128_digest(s.tobytes())
                         names.append(np.frombuffer(name, dtype=np.int64).tolist())
                         key = salt.copy()
-                        for column in circulant_signature(s, bands * rows).reshape(bands, rows).T.astype(np.uint64):
+                        signature = circulant_signature(s, bands * rows)
+                        for column in signature.reshape(bands, rows).T.astype(np.uint64):
                             key = (key ^ column) * np.uint64(0x9FB21C651E98DF25)
                             key ^= key >> np.uint64(28)
                         keys.append(key.view(np.int64).tolist())
+                        bits = np.zeros(-(-len(signature) // 64) * 64, dtype=np.uint8)
+                        bits[: len(signature)] = signature & np.uint32(1)
+                        sketches.append(np.packbits(bits).view(np.int64).tolist())
                     else:
                         names.append([None, None])
                         keys.append(None)
+                        sketches.append(None)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"),
@@ -111,12 +120,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
                         pa.array([n[0] for n in names], pa.int64()),
                         pa.array([n[1] for n in names], pa.int64()),
                         pa.array(keys, pa.list_(pa.int64())),
+                        pa.array(sketches, pa.list_(pa.int64())),
                     ],
-                    names=["id", "n_shingles", "set_hi", "set_lo", "bands"],
+                    names=["id", "n_shingles", "set_hi", "set_lo", "bands", "sketch"],
                 )
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows_in.mapInArrow(sign, "id long, n_shingles long, set_hi long, set_lo long, bands array<long>")
+    return rows_in.mapInArrow(sign, "id long, n_shingles long, set_hi long, set_lo long, bands array<long>, sketch array<long>")
 
 
 def verified(pairs: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
@@ -190,6 +200,15 @@ def useful_shingles(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return cells.join(alone, "id", "left").select("id", useful.alias("useful"))
 
 
+def most_differing_bits(coordinates: int, percent: int) -> int:
+    """How many bits of two sketches may differ at the threshold: the mean and seven standard deviations.
+
+    A coordinate differs with probability ``1 - percent / 100``, its lowest bit half as often.
+    """
+    share = (100 - percent) / 200
+    return math.ceil(coordinates * share + 7 * math.sqrt(coordinates * share * (1 - share)))
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -210,7 +229,9 @@ def near_duplicates(
        A pair at exactly the threshold shares no band with probability (1 - 0.8**4)**32 = 5e-8.
     4. Pairs are dropped before texts are read if sizes rule the similarity out. From step 3 on, shingles that
        occur in one document of the open bands only cannot be common, and no more than the smaller number of the
-       others in each cell of :func:`useful_shingles` can. All else is confirmed on full sets.
+       others in each cell of :func:`useful_shingles` can. Pairs across components must also agree in most bits of
+       their sketches: a pair at the threshold has too many differing bits with a probability near 1e-9
+       (:func:`most_differing_bits`). All else is confirmed on full sets.
 
     Texts with fewer words are one shingle; null texts and texts without words have no shingle, link with
     nothing and are kept. Rows that share an id count as one document in links; each gets its own row. A
@@ -256,27 +277,36 @@ def near_duplicates(
     mass = F.aggregate("useful", F.lit(0).cast("long"), lambda total, x: total + x)
     open_rows = open_rows.join(useful.dropDuplicates(["id"]).withColumn("mass", mass), "id")
     enough = F.col("mass") * 100 >= F.col("n_shingles") * percent
-    open_rows = store(_open(open_rows.filter(enough), rows_banded), "minhash-open")
+    open_rows = _open(open_rows.filter(enough), rows_banded)
+    met = members.groupBy("id").agg(F.collect_set("leader").alias("met"))  # at most one a band
+    sketched = speakers.select("id", "sketch").dropDuplicates(["id"])
+    open_rows = store(open_rows.join(met, "id").join(sketched, "id"), "minhash-open")
 
     needed = (F.col("n_shingles_a") + F.col("n_shingles_b")) * percent
     smaller = F.zip_with("useful_a", "useful_b", lambda x, y: F.least(x, y))
     common = F.aggregate(smaller, F.lit(0).cast("long"), lambda total, x: total + x)
-    a = open_rows.select("band", *[F.col(c).alias(f"{c}_a") for c in ("id", "n_shingles", "useful", "mass", "component")])
-    b = open_rows.select("band", *[F.col(c).alias(f"{c}_b") for c in ("id", "n_shingles", "useful", "mass", "component")])
+    differing = [F.bit_count(F.get("sketch_a", i).bitwiseXOR(F.get("sketch_b", i))) for i in range(-(-bands * rows // 64))]
+    kept = [c for c in open_rows.columns if c != "band"]
+    a = open_rows.select("band", *[F.col(c).alias(f"{c}_a") for c in kept])
+    b = open_rows.select("band", *[F.col(c).alias(f"{c}_b") for c in kept])
+    # rows of one band go to all tasks, whichever join Spark picks
+    b = b.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id_b")
     across = a.join(b, "band").filter(
         (F.col("id_a") < F.col("id_b"))
         & (F.col("component_a") != F.col("component_b"))
         & (F.least("mass_a", "mass_b") * (100 + percent) >= needed)
+        & (reduce(add, differing) <= most_differing_bits(bands * rows, percent))
+        & ~F.array_contains("met_b", F.col("id_a"))
         & (common * (100 + percent) >= needed)
     )
-    across = across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    across = across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     more = store(verified(store(across, "minhash-across"), wanted, words, percent), "minhash-links")
     if not more.isEmpty():
         component = connected(component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.join(component.withColumnRenamed("id", "speaker"), "speaker", "left").select(
         *sets, "members", F.coalesce("component", "speaker").alias("component_id")
     )
-    out = join_hot(found.drop("bands"), named, sets, "members", total)
+    out = join_hot(found.drop("bands", "sketch"), named, sets, "members", total)
     return out.select(
         F.col("id").alias(id_col),
         "n_shingles",
