@@ -545,6 +545,29 @@ def semantic_search_turns(spark, sf_dir):
     return rounded_results(semantic_search(corpus(spark, sf_dir), queries))
 
 
+def letter_vectors(spark, sf_dir) -> DataFrame:
+    return embedding.embed(texts(spark, sf_dir), "content", letter_counter, dim=26).select("id", "embedding")
+
+
+def semantic_search_text(spark, sf_dir):
+    turn = (F.col("conv_id") * 100 + F.col("turn")).alias("query_id")
+    queries = table(spark, sf_dir, "conversations").filter("role = 'user'").select(turn, F.col("text").alias("query_text"))
+    found = semantic_search(
+        texts(spark, sf_dir), queries, vectors=letter_vectors(spark, sf_dir), make_embedder=letter_counter
+    )
+    return rounded_results(found)
+
+
+def hybrid_search_text(spark, sf_dir):
+    queries = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query_text")
+    )
+    found = hybrid_search(
+        texts(spark, sf_dir), queries, vectors=letter_vectors(spark, sf_dir), make_embedder=letter_counter
+    )
+    return rounded_results(found)
+
+
 # Scalars
 
 
@@ -721,6 +744,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ]
     named = {query.__name__: query for query in registered}
     named["semantic_search"] = semantic_search_turns
+    named |= {query.__name__: query for query in (semantic_search_text, hybrid_search_text)}
     return named | (llm_queries.queries() if llm_queries else {})
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from cairnsearch.operators import nearest as exact
 
 DEFAULT_LISTS = 100
-TRAINING_ROWS_PER_LIST = 256
 CELL_FILE_ROWS = 1_000_000
 
 
@@ -30,13 +29,16 @@ class CellIndex:
         return len(self.centroids)
 
 
-def train_centroids(vectors: DataFrame, lists: int = DEFAULT_LISTS, seed: int = 42) -> np.ndarray:
-    """Cosine k-means. Where centres lie affects speed only, so a bounded share of rows trains them."""
+def train_centroids(
+    vectors: DataFrame, lists: int = DEFAULT_LISTS, seed: int = 42, training_rows: int | None = None
+) -> np.ndarray:
+    """Cosine k-means over all rows, or over a sample of about ``training_rows``.
+
+    Centres decide which rows share a cell, and so the recall of a search that does not probe every cell.
+    """
     usable = vectors.filter(F.exists("embedding", lambda x: x != 0)).select("embedding")
-    n = usable.count()
-    wanted = lists * TRAINING_ROWS_PER_LIST
-    if n > wanted:
-        usable = usable.sample(fraction=wanted / n, seed=seed)
+    if training_rows is not None and (n := usable.count()) > training_rows:
+        usable = usable.sample(fraction=training_rows / n, seed=seed)
     features = usable.select(array_to_vector("embedding").alias("features")).cache()
     try:
         model = KMeans(k=lists, distanceMeasure="cosine", seed=seed, maxIter=10).fit(features)
@@ -61,8 +63,10 @@ def assign_cells(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     )
 
 
-def build_cells(vectors: DataFrame, lists: int = DEFAULT_LISTS, seed: int = 42) -> CellIndex:
-    centroids = train_centroids(vectors, lists, seed)
+def build_cells(
+    vectors: DataFrame, lists: int = DEFAULT_LISTS, seed: int = 42, training_rows: int | None = None
+) -> CellIndex:
+    centroids = train_centroids(vectors, lists, seed, training_rows)
     return CellIndex(centroids, assign_cells(vectors, centroids))
 
 
@@ -138,4 +142,9 @@ def _search_many(index: CellIndex, queries: DataFrame, k: int, probes: int) -> D
         return pd.Series(list(_nearest_cells(np.stack(column.to_list()), shared.value, probes)))
 
     probed = queries.select("query_id", "query_vec", F.explode(nearest_cells("query_vec")).alias("cell"))
-    return exact.score_in_blocks(index.vectors, probed, k)
+    vectors = index.vectors
+    # at most `lists` numbers; as values they prune the folders read
+    wanted = sorted(row["cell"] for row in probed.select("cell").distinct().collect())
+    if len(wanted) < index.lists:
+        vectors = vectors.filter(F.col("cell").isin(wanted))
+    return exact.score_in_blocks(vectors, probed, k)

@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnsearch.functions.text import truncate
+from cairnsearch.functions.text import is_blank, truncate
 
 EMBED_BATCH = 32
 MAX_TEXT_LENGTH = 8192
@@ -124,6 +124,18 @@ def embed_distinct(
     )
 
 
+def embed_asked(queries: DataFrame, make_embedder: Callable[[], Embedder], dim: int | None = None) -> DataFrame:
+    """``queries`` with a ``query_vec`` made from each text; a given one is replaced.
+
+    Blank texts ask for nothing and are dropped. A row whose ``vector_mode`` is ``NONE`` gets a null vector.
+    """
+    asked = queries.drop("query_vec").filter(~is_blank(F.col("query_text")))
+    if "vector_mode" not in asked.columns:
+        return embed_distinct(asked, make_embedder, dim)
+    without = asked.filter("vector_mode <=> 'NONE'").withColumn("query_vec", F.lit(None).cast("array<float>"))
+    return embed_distinct(asked.filter("NOT vector_mode <=> 'NONE'"), make_embedder, dim).unionByName(without)
+
+
 def check_dimension(df: DataFrame, dim: int, column: str = "embedding") -> DataFrame:
     """Fail the job on a vector of another length; null vectors are allowed."""
     checked = F.assert_true(

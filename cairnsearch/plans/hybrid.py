@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnsearch.functions import scores
 from cairnsearch.functions.text import snippet_hybrid
 from cairnsearch.operators.cells import CellIndex, search_cells
+from cairnsearch.operators.embed import Embedder, embed_asked
 from cairnsearch.operators.fulltext import search_text
 from cairnsearch.operators.fusion import merge_scored, with_documents
 from cairnsearch.operators.nearest import nearest
@@ -30,6 +33,7 @@ def hybrid_search(
     probes: int = 1,
     text_score: str = "rank_value",
     rrf_k: int = scores.RRF_K,
+    make_embedder: Callable[[], Embedder] | None = None,
 ) -> DataFrame:
     """``(query_id, id, title, content_snippet, similarity_percent, total_score)`` for all queries.
 
@@ -40,7 +44,11 @@ def hybrid_search(
     A query with both sides fuses them: cosine score plus scaled reciprocal rank. ``text_score``
     sets how text-only search scores: ``rank_value`` puts the rank's value into the reciprocal
     (a better rank then scores lower), ``position`` uses its place.
+
+    With ``make_embedder`` the queries need no ``query_vec``: each distinct text is embedded once.
     """
+    if make_embedder is not None:
+        queries = embed_asked(queries, make_embedder)
     requests, size = localise(prepare_requests(queries))
     hits = hybrid_scores(
         requests, size, documents, vectors, postings, cells, probes, text_score, rrf_k

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnsearch.functions.scores import similarity_percent
 from cairnsearch.functions.text import lexically_confirmed, snippet_plain
 from cairnsearch.operators.cells import CellIndex, search_cells
+from cairnsearch.operators.embed import Embedder, embed_asked
 from cairnsearch.operators.fusion import with_documents
 from cairnsearch.operators.nearest import nearest
 from cairnsearch.operators.sizing import broadcast_if, localise
@@ -23,11 +26,15 @@ def semantic_search(
     min_similarity: float = MIN_SIMILARITY_PERCENT,
     cells: CellIndex | None = None,
     probes: int = 1,
+    make_embedder: Callable[[], Embedder] | None = None,
 ) -> DataFrame:
     """``(query_id, id, title, content_snippet, similarity_percent)``.
 
-    Both filters follow the limit, so a query may get fewer rows than it asked for.
+    Both filters follow the limit, so a query may get fewer rows than it asked for. With
+    ``make_embedder`` the queries need no ``query_vec``: each distinct text is embedded once.
     """
+    if make_embedder is not None:
+        queries = embed_asked(queries, make_embedder)
     requests, size = localise(prepare_requests(queries))
     limits = requests.agg(F.max("max_hits").alias("largest"), F.sum("max_hits").alias("all")).first()
     k = limits["largest"] or 1

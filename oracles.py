@@ -22,6 +22,19 @@ CORPUS = """corpus AS (
          d.lang AS namespace, d.source AS contributors, e.embedding
   FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
 
+ALPHABET = "string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' ')"
+
+
+def letter_vector(text: str) -> str:
+    """How often each of the letters a to z occurs; null if none does."""
+    counts = f"list_transform({ALPHABET}, lambda c: length({text}) - length(replace({text}, c, '')))"
+    return f"CASE WHEN regexp_matches({text}, '[a-z]') THEN {counts} END"
+
+
+LETTER_CORPUS = CORPUS.replace("e.embedding", f"{letter_vector('d.text')} AS embedding").replace(
+    " LEFT JOIN embeddings e ON e.vec_id = d.doc_id", ""
+)
+
 TEXT_QUERY_ROWS = "asked AS (SELECT * FROM (VALUES {}) v(query_id, query_text))".format(
     ", ".join(f"({i}, '{q}')" for i, q in TEXT_QUERIES)
 )
@@ -239,7 +252,7 @@ SELECT query_id, id, n_terms FROM matched"""
     percent = "greatest(0, least(100, (2 - greatest(0, least(2, dist))) / 2 * 100))"
     cut = "text"
     stored = f"SELECT doc_id AS id, {TITLE} AS title, length(text) AS content_length, lang AS namespace, {letters(cut)} FROM documents"
-    return {
+    found = {
         "doc_source_normalised": """SELECT
   CASE WHEN l.quality IS NOT NULL THEN split_part(text, chr(10), 1) ELSE '' END AS title,
   CASE WHEN lang <> 'fr' THEN text ELSE '' END AS text,
@@ -380,3 +393,17 @@ SELECT batch_id::BIGINT AS batch_id, (sum(n) OVER (ORDER BY batch_id))::BIGINT A
         "run_status": """SELECT 'DONE' AS status, '완료' AS label, count(*) AS rows_read, count(*) AS inserted,
        NULL::VARCHAR AS error_message FROM documents""",
     }
+    # without a stored index the words are ranked by frequency
+    by_text = {
+        "semantic_search_text": found["semantic_search"],
+        "hybrid_search_text": hybrid(BENCHMARK_ROWS, BENCHMARK_VECTORS, FREQUENCY),
+    }
+    return found | {name: on_letters(sql) for name, sql in by_text.items()}
+
+
+def on_letters(sql: str) -> str:
+    """A search over given vectors as one over letter counts of documents and query texts."""
+    turns = f"""SELECT conv_id * 100 + turn AS query_id, {letter_vector('text')} AS vec
+  FROM conversations WHERE role = 'user' AND regexp_matches(text, '[a-z]')"""
+    passages = f"SELECT item_id AS query_id, {letter_vector('text')} AS vec FROM benchmark WHERE regexp_matches(text, '[a-z]')"
+    return sql.replace(CORPUS, LETTER_CORPUS).replace(TURN_VECTORS, turns).replace(BENCHMARK_VECTORS, passages)
