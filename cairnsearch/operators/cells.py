@@ -8,13 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnsearch.operators import nearest as exact
 
 DEFAULT_LISTS = 100
 CELL_FILE_ROWS = 1_000_000
+CENTRE_SCHEMA = "cell int, centre array<double>"
 
 
 @dataclass(frozen=True)
@@ -71,23 +72,41 @@ def build_cells(
 
 
 def write_cells(index: CellIndex, path: str, rows_per_file: int = CELL_FILE_ROWS) -> CellIndex:
-    """Store the vectors by cell, so a search reads only the folders it probes.
+    """Store the centres, and the vectors by cell, so a search reads only the folders it probes."""
+    spark = index.vectors.sparkSession
+    centres = [(cell, centre.tolist()) for cell, centre in enumerate(index.centroids)]
+    spark.createDataFrame(centres, CENTRE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+    _store_vectors(index.vectors, path, rows_per_file, "overwrite")
+    return read_cells(spark, path)
 
-    Large cells are spread over several tasks and files by id, small ones share a task.
-    """
-    sizes = index.vectors.groupBy("cell").count()  # at most `lists` rows
+
+def read_cells(spark: SparkSession, path: str) -> CellIndex:
+    """The index stored at ``path``."""
+    centres = spark.read.schema(CENTRE_SCHEMA).parquet(f"{path}/centres").orderBy("cell").collect()  # `lists` rows
+    vectors = spark.read.schema("id long, embedding array<float>, cell int").parquet(f"{path}/vectors")
+    return CellIndex(np.array([row["centre"] for row in centres]), vectors)
+
+
+def append_cells(vectors: DataFrame, path: str, rows_per_file: int = CELL_FILE_ROWS) -> CellIndex:
+    """Add ``vectors(id, embedding)`` to the index stored at ``path``, in the cells of its centres."""
+    spark = vectors.sparkSession
+    _store_vectors(assign_cells(vectors, read_cells(spark, path).centroids), path, rows_per_file, "append")
+    return read_cells(spark, path)
+
+
+def _store_vectors(vectors: DataFrame, path: str, rows_per_file: int, mode: str) -> None:
+    """Large cells are spread over several tasks and files by id, small ones share a task."""
+    sizes = vectors.groupBy("cell").count()  # at most `lists` rows
     files = F.greatest(F.ceil(F.col("count") / rows_per_file), F.lit(1)).cast("long")
     (
-        index.vectors.join(F.broadcast(sizes.select("cell", files.alias("files"))), "cell")
+        vectors.join(F.broadcast(sizes.select("cell", files.alias("files"))), "cell")
         .withColumn("part", F.pmod(F.xxhash64("id"), F.col("files")))
         .repartition("cell", "part")
         .drop("files", "part")
         .write.partitionBy("cell")
-        .mode("overwrite")
-        .parquet(path)
+        .mode(mode)
+        .parquet(f"{path}/vectors")
     )
-    stored = index.vectors.sparkSession.read.schema("id long, embedding array<float>, cell int").parquet(path)
-    return CellIndex(index.centroids, stored)
 
 
 def search_cells(

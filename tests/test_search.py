@@ -2,10 +2,12 @@
 
 import pytest
 from cairnsearch.operators.cells import build_cells
+from cairnsearch.operators.embed import embed_asked
 from cairnsearch.operators.postings import build_postings
 from cairnsearch.plans.hybrid import hybrid_search
 from cairnsearch.plans.requests import prepare_requests
 from cairnsearch.plans.semantic import semantic_search
+from pyspark.sql import functions as F
 
 DOCS = [
     (1, "Tree", "a tall tree", [1.0, 0.0]),
@@ -134,3 +136,18 @@ def test_semantic_search_filters_after_the_limit(spark, docs):
     assert rows == [(1, 1, 100.0), (1, 2, 90.0), (2, 1, 100.0), (2, 2, 90.0)]
     everything = semantic_search(docs, queries, min_similarity=50.0).filter("query_id = 2")
     assert everything.count() == 3
+
+
+def test_searches_embed_their_own_texts(spark, docs):
+    def constant():
+        return lambda texts: [[1.0, 0.0] for _ in texts]
+
+    rows = [(1, "tree", "IVF"), (2, "tree", "NONE"), (3, "  ", "IVF"), (4, None, "IVF"), (5, "tree", None)]
+    queries = spark.createDataFrame(rows, "query_id int, query_text string, vector_mode string")
+    embedded = {r.query_id: r.query_vec for r in embed_asked(queries, constant).collect()}
+    assert embedded == {1: [1.0, 0.0], 2: None, 5: [1.0, 0.0]}
+    vector = F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>")
+    given = queries.withColumn("query_vec", F.when(F.coalesce("vector_mode", F.lit("IVF")) != "NONE", vector))
+    for search in (hybrid_search, semantic_search):
+        own = sorted(map(str, search(docs, queries, make_embedder=constant).collect()))
+        assert own == sorted(map(str, search(docs, given).collect()))

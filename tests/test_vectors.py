@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 from cairnsearch.operators import nearest as near
-from cairnsearch.operators.cells import build_cells, search_cells, write_cells
+from cairnsearch.operators.cells import append_cells, build_cells, read_cells, search_cells, write_cells
 from cairnsearch.session import shared_folder
 
 
@@ -103,7 +103,19 @@ def test_all_cells_probed_is_exact_and_fewer_recall_most(spark, data, tables, st
     assert shared >= 0.6 * sum(map(len, exact.values()))
 
 
-def test_few_probes_read_few_cells(spark, tables):
+@pytest.mark.parametrize("strategy", ["auto", "blocks"])
+def test_few_probes_read_few_cells(spark, tables, strategy):
     index = write_cells(build_cells(tables[0], lists=6), shared_folder(spark, "cells"))
-    plan = search_cells(index, tables[1].limit(1), 5, probes=1)._jdf.queryExecution().toString()
-    assert "PartitionFilters: [" in plan and "cell" in plan.split("PartitionFilters: [")[1][:40]
+    found = search_cells(index, tables[1].limit(1), 5, probes=1, strategy=strategy)
+    filters = found._jdf.queryExecution().toString().split("PartitionFilters: [")[1:]
+    assert any("cell" in f.split("]")[0] and (" = " in f.split("]")[0] or " IN " in f.split("]")[0]) for f in filters)
+
+
+def test_a_stored_index_is_reopened_and_appended_to(spark, data, tables):
+    path = shared_folder(spark, "cells")
+    early, late = tables[0].filter("id % 3 > 0"), tables[0].filter("id % 3 = 0")
+    written = write_cells(build_cells(early, lists=6), path)
+    assert np.allclose(read_cells(spark, path).centroids, written.centroids)
+    append_cells(late, path)
+    index = read_cells(spark, path)
+    assert by_query(search_cells(index, tables[1], 10, probes=99)) == brute_force(*data, 10)
