@@ -24,8 +24,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that never are the article, wherever they stand, and words in class, id or role that say the same.
-ASIDE = frozenset("nav footer aside form menu dialog".split())
+#: Elements that never are the article, and whole class, id or role values that say the same; see ``PageBlocks.finish``.
+ASIDE = frozenset("nav footer aside menu dialog".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo nav navigation navbar menu sidebar breadcrumb "
     "breadcrumbs footer cookie cookies consent notice notices banner popup newsletter subscribe comment comments respond disqus "
@@ -48,10 +48,13 @@ UNFINISHED = re.compile(r"<[/!a-zA-Z][^<>]*\Z")
 
 
 class Node:
-    __slots__ = ("tag", "path", "drop", "content", "children")
+    __slots__ = ("tag", "path", "silent", "content", "children", "flags", "weak", "within", "chars", "holds")
 
-    def __init__(self, tag: str, path: int, drop: bool, content: bool) -> None:
-        self.tag, self.path, self.drop, self.content, self.children = tag, path, drop, content, []
+    def __init__(self, tag: str, path: int, silent: bool, content: bool, flags: tuple[Node, ...] = ()) -> None:
+        self.tag, self.path, self.silent, self.content, self.children = tag, path, silent, content, []
+        self.flags = flags  # this and outer elements that by their name are no article
+        self.weak = self.within = False  # flagged by a value or as a form; lies in an article
+        self.chars, self.holds = 0, set()  # text below a flagged element, and which of article and main
 
 
 class PageBlocks(HTMLParser):
@@ -60,16 +63,36 @@ class PageBlocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack = [Node("", 0, False, False)]
+        self.found: list[tuple[Node, list[tuple[tuple[Node, ...], str]]]] = []
         self.blocks: list[tuple[int, str, bool]] = []  # path, text, inside an article
         self.styles: dict[int, int] = {}  # path -> hash of the styles of its children
-        self.pieces: list[str] = []
+        self.pieces: list[tuple[tuple[Node, ...], str]] = []
+        self.chars, self.articles = 0, 0  # text outside ASIDE elements; articles outside flagged ones
 
     def flush(self) -> None:
         if self.pieces:
-            text = SPACE.sub(" ", "".join(self.pieces)).strip()
+            block = next(n for n in reversed(self.stack) if n.tag in BLOCKS or not n.tag)
+            self.found.append((block, self.pieces))
             self.pieces = []
+
+    def finish(self) -> None:
+        """Drop what lies in flagged elements, once it is known what they hold.
+
+        A flag by a value, or of a form, does not count around an article or main, or around most of a text
+        that has no article elsewhere. Other flags do not count around a main, or the page's only articles.
+        """
+        live: dict[int, bool] = {}
+
+        def counts(node: Node) -> bool:
+            if id(node) not in live:
+                around = "main" in node.holds or (node.holds and (not self.articles or (node.weak and not node.within)))
+                most = node.weak and (node.within or not self.articles) and 2 * node.chars > self.chars
+                live[id(node)] = not (around or most)
+            return live[id(node)]
+
+        for block, pieces in self.found:
+            text = SPACE.sub(" ", "".join(t for flags, t in pieces if not any(map(counts, flags)))).strip()
             if text:
-                block = next(n for n in reversed(self.stack) if n.tag in BLOCKS or not n.tag)
                 self.blocks.append((block.path, text, block.content))
 
     def close_to(self, depth: int) -> None:
@@ -94,19 +117,27 @@ class PageBlocks(HTMLParser):
         if tag in BLOCKS:
             self.flush()
             self.implied_ends(tag)
+        parent = self.stack[-1]
         if tag in VOID:
-            if not self.stack[-1].drop:
-                self.pieces.append(" ")
+            if not parent.silent:
+                self.pieces.append((parent.flags, " "))
             return
-        parent = self.stack[-1]
+        values = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower().split() if attrs else []
         marks = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")) if attrs else ""
         style = f"{tag}.{SPACE.sub(' ', marks).strip()}" if marks else tag
         parent.children.append(style)
-        content = parent.content or tag in ("article", "main")
-        named = bool(marks) and tag not in ("html", "body", "article", "main") and not ASIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", marks.lower()))
-        drop = parent.drop or tag in SILENT or tag in ASIDE or named or (tag == "header" and not parent.content)
+        silent, body = parent.silent or tag in SILENT, tag in ("article", "main")
         path = xxhash.xxh3_64_intdigest(f"{parent.path}/{style}") - (1 << 63)
-        self.stack.append(Node(tag, path, drop, content))
+        node = Node(tag, path, silent, parent.content or body, parent.flags)
+        if body and not silent:
+            self.articles += not parent.flags
+            for outer in parent.flags:
+                outer.holds.add(tag)
+        sure = tag in ASIDE or (tag == "header" and not parent.content)
+        named = tag == "form" or (tag not in ("html", "body", "article", "main") and not ASIDE_WORDS.isdisjoint(values))
+        if sure or named:
+            node.weak, node.within, node.flags = not sure, parent.content, (*parent.flags, node)
+        self.stack.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -118,8 +149,13 @@ class PageBlocks(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if not self.stack[-1].drop:
-            self.pieces.append(data)
+        node = self.stack[-1]
+        if not node.silent:
+            self.pieces.append((node.flags, data))
+            size = len(data.strip())
+            self.chars += size if all(n.weak for n in node.flags) else 0
+            for outer in node.flags:
+                outer.chars += size
 
 
 def page_blocks(html: str | None) -> tuple[list[tuple[int, str, bool]], dict[int, int]]:
@@ -128,6 +164,7 @@ def page_blocks(html: str | None) -> tuple[list[tuple[int, str, bool]], dict[int
     parser.close()
     parser.flush()
     parser.close_to(1)
+    parser.finish()
     return parser.blocks, parser.styles
 
 

@@ -288,6 +288,25 @@ def test_html_article(spark):
     assert got == {1: (want, len(want)), 2: ("", 0), 3: ("cut", 3)}
 
 
+def test_names_of_wrappers_do_not_drop_the_article():
+    body = "<p>one two three four five six seven</p>"
+    pages = {
+        f"<div class='layout has-sidebar'><main>{body}</main></div>": True,
+        f"<div class='no-sidebar'>{body}</div>": True,
+        f"<div class='post comments-open'>{body}</div>": True,
+        f"<div id='search-results'>{body}</div>": True,
+        f"<form><div>{body}</div></form><nav>{body * 3}</nav>": True,
+        f"<div class='search'><article>{body}</article></div>": True,
+        f"<aside><main>{body}</main></aside>": True,
+        f"<div class='sidebar'>{body}</div><article><p>short</p></article>": False,
+        f"<article>{body}<div class='comments'><article>said</article></div></article>": True,
+        f"<nav>{body}</nav><p>short</p>": False,
+    }
+    for html, kept in pages.items():
+        texts = [text for _, text, *_ in html_text.page_blocks(html)[0]]
+        assert texts == (["one two three four five six seven"] if kept else ["short"]), html
+
+
 def test_site_style_tree_removes_what_a_site_repeats(spark):
     rows = [(i, "http://h.com/", f"<div><p>Welcome to our site</p></div><section><p>story {i}</p></section>") for i in range(12)]
     rows += [(99, "http://other.com/", "<div><p>Welcome to our site</p></div>")]
