@@ -16,6 +16,7 @@ from cairnsearch.llm.common import join_hot, store
 
 MIN_PAGES = 5
 IMPORTANCE = 0.3
+ARTICLE_PRIOR = 0.2
 CONTENT_SHARE = 0.9
 #: Fixed values of HTML: elements without an end tag, elements whose content is no text, and elements that end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,14 +45,16 @@ ENDS = {
 P_ENDERS = BLOCKS - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "dt", "dd", "li", "legend", "summary", "figcaption"}
 SCOPES = frozenset("article section div table ul ol dl td th main body html aside nav footer form blockquote".split())
 SPACE = re.compile(r"\s+")
+DIGIT = re.compile(r"\d")
 UNFINISHED = re.compile(r"<[/!a-zA-Z][^<>]*\Z")
 
 
 class Node:
-    __slots__ = ("tag", "path", "silent", "content", "children", "flags", "weak", "within", "chars", "holds")
+    __slots__ = ("tag", "path", "plain", "silent", "content", "children", "flags", "weak", "within", "chars", "holds")
 
-    def __init__(self, tag: str, path: int, silent: bool, content: bool, flags: tuple[Node, ...] = ()) -> None:
-        self.tag, self.path, self.silent, self.content, self.children = tag, path, silent, content, []
+    def __init__(self, tag: str, path: int, plain: int, silent: bool, content: bool, flags: tuple[Node, ...] = ()) -> None:
+        self.tag, self.path, self.plain, self.silent, self.content = tag, path, plain, silent, content
+        self.children = []  # (style, tag) of each
         self.flags = flags  # this and outer elements that by their name are no article
         self.weak = self.within = False  # flagged by a value or as a form; lies in an article
         self.chars, self.holds = 0, set()  # text below a flagged element, and which of article and main
@@ -62,9 +65,9 @@ class PageBlocks(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack = [Node("", 0, False, False)]
+        self.stack = [Node("", 0, 0, False, False)]
         self.found: list[tuple[Node, list[tuple[tuple[Node, ...], str]]]] = []
-        self.blocks: list[tuple[int, str, bool]] = []  # path, text, inside an article
+        self.blocks: list[tuple[int, str, bool, int]] = []  # path, text, inside an article, path of tags alone
         self.styles: dict[int, int] = {}  # path -> hash of the styles of its children
         self.pieces: list[tuple[tuple[Node, ...], str]] = []
         self.chars, self.articles = 0, 0  # text outside ASIDE elements; articles outside flagged ones
@@ -93,7 +96,7 @@ class PageBlocks(HTMLParser):
         for block, pieces in self.found:
             text = SPACE.sub(" ", "".join(t for flags, t in pieces if not any(map(counts, flags)))).strip()
             if text:
-                self.blocks.append((block.path, text, block.content))
+                self.blocks.append((block.path, text, block.content, block.plain))
 
     def close_to(self, depth: int) -> None:
         while len(self.stack) > depth:
@@ -101,7 +104,8 @@ class PageBlocks(HTMLParser):
                 self.flush()
             node = self.stack.pop()
             if node.children:
-                self.styles[node.path] = xxhash.xxh3_64_intdigest("\n".join(node.children)) - (1 << 63)
+                for path, names in ((node.plain, [t for _, t in node.children]), (node.path, [s for s, _ in node.children])):
+                    self.styles[path] = xxhash.xxh3_64_intdigest("\n".join(names)) - (1 << 63)
 
     def implied_ends(self, tag: str) -> None:
         enders = ENDS.get(tag, set()) | ({"p"} if tag in P_ENDERS else set())
@@ -123,12 +127,14 @@ class PageBlocks(HTMLParser):
                 self.pieces.append((parent.flags, " "))
             return
         values = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower().split() if attrs else []
-        marks = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")) if attrs else ""
-        style = f"{tag}.{SPACE.sub(' ', marks).strip()}" if marks else tag
-        parent.children.append(style)
+        # an id, or a value with a digit, is a page's own
+        classes = " ".join(v or "" for k, v in attrs if k in ("class", "role")).lower().split() if attrs else []
+        style = ".".join([tag, *sorted({c for c in classes if not DIGIT.search(c)})])
+        parent.children.append((style, tag))
         silent, body = parent.silent or tag in SILENT, tag in ("article", "main")
         path = xxhash.xxh3_64_intdigest(f"{parent.path}/{style}") - (1 << 63)
-        node = Node(tag, path, silent, parent.content or body, parent.flags)
+        plain = path if parent.path == parent.plain and style == tag else xxhash.xxh3_64_intdigest(f"{parent.plain}/{tag}") - (1 << 63)
+        node = Node(tag, path, plain, silent, parent.content or body, parent.flags)
         if body and not silent:
             self.articles += not parent.flags
             for outer in parent.flags:
@@ -158,7 +164,7 @@ class PageBlocks(HTMLParser):
                 outer.chars += size
 
 
-def page_blocks(html: str | None) -> tuple[list[tuple[int, str, bool]], dict[int, int]]:
+def page_blocks(html: str | None) -> tuple[list[tuple[int, str, bool, int]], dict[int, int]]:
     parser = PageBlocks()
     parser.feed(UNFINISHED.sub("", html or ""))
     parser.close()
@@ -169,56 +175,74 @@ def page_blocks(html: str | None) -> tuple[list[tuple[int, str, bool]], dict[int
 
 
 def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """A row per page: its site, its blocks, and the child styles of the paths the blocks stand in."""
+    """A row per page: its site, its blocks, the child styles of the paths the blocks stand in, and a hash of its texts."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = pa.struct([("path", pa.int64()), ("style", pa.int64()), ("text", pa.string()), ("inside", pa.bool_())])
+        fields = [("path", pa.int64()), ("style", pa.int64()), ("plain", pa.int64()), ("plain_style", pa.int64())]
+        block = pa.struct([*fields, ("text", pa.string()), ("inside", pa.bool_())])
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                out = []
+                out, copies = [], []
                 for html in part.column("html").to_pylist():
                     blocks, styles = page_blocks(html)
-                    out.append([{"path": p, "style": styles.get(p, 0), "text": t, "inside": i} for p, t, i in blocks])
+                    out.append(
+                        [
+                            {"path": p, "style": styles.get(p, 0), "plain": q, "plain_style": styles.get(q, 0), "text": t, "inside": i}
+                            for p, t, i, q in blocks
+                        ]
+                    )
+                    texts = "\n".join(t for _, t, *_ in blocks).encode("utf-8", "replace")
+                    copies.append(xxhash.xxh3_64_intdigest(texts) - (1 << 63))
                 numbers = pa.array(range(row, row + part.num_rows), pa.int64())
                 row += part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [numbers, part.column("id"), part.column("url"), part.column("site"), pa.array(out, pa.list_(block))],
-                    names=["row", "id", "url", "site", "blocks"],
+                    [numbers, *[part.column(c) for c in ("id", "url", "site")], pa.array(copies, pa.int64()), pa.array(out, pa.list_(block))],
+                    names=["row", "id", "url", "site", "page", "blocks"],
                 )
 
     site = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"://([^/?#]*)", 1))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), site.alias("site"), F.col(html_col).alias("html"))
     return rows.mapInArrow(
         parse,
-        f"row long, id {dict(rows.dtypes)['id']}, url string, site string, "
-        "blocks array<struct<path:bigint,style:bigint,text:string,inside:boolean>>",
+        f"row long, id {dict(rows.dtypes)['id']}, url string, site string, page long, "
+        "blocks array<struct<path:bigint,style:bigint,plain:bigint,plain_style:bigint,text:string,inside:boolean>>",
     )
 
 
-def unimportant(open_blocks: DataFrame, min_pages: int, importance: float, content_share: float) -> DataFrame:
+def unimportant(open_blocks: DataFrame, min_pages: int, importance: float, content_share: float, article_prior: float) -> DataFrame:
     """``(row, place)`` of the blocks whose branch of the site style tree says little.
 
     For a path of a site that ``m`` pages have: the presentation importance is the entropy, to base ``m``, of the
     styles that pages have there; the content importance of a text is one less the entropy of its
     spread over pages, ``1 - log(c) / log(m)`` with ``c`` pages showing it. They are added in the shares
-    ``1 - content_share`` and ``content_share``. Paths of fewer than ``min_pages`` pages are left alone.
+    ``1 - content_share`` and ``content_share``, with ``article_prior`` on top in an ``article`` or ``main``.
+    Paths of fewer than ``min_pages`` pages are left alone. A block
+    has two paths, of tags with their classes and of tags alone, and goes if it is low in either: classes tell
+    a site's templates apart, and tags bring together pages whose classes are their own.
     """
-    blocks = open_blocks.select("row", "place", "site", "path", "style", F.xxhash64("text").alias("content"))
+    levels = F.array_distinct(F.array(F.struct("path", "style"), F.struct(F.col("plain").alias("path"), F.col("plain_style").alias("style"))))
+    blocks = open_blocks.select("row", "place", "page", "site", "inside", F.explode(levels).alias("at"), F.xxhash64("text").alias("content"))
+    blocks = blocks.select("row", "place", "page", "site", "inside", "at.*", "content")
     total = blocks.count()
-    pages = blocks.select("row", "site", "path").distinct().groupBy("site", "path").agg(F.count("*").alias("m"))
-    pages = pages.filter(F.col("m") >= min_pages)
-    styles = blocks.select("row", "site", "path", "style").distinct().groupBy("site", "path", "style").agg(F.count("*").alias("c"))
+
+    def counted(*keys: str) -> DataFrame:
+        """``c`` pages and ``n`` blocks of each key."""
+        return blocks.groupBy(*keys, "row").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+
+    pages = counted("site", "path").withColumnRenamed("c", "m").filter(F.col("m") >= min_pages)
+    styles = counted("site", "path", "style").drop("n")
     share = F.col("c") / F.col("m")
-    looks = join_hot(styles, pages, ["site", "path"], "m", total).filter("m IS NOT NULL").groupBy("site", "path").agg(
-        F.sum(-share * F.log(share) / F.log(F.col("m").cast("double"))).alias("presentation"), F.max("m").alias("m")
+    looks = join_hot(styles, pages, ["site", "path"], "n", total).filter("m IS NOT NULL").groupBy("site", "path").agg(
+        F.sum(-share * F.log(share) / F.log(F.col("m").cast("double"))).alias("presentation"), F.max("m").alias("m"), F.max("n").alias("n")
     )
-    texts = blocks.select("row", "site", "path", "content").distinct().groupBy("site", "path", "content").agg(F.count("*").alias("c"))
-    rated = join_hot(texts, looks, ["site", "path"], "m", total).filter("m IS NOT NULL")
+    texts = counted("site", "path", "content", "inside").withColumnRenamed("n", "n_text")
+    rated = join_hot(texts, looks, ["site", "path"], "n", total).filter("m IS NOT NULL")
     value = (1 - content_share) * F.col("presentation") + content_share * (1 - F.log(F.col("c").cast("double")) / F.log(F.col("m").cast("double")))
-    low = rated.filter(value < importance).select("site", "path", "content", "c")
-    return join_hot(blocks, low, ["site", "path", "content"], "c", total).filter("c IS NOT NULL").select("row", "place")
+    low = rated.filter(value + F.when(F.col("inside"), article_prior).otherwise(0.0) < importance)
+    low = low.select("site", "path", "content", "inside", F.col("n_text").alias("n"))
+    return join_hot(blocks, low, ["site", "path", "content", "inside"], "n", total).filter("n IS NOT NULL").select("row", "place")
 
 
 def extract(
@@ -230,31 +254,26 @@ def extract(
     min_pages: int = MIN_PAGES,
     importance: float = IMPORTANCE,
     content_share: float = CONTENT_SHARE,
+    article_prior: float = ARTICLE_PRIOR,
 ) -> DataFrame:
     """``(id, url, text)``: the main text of every whole page, its blocks joined by an empty line.
 
-    Elements that by name, class, id or role are menus, headers, footers, sidebars, notices, adverts, forms, scripts or
-    comments have importance 0; a page's ``article`` or ``main`` has importance 1, and nothing outside it counts. In
-    pages with neither, a block stays unless :func:`unimportant` finds its branch low over all pages of
-    the host. Hosts are compared by counts, so a hot host's pages never meet in one task.
+    Elements that by tag, or a whole class, id or role value, are menus, headers, footers, sidebars, notices, adverts,
+    forms, scripts or comments have importance 0 (exceptions: :meth:`PageBlocks.finish`). Every other block of every page
+    stays unless :func:`unimportant` finds its branch low over all pages of the host; an ``article`` or
+    ``main`` only adds ``article_prior``. Hosts are compared by counts, so a hot host's pages never meet in one task.
 
     Null and empty pages have an empty text. Pages without a host form one site. Rows with null or repeated ids are
     pages like any others; other columns are left out. An empty table gives an empty result.
     Unfinished tags at a page's end are dropped; unclosed elements end with their parent.
     """
     found = store(parsed(pages, id_col, url_col, html_col), "html-blocks")
-    whole = F.exists("blocks", lambda b: b["inside"])
-    chosen = F.when(whole, F.filter("blocks", lambda b: b["inside"])).otherwise(F.col("blocks"))
-    decided = found.filter(whole | (F.size("blocks") == 0)).select("id", "url", chosen["text"].alias("texts"))
-    undecided = found.filter(~whole & (F.size("blocks") > 0))
-    each = undecided.select("row", "site", F.posexplode("blocks").alias("place", "b")).select("row", "site", "place", "b.*")
-    low = unimportant(each, min_pages, importance, content_share).groupBy("row").agg(F.collect_set("place").alias("low"))
+    each = found.select("row", "page", "site", F.posexplode("blocks").alias("place", "b")).select("row", "page", "site", "place", "b.*")
+    low = unimportant(each, min_pages, importance, content_share, article_prior).groupBy("row").agg(F.collect_set("place").alias("low"))
     none = F.array().cast("array<int>")
-    cleaned = undecided.join(low, "row", "left").withColumn("low", F.coalesce("low", none))
+    cleaned = found.join(low, "row", "left").withColumn("low", F.coalesce("low", none))
     kept = F.filter("blocks", lambda b, i: ~F.array_contains(F.col("low"), i))
-    rest = cleaned.select("id", "url", kept["text"].alias("texts"))
-    both = decided.unionByName(rest)
-    return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.array_join("texts", "\n\n").alias("text"))
+    return cleaned.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.array_join(kept["text"], "\n\n").alias("text"))
 
 
 def digest(pages: DataFrame) -> DataFrame:

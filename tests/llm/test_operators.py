@@ -315,6 +315,19 @@ def test_site_style_tree_removes_what_a_site_repeats(spark):
     assert got == {i: f"story {i}" for i in range(12)} | {99: "Welcome to our site"}
 
 
+def test_style_tree_covers_articles(spark):
+    def page(i, inner):
+        return f"<body class='post-{i} by-{chr(97 + i)}'>{inner}</body>"
+
+    story = [f"<article><p id='p{i}'>story {i}</p><div id='x{i}'><span>Get our app today</span></div></article>" for i in range(12)]
+    rows = [(i, "http://a.com/", page(i, s)) for i, s in enumerate(story)]
+    # the body beside an article that is a teaser
+    rows += [(100, "http://b.com/", "<div><p>The whole body</p></div><article><p>A teaser</p></article>")]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    want = {i: f"story {i}" for i in range(12)} | {100: "The whole body\n\nA teaser"}
+    assert got == want
+
+
 def test_mix_reaches_targets(spark):
     rng = np.random.default_rng(7)
     rows = [(i, "w " * int(rng.integers(1, 200)), "abcd"[int(i**0.5) % 4] if i % 9 else None) for i in range(1200)]
