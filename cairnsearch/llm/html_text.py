@@ -218,7 +218,7 @@ def unimportant(open_blocks: DataFrame, min_pages: int, importance: float, conte
     styles that pages have there; the content importance of a text is one less the entropy of its
     spread over pages, ``1 - log(c) / log(m)`` with ``c`` pages showing it. They are added in the shares
     ``1 - content_share`` and ``content_share``, with ``article_prior`` on top in an ``article`` or ``main``.
-    Paths of fewer than ``min_pages`` pages are left alone. A block
+    Paths of fewer than ``min_pages`` pages are left alone. Pages of a site with the same texts count as one. A block
     has two paths, of tags with their classes and of tags alone, and goes if it is low in either: classes tell
     a site's templates apart, and tags bring together pages whose classes are their own.
     """
@@ -228,8 +228,8 @@ def unimportant(open_blocks: DataFrame, min_pages: int, importance: float, conte
     total = blocks.count()
 
     def counted(*keys: str) -> DataFrame:
-        """``c`` pages and ``n`` blocks of each key."""
-        return blocks.groupBy(*keys, "row").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+        """``c`` different pages and ``n`` blocks of each key."""
+        return blocks.groupBy(*keys, "page").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.count("*").alias("c"), F.sum("n").alias("n"))
 
     pages = counted("site", "path").withColumnRenamed("c", "m").filter(F.col("m") >= min_pages)
     styles = counted("site", "path", "style").drop("n")

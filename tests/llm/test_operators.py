@@ -315,17 +315,20 @@ def test_site_style_tree_removes_what_a_site_repeats(spark):
     assert got == {i: f"story {i}" for i in range(12)} | {99: "Welcome to our site"}
 
 
-def test_style_tree_covers_articles(spark):
+def test_style_tree_covers_articles_and_counts_copies_once(spark):
     def page(i, inner):
         return f"<body class='post-{i} by-{chr(97 + i)}'>{inner}</body>"
 
     story = [f"<article><p id='p{i}'>story {i}</p><div id='x{i}'><span>Get our app today</span></div></article>" for i in range(12)]
     rows = [(i, "http://a.com/", page(i, s)) for i, s in enumerate(story)]
-    # the body beside an article that is a teaser
+    # the body beside an article that is a teaser, and copies at a path of their own
     rows += [(100, "http://b.com/", "<div><p>The whole body</p></div><article><p>A teaser</p></article>")]
+    rows += [(200 + i, "http://c.com/", "<section><p>The copied text</p></section>") for i in range(8)]
+    # a hot path: as many copies as other pages
+    rows += [(300 + i, "http://d.com/", f"<section><p>text {min(i, 20)}</p></section>") for i in range(41)]
     got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
-    want = {i: f"story {i}" for i in range(12)} | {100: "The whole body\n\nA teaser"}
-    assert got == want
+    want = {i: f"story {i}" for i in range(12)} | {100: "The whole body\n\nA teaser"} | {200 + i: "The copied text" for i in range(8)}
+    assert got == want | {300 + i: f"text {min(i, 20)}" for i in range(41)}
 
 
 def test_mix_reaches_targets(spark):
