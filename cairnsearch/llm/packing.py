@@ -36,27 +36,28 @@ def tokenizer_path() -> str:
 
 @lru_cache(maxsize=2)
 def _encoding(path: str):
-    """The vocabulary of a byte-level BPE ``tokenizer.json`` in the faster of two equal encoders."""
+    """The vocabulary and added tokens of a byte-level BPE ``tokenizer.json`` in the faster of two equal encoders."""
     import tiktoken
 
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in printable}
     letters |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
     with open(path, encoding="utf-8") as file:
-        vocabulary = json.load(file)["model"]["vocab"]
+        stored = json.load(file)
+    added = {t["content"]: t["id"] for t in stored.get("added_tokens") or []}
     ranks = {}
-    for token, rank in vocabulary.items():
-        if all(c in letters for c in token) and not (token.startswith("<|") and token.endswith("|>")):
+    for token, rank in stored["model"]["vocab"].items():
+        if all(c in letters for c in token) and token not in added:
             ranks[bytes(letters[c] for c in token)] = rank
-    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
-def encoder(path: str) -> Callable[[str | None], bytes]:
-    """Whole text to ids, packed as little-endian unsigned 32-bit numbers."""
-    encode = _encoding(path).encode_ordinary
+def encoder(path: str, added: bool = False) -> Callable[[str | None], bytes]:
+    """Whole text to ids, packed as little-endian unsigned 32-bit numbers; with ``added``, added tokens in it are one id each."""
+    encode, allowed = _encoding(path).encode, "all" if added else set()
 
     def ids(text: str | None) -> bytes:
-        found = array("I", encode(text or ""))
+        found = array("I", encode(text or "", allowed_special=allowed, disallowed_special=()))
         if sys.byteorder == "big":
             found.byteswap()
         return found.tobytes()
@@ -68,7 +69,7 @@ def tokenised_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, len
     """A row per piece: where it starts, its length, CRC, and which of its length it is in its task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(length + 1, dtype=np.int64)
+        encode, task, seen = encoder(path, added=True), TaskContext.get().partitionId(), np.zeros(length + 1, dtype=np.int64)
         end = np.array([END], dtype="<u4").tobytes()
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
@@ -264,7 +265,8 @@ def pack(
 ) -> DataFrame:
     """``(id, piece, start, length, ids_crc32, sequence_id, offset)``, and ``ids`` with ``with_ids``: a row per piece.
 
-    Every whole text is tokenised, followed by the id 2, and only cut if longer than ``length``: the first
+    Every whole text is tokenised as by `tokenizers` with ``add_special_tokens=False``, so a literal added token such as
+    ``<|endoftext|>`` is one id. It is followed by the id 2 and only cut if longer than ``length``: the first
     piece takes what does not fill a sequence, the others are full. Pieces are written to the shared
     folder once. The driver gets the number of pieces of each length (at most ``length`` numbers) and
     makes the plan (see :func:`plan`); a piece finds its place by its rank among those of its length: its

@@ -111,6 +111,15 @@ def test_tokens_are_those_of_the_tokenizers_library():
         assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_packed_as_by_the_tokenizers_library(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.tokenizer_path())
+    texts = ["<|endoftext|> don't", " a <|endoftext|><|endoftext|>  x\n<|endoftext|>", "<|endoftext| no", EN]
+    pieces = rows_of(packing.pack(docs_of(spark, texts), length=256, with_ids=True))
+    assert {p["doc_id"]: p["ids"] for p in pieces} == {i: plain.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+
+
 def test_packing(spark):
     rng = np.random.default_rng(1)
     texts = [" ".join(rng.choice(EN.split(), int(n))) for n in rng.integers(1, 900, 200)] + [None, "", "word " * 5000]
