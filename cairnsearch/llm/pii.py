@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -12,11 +13,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnsearch.llm.common import join_hot, only_members, store
+from cairnsearch.llm.common import join_hot, store
+from cairnsearch.llm.exact_dedup import deduplicate
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW = 4
-MIN_SUPPORT = 3
+#: Documents' worth of prior belief that a term tells nothing.
+SMOOTHING = 1.0
 GENERALISE = 0.6
 REMOVE = 0.8
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -26,8 +28,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
-TERM = regex.compile(r"\p{L}{3,}")
-REACH = 120
+TERM = regex.compile(r"\p{L}+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -70,94 +71,128 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
-def _near_terms(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
-    """Up to ``WINDOW`` words on each side of a span, not cut off by the reach."""
-    low, high = max(0, start - REACH), min(len(text), end + REACH)
-    before = [m for m in TERM.finditer(text, low, start) if low == 0 or m.start() > low][-WINDOW:]
-    after = [m for m in TERM.finditer(text, end, high) if high == len(text) or m.end() < high][:WINDOW]
-    return [(m[0].lower(), *m.span()) for m in [*before, *after]]
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
 def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row per document: its base spans, and the terms near them with the entity they stand by."""
+    """A row per document: its base spans, a hash of its text, and if it has spans the entities and all terms outside them."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-        near = pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+        place = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
-                spans_of, terms_of = [], []
+                spans_of, entities_of, terms_of, copies = [], [], [], []
                 for text in part.column("text").to_pylist():
                     text = text or ""
                     spans = base_spans(text)
-                    covered = [(s, e) for _, s, e in spans]
-                    terms = {}
-                    for kind, s, e in spans:
-                        name = f"{kind}:{text[s:e].lower()}".encode("utf-8", "replace")
-                        entity = xxhash.xxh3_64_intdigest(name) - (1 << 63)
-                        for term, low, high in _near_terms(text, s, e):
-                            if not any(low < y and x < high for x, y in covered):
-                                terms[(entity, term, low, high)] = None
+                    terms, covered, at = [], sorted((s, e) for _, s, e in spans), 0
+                    ends = list(accumulate((e for _, e in covered), max))
+                    for m in TERM.finditer(text) if spans else ():
+                        low, high = m.span()
+                        while at < len(covered) and covered[at][0] < high:
+                            at += 1
+                        if not at or ends[at - 1] <= low:
+                            terms.append({"term": m[0].lower(), "start": low, "end": high})
+                    copies.append(_hash(text) if spans else 0)
                     spans_of.append([dict(zip(("kind", "start", "end"), x)) for x in spans])
-                    terms_of.append([dict(zip(("entity", "term", "start", "end"), x)) for x in terms])
+                    entities_of.append(sorted({_hash(f"{kind}:{text[s:e].lower()}") for kind, s, e in spans}))
+                    terms_of.append(terms)
                 numbers = pa.array(range(row, row + part.num_rows), pa.int64())
                 row += part.num_rows
+                found = [(copies, pa.int64()), (spans_of, pa.list_(span)), (entities_of, pa.list_(pa.int64())), (terms_of, pa.list_(place))]
                 yield pa.RecordBatch.from_arrays(
-                    [numbers, part.column("id"), pa.array(spans_of, pa.list_(span)), pa.array(terms_of, pa.list_(near))],
-                    names=["row", "id", "spans", "near"],
+                    [numbers, part.column("id"), *[pa.array(x, kind) for x, kind in found]],
+                    names=["row", "id", "copy", "spans", "entities", "places"],
                 )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(
         find,
-        f"row long, id {dict(rows.dtypes)['id']}, spans array<struct<kind:int,start:int,end:int>>, "
-        "near array<struct<entity:bigint,term:string,start:int,end:int>>",
+        f"row long, id {dict(rows.dtypes)['id']}, copy long, spans array<struct<kind:int,start:int,end:int>>, "
+        "entities array<bigint>, places array<struct<term:string,start:int,end:int>>",
     )
 
 
 def disclosing_terms(
-    found: DataFrame, docs: DataFrame, text_col: str, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
+    found: DataFrame, docs: DataFrame, id_col: str, text_col: str, generalise: float = GENERALISE, remove: float = REMOVE, smoothing: float = SMOOTHING
 ) -> DataFrame:
-    """``(entity, term, disclosure, action, n)``: terms that tell enough about an entity they stand by.
+    """``(copy, term, disclosure, action)``: terms of a text that tell enough about an entity in it, whichever they tell most about.
 
     The information a term gives about an entity is their pointwise mutual information; as a share of all
     there is to know about the entity, it is ``PMI(t; e) / -log p(e) = 1 + log p(e | t) / -log p(e)``.
-    All probabilities are shares of all documents. A term needs ``min_support`` documents with the entity.
+    All probabilities are shares of all different texts. ``p(e | t)`` is smoothed: ``smoothing`` texts with the term are
+    added in which the entity is as rare as everywhere, so few texts are weaker evidence than many; none are too few.
+
+    Terms too frequent to reach ``generalise`` with any entity, even if all its texts held them, are left out by
+    their frequency before pairs are made. The entities of a text that are in no other text stand for each other.
     """
-    total = docs.count()
-    pairs = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"])))).alias("p"))
-    together = pairs.groupBy(F.col("p.entity").alias("entity"), F.col("p.term").alias("term")).agg(F.count("*").alias("n"))
-    entities = found.select(F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    candidates = store(together.filter(F.col("n") >= min_support).join(entities, "entity"), "pii-candidates")
-    asked = candidates.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_col), r"[^\p{L}]+"))).alias("term"))
-    counts = only_members(words, "term", asked).groupBy("term").agg(F.count("*").alias("n_term"))
-    known = F.greatest(-F.log(F.col("n_entity") / float(max(total, 1))), F.lit(1e-9))
-    given = F.log(F.col("n") / F.greatest(F.coalesce("n_term", "n"), F.col("n")))
-    scored = candidates.join(counts, "term", "left").withColumn("disclosure", 1 + given / known)
+    texts = deduplicate(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), id_col="id")
+    total = float(max(docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).distinct().count(), 1))
+    own = found.filter("size(entities) > 0")
+    # one row of each group of equal texts; the row's number stands for the text
+    first = own.groupBy("copy").agg(F.min("row").alias("row"))
+    kept = own.select("copy", "row", "entities", F.array_distinct("places.term").alias("terms"))
+    once = store(kept.join(first, ["copy", "row"], "left_semi").drop("row"), "pii-once")
+    entities = once.select("copy", F.explode("entities").alias("entity"))
+    n_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    known = join_hot(entities, n_entity, ["entity"], "n_entity", entities.count()).filter(F.col("n_entity") < total)
+    # of an entity in all texts there is nothing to know; those of one text are one
+    held = known.select("copy", F.when(F.col("n_entity") > 1, F.col("entity")).alias("entity"), "n_entity").distinct()
+    held = store(held, "pii-entities")
+    most = held.select("n_entity").distinct().select(
+        F.max(_highest(F.col("n_entity"), total, generalise, smoothing)).alias("most")
+    ).first()["most"]
+    terms = once.select("copy", F.explode("terms").alias("term"))
+    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
+    counts = words.groupBy("term").agg(F.count("*").alias("n_word"))
+    seen = terms.groupBy("term").agg(F.count("*").alias("n_seen"))
+    # a term's texts with entities are among its texts
+    n_term = seen.join(counts, "term", "left").select("term", "n_seen", F.greatest(F.coalesce("n_word", "n_seen"), "n_seen").alias("n_term"))
+    rare = n_term.filter(F.col("n_term") <= (most if most is not None else 0.0))
+    asked = join_hot(terms, rare, ["term"], "n_seen", terms.count()).filter("n_term IS NOT NULL").select("copy", "term", "n_term")
+    pairs = store(asked.join(held, "copy"), "pii-pairs")
+    single = pairs.filter("entity IS NULL").withColumn("n", F.lit(1).cast("long"))
+    shared = pairs.filter("entity IS NOT NULL")
+    together = shared.groupBy("entity", "term").agg(F.count("*").alias("n"))
+    both = single.unionByName(join_hot(shared, together, ["entity", "term"], "n", shared.count()))
+    chance = F.col("n_entity") / F.lit(total)
+    given = (F.col("n") + smoothing * chance) / (F.col("n_term") + smoothing)
+    scored = both.groupBy("copy", "term").agg(F.max(1 + F.log(given) / F.greatest(-F.log(chance), F.lit(1e-9))).alias("disclosure"))
     action = F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")
-    return scored.filter(F.col("disclosure") >= generalise).select("entity", "term", "disclosure", action.alias("action"), "n")
+    return scored.filter(F.col("disclosure") >= generalise).select("copy", "term", "disclosure", action.alias("action"))
+
+
+def _highest(n_entity: Column, total: float, generalise: float, smoothing: float) -> Column:
+    """The largest number of texts of a term that reaches ``generalise`` where all texts of the entity hold it."""
+    chance = n_entity / F.lit(total)
+    return (n_entity + smoothing * chance) / F.pow(chance, F.lit(1 - generalise)) - smoothing + 1e-6
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **limits: float) -> DataFrame:
     """``(id, spans, terms)``: the base spans of every whole text, and the disclosing terms of :func:`disclosing_terms`.
 
-    Base spans are the leftmost non-overlapping matches of each kind that pass its check. Terms are only
-    marked where they stand near an entity that they disclose, so a text without base spans has none.
-    Null and empty texts have no spans. Rows with null or repeated ids are looked at like any others, each
-    counting as a document; other columns are left out. An empty table gives an empty result.
+    Base spans are the leftmost non-overlapping matches of each kind that pass its check. A term is a run of letters.
+    Terms are marked wherever they stand in a text that holds an entity which they disclose, so a text without base
+    spans has none. Null and empty texts have no spans. Rows with null or repeated ids are looked at like any others;
+    equal texts count as one and are marked alike. Other columns are left out. An empty table gives an empty result.
     """
     found = store(scanned(docs, id_col, text_col), "pii-scan")
-    telling = store(disclosing_terms(found, docs, text_col, **limits), "pii-terms")
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    # a term can stand by an entity more than once in a text, so the share of a key is an estimate from below
-    marked = join_hot(near, telling, ["entity", "term"], "n", near.count()).filter("action IS NOT NULL")
-    spans = F.array_sort(F.collect_set(F.struct("start", "end", "action")))
-    terms = marked.groupBy("row").agg(spans.alias("terms"))
+    telling = disclosing_terms(found, docs, id_col, text_col, **limits)
+    # by text: equal texts have the same marks, which are made once
+    marks = telling.groupBy("copy").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions"))
+    some = found.filter("size(entities) > 0")
+    groups = some.groupBy("copy").agg(F.count("*").alias("n"))
+    known = join_hot(some, groups.join(marks, "copy"), ["copy"], "n", some.count())
     none = F.array().cast("array<struct<start:int,end:int,action:string>>")
-    return found.join(terms, "row", "left").select(F.col("id").alias(id_col), "spans", F.coalesce("terms", none).alias("terms"))
+    placed = F.transform("places", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.element_at("actions", x["term"]).alias("action")))
+    terms = F.coalesce(F.array_sort(F.array_distinct(F.filter(placed, lambda x: x["action"].isNotNull()))), none)
+    marked = known.select("id", "spans", terms.alias("terms"))
+    plain = found.filter("size(entities) = 0").select("id", "spans", none.alias("terms"))
+    return marked.unionByName(plain).withColumnRenamed("id", id_col)
 
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **limits: float) -> DataFrame:

@@ -285,6 +285,21 @@ def test_disclosing_terms_are_marked_only_near_their_entity(spark):
     assert "zorblatt" not in clean[0] and "[email]" in clean[0] and clean[100] == texts[100]
 
 
+def test_terms_disclose_entities_of_one_document_wherever_they_stand(spark):
+    common = [" ".join(np.random.default_rng(i).permutation(EN.split())) for i in range(300)]
+    texts = [f"Zorblatt wrote. {c}" for c in common[:1]]
+    texts[0] += f". Mail z.b@mail.org, {common[1]} and 王伟 said. {common[2]} zorblatt again"
+    texts += [texts[0]] * 5 + ["four eyes x@y.zz " + c for c in common[3:6]] + common[6:]
+    found = {r["doc_id"]: r for r in rows_of(pii.find_personal_data(docs_of(spark, texts)))}
+    for i in range(6):
+        marked = [texts[i][t["start"] : t["end"]] for t in found[i]["terms"]]
+        assert marked.count("Zorblatt") == marked.count("zorblatt") == marked.count("王伟") == 1
+        assert not {w for w in marked if w.lower() in EN.lower().split()}
+    assert not any(found[i]["terms"] for i in range(9, len(texts)))
+    alone = rows_of(pii.find_personal_data(docs_of(spark, ["only text a@b.cc here"])))
+    assert alone[0]["spans"] and alone[0]["terms"] == []
+
+
 def test_html_article(spark):
     html = (
         "<html><head><title>t</title><script>var x='<p>no</p>'</script></head><body><nav>menu</nav><div class='ad'>buy</div>"
