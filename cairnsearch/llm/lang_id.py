@@ -19,6 +19,11 @@ MAX_LANGUAGES = 1000
 CHUNK = 1 << 20
 TOGETHER = 32
 BUCKETS = 24
+FOLDS = 4
+QUANTILE = 0.99
+NEIGHBOURS = 100
+#: Least radius: a sample of nearly equal texts does not say how far others lie.
+LEAST = 0.1
 
 
 @lru_cache(maxsize=1)
@@ -97,7 +102,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     languages: tuple[str, ...]  # of each centroid
-    radius: np.ndarray  # largest accepted distance by size class of a text
+    radius: np.ndarray  # largest accepted distance by centroid and size class of a text
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         counts = gram_counts(texts)
@@ -107,7 +112,7 @@ class Model:
         score = np.clip(cosine[np.arange(len(texts)), best], 0, 1).astype(np.float64)
         names = ["und" if none or not self.languages else self.languages[b] for b, none in zip(best, blank)]
         score[blank] = 0
-        rejected = blank | (1 - score > self.radius[size]) | np.full(len(texts), not self.languages)
+        rejected = blank | (1 - score > (self.radius[best, size] if self.languages else 1)) | np.full(len(texts), not self.languages)
         return names, score, rejected
 
 
@@ -130,6 +135,33 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def _reach(far: np.ndarray) -> float:
+    """A high quantile of distances: what ``QUANTILE`` of the rows keep within, or, as few rows
+    do not show that, four times the spread above the median."""
+    middle = np.median(far)
+    spread = 1.4826 * np.median(far[far >= middle] - middle)
+    return max(LEAST, float(middle + 4 * spread), float(np.quantile(far, QUANTILE)))
+
+
+def _radii(x: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Largest accepted distance from one language by size class, from rows that took no part in the centroids.
+
+    Each fold is measured from centroids of the others. A class looks at its own rows and, until there are
+    ``NEIGHBOURS``, those of the nearest classes; shorter texts are allowed at least what longer ones are.
+    """
+    fold, far = np.arange(len(x)) % min(FOLDS, len(x)), np.zeros(len(x))
+    if len(x) == 1:
+        return np.ones(BUCKETS)
+    for f in range(fold.max() + 1):
+        far[fold == f] = 1 - (x[fold == f] @ _clusters(x[fold != f], k).T).max(axis=1)
+    radius = np.zeros(BUCKETS)
+    for b in range(BUCKETS):
+        gap = np.abs(sizes - b)
+        reach = np.sort(gap)[min(NEIGHBOURS, len(gap)) - 1]
+        radius[b] = _reach(far[gap <= reach])
+    return np.minimum(1.0, np.maximum.accumulate(radius[::-1])[::-1])
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -148,8 +180,8 @@ def fit(
     Languages are counted over all rows (at most ``MAX_LANGUAGES``, else an error); a row is taken
     if its hash falls below its language's rate, and the driver receives its n-gram counts, never its
     text: at most ``DIMENSIONS`` numbers a row. Rows with a null id, text or language teach nothing.
-    The radius of a size class is the largest distance any sampled text of that class or a larger
-    one has from its own language, widened by a quarter and 0.1.
+    Every language has a radius for each size class of texts, from distances of sampled rows to centroids that
+    were made without them (see :func:`_radii`). The only row of a language rejects nothing.
     """
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
@@ -158,7 +190,7 @@ def fit(
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not found:
-        return Model(np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), (), np.ones(BUCKETS))
+        return Model(np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), (), np.ones((0, BUCKETS)))
     rate = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.2 * per_language / r["count"])))])
     draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
     sampled = rows.withColumn("draw", draw).filter(F.col("draw") < F.element_at(rate, F.col("lang")))
@@ -186,7 +218,7 @@ def fit(
         if taken[labels[i]] <= per_language and len(sample["place"][i].values):
             chosen.append(i)
     if not chosen:
-        return Model(np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), (), np.ones(BUCKETS))
+        return Model(np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), (), np.ones((0, BUCKETS)))
     # one matrix, weighed where it stands: it is what the driver's memory is needed for
     counts, langs = np.zeros((len(chosen), DIMENSIONS), dtype=np.float32), np.array([labels[i] for i in chosen])
     for row, i in enumerate(chosen):
@@ -199,11 +231,8 @@ def fit(
     parts = [(lang, _clusters(x[langs == lang], centroids)) for lang in sorted(set(langs))]
     names = tuple(str(lang) for lang, c in parts for _ in c)
     centres = np.concatenate([c for _, c in parts]).astype(np.float32)
-    own = np.where(np.array(names)[None, :] == langs[:, None], x @ centres.T, -1).max(axis=1)
-    radius = np.zeros(BUCKETS)
-    for b in range(BUCKETS):
-        far = 1 - own[sizes >= b]
-        radius[b] = min(1.0, far.max() * 1.25 + 0.1) if len(far) else radius[b - 1]
+    reach = {lang: _radii(x[langs == lang], sizes[langs == lang], centroids) for lang in sorted(set(langs))}
+    radius = np.stack([reach[lang] for lang, c in parts for _ in c])
     return Model(idf, centres, names, radius)
 
 
@@ -212,7 +241,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     Only the text is looked at. Null texts and texts without a letter are ``und`` with score 0 and
     rejected. Any other text gets the language of the nearest centroid (ties: the first by name), its
-    cosine as the score, and is rejected if it lies farther away than texts of its length do.
+    cosine as the score, and is rejected if it lies farther away than texts of that language and length do.
     Null ids and repeated rows are predicted like any other; an empty table gives an empty result;
     with nothing to learn from, everything is ``und``. The model (well under 1 MB a language) goes with the tasks.
     """

@@ -101,6 +101,23 @@ def test_language_held_out_and_rejection(spark):
     assert names[:2] == ["und", "und"] and score[:2].tolist() == [0, 0] and rejected.tolist() == [True, True, True, False]
 
 
+def test_language_left_out_of_training_is_rejected_and_clean_texts_stay(spark):
+    french = (
+        "la rivière coule lentement vers la mer pendant que les enfants jouent sur le sable et leurs parents regardent les bateaux "
+        "qui rentrent au port avec beaucoup de poissons pour le marché du lendemain matin"
+    ).split()
+    letters = list("αβγδεζηθικλμνξοπρστυφχψω")
+
+    def text(i):
+        rng = np.random.default_rng(i)
+        return " ".join(rng.permutation(EN.split()) if i % 2 else ["".join(rng.choice(letters, 6)) for _ in range(16)])
+
+    # the texts labelled de differ widely, which must not widen what counts as en
+    model = lang_id.fit(docs_of(spark, [text(i) for i in range(120)]))
+    assert not model.predict([text(1000 + i) for i in range(40)])[2].any()
+    assert model.predict([" ".join(np.random.default_rng(i).permutation(french)) for i in range(10)])[2].all()
+
+
 def test_tokens_are_those_of_the_tokenizers_library():
     from tokenizers import Tokenizer
 
