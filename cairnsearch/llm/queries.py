@@ -8,7 +8,20 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from cairnsearch.llm import ann, exact_dedup, html_text, lang_id, license_scan, minhash, mixing, packing, pii, suffix_dedup, url_filter
+from cairnsearch.llm import (
+    ann,
+    conversation_repair,
+    exact_dedup,
+    html_text,
+    lang_id,
+    license_scan,
+    minhash,
+    mixing,
+    packing,
+    pii,
+    suffix_dedup,
+    url_filter,
+)
 from cairnsearch.llm.common import table
 
 # Task functions travel by value, so executors need no copy of the pipeline's module.
@@ -56,6 +69,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digest(table(spark, sf_dir, "conversations"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), with_kept=False)
 
@@ -72,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_html_text,
         op9_mixing,
         op10_license_scan,
+        op11_conversation_repair,
         op13_suffix_dedup,
     ]
     return {op.__name__: op for op in ops} | {"pipeline": corpus_pipeline.run}
