@@ -21,6 +21,7 @@ from cairnsearch.llm import (
     pii,
     suffix_dedup,
     url_filter,
+    whitening,
 )
 from cairnsearch.llm.common import table
 
@@ -73,6 +74,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digest(table(spark, sf_dir, "conversations"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), with_kept=False)
 
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_mixing,
         op10_license_scan,
         op11_conversation_repair,
+        op12_embedding_whitening,
         op13_suffix_dedup,
     ]
     return {op.__name__: op for op in ops} | {"pipeline": corpus_pipeline.run}
