@@ -2,17 +2,18 @@
 
 A byte goes if a passage of ``length`` bytes that covers it also starts anywhere else, in the same document or another
 one. Suffixes are range-partitioned by their leading tokens with sampled splitters, every bucket sorts its own by
-multikey quicksort, and neighbours are compared, across the buckets' boundaries too. Two such arrays are built:
+multikey quicksort, and neighbours are compared, across the buckets' boundaries too.
 
-1. over *anchors*, about one position in ``length / 4``. The anchor of a passage is the place of the least hash among
-   its substrings of half its length, so equal passages have their anchors at the same place. Consecutive passages with
-   one anchor are a *run*: an equal run elsewhere settles all its passages at once, and if the half-length string at the
-   anchor stands nowhere else, so do none of them.
-2. over every passage of the runs the first array leaves open: those with a neighbour that has the same anchor string
-   in another run. One or two of each group of equal runs go along, to be met by passages of other runs.
+The first array has a suffix for each *anchor*, about one position in ``length / 4``: the place of the least hash among
+the substrings of half its length that a passage has, so equal passages have theirs at the same place. Consecutive
+passages with one anchor are a *run*. An equal run elsewhere settles all its passages at once; if the string at the
+anchor stands nowhere else, none of them is repeated. What stays open are runs with a neighbour that has the same string
+at its anchor in another run, along with one or two of each group of equal runs, which passages of other runs may meet.
+Only the stretches of text they cover go on to the next array, where the strings are longer and runs shorter, until the
+last one has a suffix for every passage.
 
 The first token of a suffix is its first eight bytes, in their order; the later ones are digests of the rest, down to the
-depth that matters. The last ones are 128 bits wide, and equality of those is taken for equality of bytes.
+depth that matters. Runs with equal tokens (64 bits for the string at the anchor, 96 for the run) are taken to be equal.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnsearch.llm.common import only_members, store
+from cairnsearch.llm.common import bitmaps, filter_bits, only_members, passes, slots, store
 
 LENGTH = 400
 CHUNK = 1 << 20
@@ -38,10 +39,11 @@ SMALL = 4096
 STEP = 0x9E3779B97F4A7C15
 BACK = pow(STEP, -1, 1 << 64)
 
-RUN_TOKENS = ["lead", "gram", "run_hi", "run_lo"]
-PASSAGE_TOKENS = ["lead", "pass_hi", "pass_lo"]
-RUNS = "k1 long, k2 long, low long, high long, " + ", ".join(f"{t} long" for t in RUN_TOKENS)
-PASSAGES = "k1 long, k2 long, low long, " + ", ".join(f"{t} long" for t in PASSAGE_TOKENS)
+TOKENS = ["lead", "gram", "run_hi", "run_lo"]
+KEY = ["k1", "k2", "start"]
+STRETCHES = "k1 long, k2 int, start int, data binary"
+RUNS = "k1 long, k2 int, start int, low int, high int, lead long, gram long, run_hi long, run_lo int"
+SPANS = "array<struct<low:int,high:int>>"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -64,23 +66,23 @@ def leading(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return (words ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def digests(data: memoryview, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """128-bit digests of ``data[low:high]`` as two longs."""
+def digests(data: memoryview, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of the digests of ``data[low:high]`` as a long and an int."""
     digest = xxhash.xxh3_128_digest
     found = b"".join([digest(data[a:b]) for a, b in zip(low.tolist(), high.tolist())])
-    return np.frombuffer(found, dtype=np.int64).reshape(-1, 2)
+    return np.frombuffer(found, dtype=np.int64)[::2], np.frombuffer(found, dtype=np.int32)[2::4]
 
 
 class Winnower:
-    """Runs of passages with one anchor, over a buffer that holds several documents."""
+    """Runs of passages with one anchor, a place of ``gram`` bytes, over a buffer that holds several texts."""
 
-    def __init__(self, length: int):
-        self.length, self.gram = length, length // 2
+    def __init__(self, length: int, gram: int):
+        self.length, self.gram = length, gram
         self.codes = _byte_codes()
         self.up, self.down = _powers(STEP, CHUNK + length), _powers(BACK, CHUNK + length)
 
     def grams(self, data: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of every substring of half a passage's length."""
+        """A 64-bit hash of every substring of ``gram`` bytes."""
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(self.codes[data] * self.up[: len(data)], out=sums[1:])
         h = (sums[self.gram :] - sums[: -self.gram]) * self.down[: len(data) - self.gram + 1]
@@ -145,54 +147,62 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
         F.col(id_col).alias("id"),
         F.xxhash64(F.lit(1), *parts).alias("k1"),
-        F.xxhash64(F.lit(2), *parts).alias("k2"),
+        F.shiftright(F.xxhash64(F.lit(2), *parts), 32).cast("int").alias("k2"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("data"),
     )
 
 
-def anchored_runs(rows: DataFrame, length: int) -> DataFrame:
+def anchored_runs(stretches: DataFrame, length: int, gram: int) -> DataFrame:
+    """The runs of ``stretches(k1, k2, start, data)``; ``low`` and ``high``, where a run's first and last passage start,
+    are places in the document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        winnower = Winnower(length)
+        winnower = Winnower(length, gram)
         for batch in batches:
             data, offsets = binary_of(batch.column("data"))
-            keys = [batch.column(k).to_numpy() for k in ("k1", "k2")]
-            for low, high, anchor, gram in winnower.runs(data, offsets):
-                doc = np.searchsorted(offsets, low, side="right") - 1
-                names = digests(memoryview(data), low, high + length)
-                columns = [
-                    *(key[doc] for key in keys),
-                    low - offsets[doc],
-                    high - offsets[doc],
-                    leading(data, anchor, length // 2),
-                    gram.view(np.int64),
-                    names[:, 0],
-                    names[:, 1],
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=RUNS.replace(" long", "").split(", "))
-
-    return rows.filter(F.length("data") >= length).select("k1", "k2", "data").mapInArrow(run, RUNS)
-
-
-def every_passage(rows: DataFrame, length: int) -> DataFrame:
-    """The suffixes of all passages in the runs of ``rows(k1, k2, data, runs)``."""
+            keys = [batch.column(k).to_numpy() for k in KEY]
+            for low, high, anchor, grams in winnower.runs(data, offsets):
+                stretch = np.searchsorted(offsets, low, side="right") - 1
+                own = [key[stretch] for key in keys]
+                shift = own[2] - offsets[stretch]
+                places = [(low + shift).astype(np.int32), (high + shift).astype(np.int32)]
+                tokens = [leading(data, anchor, gram), grams.view(np.int64), *digests(memoryview(data), low, high + length)]
+                names = [field.split()[0] for field in RUNS.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*own, *places, *tokens)], names=names)
+
+    return stretches.filter(F.length("data") >= length).select(*KEY, "data").mapInArrow(run, RUNS)
+
+
+def covered_stretches(rows: DataFrame, length: int) -> DataFrame:
+    """The stretches of text that the ``runs`` of ``rows(k1, k2, start, data, runs)`` cover.
+
+    Runs that overlap by half a passage share a stretch; the few passages between them are looked at again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                data = batch.column("data")[i].as_buffer()
-                numbers = np.frombuffer(data, dtype=np.uint8)
-                pieces = [np.arange(r["low"], r["high"] + 1) for r in batch.column("runs")[i].as_py()]
-                places = np.unique(np.concatenate(pieces))
-                for start in range(0, len(places), CHUNK // 8):
-                    at = places[start : start + CHUNK // 8]
-                    names = digests(memoryview(data), at, at + length)
-                    keys = [np.full(len(at), batch.column(k)[i].as_py(), dtype=np.int64) for k in ("k1", "k2")]
-                    columns = [*keys, at, leading(numbers, at, length), names[:, 0], names[:, 1]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c) for c in columns], names=PASSAGES.replace(" long", "").split(", ")
-                    )
-
-    return rows.mapInArrow(run, PASSAGES)
+            out = []
+            columns = [batch.column(c) for c in (*KEY, "data", "runs")]
+            for k1, k2, start, data, runs in zip(*columns):
+                view, begin = memoryview(data.as_buffer()), start.as_py()
+                for low, high in joined_runs(sorted((r["low"], r["high"]) for r in runs.as_py()), length // 2):
+                    out.append((k1.as_py(), k2.as_py(), low, view[low - begin : high + length - begin].tobytes()))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            arrays = [pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*KEY, "data"])
+
+    return rows.select(*KEY, "data", "runs").mapInArrow(run, STRETCHES)
+
+
+def joined_runs(runs: list[tuple[int, int]], near: int) -> list[tuple[int, int]]:
+    """Sorted runs, those that begin at most ``near`` after an earlier one's end made one."""
+    out = runs[:1]
+    for low, high in runs[1:]:
+        if low <= out[-1][1] + near:
+            out[-1] = out[-1][0], max(out[-1][1], high)
+        else:
+            out.append((low, high))
+    return out
 
 
 def multikey_quicksort(tokens: list[np.ndarray]) -> np.ndarray:
@@ -284,45 +294,51 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null texts count as empty; texts shorter than ``length`` only have empty lists. Rows of one id are documents of their
     own; of the same id and text too, and those repeat each other. Null ids are kept. Other columns are ignored, whatever
-    their names. An empty table gives an empty result.
+    their names. An empty table gives an empty result. ``length`` must be 8 at least.
     """
-    return keyed(docs, id_col, text_col).join(_covered(docs, id_col, text_col, length), ["k1", "k2"], "left").select(
-        "id", "data", F.coalesce("spans", F.array().cast("array<struct<low:bigint,high:bigint>>")).alias("spans")
-    )
-
-
-def _covered(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """``(k1, k2, spans)`` of the documents that lose anything."""
     rows = keyed(docs, id_col, text_col)
-    runs = store(anchored_runs(rows, length), "suffix-runs")
-    found = with_neighbours(runs, RUN_TOKENS, 2, ["k1", "k2", "low"])
-    found = store(found.select("k1", "k2", "low", "high", "same", "other"), "suffix-found")
-    asked = found.filter("other").groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
-    asked = store(asked, "suffix-asked")
-    # a document that stands in several rows has all its runs settled already; one of the rows is enough here
-    texts = only_members(rows.select("k1", "k2", "data"), "k1", asked.select("k1"))
-    texts = texts.join(asked, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    passages = store(every_passage(texts, length), "suffix-passages")
-    repeated = with_neighbours(passages, PASSAGE_TOKENS, len(PASSAGE_TOKENS), ["k1", "k2", "low"])
-    spans = found.filter("same").select("k1", "k2", "low", (F.col("high") + length).alias("high"))
-    spans = spans.unionByName(repeated.select("k1", "k2", "low", (F.col("low") + length).alias("high"))).distinct()
-    collected = spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans"))
+    covered = store(_covered(rows, length), "suffix-spans")
+    bits = filter_bits(covered.count())
+    slot = covered.select(F.explode(F.array(*slots(F.col("k1"), bits))).alias("slot"))
+    maybe = passes(rows, bitmaps(slot, "slot"), slots(F.col("k1"), bits), "maybe")
+    none = F.array().cast(SPANS)
+    # documents that lose nothing are not shuffled
+    untouched = maybe.filter("NOT maybe").select("id", "data", none.alias("spans"))
+    touched = maybe.filter("maybe").join(covered, ["k1", "k2"], "left")
+    return untouched.unionByName(touched.select("id", "data", F.coalesce("spans", none).alias("spans")))
+
+
+def _covered(rows: DataFrame, length: int) -> DataFrame:
+    """``(k1, k2, spans)`` of the ``rows(k1, k2, data)`` that lose anything."""
+    stretches, spans = rows.select("k1", "k2", F.lit(0).alias("start"), "data"), None
+    grams = [length // 2, 3 * length // 4, 7 * length // 8, length]
+    for gram in grams:
+        runs = store(anchored_runs(stretches, length, gram), "suffix-runs")
+        found = with_neighbours(runs, TOKENS, 2, [*KEY, "low"])
+        settled = found.filter("same").select("k1", "k2", "low", (F.col("high") + length).alias("high"))
+        spans = settled if spans is None else spans.unionByName(settled)
+        if gram < length:
+            asked = found.filter("other").groupBy(*KEY).agg(F.collect_set(F.struct("low", "high")).alias("runs"))
+            asked = store(asked, "suffix-asked")
+            if gram == grams[0]:
+                # a document that stands in several rows has all its runs settled already; one of the rows is enough
+                stretches = only_members(stretches, "k1", asked.select("k1")).join(asked, KEY).dropDuplicates(KEY)
+            else:
+                stretches = stretches.join(asked, KEY)
+            stretches = store(covered_stretches(stretches, length), "suffix-stretches")
+    collected = spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             merged = []
-            for spans in batch.column("spans"):
-                low, high = (spans.values.field(i).to_numpy() for i in range(2))
-                reach = np.maximum.accumulate(high)
-                new = np.concatenate([[True], low[1:] > reach[:-1]])
-                last = np.concatenate([np.nonzero(new)[0][1:] - 1, [len(low) - 1]])
-                merged.append([{"low": a, "high": b} for a, b in zip(low[new].tolist(), reach[last].tolist())])
-            kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+            for spans in batch.column("spans").to_pylist():
+                merged.append([{"low": a, "high": b} for a, b in joined_runs(sorted((r["low"], r["high"]) for r in spans), 0)])
+            kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("k1"), batch.column("k2"), pa.array(merged, kind)], names=["k1", "k2", "spans"]
             )
 
-    return collected.mapInArrow(merge, "k1 long, k2 long, spans array<struct<low:bigint,high:bigint>>")
+    return collected.mapInArrow(merge, f"k1 long, k2 int, spans {SPANS}")
 
 
 def without_repeats(
