@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnsearch.functions.text import word_tokens
 
 TITLE_WEIGHT, CONTENT_WEIGHT = "A", "D"
+DOCUMENTS_AT_ONCE = 256
 POSTINGS_SCHEMA = (
     "lexeme string, id long, field string, weight string, positions array<int>, doc_length long"
 )
@@ -33,42 +40,50 @@ def tokenised(documents: DataFrame, weighted: bool) -> DataFrame:
     )
 
 
-def token_positions(tokens: DataFrame) -> DataFrame:
-    """One row per word: ``(id, pos, lexeme, title_tokens, doc_length)``, positions from 1.
-
-    ``posexplode_outer`` rather than ``posexplode``: for the latter the optimiser adds a
-    size-above-zero filter below the tokeniser and so runs the tokeniser twice.
-    """
-    return (
-        tokens.select(
-            "id",
-            "title_tokens",
-            F.size("tokens").cast("long").alias("doc_length"),
-            F.posexplode_outer("tokens").alias("at", "lexeme"),
-        )
-        .filter(F.col("lexeme").isNotNull())
-        .select("id", (F.col("at") + 1).alias("pos"), "lexeme", "title_tokens", "doc_length")
-    )
-
-
 def build_postings(documents: DataFrame) -> DataFrame:
     """The inverted index: one row per lexeme, document and field (``POSTINGS_SCHEMA``).
 
-    All words of a document come from one input row, so map-side aggregation already forms
-    its position lists and the shuffle moves finished lists, keyed by document.
+    All words of a document stand in one row, so position lists are finished within it: words are
+    numbered batch by batch and sorted by document, word and field, and nothing is shuffled.
     """
-    in_title = F.col("pos") <= F.col("title_tokens")
-    lists = (
-        token_positions(tokenised(documents, weighted=True))
-        .withColumn("field", F.when(in_title, F.lit("title")).otherwise(F.lit("content")))
-        .groupBy("id", "lexeme", "field", "doc_length")
-        .agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-        .withColumn(
-            "weight",
-            F.when(F.col("field") == "title", F.lit(TITLE_WEIGHT)).otherwise(F.lit(CONTENT_WEIGHT)),
-        )
+    tokens = tokenised(documents, weighted=True)
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, DOCUMENTS_AT_ONCE):
+                yield position_lists(batch.slice(start, DOCUMENTS_AT_ONCE))
+
+    return tokens.select("id", "tokens", "title_tokens").mapInArrow(group, POSTINGS_SCHEMA)
+
+
+def position_lists(documents: pa.RecordBatch) -> pa.RecordBatch:
+    """The postings of ``documents(id, tokens, title_tokens)``, in document order."""
+    lists = documents.column("tokens")
+    lengths = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    words = lists.flatten().dictionary_encode()
+    of_document = np.repeat(np.arange(len(lengths)), lengths)
+    position = np.arange(len(of_document)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
+    in_content = position > np.repeat(documents.column("title_tokens").to_numpy(), lengths)
+    code = words.indices.to_numpy().astype(np.int64)
+    key = (of_document * max(1, len(words.dictionary)) + code) * 2 + in_content
+    order = np.argsort(key, kind="stable")
+    sorted_key = key[order]
+    first = np.nonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))[0] if len(key) else order
+    chosen = order[first]
+    content = pa.array(in_content[chosen])
+    offsets = pa.array(np.append(first, len(order)), pa.int32())
+    positions = pa.ListArray.from_arrays(offsets, pa.array(position[order], pa.int32()))
+    return pa.RecordBatch.from_arrays(
+        [
+            words.dictionary.take(pa.array(code[chosen])),
+            documents.column("id").take(pa.array(of_document[chosen])),
+            pc.if_else(content, "content", "title"),
+            pc.if_else(content, CONTENT_WEIGHT, TITLE_WEIGHT),
+            positions,
+            pa.array(lengths[of_document[chosen]]),
+        ],
+        names=[field.split()[0] for field in POSTINGS_SCHEMA.split(", ")],
     )
-    return lists.select("lexeme", "id", "field", "weight", "positions", "doc_length")
 
 
 def missing_postings(documents: DataFrame, postings: DataFrame) -> DataFrame:
@@ -88,15 +103,16 @@ def write_postings(
 
     Range partitioning by both columns splits a lexeme found everywhere over many files, and
     sorted files let the reader skip every row group that holds no asked-for lexeme. Without
-    ``partitions`` there are as many as ``spark.sql.shuffle.partitions`` says.
+    ``partitions`` there are as many as ``spark.sql.shuffle.partitions`` says. Spark samples the
+    rows for the range bounds before it shuffles them, so they are kept on disk meanwhile.
     """
     order = ["lexeme", "id"]
-    ranged = (
-        postings.repartitionByRange(partitions, *order)
-        if partitions
-        else postings.repartitionByRange(*order)
-    )
-    ranged.sortWithinPartitions(*order).write.mode(mode).parquet(path)
+    kept = postings.persist(StorageLevel.DISK_ONLY)
+    try:
+        ranged = kept.repartitionByRange(partitions, *order) if partitions else kept.repartitionByRange(*order)
+        ranged.sortWithinPartitions(*order).write.mode(mode).parquet(path)
+    finally:
+        kept.unpersist()
     return read_postings(postings.sparkSession, path)
 
 
