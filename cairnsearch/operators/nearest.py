@@ -3,18 +3,16 @@
 * One query, or a bounded set: the query matrix is broadcast; each task scores its own Arrow
   batches with one matrix product and hands on at most k rows per query. Vectors stay put.
   On half a million 64-float vectors this took a sixth of the time of a column expression.
-* Any number: vectors and queries are cut into blocks, each block pair is one bounded group.
-  Only the best k of each block pair leave the group, never the pairs themselves.
+* Any number: a join by cells that stays exact (``neighbour_join``).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -126,8 +124,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, strategy: str = "aut
     elif strategy == "broadcast":
         raise ValueError("too many queries to broadcast")
     else:
-        one_cell = F.lit(0).alias("cell")
-        scored = score_in_blocks(vectors.select("*", one_cell), queries.select("*", one_cell), k)
+        from cairnsearch.operators.neighbour_join import nearest_by_cells
+
+        return nearest_by_cells(vectors, queries, k)
     return top_k_per_query(scored, k, "dist", "id")
 
 
@@ -194,75 +193,3 @@ def _queries_by_cell(query_ids: list, probes: dict | None) -> dict[int, np.ndarr
         for cell in probes[query_id]:
             by_cell.setdefault(int(cell), []).append(index)
     return {cell: np.array(indexes) for cell, indexes in by_cell.items()}
-
-
-def score_in_blocks(
-    vectors: DataFrame,
-    queries: DataFrame,
-    k: int,
-    vector_block: int = VECTOR_BLOCK,
-    query_block: int = QUERY_BLOCK,
-) -> DataFrame:
-    """Best k per (query, block), pairing ``vectors`` and ``queries`` of the same ``cell``.
-
-    A cell of any size is cut into as many blocks as its row count asks for, so a cell that
-    holds a third of all rows becomes a third of all blocks, not one huge group.
-    """
-    spark = vectors.sparkSession
-    query_id_type = queries.schema["query_id"].dataType.simpleString()
-    sizes = _block_counts(spark, vectors, queries, vector_block, query_block)
-
-    def place(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        return (
-            df.join(F.broadcast(sizes), "cell")
-            .withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own}_count")).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}_count") - 1)))
-            .drop("vector_block_count", "query_block_count")
-        )
-
-    block = ["cell", "vector_block", "query_block"]
-    placed_vectors = place(vectors, "id", "vector_block", "query_block").groupBy(*block)
-    placed_queries = place(queries, "query_id", "query_block", "vector_block").groupBy(*block)
-
-    def score(vector_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
-        if not vector_rows.num_rows or not query_rows.num_rows:
-            return pa.table(
-                {
-                    "query_id": query_rows.column("query_id").slice(0, 0),
-                    "id": pa.array([], pa.int64()),
-                    "dist": pa.array([], pa.float64()),
-                }
-            )
-        matrix = vector_matrix(query_rows.column("query_vec").combine_chunks()).astype(np.float64)
-        best = RunningTopK(matrix, k)
-        best.offer(
-            vector_rows.column("id").to_numpy(),
-            vector_matrix(vector_rows.column("embedding").combine_chunks()),
-        )
-        return pa.table(
-            {
-                "query_id": query_rows.column("query_id").take(pa.array(best.query)),
-                "id": pa.array(best.id),
-                "dist": pa.array(best.distance),
-            }
-        )
-
-    return placed_vectors.cogroup(placed_queries).applyInArrow(
-        score, f"query_id {query_id_type}, id long, dist double"
-    )
-
-
-def _block_counts(
-    spark: SparkSession, vectors: DataFrame, queries: DataFrame, vector_block: int, query_block: int
-) -> DataFrame:
-    """Blocks per cell; as many rows as there are cells, which the index bounds."""
-    counts = {row["cell"]: row["count"] for row in vectors.groupBy("cell").count().collect()}
-    asked = {row["cell"]: row["count"] for row in queries.groupBy("cell").count().collect()}
-    rows = [
-        (cell, math.ceil(n / vector_block), math.ceil(asked[cell] / query_block))
-        for cell, n in counts.items()
-        if cell in asked
-    ]
-    return spark.createDataFrame(
-        rows, "cell int, vector_block_count int, query_block_count int"
-    )

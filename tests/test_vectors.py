@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
+from cairnsearch.operators import cells as cells_module
 from cairnsearch.operators import nearest as near
+from cairnsearch.operators import neighbour_join as join
 from cairnsearch.operators.cells import append_cells, build_cells, read_cells, search_cells, write_cells
 from cairnsearch.session import shared_folder
 
@@ -58,14 +60,69 @@ def test_zero_vectors_come_last(data, tables):
     assert all(ids[-1] == 7 and len(ids) == len(vectors) for ids in found.values())
 
 
-def test_small_blocks_split_every_group(data, tables):
-    from pyspark.sql import functions as F
+def test_small_blocks_split_every_cell(data, tables):
+    """A cell that holds a third of the rows becomes many blocks, and no vector is in two of them."""
+    held = tables[0].filter("embedding IS NOT NULL")
+    centres = join.sampled_centres(held, 400)
+    assert len(centres) == 20
+    placed = join.with_cells(held, centres)
+    cells = join.bounds_of(centres, join.measured(placed))
+    visits = tables[1].filter("size(query_vec) > 0").crossJoin(placed.select("cell").distinct())
+    asked = {row["cell"]: row["count"] for row in visits.groupBy("cell").count().collect()}
+    scored = join.score_visits(placed, visits, cells, asked, 10, vector_block=30, query_block=4)
+    assert by_query(near.top_k_per_query(scored, 10, "dist", "id")) == brute_force(*data, 10)
+    blocks = join.blocks_of(cells.counts, asked, 30, 4)
+    assert max(blocks.values()) >= 150 * 13 // 120
+    sizes = held.sparkSession.createDataFrame(list(blocks.items()), "cell int, blocks int")
+    resting = join.place_vectors(placed, sizes)
+    assert resting.count() == held.count() == resting.select("id").distinct().count()
+    assert "Generate" not in resting._jdf.queryExecution().executedPlan().toString()
 
-    vectors, queries = (t.withColumn("cell", F.lit(0)) for t in tables)
-    vectors, queries = vectors.filter("embedding IS NOT NULL"), queries.filter("size(query_vec) > 0")
-    scored = near.score_in_blocks(vectors, queries, 10, vector_block=30, query_block=4)
-    hits = near.top_k_per_query(scored, 10, "dist", "id")
-    assert by_query(hits) == brute_force(*data, 10)
+
+def clustered(n, seed, centres=20, dim=16):
+    rng = np.random.default_rng(seed)
+    places = rng.normal(size=(centres, dim))
+    return (places[rng.integers(0, centres, n)] + 0.1 * rng.normal(size=(n, dim))).astype(np.float32)
+
+
+@pytest.mark.parametrize("strategy", ["auto", "blocks"])
+def test_exact_search_leaves_most_cells_unread(spark, strategy, monkeypatch):
+    vectors = dict(enumerate(clustered(600, 5)))
+    queries = {i: v.astype(float) for i, v in enumerate(clustered(600, 5)[:9] * 3)}
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "id long, embedding array<float>")
+    asked = spark.createDataFrame([(i, q.tolist()) for i, q in queries.items()], "query_id long, query_vec array<double>")
+    index = write_cells(build_cells(rows, lists=20), shared_folder(spark, "cells"))
+    read = []
+    for module, name in ((cells_module, "_score_few"), (join, "score_visits")):
+        kept = getattr(module, name)
+
+        def counting(*args, kept=kept, name=name):
+            # chosen cells are the last argument but one of the one, a dictionary; counts per cell of the other
+            named = args[4] if name == "_score_few" else {0: list(args[3])}
+            read.extend(int(c) for cells in named.values() for c in cells)
+            return kept(*args)
+
+        monkeypatch.setattr(module, name, counting)
+    assert by_query(search_cells(index, asked, 5, strategy=strategy)) == brute_force(vectors, queries, 5)
+    assert len(set(read)) < 16
+
+
+@pytest.mark.parametrize("strategy", ["auto", "blocks"])
+def test_exact_search_with_zero_vectors_and_copies(spark, data, tables, strategy):
+    index = write_cells(build_cells(tables[0], lists=6), shared_folder(spark, "cells"))
+    assert by_query(search_cells(index, tables[1], 10, strategy=strategy)) == brute_force(*data, 10)
+    many = by_query(search_cells(index, tables[1], 1000, strategy=strategy))
+    assert all(ids[-1] == 7 and len(ids) == len(data[0]) for ids in many.values())
+    zero = spark.createDataFrame([(1, [0.0] * 8)], "query_id long, query_vec array<double>")
+    assert by_query(search_cells(index, zero, 3, strategy=strategy)) == {1: [0, 1, 2]}
+
+
+def test_join_of_empty_sides(spark, tables):
+    assert near.nearest(tables[0].limit(0), tables[1], 3, strategy="blocks").count() == 0
+    assert near.nearest(tables[0], tables[1].limit(0), 3, strategy="blocks").count() == 0
+    zeros = spark.createDataFrame([(2, [0.0, 0.0]), (1, [0.0, 0.0])], "id long, embedding array<float>")
+    asked = spark.createDataFrame([(5, [1.0, 2.0])], "query_id long, query_vec array<double>")
+    assert by_query(near.nearest(zeros, asked, 3, strategy="blocks")) == {5: [1, 2]}
 
 
 def test_nearest_to_one(data, tables):
