@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SOURCE_COLUMNS = ("title", "text", "namespace", "contributors")
@@ -94,8 +94,24 @@ def source_expressions(raw: DataFrame) -> list:
 
 
 def read_documents(spark: SparkSession, paths: list[str], limit: int = 0) -> DataFrame:
-    documents = normalise(spark.read.parquet(*paths))
-    return documents.limit(limit) if limit > 0 else documents
+    """The documents in the files of ``paths``, or the first ``limit`` of them in the order of file names and rows.
+
+    Rows are counted per file, from footers alone, up to the file the limit falls in. The rows kept are then a filter on
+    file names and places in a file: no task gathers them, and every run gives the same ones.
+    """
+    raw = spark.read.parquet(*paths)
+    if limit <= 0:
+        return normalise(raw)
+    counts = raw.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
+    needed = counts.select("path", (F.lit(limit) - F.coalesce(before, F.lit(0))).alias("left"), "n").filter("left > 0")
+    files = needed.orderBy("path").collect()  # the files that hold the first rows
+    whole = [row["path"] for row in files if row["n"] <= row["left"]]
+    part = [row for row in files if row["n"] > row["left"]]
+    kept = F.col("_metadata.file_path").isin(whole)
+    for row in part:
+        kept = kept | ((F.col("_metadata.file_path") == row["path"]) & (F.col("_metadata.row_index") < row["left"]))
+    return normalise(raw.filter(kept))
 
 
 def first_rows(df: DataFrame, n: int, key: str = "id") -> DataFrame:
@@ -138,7 +154,7 @@ def _nth_key(df: DataFrame, n: int, key: str) -> int | None:
 def corpus_view(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Tables ``documents(doc_id, text, lang, source)`` and ``embeddings(vec_id, embedding)`` as a corpus.
 
-    The title is the start of the text's first line; a document without a vector keeps null.
+    The title is the text's first line; a document without a vector keeps null.
     """
     vectors = embeddings.select(F.col("vec_id").alias("id"), "embedding")
     return corpus_texts(documents).join(vectors, "id", "left")
@@ -147,7 +163,7 @@ def corpus_view(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
 def corpus_texts(documents: DataFrame) -> DataFrame:
     return documents.select(
         F.col("doc_id").alias("id"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("content"),
         F.col("lang").alias("namespace"),
         F.col("source").alias("contributors"),

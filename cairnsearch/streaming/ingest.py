@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from cairnsearch.operators.embed import Embedder, embed
 from cairnsearch.sources.corpus_table import CORPUS_SCHEMA, append_documents, read_corpus
 from cairnsearch.sources.documents import path_exists
+from cairnsearch.sources.id_blocks import with_claimed_ids
 from cairnsearch.streaming.progress import run_status
+from cairnsearch.streaming.upkeep import IndexUpkeep
 
 LOG_SCHEMA = "batch_id long, at timestamp, rows_read long, inserted long"
 
@@ -24,9 +27,20 @@ def embedded_documents(
 
 
 def ingest_batch(
-    rows: DataFrame, path: str, make_embedder: Callable[[], Embedder], dim: int | None = None
+    rows: DataFrame,
+    path: str,
+    make_embedder: Callable[[], Embedder],
+    dim: int | None = None,
+    ids: str | None = None,
+    writer: str | None = None,
 ) -> DataFrame:
-    """Embed and append all rows; returns ``(rows_read, inserted)``, counted as they pass."""
+    """Embed and append all rows; returns ``(rows_read, inserted)``, counted as they pass.
+
+    With ``ids``, a folder that all writers of a corpus share, the rows need no ``id``: blocks of ids
+    are claimed there (see ``id_blocks``) under the name ``writer``, by default one of its own.
+    """
+    if ids is not None:
+        rows = with_claimed_ids(rows, ids, writer or uuid.uuid4().hex)
     read = Observation()
     counted = rows.observe(read, F.count(F.lit(1)).alias("rows"))
     inserted = append_documents(embedded_documents(counted, make_embedder, dim), path)
@@ -53,20 +67,33 @@ class StreamTables:
     def checkpoint(self) -> str:
         return f"{self.root}/checkpoint"
 
+    @property
+    def ids(self) -> str:
+        return f"{self.root}/ids"
+
+    def index(self, lists: int = 0, **options) -> IndexUpkeep:
+        return IndexUpkeep(f"{self.root}/index", lists, **options)
+
 
 def start_stream(
     rows: DataFrame,
     tables: StreamTables,
     make_embedder: Callable[[], Embedder],
     dim: int | None = None,
+    index: IndexUpkeep | None = None,
 ):
     """Ingest all files now present, in micro-batches, and stop; a restart takes up where it ended.
 
     A batch is replayed after a failure, so each writes a folder of its own, named by batch id
-    and overwritten on replay: documents are stored once, whatever happened on the way.
+    and overwritten on replay: documents are stored once, whatever happened on the way. Rows
+    without an ``id`` get claimed ones, and a replayed batch the same. ``index`` is kept up with
+    the documents: each batch adds a segment from the rows it stored, and none is read again.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        if "id" not in batch.columns:
+            batch = with_claimed_ids(batch, tables.ids, f"batch {batch_id}")
+        folder = f"{tables.documents}/batch_id={batch_id}"
         read, written = Observation(), Observation()
         counted = batch.observe(read, F.count(F.lit(1)).alias("rows"))
         (
@@ -74,8 +101,10 @@ def start_stream(
             .withColumn("created_at", F.current_timestamp())
             .observe(written, F.count(F.lit(1)).alias("rows"))
             .write.mode("overwrite")
-            .parquet(f"{tables.documents}/batch_id={batch_id}")
+            .parquet(folder)
         )
+        if index is not None:
+            index.add(read_corpus(batch.sparkSession, folder), batch_id)
         batch.sparkSession.range(1).select(
             F.current_timestamp().alias("at"),
             F.lit(read.get["rows"]).cast("long").alias("rows_read"),
