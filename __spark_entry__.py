@@ -34,7 +34,7 @@ from cairnsearch.plans.hybrid import hybrid_search
 from cairnsearch.plans.semantic import semantic_search
 from cairnsearch.session import shared_folder
 from cairnsearch.sources import config_table, corpus_table, documents
-from cairnsearch.streaming import ingest, progress
+from cairnsearch.streaming import ingest, progress, upkeep
 
 try:
     from cairnsearch.llm import queries as llm_queries
@@ -49,6 +49,7 @@ cloudpickle.register_pickle_by_value(cairnsearch)
 if __name__ in sys.modules:
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+PROBES = 60
 QUERY_VECTOR_ID = oracles.QUERY_VECTOR_ID
 TEXT_QUERIES = oracles.TEXT_QUERIES
 TOP = 20
@@ -143,8 +144,7 @@ def doc_source_limit(spark, sf_dir):
 
 
 def doc_source_limit_range(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return documents.first_rows(docs, 150, key="doc_id")
+    return documents.read_documents(spark, [f"{sf_dir}/documents.parquet"], limit=150)
 
 
 def doc_sink_append(spark, sf_dir):
@@ -224,7 +224,7 @@ def document_rows(spark, sf_dir):
 def corpus_rows(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").alias("id"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         "text",
         F.col("lang").alias("namespace"),
         F.col("source").alias("contributors"),
@@ -298,9 +298,22 @@ def stored_cells(spark: SparkSession, sf_dir: str) -> CellIndex:
 _cells: dict[tuple[str, str], CellIndex] = {}
 
 
-def cell_search(spark, sf_dir, strategy: str) -> DataFrame:
+def cell_search(spark, sf_dir, strategy: str, probes: int | None = None) -> DataFrame:
     cells, queries = stored_cells(spark, sf_dir), benchmark_queries(spark, sf_dir)
-    return rounded_hits(search_cells(cells, queries, TOP, probes=cells.lists, strategy=strategy))
+    return rounded_hits(search_cells(cells, queries, TOP, probes=probes, strategy=strategy))
+
+
+def vector_ivf_probed(spark, sf_dir):
+    """Through the ``PROBES`` cells nearest to each query: what it finds may lack some neighbours."""
+    return cell_search(spark, sf_dir, "auto", PROBES)
+
+
+def vector_ivf_recall(spark, sf_dir):
+    """How much of the exact result the probed cells hold: the hits of both, and whether nine in ten are shared."""
+    exact, probed = vector_ivf_search(spark, sf_dir), vector_ivf_probed(spark, sf_dir)
+    shared = exact.join(probed.select("query_id", "id", F.lit(1).alias("found")), ["query_id", "id"], "left")
+    counted = shared.agg(F.count("*").alias("n_hits"), F.count("found").alias("found"))
+    return counted.select("n_hits", (F.col("found") >= 0.9 * F.col("n_hits")).alias("nine_in_ten_found"))
 
 
 def vector_ivf_search(spark, sf_dir):
@@ -335,9 +348,7 @@ def tokenise_simple(spark, sf_dir):
 
 
 def postings_build(spark, sf_dir):
-    return build_postings(texts(spark, sf_dir)).select(
-        "lexeme", "id", "field", F.concat_ws(",", F.col("positions").cast("array<string>")).alias("positions")
-    )
+    return shown_postings(build_postings(texts(spark, sf_dir)))
 
 
 def postings_weighted(spark, sf_dir):
@@ -518,6 +529,16 @@ def hybrid_vector_only(spark, sf_dir):
     return rounded_results(search_both(spark, sf_dir, queries))
 
 
+def hybrid_vector_only_100(spark, sf_dir):
+    queries = benchmark_queries(spark, sf_dir).withColumns({"enable_text": F.lit(False), "max_hits": F.lit(100)})
+    return rounded_results(search_both(spark, sf_dir, queries))
+
+
+def hybrid_text_only_100(spark, sf_dir):
+    queries = one_query(spark, sf_dir).withColumns({"vector_mode": F.lit("NONE"), "max_hits": F.lit(100)})
+    return rounded_results(search_both(spark, sf_dir, queries))
+
+
 def hybrid_text_only(spark, sf_dir):
     queries = one_query(spark, sf_dir).withColumn("vector_mode", F.lit("NONE"))
     return rounded_results(search_both(spark, sf_dir, queries))
@@ -656,7 +677,7 @@ def stream_ingest(spark, sf_dir):
     return stored_letters(ingest.read_ingested(spark, tables))
 
 
-def run_in_parts(spark, sf_dir):
+def run_in_parts(spark, sf_dir, **options):
     """A stream's tables and last query; good documents arrive first, then other labelled ones, then the rest."""
     tables, source = ingest.StreamTables(shared_folder(spark, "stream")), shared_folder(spark, "arriving")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -664,11 +685,50 @@ def run_in_parts(spark, sf_dir):
     for part in ("quality = 1", "quality <> 1", "quality IS NULL"):
         corpus_rows(docs.filter(part)).write.mode("append").parquet(source)
         rows = spark.readStream.schema(corpus_rows(docs).schema).parquet(source)
-        stream = ingest.start_stream(rows, tables, letter_counter, dim=26)
+        stream = ingest.start_stream(rows, tables, letter_counter, dim=26, **options)
         stream.awaitTermination()
     return tables, stream
 
 
+def run_with_index(spark, sf_dir) -> upkeep.IndexUpkeep:
+    """An index kept by a stream of three batches, of which the first two have been merged when the last one arrives."""
+    index = upkeep.IndexUpkeep(shared_folder(spark, "index"), lists=20, fan=2)
+    run_in_parts(spark, sf_dir, index=index)
+    return index
+
+
+def shown_postings(postings: DataFrame) -> DataFrame:
+    positions = F.concat_ws(",", F.col("positions").cast("array<string>"))
+    return postings.select("lexeme", "id", "field", positions.alias("positions"))
+
+
+def stream_ingest_postings(spark, sf_dir):
+    return shown_postings(run_with_index(spark, sf_dir).postings(spark))
+
+
+def stream_ingest_search(spark, sf_dir):
+    """Exact search through the cells that a stream kept, for vectors of the benchmark passages."""
+    asked = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query_text")
+    )
+    asked = embedding.embed_asked(asked, letter_counter, 26)
+    return rounded_hits(search_cells(run_with_index(spark, sf_dir).cells(spark), asked, TOP))
+
+
+def ingest_claimed_ids(spark, sf_dir):
+    """Documents as read, without ids, stored by two writers."""
+    path, ids = shared_folder(spark, "corpus"), shared_folder(spark, "ids")
+    for _ in range(2):
+        rows = documents.read_documents(spark, [f"{sf_dir}/documents.parquet"])
+        ingest.ingest_batch(rows, path, letter_counter, dim=26, ids=ids)
+    stored = corpus_table.read_corpus(spark, path)
+    return stored.agg(
+        F.count("*").alias("n_documents"),
+        F.count_distinct("id").alias("n_ids"),
+        F.sum(F.length("content")).alias("content_length"),
+    )
+
+
 def run_history(spark, sf_dir):
     tables, _ = run_in_parts(spark, sf_dir)
     return progress.run_history(ingest.read_log(spark, tables)).select("batch_id", "rows_read", "inserted")
@@ -704,6 +764,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         vector_topk_batch_blocks,
         vector_ivf_search,
         vector_ivf_search_blocks,
+        vector_ivf_probed,
+        vector_ivf_recall,
         similarity_percent,
         tokenise_simple,
         postings_build,
@@ -727,7 +789,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         hybrid_unified_batch,
         hybrid_mode_dispatch,
         hybrid_vector_only,
+        hybrid_vector_only_100,
         hybrid_text_only,
+        hybrid_text_only_100,
         hybrid_text_only_position,
         lexical_confirm_filter,
         param_clamp,
@@ -738,7 +802,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         humanise_count,
         ingest_totals,
         ingest_batch,
+        ingest_claimed_ids,
         stream_ingest,
+        stream_ingest_postings,
+        stream_ingest_search,
         run_history,
         run_status,
     ]

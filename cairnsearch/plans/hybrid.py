@@ -16,6 +16,7 @@ from cairnsearch.operators.fusion import merge_scored, with_documents
 from cairnsearch.operators.nearest import nearest
 from cairnsearch.operators.sizing import Size, broadcast_if, localise
 from cairnsearch.plans.requests import (
+    SINGLE_CANDIDATES,
     TEXT_ONLY,
     UNIFIED,
     UNIFIED_CANDIDATES,
@@ -34,6 +35,8 @@ def hybrid_search(
     text_score: str = "rank_value",
     rrf_k: int = scores.RRF_K,
     make_embedder: Callable[[], Embedder] | None = None,
+    unified_candidates: int = UNIFIED_CANDIDATES,
+    single_candidates: int = SINGLE_CANDIDATES,
 ) -> DataFrame:
     """``(query_id, id, title, content_snippet, similarity_percent, total_score)`` for all queries.
 
@@ -49,11 +52,12 @@ def hybrid_search(
     """
     if make_embedder is not None:
         queries = embed_asked(queries, make_embedder)
-    requests, size = localise(prepare_requests(queries))
+    requests, size = localise(prepare_requests(queries, unified_candidates, single_candidates))
+    asked = requests.agg(F.max("candidates").alias("most"), F.sum("max_hits").alias("hits")).first()
     hits = hybrid_scores(
-        requests, size, documents, vectors, postings, cells, probes, text_score, rrf_k
+        requests, size, asked["most"] or 1, documents, vectors, postings, cells, probes, text_score, rrf_k
     )
-    most_hits = requests.agg(F.sum("max_hits")).first()[0] or 0
+    most_hits = asked["hits"] or 0
     # cut before the join, so that whole contents are never shuffled
     shown = documents.select("id", "title", snippet_hybrid(F.col("content")).alias("content_snippet"))
     return with_documents(hits, shown, most_hits).select(
@@ -64,6 +68,7 @@ def hybrid_search(
 def hybrid_scores(
     requests: DataFrame,
     size: Size,
+    candidates: int,
     documents: DataFrame,
     vectors: DataFrame | None = None,
     postings: DataFrame | None = None,
@@ -72,17 +77,20 @@ def hybrid_scores(
     text_score: str = "rank_value",
     rrf_k: int = scores.RRF_K,
 ) -> DataFrame:
-    """``(query_id, id, total_score, similarity_percent)``, at most ``max_hits`` rows per query."""
+    """``(query_id, id, total_score, similarity_percent)``, at most ``max_hits`` rows per query.
+
+    ``candidates`` is the largest number of candidates that a request asks for.
+    """
     if text_score not in ("rank_value", "position"):
         raise ValueError(f"unknown text score: {text_score}")
     with_vector = requests.filter(F.col("kind") != TEXT_ONLY)
     if cells is None:
-        near = nearest(documents if vectors is None else vectors, with_vector, UNIFIED_CANDIDATES)
+        near = nearest(documents if vectors is None else vectors, with_vector, candidates)
     else:
-        near = search_cells(cells, with_vector, UNIFIED_CANDIDATES, probes)
+        near = search_cells(cells, with_vector, candidates, probes)
     with_text = requests.filter(F.col("kind") != VECTOR_ONLY)
-    found = search_text(with_text, UNIFIED_CANDIDATES, documents, postings, size)
-    candidates = near.selectExpr(
+    found = search_text(with_text, candidates, documents, postings, size)
+    both = near.selectExpr(
         "query_id", "id", "r", "dist", "cast(NULL AS double) AS rank"
     ).unionByName(found.selectExpr("query_id", "id", "r", "cast(NULL AS double) AS dist", "rank"))
 
@@ -99,7 +107,7 @@ def hybrid_scores(
         "query_id", "kind", "candidates", "max_hits", "keyword_weight", "semantic_weight"
     )
     scored = (
-        candidates.join(broadcast_if(size.within(), settings), "query_id")
+        both.join(broadcast_if(size.within(), settings), "query_id")
         .filter(F.col("r") <= F.col("candidates"))
         .withColumn("score", score)
     )

@@ -18,12 +18,16 @@ SINGLE_CANDIDATES = 50
 UNIFIED, VECTOR_ONLY, TEXT_ONLY = "unified", "vector", "text"
 
 
-def prepare_requests(queries: DataFrame) -> DataFrame:
+def prepare_requests(
+    queries: DataFrame, unified_candidates: int = UNIFIED_CANDIDATES, single_candidates: int = SINGLE_CANDIDATES
+) -> DataFrame:
     """Complete ``queries(query_id, query_text, query_vec)`` and drop those that ask for nothing.
 
     Optional columns: ``max_hits`` (clamped to 1..100), ``keyword_weight`` (clamped to 0..1),
     ``vector_mode`` (``NONE`` turns vectors off; blank means the default) and ``enable_text``
     (null means on). A row without a vector searches text only; an empty vector finds nothing.
+    ``candidates`` says how many hits each side of a query is asked for: as given for its kind,
+    and never fewer than it may return.
     """
     given = set(queries.columns)
 
@@ -53,6 +57,6 @@ def prepare_requests(queries: DataFrame) -> DataFrame:
         .filter(f"kind IS NOT NULL AND NOT ({use_vector} AND size(query_vec) = 0)")
         .selectExpr(
             "*",
-            f"greatest(if(kind = '{UNIFIED}', {UNIFIED_CANDIDATES}, {SINGLE_CANDIDATES}), max_hits) AS candidates",
+            f"greatest(if(kind = '{UNIFIED}', {unified_candidates}, {single_candidates}), max_hits) AS candidates",
         )
     )

@@ -18,7 +18,7 @@ TRIM = r"^[\s\x1c-\x1f\p{Z}]+|[\s\x1c-\x1f\p{Z}]+$"
 WORDS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 CORPUS = """corpus AS (
-  SELECT d.doc_id AS id, substr(split_part(d.text, chr(10), 1), 1, 60) AS title, d.text AS content,
+  SELECT d.doc_id AS id, split_part(d.text, chr(10), 1) AS title, d.text AS content,
          d.lang AS namespace, d.source AS contributors, e.embedding
   FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
 
@@ -176,15 +176,15 @@ SELECT b.query_id, b.id, c.title, {SNIPPET.format('c.content')} AS content_snipp
 FROM best b JOIN corpus c USING (id) WHERE place <= 20"""
 
 
-def single_mode(ctes: str, source: str, score: str, dist: str) -> str:
+def single_mode(ctes: str, source: str, score: str, dist: str, candidates: int = 50, shown: int = 20) -> str:
     return f"""WITH {ctes},
-scored_hits AS (SELECT query_id, id, {score} AS total_score, {dist} AS dist FROM {source} WHERE r <= 50),
+scored_hits AS (SELECT query_id, id, {score} AS total_score, {dist} AS dist FROM {source} WHERE r <= {candidates}),
 best AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total_score DESC, id) AS place
   FROM scored_hits)
 SELECT b.query_id, b.id, c.title, {SNIPPET.format('c.content')} AS content_snippet,
        round((2 - b.dist) / 2 * 100, 6) AS similarity_percent, round(b.total_score, 6) AS total_score
-FROM best b JOIN corpus c USING (id) WHERE place <= 20"""
+FROM best b JOIN corpus c USING (id) WHERE place <= {shown}"""
 
 
 def dispatched() -> str:
@@ -227,7 +227,7 @@ def letters(text: str) -> str:
 
 SOURCE_CONFIG = """SELECT 'source.' || source AS key, {value}::VARCHAR AS value
   FROM documents SEMI JOIN (SELECT doc_id FROM labels WHERE {flag} = 1) USING (doc_id) GROUP BY source"""
-TITLE = "substr(split_part(text, chr(10), 1), 1, 60)"
+TITLE = "split_part(text, chr(10), 1)"
 TURN_VECTORS = """SELECT conv_id * 100 + turn AS query_id, embedding AS vec
   FROM conversations JOIN embeddings ON vec_id = conv_id WHERE role = 'user'"""
 
@@ -261,7 +261,8 @@ FROM documents d LEFT JOIN labels l USING (doc_id)""",
         "doc_source_split_select": """SELECT '' AS title, text, NULL::VARCHAR AS namespace,
   NULL::VARCHAR AS contributors FROM documents""",
         "doc_source_limit": limit,
-        "doc_source_limit_range": limit,
+        "doc_source_limit_range": """SELECT '' AS title, text, NULL::VARCHAR AS namespace,
+  NULL::VARCHAR AS contributors FROM documents ORDER BY doc_id LIMIT 150""",
         "doc_sink_append": f"""SELECT doc_id AS id, {TITLE} AS title, lang AS namespace,
   source AS contributors, 2 AS copies, length(text) AS content_length, 2 AS stamped FROM documents""",
         "doc_count": "SELECT count(*) AS n_documents FROM documents",
@@ -289,6 +290,8 @@ FROM near n JOIN corpus c USING (id) WHERE r <= 20""",
         "vector_topk_batch_blocks": vector_batch,
         "vector_ivf_search": vector_batch,
         "vector_ivf_search_blocks": vector_batch,
+        "vector_ivf_recall": f"""WITH {CORPUS}, {distances(BENCHMARK_VECTORS)}
+SELECT count(*) AS n_hits, true AS nine_in_ten_found FROM near WHERE r <= 20""",
         "similarity_percent": f"""WITH {CORPUS}, {distances(ONE_VECTOR)},
 placed AS (SELECT c.id, n.dist, coalesce({percent}, 0) AS percent FROM corpus c LEFT JOIN near n USING (id))
 SELECT id, round(dist, 6) AS dist, round(percent, 6) AS percent,
@@ -334,6 +337,12 @@ FROM (SELECT id, score FROM vector_part UNION ALL SELECT id, score FROM text_par
         "hybrid_text_only": single_mode(
             text_search(ONE_TEXT_ROW, FREQUENCY), "texts", "0.5::DOUBLE * (1 / (60 + rank)) * 61", "1::DOUBLE"
         ),
+        "hybrid_vector_only_100": single_mode(
+            f"{CORPUS}, {distances(BENCHMARK_VECTORS)}", "near", "0.5::DOUBLE * ((2 - dist) / 2)", "dist", 100, 100
+        ),
+        "hybrid_text_only_100": single_mode(
+            text_search(ONE_TEXT_ROW, FREQUENCY), "texts", "0.5::DOUBLE * (1 / (60 + rank)) * 61", "1::DOUBLE", 100, 100
+        ),
         "hybrid_text_only_position": single_mode(
             text_search(ONE_TEXT_ROW, FREQUENCY), "texts", "1::DOUBLE / (60 + r) * 61 * 0.5::DOUBLE", "1::DOUBLE"
         ),
@@ -383,6 +392,8 @@ SELECT doc_id, CASE
         "ingest_totals": "SELECT count(*) AS rows_read, count(*) AS inserted FROM documents",
         "ingest_batch": stored,
         "stream_ingest": stored,
+        "ingest_claimed_ids": """SELECT 2 * count(*) AS n_documents, 2 * count(*) AS n_ids,
+  (2 * sum(length(text)))::BIGINT AS content_length FROM documents""",
         "run_history": """WITH best AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
 part AS (
   SELECT CASE WHEN quality IS NULL THEN 2 WHEN quality = 1 THEN 0 ELSE 1 END AS batch_id
@@ -394,7 +405,9 @@ SELECT batch_id::BIGINT AS batch_id, (sum(n) OVER (ORDER BY batch_id))::BIGINT A
        NULL::VARCHAR AS error_message FROM documents""",
     }
     # without a stored index the words are ranked by frequency
+    found["stream_ingest_postings"] = found["postings_build"]
     by_text = {
+        "stream_ingest_search": vector_batch,
         "semantic_search_text": found["semantic_search"],
         "hybrid_search_text": hybrid(BENCHMARK_ROWS, BENCHMARK_VECTORS, FREQUENCY),
     }
