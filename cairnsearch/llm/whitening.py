@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.common import callMLlibFunc
+from pyspark import StorageLevel, TaskContext
 from pyspark.mllib.linalg import Matrices
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,19 +36,6 @@ def whole_numbers(column: Column, scale: int = SCALE, shift: int = SHIFT) -> Col
     return F.transform(column, lambda c: F.floor(c.cast("double") * scale) + F.lit(shift).cast("long"))
 
 
-def indexed(rows: DataFrame) -> DataFrame:
-    """``rows`` with an ``index`` from 0 without gaps, written down so that it stays."""
-    rows = store(rows.withColumn("place", F.monotonically_increasing_id()), "whitening-rows")
-    part = F.shiftright("place", 33)
-    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    # one row per task that wrote; each task numbers its rows from 0
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("part", F.coalesce(before, F.lit(0)).alias("start"))
-    within = F.col("place") - F.shiftleft(F.col("part"), 33)
-    out = rows.withColumn("part", part).join(broadcast_checked(starts), "part")
-    return store(out.withColumn("index", F.col("start") + within).drop("part", "start", "place"), "whitening-indexed")
-
-
 def sums(rows: DataFrame, dim: int) -> tuple[int, list[int]]:
     """The number of rows and the exact sum of each dimension of ``x``."""
 
@@ -68,10 +54,80 @@ def sums(rows: DataFrame, dim: int) -> tuple[int, list[int]]:
     return by_place.get(-1, 0), [by_place.get(i, 0) for i in range(dim)]
 
 
-def block_matrix(rows: DataFrame, index: str, vector: str, n: int, dim: int) -> BlockMatrix:
-    pairs = rows.select(F.col(index).alias("index"), array_to_vector(vector).alias("vector"))
-    matrix = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(pairs, "vector"), n, dim)
-    return matrix.toBlockMatrix(BLOCK_ROWS, min(dim, BLOCK_COLUMNS))
+def centred_blocks(rows: DataFrame, n: int, total: list[int]) -> DataFrame:
+    """``(block, ids, deviations, pieces)``: a row per ``BLOCK_ROWS`` rows of ``rows(id, x)``, numbered from 0.
+
+    ``pieces`` holds, for each ``BLOCK_COLUMNS`` dimensions, the rows less the mean, column by column; zeros fill the last
+    block of a task, and add nothing to any product.
+    """
+    dim, kind = len(total), rows.schema["id"].dataType.simpleString()
+    sums = np.array(total, dtype=object)
+    height, width = BLOCK_ROWS, min(dim, BLOCK_COLUMNS)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, ids, held = TaskContext.get().partitionId(), 0, [], np.empty((0, dim), dtype=np.int64)
+
+        def block(names: pa.Array, x: np.ndarray) -> pa.RecordBatch:
+            off, deviations = deviations_of(x, n, sums)
+            matrix = np.zeros((height, dim))
+            matrix[: len(x)] = off
+            pieces = [matrix[:, c : c + width].ravel(order="F") for c in range(0, dim, width)]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part], pa.int32()),
+                    pa.array([seq], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), names),
+                    pa.array([deviations], pa.list_(pa.int64())),
+                    pa.array([pieces], pa.list_(pa.list_(pa.float64()))),
+                ],
+                names=["part", "seq", "ids", "deviations", "pieces"],
+            )
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids.append(batch.column("id"))
+            held = np.concatenate([held, batch.column("x").flatten().to_numpy().reshape(-1, dim)])
+            names, at = pa.concat_arrays(ids), 0
+            while len(held) - at >= height:
+                yield block(names.slice(at, height), held[at : at + height])
+                seq, at = seq + 1, at + height
+            ids, held = [names.slice(at)], held[at:]
+        if len(held):
+            yield block(pa.concat_arrays(ids), held)
+
+    schema = f"part int, seq long, ids array<{kind}>, deviations array<long>, pieces array<array<double>>"
+    cut_rows = store(rows.select("id", "x").mapInArrow(cut, schema), "whitening-cut")
+    sizes = cut_rows.groupBy("part").agg(F.count("*").alias("n"))
+    # a row per task; each numbers its blocks from 0
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("part", F.coalesce(before, F.lit(0)).alias("start"))
+    numbered = cut_rows.join(broadcast_checked(starts), "part")
+    return numbered.select((F.col("start") + F.col("seq")).cast("int").alias("block"), "ids", "deviations", "pieces")
+
+
+def deviations_of(x: np.ndarray, n: int, sums: np.ndarray) -> tuple[np.ndarray, list]:
+    """Rows less their mean, and the exact sums of ``(n * x - sum) ** 2``, None beyond a long."""
+    largest = max(abs(int(v)) for v in (x.min(), x.max(), *sums)) * (n + 1)
+    if largest < 1 << 62:
+        off = n * x - sums.astype(np.int64)
+        if float(np.abs(off).max()) ** 2 * x.shape[1] < float(1 << 62):
+            return off / n, (off * off).sum(axis=1).tolist()
+    exact = n * x.astype(object) - sums
+    squares = [int(v) for v in (exact * exact).sum(axis=1)]
+    return (exact / n).astype(np.float64), [v if v < 1 << 63 else None for v in squares]
+
+
+def block_matrix(blocks: DataFrame, dim: int) -> BlockMatrix:
+    """The ``pieces`` as one distributed matrix, kept, since three products read it."""
+    height, width = BLOCK_ROWS, min(dim, BLOCK_COLUMNS)
+
+    def matrices(row):
+        return [((row["block"], j), Matrices.dense(height, len(p) // height, p)) for j, p in enumerate(row["pieces"])]
+
+    n_blocks = blocks.agg(F.max("block")).first()[0] + 1
+    placed = blocks.select("block", "pieces").rdd.flatMap(matrices)
+    return BlockMatrix(placed, height, width, n_blocks * height, dim).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def scatter(centred: BlockMatrix) -> np.ndarray:
@@ -94,10 +150,29 @@ def small_block_matrix(spark, matrix: np.ndarray) -> BlockMatrix:
     return BlockMatrix(spark.sparkContext.parallelize(blocks, 1), height, k, dim, k)
 
 
-def row_table(matrix: BlockMatrix) -> DataFrame:
-    """``(index, w)``: the rows of ``matrix`` as arrays, without a pass through Python."""
-    rows = callMLlibFunc("getIndexedRows", matrix.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
-    return rows.select("index", vector_to_array("vector").alias("w"))
+def with_ids(blocks: DataFrame, product: BlockMatrix) -> DataFrame:
+    """``(id, deviation, w)`` from ``blocks`` and the product of their matrix, whose blocks are as high."""
+    values = product.blocks.map(lambda block: (block[0][0], block[1].toArray().ravel().tolist()))
+    values = blocks.sparkSession.createDataFrame(values, "block int, w array<double>")
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, w = batch.column("ids").slice(i, 1).flatten(), batch.column("w").slice(i, 1).flatten()
+                k = len(w) // BLOCK_ROWS
+                offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * k)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids,
+                        batch.column("deviations").slice(i, 1).flatten(),
+                        pa.ListArray.from_arrays(offsets, w.slice(0, len(ids) * k)),
+                    ],
+                    names=["id", "deviation", "w"],
+                )
+
+    both = blocks.select("block", "ids", "deviations").join(values, "block").select("ids", "deviations", "w")
+    return both.mapInArrow(rows, f"id {kind}, deviation long, w array<double>")
 
 
 def identity_error(projected: DataFrame, kept: list[int]) -> float:
@@ -141,15 +216,10 @@ def whiten(
     if common is None:
         return spark.createDataFrame([], f"`{id_col}` {kind}, {RESULT}")
     dim = common["dim"]
-    rows = indexed(fitting.filter(F.size("x") == dim))
+    rows = fitting.filter(F.size("x") == dim)
     n, total = sums(rows, dim)
-    sum_of = F.array(*[F.lit(s).cast("long") for s in total])
-    off = F.zip_with("x", sum_of, lambda x, s: F.try_subtract(F.try_multiply(F.lit(n).cast("long"), x), s))
-    squares = F.transform(off, lambda d: F.try_multiply(d, d))
-    deviation = F.aggregate(squares, F.lit(0).cast("long"), lambda acc, d: F.try_add(acc, d))
-    mean = F.array(*[F.lit(s / n) for s in total])
-    near = F.zip_with(off, F.zip_with("x", mean, lambda x, m: x - m), lambda d, c: F.coalesce(d / F.lit(float(n)), c))
-    centred = block_matrix(rows.withColumn("centred", near), "index", "centred", n, dim)
+    blocks = centred_blocks(rows, n, total)
+    centred = block_matrix(blocks, dim)
 
     values, axes = np.linalg.eigh(scatter(centred) / n)
     order = np.argsort(-values, kind="stable")[: min(components, dim)]
@@ -158,14 +228,15 @@ def whiten(
     scaled = np.zeros((dim, len(order)))
     for i in kept:
         scaled[:, i] = axes[:, order[i]] / math.sqrt(values[order[i]])
-    projected = store(row_table(centred.multiply(small_block_matrix(spark, scaled))), "whitening-projected")
+    product = centred.multiply(small_block_matrix(spark, scaled))
+    projected = store(with_ids(blocks, product), "whitening-projected")
+    centred._java_matrix_wrapper._java_model.blocks().unpersist(False)
     error = identity_error(projected, kept)
 
     shares = [float(e) / trace if trace > 0 else 0.0 for e in values[order]]
     at = F.col("at")
     whitened = F.when(at.isin(kept), F.col("value")) if kept else F.lit(None).cast("double")
-    named = rows.select("index", "id", deviation.alias("deviation")).join(projected, "index")
-    return named.select("id", "deviation", F.posexplode("w").alias("at", "value")).select(
+    return projected.select("id", "deviation", F.posexplode("w").alias("at", "value")).select(
         F.col("id").alias(id_col),
         (at + 1).alias("component"),
         F.lit(n).cast("long").alias("n"),
