@@ -3,7 +3,12 @@
 Two ways lead to the same hits. ``scan_hits`` tokenises the documents as it reads them and
 shuffles nothing; ``indexed_hits`` reads the inverted index. Both start from each query's
 *pivot*, the word found in the fewest documents, so a query pairs only with the documents
-holding that word, however common its other words are.
+holding that word, however common its other words are. Where too many queries are asked for a
+broadcast, the rows of common words are dealt over several tasks.
+
+``top_indexed`` ranks without looking at most documents: the index keeps, for each word and range
+of ids, the most that the word can add to a rank, and ranges that cannot reach the k best are not
+read.
 """
 
 from __future__ import annotations
@@ -14,12 +19,17 @@ from pyspark.sql import functions as F
 from cairnsearch.functions.ranking import WEIGHTS, cover_density_rank, frequency_rank
 from cairnsearch.functions.text import word_tokens
 from cairnsearch.operators.nearest import top_k_per_query
-from cairnsearch.operators.postings import CONTENT_WEIGHT, TITLE_WEIGHT, tokenised
-from cairnsearch.operators.sizing import MAX_BYTES, Size, broadcast_if, localise, measure
+from cairnsearch.operators.postings import BLOCK_IDS, CONTENT_WEIGHT, TITLE_WEIGHT, block_of, tokenised
+from cairnsearch.operators.sizing import MAX_BYTES, Size, broadcast_if, localise, measure, near_values
+from cairnsearch.operators.skew import split_join
+from cairnsearch.session import stored
 
 FEW_QUERIES = 16
 PUSHED_LEXEMES = 500
 MAX_CANDIDATES = 200_000
+SEED_RANGES = 4
+#: Ranks are single precision, bounds double.
+ROUNDING = 1e-6
 # A one-letter word takes two bytes of text and about nine as an array element.
 BYTES_PER_TEXT_BYTE = 5
 
@@ -80,12 +90,12 @@ def scan_hits(
     if small and size.rows <= FEW_QUERIES:
         pivots = _longest_word(terms)
     else:
-        frequencies = (
-            docs.select(words.alias("lexeme"))
-            .join(broadcast_if(small, _vocabulary(terms)), "lexeme", "left_semi")
-            .groupBy("lexeme")
-            .agg(F.count("*").alias("df"))
-        )
+        spoken = docs.select(words.alias("lexeme"))
+        if small:
+            spoken = spoken.join(F.broadcast(_vocabulary(terms)), "lexeme", "left_semi")
+        frequencies = spoken.groupBy("lexeme").agg(F.count("*").alias("df"))
+        if not small:
+            frequencies = stored(frequencies, "word-counts")
         pivots = _rarest_word(terms, frequencies, small)
     holds_all = F.size(F.array_except("terms", "tokens")) == 0
     weight = f"{WEIGHTS[CONTENT_WEIGHT]}D"
@@ -104,12 +114,13 @@ def scan_hits(
         )
     else:
         # Shuffle bare (word, id) pairs; texts then meet their queries once per document.
-        pairs = (
-            docs.select("id", words.alias("pivot"))
-            .join(pivots.select("query_id", "pivot"), "pivot")
-            .select("query_id", "id")
-        )
-        paired = docs.join(pairs, "id").join(terms, "query_id")
+        counts = frequencies.select(F.col("lexeme").alias("pivot"), F.col("df").alias("n"))
+        pairs = split_join(
+            docs.select("id", words.alias("pivot")), pivots.select("query_id", "pivot"), "pivot", counts, "id"
+        ).select("query_id", "id")
+        pairs = stored(pairs, "word-pairs")
+        asked = split_join(pairs, terms, "query_id", pairs.groupBy("query_id").agg(F.count("*").alias("n")), "id")
+        paired = docs.join(asked, "id")
     return paired.filter(holds_all).select(
         "query_id",
         "id",
@@ -133,7 +144,8 @@ def indexed_hits(postings: DataFrame, queries: DataFrame, size: Size | None = No
     if small:
         asked = _asked_for(postings, vocabulary)
     else:
-        asked = postings.join(vocabulary, "lexeme", "left_semi")
+        held = stored(postings.groupBy("lexeme").agg(F.count("*").alias("n")), "word-counts")
+        asked = stored(split_join(postings, vocabulary, "lexeme", held, "id"), "asked-postings")
     wanted = terms.select(
         "query_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("at", "lexeme")
     )
@@ -142,19 +154,31 @@ def indexed_hits(postings: DataFrame, queries: DataFrame, size: Size | None = No
     else:
         frequencies = asked.groupBy("lexeme").agg(F.count("*").alias("df"))
         pivots = _rarest_word(terms, frequencies, small).select("query_id", "pivot")
-        candidates = (
-            asked.select(F.col("lexeme").alias("pivot"), "id")
-            .join(broadcast_if(small, pivots), "pivot")
-            .select("query_id", "id")
-            .distinct()
-        )
+        places = asked.select(F.col("lexeme").alias("pivot"), "id")
+        if small:
+            paired = places.join(F.broadcast(pivots), "pivot")
+        else:
+            counts = frequencies.select(F.col("lexeme").alias("pivot"), F.col("df").alias("n"))
+            paired = split_join(places, pivots, "pivot", counts, "id")
+        candidates = paired.select("query_id", "id").distinct()
         held = _held(candidates) if small else None
         if held is not None:
             in_candidates = asked.join(F.broadcast(held), "id")
             found = in_candidates.join(F.broadcast(wanted), ["query_id", "lexeme"])
         else:
-            pairs = candidates.join(broadcast_if(small, wanted), "query_id")
+            if small:
+                pairs = candidates.join(F.broadcast(wanted), "query_id")
+            else:
+                candidates = stored(candidates, "word-pairs")
+                counts = candidates.groupBy("query_id").agg(F.count("*").alias("n"))
+                pairs = split_join(candidates, wanted, "query_id", counts, "id")
             found = pairs.join(asked, ["lexeme", "id"])
+    return _complete(found)
+
+
+def _complete(found: DataFrame) -> DataFrame:
+    """Hits from ``found(query_id, id, n_terms, at, weight, positions, doc_length)``, a row per word and field, of the
+    documents that have all words of a query."""
     placed = F.expr(
         f"""transform(positions, p -> named_struct(
               'pos', p, 'term', at + 1,
@@ -208,21 +232,86 @@ def ranked(hits: DataFrame, method: str) -> DataFrame:
     return hits.select("query_id", "id", rank.alias("rank"))
 
 
+def top_indexed(
+    postings: DataFrame, bounds: DataFrame, queries: DataFrame, k: int
+) -> DataFrame:
+    """``(query_id, id, rank, r)`` by cover density, for queries known to be few and small.
+
+    A cover is worth at most the weight of the word it starts with: title words come first, so one
+    that starts in the content has no title word. Hence a document's rank is at most the sum, over
+    the query's words, of its share (``build_bounds``), and a range's best rank the sum of its
+    largest shares. The ranges with the highest sums are ranked first; of the others, only those
+    that may still reach the k-th rank found.
+    """
+    terms = query_terms(queries)
+    asked = _asked_for(postings, _vocabulary(terms))
+    wanted = terms.select(
+        "query_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("at", "lexeme")
+    )
+    ranges = (
+        _asked_for(bounds, _vocabulary(terms))
+        .groupBy("lexeme", "block")
+        .agg(F.max("share").alias("share"))
+        .join(F.broadcast(wanted), "lexeme")
+        .groupBy("query_id", "block")
+        .agg(F.count("*").alias("found"), F.first("n_terms").alias("n_terms"), F.sum("share").alias("most"))
+        .filter(F.col("found") == F.col("n_terms"))
+        .select("query_id", "block", "most")
+    )
+    ranges = _local_or_stored(ranges)
+    seeds = _local_or_stored(top_k_per_query(ranges, SEED_RANGES, F.desc("most"), "block").drop("r"))
+    first = _ranked_in(asked, wanted, seeds)
+    best = _local_or_stored(top_k_per_query(first, k, F.desc("rank"), "id"))
+    reached = best.filter(F.col("r") == k).select("query_id", F.col("rank").alias("reached"))
+    more = (
+        ranges.join(F.broadcast(seeds.select("query_id", "block")), ["query_id", "block"], "left_anti")
+        .join(F.broadcast(reached), "query_id", "left")
+        .filter(F.col("reached").isNull() | (F.col("most") * (1 + ROUNDING) >= F.col("reached")))
+    )
+    rest = _ranked_in(asked, wanted, _local_or_stored(more.select("query_id", "block")))
+    return top_k_per_query(best.drop("r").unionByName(rest), k, F.desc("rank"), "id")
+
+
+def _local_or_stored(df: DataFrame) -> DataFrame:
+    """``df``, computed now: held on the driver if that is proven to be few rows, else written down."""
+    rows = df.limit(MAX_CANDIDATES + 1).toArrow()
+    if rows.num_rows > MAX_CANDIDATES:
+        return stored(df, "text-ranges")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def _ranked_in(asked: DataFrame, wanted: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``(query_id, id, rank)`` of the complete hits within ``ranges(query_id, block)``, reading only those."""
+    pairs = ranges.select("query_id", "block")
+    held = pairs.limit(MAX_CANDIDATES + 1).toArrow()
+    if held.num_rows <= MAX_CANDIDATES:
+        blocks = held.column("block").to_pylist()
+        asked = asked.filter(near_values(F.col("id"), blocks, BLOCK_IDS)) if blocks else asked.limit(0)
+        pairs = F.broadcast(pairs)
+    here = asked.withColumn("block", block_of(F.col("id")))
+    found = here.join(F.broadcast(wanted), "lexeme").join(pairs, ["query_id", "block"])
+    return ranked(_complete(found), "cover_density")
+
+
 def search_text(
     queries: DataFrame,
     k: int,
     documents: DataFrame | None = None,
     postings: DataFrame | None = None,
     size: Size | None = None,
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
     """``(query_id, id, rank, r)``: the k best documents holding all words of each query.
 
     With ``postings`` the stored weighted vectors are searched and ranked by cover density;
     without, ``documents`` are scanned as plain text and ranked by frequency and proximity.
-    ``size`` is that of ``queries`` if it has been measured already.
+    ``bounds`` of the postings spare a small set of queries most of them. ``size`` is that of
+    ``queries`` if it has been measured already.
     """
     if size is None:
         queries, size = localise(queries.select("query_id", "query_text"))
+    if postings is not None and bounds is not None and _is_small(size) and size.rows <= FEW_QUERIES:
+        return top_indexed(postings, bounds, queries, k)
     if postings is not None:
         scored = ranked(indexed_hits(postings, queries, size), "cover_density")
     elif documents is not None:

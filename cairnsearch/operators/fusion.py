@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnsearch.operators.sizing import MAX_ROWS, broadcast_if
+from cairnsearch.operators.sizing import MAX_ROWS, broadcast_if, near_values
 
 PUSHED_HITS = 2_000
-PUSHED_RANGES = 64
 # Ids alone are eight bytes each: 32 MB.
 MAX_IDS = 4_000_000
 
@@ -59,16 +56,4 @@ def with_documents(hits: DataFrame, documents: DataFrame, most_hits: int) -> Dat
     if not ranked.num_rows:
         return local.join(found.limit(0), "id")
     ids = ranked.column("id").to_pylist()
-    return found.filter(_near_ids(ids)).join(F.broadcast(local), "id")
-
-
-def _near_ids(ids: list[int]) -> Column:
-    """A filter the scan can prune by: at most ``PUSHED_RANGES`` id ranges that cover ``ids``."""
-    ids = sorted(set(ids))
-    gaps = sorted(range(1, len(ids)), key=lambda i: ids[i - 1] - ids[i])[: PUSHED_RANGES - 1]
-    starts = [0, *sorted(gaps)]
-    ranges = [
-        F.col("id").between(ids[start], ids[end - 1])
-        for start, end in zip(starts, [*starts[1:], len(ids)])
-    ]
-    return reduce(Column.__or__, ranges)
+    return found.filter(near_values(F.col("id"), ids)).join(F.broadcast(local), "id")

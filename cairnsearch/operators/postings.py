@@ -8,13 +8,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnsearch.functions.ranking import WEIGHTS
 from cairnsearch.functions.text import word_tokens
 
 TITLE_WEIGHT, CONTENT_WEIGHT = "A", "D"
 DOCUMENTS_AT_ONCE = 256
+#: Documents with consecutive ids whose largest share of a word is kept as one bound.
+BLOCK_IDS = 256
+BOUNDS_SCHEMA = "lexeme string, block long, share double"
 POSTINGS_SCHEMA = (
     "lexeme string, id long, field string, weight string, positions array<int>, doc_length long"
 )
@@ -86,6 +90,45 @@ def position_lists(documents: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+def block_of(identity: Column) -> Column:
+    return F.floor(identity / BLOCK_IDS).cast("long")
+
+
+def build_bounds(postings: DataFrame) -> DataFrame:
+    """``(lexeme, block, share)``: the most that a word can add to the rank of a document in a range of ids.
+
+    A document's share of a word is the sum of the weights of its positions over the logarithm of
+    the document's length. Title and content have rows of their own, so the bound adds the largest
+    share of each.
+    """
+    weights = F.when(F.col("weight") == TITLE_WEIGHT, WEIGHTS[TITLE_WEIGHT]).otherwise(WEIGHTS[CONTENT_WEIGHT])
+    share = F.size("positions") * weights / F.log(F.col("doc_length") + 1.0)
+
+    def largest(weight: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("weight") == weight, F.col("__share"))), F.lit(0.0))
+
+    return (
+        postings.select("lexeme", block_of(F.col("id")).alias("block"), "weight", share.alias("__share"))
+        .groupBy("lexeme", "block")
+        .agg((largest(TITLE_WEIGHT) + largest(CONTENT_WEIGHT)).alias("share"))
+    )
+
+
+def write_bounds(bounds: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+    """Store bounds in (lexeme, block) order; those of a later part of the index may be appended or read beside."""
+    kept = bounds.persist(StorageLevel.DISK_ONLY)
+    try:
+        ranged = kept.repartitionByRange("lexeme", "block").sortWithinPartitions("lexeme", "block")
+        ranged.write.mode(mode).parquet(path)
+    finally:
+        kept.unpersist()
+    return read_bounds(bounds.sparkSession, path)
+
+
+def read_bounds(spark, path: str) -> DataFrame:
+    return spark.read.schema(BOUNDS_SCHEMA).parquet(path)
+
+
 def missing_postings(documents: DataFrame, postings: DataFrame) -> DataFrame:
     """Index rows for documents the index does not hold yet, ready to be appended.
 

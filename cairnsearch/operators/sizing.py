@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 MAX_ROWS = 200_000
 MAX_BYTES = 64 * 1024 * 1024
 MAX_LOCAL_ROWS = 4096
+PUSHED_RANGES = 64
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -62,6 +64,20 @@ def localise(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> tuple[DataFrame,
     return df.sparkSession.createDataFrame(df.toArrow()), size
 
 
+def near_values(column: Column, values: list[int], width: int = 1) -> Column:
+    """A filter a scan can prune by: at most ``PUSHED_RANGES`` ranges that cover ``values``, or with a ``width`` above 1
+    the stretches of that many values that they number."""
+    values = sorted(set(values))
+    gaps = sorted(range(1, len(values)), key=lambda i: values[i - 1] - values[i])[: PUSHED_RANGES - 1]
+    starts = [0, *sorted(gaps)]
+    ranges = [
+        column.between(values[start] * width, (values[end - 1] + 1) * width - 1)
+        for start, end in zip(starts, [*starts[1:], len(values)])
+    ]
+    return reduce(Column.__or__, ranges)
+
+
 def broadcast_if(small: bool, df: DataFrame) -> DataFrame:
-    """With ``small`` unproven the join is left to the optimiser: shuffled, and skew-split by AQE."""
+    """With ``small`` unproven the join is left to the optimiser, which shuffles both sides; for keys that may hold much
+    of the rows see ``skew``."""
     return F.broadcast(df) if small else df

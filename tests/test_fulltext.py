@@ -7,8 +7,9 @@ import re
 import numpy as np
 import pytest
 from cairnsearch.operators import postings as index
-from cairnsearch.operators.fulltext import indexed_hits, ranked, scan_hits, search_text
+from cairnsearch.operators.fulltext import indexed_hits, query_terms, ranked, scan_hits, search_text
 from cairnsearch.session import shared_folder
+from pyspark.sql import functions as F
 
 WEIGHT = {"title": 1.0, "content": 0.1}
 
@@ -211,6 +212,97 @@ def test_index_lookup_is_pushed_to_the_scan(spark, tables):
     assert "In(lexeme" in plan
 
 
+def stored_index(spark, documents):
+    path = shared_folder(spark, "index")
+    built = index.write_postings(index.build_postings(documents), f"{path}/postings")
+    return built, index.write_bounds(index.build_bounds(built), f"{path}/bounds")
+
+
+@pytest.mark.parametrize("span,seeds", [(1, 2), (7, 1), (256, 4)])
+def test_bounded_search_equals_the_plain_one(spark, data, tables, monkeypatch, span, seeds):
+    from cairnsearch.operators import fulltext
+
+    for module in (fulltext, index):
+        monkeypatch.setattr(module, "BLOCK_IDS", span)
+    monkeypatch.setattr(fulltext, "SEED_RANGES", seeds)
+    postings, bounds = stored_index(spark, tables[0])
+    for k in (1, 4, 50):
+        plain = search_text(tables[1], k, postings=postings).collect()
+        assert sorted(search_text(tables[1], k, postings=postings, bounds=bounds).collect()) == sorted(plain)
+    monkeypatch.setattr(fulltext, "MAX_CANDIDATES", 3)  # nothing held on the driver
+    assert sorted(search_text(tables[1], 4, postings=postings, bounds=bounds).collect()) == sorted(
+        search_text(tables[1], 4, postings=postings).collect()
+    )
+
+
+def test_no_rank_is_above_its_bound(spark, data, tables):
+    postings, _ = stored_index(spark, tables[0])
+    share = postings.groupBy("lexeme", "id").agg(
+        F.sum(F.size("positions") * F.when(F.col("weight") == "A", 1.0).otherwise(0.1) / F.log(F.col("doc_length") + 1.0)).alias("share")
+    )
+    terms = query_terms(tables[1]).select("query_id", F.explode("terms").alias("lexeme"))
+    most = terms.join(share, "lexeme").groupBy("query_id", "id").agg(F.sum("share").alias("most"))
+    rank = ranked(indexed_hits(postings, tables[1]), "cover_density")
+    over = rank.join(most, ["query_id", "id"]).filter(F.col("rank") > F.col("most") * (1 + 1e-6))
+    assert rank.count() > 0 and over.count() == 0
+
+
+def test_ranges_that_cannot_reach_the_best_are_not_ranked(spark, monkeypatch):
+    from cairnsearch.operators import fulltext
+
+    monkeypatch.setattr(fulltext, "BLOCK_IDS", 10)
+    monkeypatch.setattr(index, "BLOCK_IDS", 10)
+    rows = [(i, None, "tree " * (30 if 40 <= i < 50 else 1) + "other words here " * 9) for i in range(2000)]
+    postings, bounds = stored_index(spark, spark.createDataFrame(rows, "id long, title string, content string"))
+    ranged, kept = [], fulltext._ranked_in
+
+    def counting(asked, wanted, ranges):
+        ranged.extend(r["block"] for r in ranges.collect())
+        return kept(asked, wanted, ranges)
+
+    monkeypatch.setattr(fulltext, "_ranked_in", counting)
+    asked = spark.createDataFrame([(1, "tree")], "query_id long, query_text string")
+    found = search_text(asked, 5, postings=postings, bounds=bounds).collect()
+    assert sorted(r["id"] for r in found) == [40, 41, 42, 43, 44]
+    assert len(ranged) == fulltext.SEED_RANGES and 4 in ranged
+
+
+@pytest.mark.parametrize("by_index", [True, False])
+def test_a_word_in_most_rows_is_dealt_over_tasks(spark, monkeypatch, by_index):
+    """One word is in nine rows of ten; joined with too many queries to broadcast, no task gets most of the pairs."""
+    from cairnsearch.operators import fulltext, skew
+
+    monkeypatch.setattr(fulltext, "_is_small", lambda size: False)
+    rows = [(i, None, f"rare{i % 50}" if i % 10 == 0 else f"common word{i % 3}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "id long, title string, content string").repartition(3)
+    queries = spark.createDataFrame([(1, "common"), (2, "rare20"), (3, "common absent")], "query_id long, query_text string")
+    shares, kept = [], skew.split_join
+
+    def measuring(*args):
+        joined = kept(*args)
+        counts = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        shares.append(max(counts) / sum(counts) if sum(counts) > 1000 else 0)
+        return joined
+
+    monkeypatch.setattr(fulltext, "split_join", measuring)
+    settings = {
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        hits = indexed_hits(index.build_postings(docs), queries) if by_index else scan_hits(docs, queries)
+        found = {r["query_id"]: r["n"] for r in hits.groupBy("query_id").agg(F.count("*").alias("n")).collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert found == {1: 2700, 2: sum(i % 10 == 0 and i % 50 == 20 for i in range(3000))}
+    assert len(shares) >= 2 and 0 < max(shares) < 0.3
+
+
 def test_unknown_method(tables):
     with pytest.raises(ValueError):
         ranked(scan_hits(*tables), "bm25")
