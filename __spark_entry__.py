@@ -24,10 +24,13 @@ from cairnsearch.operators.fulltext import indexed_hits, ranked, scan_hits, sear
 from cairnsearch.operators.fusion import merge_outer
 from cairnsearch.operators.nearest import nearest, nearest_to_one
 from cairnsearch.operators.postings import (
+    build_bounds,
     build_postings,
     missing_postings,
+    read_bounds,
     read_postings,
     tokenised,
+    write_bounds,
     write_postings,
 )
 from cairnsearch.plans.hybrid import hybrid_search
@@ -99,14 +102,23 @@ def one_query(spark: SparkSession, sf_dir: str, words: str = "in the") -> DataFr
     )
 
 
-def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inverted index, built and stored once per session and data folder."""
+def index_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The inverted index and its bounds, built and stored once per session and data folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
-        path = shared_folder(spark, "postings")
-        write_postings(build_postings(texts(spark, sf_dir)), path)
+        path = shared_folder(spark, "index")
+        built = write_postings(build_postings(texts(spark, sf_dir)), f"{path}/postings")
+        write_bounds(build_bounds(built), f"{path}/bounds")
         _indexes[key] = path
-    return read_postings(spark, _indexes[key])
+    return _indexes[key]
+
+
+def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_postings(spark, f"{index_folder(spark, sf_dir)}/postings")
+
+
+def stored_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_bounds(spark, f"{index_folder(spark, sf_dir)}/bounds")
 
 
 _indexes: dict[tuple[str, str], str] = {}
@@ -418,8 +430,8 @@ def fts_rank_cd_indexed(spark, sf_dir):
 
 
 def fts_topk(spark, sf_dir):
-    found = search_text(text_queries(spark), TOP, postings=stored_postings(spark, sf_dir))
-    return rounded_ranks(found)
+    postings, bounds = stored_postings(spark, sf_dir), stored_bounds(spark, sf_dir)
+    return rounded_ranks(search_text(text_queries(spark), TOP, postings=postings, bounds=bounds))
 
 
 def fts_topk_scan(spark, sf_dir):
@@ -493,7 +505,11 @@ def hybrid_unified(spark, sf_dir):
 def hybrid_unified_indexed(spark, sf_dir):
     return rounded_results(
         search_both(
-            spark, sf_dir, one_query(spark, sf_dir), postings=stored_postings(spark, sf_dir)
+            spark,
+            sf_dir,
+            one_query(spark, sf_dir),
+            postings=stored_postings(spark, sf_dir),
+            bounds=stored_bounds(spark, sf_dir),
         )
     )
 

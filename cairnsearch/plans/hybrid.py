@@ -31,18 +31,20 @@ def hybrid_search(
     vectors: DataFrame | None = None,
     postings: DataFrame | None = None,
     cells: CellIndex | None = None,
-    probes: int = 1,
+    probes: int | None = None,
     text_score: str = "rank_value",
     rrf_k: int = scores.RRF_K,
     make_embedder: Callable[[], Embedder] | None = None,
     unified_candidates: int = UNIFIED_CANDIDATES,
     single_candidates: int = SINGLE_CANDIDATES,
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
     """``(query_id, id, title, content_snippet, similarity_percent, total_score)`` for all queries.
 
     Each row of ``queries`` picks its own mode, weight and limit (``prepare_requests``). Text
-    is read from ``postings`` if given, else scanned. Vectors are searched through ``cells`` if
-    given, else exactly, in ``vectors(id, embedding)`` if these are kept apart from ``documents``.
+    is read from ``postings`` if given (with ``bounds``, only where the best may be), else scanned. Vectors are searched through ``cells`` if
+    given, exactly or with a number of ``probes`` in that many of them, else in
+    ``vectors(id, embedding)`` if these are kept apart from ``documents``.
 
     A query with both sides fuses them: cosine score plus scaled reciprocal rank. ``text_score``
     sets how text-only search scores: ``rank_value`` puts the rank's value into the reciprocal
@@ -55,7 +57,7 @@ def hybrid_search(
     requests, size = localise(prepare_requests(queries, unified_candidates, single_candidates))
     asked = requests.agg(F.max("candidates").alias("most"), F.sum("max_hits").alias("hits")).first()
     hits = hybrid_scores(
-        requests, size, asked["most"] or 1, documents, vectors, postings, cells, probes, text_score, rrf_k
+        requests, size, asked["most"] or 1, documents, vectors, postings, cells, probes, text_score, rrf_k, bounds
     )
     most_hits = asked["hits"] or 0
     # cut before the join, so that whole contents are never shuffled
@@ -73,9 +75,10 @@ def hybrid_scores(
     vectors: DataFrame | None = None,
     postings: DataFrame | None = None,
     cells: CellIndex | None = None,
-    probes: int = 1,
+    probes: int | None = None,
     text_score: str = "rank_value",
     rrf_k: int = scores.RRF_K,
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
     """``(query_id, id, total_score, similarity_percent)``, at most ``max_hits`` rows per query.
 
@@ -89,7 +92,7 @@ def hybrid_scores(
     else:
         near = search_cells(cells, with_vector, candidates, probes)
     with_text = requests.filter(F.col("kind") != VECTOR_ONLY)
-    found = search_text(with_text, candidates, documents, postings, size)
+    found = search_text(with_text, candidates, documents, postings, size, bounds)
     both = near.selectExpr(
         "query_id", "id", "r", "dist", "cast(NULL AS double) AS rank"
     ).unionByName(found.selectExpr("query_id", "id", "r", "cast(NULL AS double) AS dist", "rank"))

@@ -25,11 +25,13 @@ def semantic_search(
     vectors: DataFrame | None = None,
     min_similarity: float = MIN_SIMILARITY_PERCENT,
     cells: CellIndex | None = None,
-    probes: int = 1,
+    probes: int | None = None,
     make_embedder: Callable[[], Embedder] | None = None,
 ) -> DataFrame:
     """``(query_id, id, title, content_snippet, similarity_percent)``.
 
+    ``cells`` are searched exactly, or with a number of ``probes`` in that many of them.
+
     Both filters follow the limit, so a query may get fewer rows than it asked for. With
     ``make_embedder`` the queries need no ``query_vec``: each distinct text is embedded once.
     """

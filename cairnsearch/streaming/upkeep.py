@@ -26,7 +26,14 @@ from cairnsearch.operators.cells import (
     store_vectors,
     train_centroids,
 )
-from cairnsearch.operators.postings import POSTINGS_SCHEMA, build_postings, write_postings
+from cairnsearch.operators.postings import (
+    BOUNDS_SCHEMA,
+    POSTINGS_SCHEMA,
+    build_bounds,
+    build_postings,
+    write_bounds,
+    write_postings,
+)
 
 FAN = 8
 Range = tuple[int, int]
@@ -87,6 +94,10 @@ class IndexUpkeep:
     def postings_root(self) -> str:
         return f"{self.root}/postings"
 
+    @property
+    def bounds_root(self) -> str:
+        return f"{self.root}/bounds"
+
     @property
     def vectors_root(self) -> str:
         return f"{self.root}/vectors"
@@ -104,15 +115,21 @@ class IndexUpkeep:
         Only batches before this one are merged: they will not be replayed.
         """
         spark = documents.sparkSession
-        write_postings(build_postings(documents), f"{self.postings_root}/{segment_name((batch, batch))}")
+        name = segment_name((batch, batch))
+        added = write_postings(build_postings(documents), f"{self.postings_root}/{name}")
         self._merge(spark, self.postings_root, POSTINGS_SCHEMA, write_postings, batch)
+        write_bounds(build_bounds(added), f"{self.bounds_root}/{name}")
+        self._merge(spark, self.bounds_root, BOUNDS_SCHEMA, self._store_bounds, batch)
         if self.lists:
             vectors = documents.filter("embedding IS NOT NULL").select("id", "embedding")
             centres = self._centres(spark, vectors)
             placed = spark.createDataFrame([], VECTOR_SCHEMA) if centres is None else assign_cells(vectors, centres)
-            self._store_cells(placed, f"{self.vectors_root}/{segment_name((batch, batch))}")
+            self._store_cells(placed, f"{self.vectors_root}/{name}")
             self._merge(spark, self.vectors_root, VECTOR_SCHEMA, self._store_cells, batch)
 
+    def _store_bounds(self, bounds: DataFrame, path: str) -> None:
+        write_bounds(bounds.groupBy("lexeme", "block").agg(F.max("share").alias("share")), path)
+
     def _store_cells(self, vectors: DataFrame, path: str) -> None:
         store_vectors(vectors, path, path.replace(self.vectors_root, self.sizes_root))
 
@@ -150,6 +167,10 @@ class IndexUpkeep:
         live = live_segments(stored_segments(spark, self.postings_root))
         return self._read(spark, self.postings_root, POSTINGS_SCHEMA, live).drop("segment")
 
+    def bounds(self, spark: SparkSession) -> DataFrame:
+        live = live_segments(stored_segments(spark, self.bounds_root))
+        return self._read(spark, self.bounds_root, BOUNDS_SCHEMA, live).drop("segment")
+
     def cells(self, spark: SparkSession) -> CellIndex:
         centres = read_centres(spark, self.root)
         live = live_segments(stored_segments(spark, self.vectors_root))
@@ -161,7 +182,7 @@ class IndexUpkeep:
         """Delete the segments that a merged one hides; for when no search started earlier still reads them."""
         jvm = spark.sparkContext._jvm
         dropped = 0
-        for root in (self.postings_root, self.vectors_root, self.sizes_root):
+        for root in (self.postings_root, self.bounds_root, self.vectors_root, self.sizes_root):
             stored = stored_segments(spark, root)
             for segment in set(stored) - set(live_segments(stored)):
                 path = jvm.org.apache.hadoop.fs.Path(f"{root}/{segment_name(segment)}")

@@ -6,6 +6,7 @@ import threading
 import numpy as np
 import pytest
 from cairnsearch.operators.cells import search_cells
+from cairnsearch.operators.fulltext import search_text
 from cairnsearch.operators.nearest import nearest
 from cairnsearch.operators.postings import build_postings
 from cairnsearch.session import shared_folder
@@ -50,6 +51,11 @@ def test_a_stream_keeps_its_indexes(spark):
         stored = ingest.read_ingested(spark, tables)
         assert stored.count() == 7 * (batch + 1)
         assert rows_of(index.postings(spark)) == whole_index(stored)
+        words = spark.createDataFrame([(1, "common c0"), (2, "b")], "query_id long, query_text string")
+        plain = search_text(words, 5, postings=index.postings(spark))
+        assert sorted(plain.collect()) == sorted(
+            search_text(words, 5, postings=index.postings(spark), bounds=index.bounds(spark)).collect()
+        )
         asked = spark.createDataFrame([(1, [1.0, 0.5, 3.0])], "query_id long, query_vec array<double>")
         found, exact = search_cells(index.cells(spark), asked, 9), nearest(stored, asked, 9)
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, exact.collect()))
