@@ -352,7 +352,9 @@ def _unsettled(blocks: DataFrame) -> DataFrame:
     last = parts.agg(F.max("bucket")).first()[0] or 0
     while True:
         branch = F.floor(F.col("bucket") / FAN).alias("branch")
-        parts = store(parts.groupBy("conv", branch).applyInArrow(fold, schema), "conversation-tree")
+        # a bucket has two such conversations at most, so the tree narrows
+        folded = parts.groupBy("conv", branch).applyInArrow(fold, schema).coalesce(1 + last // FAN)
+        parts = store(folded, "conversation-tree")
         if last < FAN:
             break
         last //= FAN
@@ -365,7 +367,7 @@ def _unsettled(blocks: DataFrame) -> DataFrame:
             done = [{"conv": r["conv"]} | finished({f: r[f] for f in fields}) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_pylist(done, arrow_out)
 
-    return store(parts.mapInArrow(finish, f"conv {kind}, {', '.join(results)}"), "conversation-unsettled")
+    return parts.mapInArrow(finish, f"conv {kind}, {', '.join(results)}")
 
 
 def _pieces(blocks: DataFrame, found: DataFrame) -> DataFrame:
@@ -402,19 +404,20 @@ def _pieces(blocks: DataFrame, found: DataFrame) -> DataFrame:
     return sizes.groupBy("conv").cogroup(found.select("conv", "audit").groupBy("conv")).applyInArrow(split, schema)
 
 
-def _repaired_blocks(blocks: DataFrame, found: DataFrame) -> DataFrame:
-    """``(conv, bucket, seq, settled, roles, texts)`` after the edits."""
-    kind = blocks.schema["conv"].dataType.simpleString()
-    schema = f"conv {kind}, bucket int, seq int, settled boolean, roles array<string>, texts array<string>"
+def _repaired_blocks(blocks: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(conv, bucket, seq, roles, texts)`` after the edits, of settled conversations and of the others."""
     odd = F.pmod(F.length(F.translate("audit", "D", "")), F.lit(2)) == 1
-    settled = blocks.filter("cost IS NOT NULL").select(
-        "conv", "bucket", "seq", "roles", "texts", F.lit(True).alias("settled"),
-        F.col("audit").alias("edits"), F.lit(0).cast("long").alias("put"), odd.alias("odd"),
-    )
+    edits = [F.col("audit").alias("edits"), F.lit(0).cast("long").alias("put"), odd.alias("odd")]
+    settled = blocks.filter("cost IS NOT NULL").select("conv", "bucket", "seq", "roles", "texts", *edits)
     # bucket and seq name a block
     pieces = _pieces(blocks, found).drop("conv")
-    open_blocks = blocks.filter("cost IS NULL").select("conv", "bucket", "seq", "roles", "texts", F.lit(False).alias("settled"))
-    both = settled.unionByName(open_blocks.join(pieces, ["bucket", "seq"]))
+    others = blocks.filter("cost IS NULL").select("conv", "bucket", "seq", "roles", "texts").join(pieces, ["bucket", "seq"])
+    return _edited(settled), _edited(others)
+
+
+def _edited(blocks: DataFrame) -> DataFrame:
+    kind = blocks.schema["conv"].dataType.simpleString()
+    schema = f"conv {kind}, bucket int, seq int, roles array<string>, texts array<string>"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -422,17 +425,17 @@ def _repaired_blocks(blocks: DataFrame, found: DataFrame) -> DataFrame:
                 part = batch.slice(start, 64)
                 columns = [part.column(c).to_pylist() for c in ("roles", "texts", "edits", "put", "odd")]
                 done = [repaired(*row) for row in zip(*columns)]
-                kept = [part.column(c) for c in ("conv", "bucket", "seq", "settled")]
+                kept = [part.column(c) for c in ("conv", "bucket", "seq")]
                 lists = [pa.array([[r[i] for r in rows] for rows in done], pa.list_(pa.string())) for i in range(2)]
-                yield pa.RecordBatch.from_arrays([*kept, *lists], names=["conv", "bucket", "seq", "settled", "roles", "texts"])
+                yield pa.RecordBatch.from_arrays([*kept, *lists], names=["conv", "bucket", "seq", "roles", "texts"])
 
-    return both.mapInArrow(apply, schema)
+    return blocks.mapInArrow(apply, schema)
 
 
-def _digests(repaired_blocks: DataFrame) -> DataFrame:
+def _digests(settled: DataFrame, others: DataFrame) -> DataFrame:
     """``(conv, repaired_sha256)``. A conversation in several blocks is hashed by one task, a block at a time: the digest
     has to be taken in order, but nothing has to be held."""
-    kind = repaired_blocks.schema["conv"].dataType.simpleString()
+    kind = settled.schema["conv"].dataType.simpleString()
     schema = f"conv {kind}, repaired_sha256 string"
 
     def blockwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,13 +461,13 @@ def _digests(repaired_blocks: DataFrame) -> DataFrame:
         if begun:
             yield _named([(conv, state.hexdigest())], kept_type)
 
-    settled = repaired_blocks.filter("settled").select("conv", "roles", "texts").mapInArrow(blockwise, schema)
+    whole = settled.select("conv", "roles", "texts").mapInArrow(blockwise, schema)
     lines = F.zip_with("roles", "texts", lambda role, text: F.concat(role, F.lit(":"), text))
-    pieces = repaired_blocks.filter("NOT settled").select(
+    pieces = others.select(
         "conv", "bucket", "seq", F.array_join(lines, "\n").alias("piece"), (F.size("roles") > 0).alias("some")
     )
     ordered = pieces.repartition("conv").sortWithinPartitions("conv", "bucket", "seq").select("conv", "piece", "some")
-    return settled.unionByName(ordered.mapInArrow(in_order, schema))
+    return whole.unionByName(ordered.mapInArrow(in_order, schema))
 
 
 def _named(done: list, kind: pa.DataType) -> pa.RecordBatch:
@@ -489,11 +492,12 @@ def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Results and repaired turns of ``rows(conv, turn, role, text, copy, place)`` as :func:`prepared` gives them.
 
     Results are ``(conv, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256)``, turns are
-    ``(conv, at, role, text)`` with ``at`` from 0, in order within a conversation, not without gaps. Rows are taken by turn, null turns first, rows of one turn by role, then by a
-    digest of the text, then by ``copy`` and ``place``. Rows that are equal in all count as repeats of the first. A null
-    conversation is one conversation. Roles are read by their first character; an empty role fits nowhere. A row of white space, as a
-    null text becomes, is blank. Very long conversations are cut into blocks; only their letters and, block by block, their
-    digest go through one task, both being one value of one row. An empty table gives empty results.
+    ``(conv, at, role, text)`` with ``at`` rising within a conversation. Rows are taken by turn, null turns first, rows of
+    one turn by role, then by a digest of the text, then by ``copy`` and ``place``. Rows that are equal in all count as
+    repeats of the first. A null conversation is one conversation. Roles are read by their first character; an empty role
+    fits nowhere. A row of white space, as a null text becomes, is blank. Very long conversations are cut into blocks; only
+    their letters and, block by block, their digest go through one task, both being one value of one row. An empty table
+    gives empty results.
     """
     blocks = _blocks(_faults(rows))
     fields = [f.split()[0] for f in RESULT.split(", ")[:-1]]
@@ -508,12 +512,12 @@ def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         "audit",
     )
     unsettled = _unsettled(blocks)
-    done = store(_repaired_blocks(blocks, unsettled), "conversation-repaired")
+    done = _repaired_blocks(blocks, unsettled)
     found = own.unionByName(unsettled.select(*own.columns))
-    digest = _digests(done).withColumnRenamed("conv", "hashed")
+    digest = _digests(*done).withColumnRenamed("conv", "hashed")
     found = found.join(digest, F.col("conv").eqNullSafe(F.col("hashed"))).drop("hashed")
     at = (F.col("bucket").cast("long") * (1 << 40)) + F.col("seq").cast("long") * (1 << 20) + F.col("place")
-    turns = done.select("conv", "bucket", "seq", F.posexplode(F.arrays_zip("roles", "texts")).alias("place", "row"))
+    turns = done[0].unionByName(done[1]).select("conv", "bucket", "seq", F.posexplode(F.arrays_zip("roles", "texts")).alias("place", "row"))
     return found, turns.select("conv", at.alias("at"), F.col("row.roles").alias("role"), F.col("row.texts").alias("text"))
 
 
