@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,6 +18,18 @@ MAX_FILTER_BITS = 1 << 28
 BITMAP_BITS = 32768
 
 
+def per_worker(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` returns, made once in a worker process and kept there under ``name``.
+
+    Task functions travel by value, and with them their modules' own caches would be copies or be looked for in a
+    package that a worker need not have; so what is kept lies in a module of its own.
+    """
+    kept = sys.modules.setdefault("training_data_worker", types.ModuleType("training_data_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

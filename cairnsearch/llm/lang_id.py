@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnsearch.llm.common import map_batches
+from cairnsearch.llm.common import map_batches, per_worker
 
 DIMENSIONS = 8192
 PER_LANGUAGE = 400
 CENTROIDS = 4
-MAX_LANGUAGES = 1000
+MAX_LANGUAGES = 500
+#: Rows the driver learns from, and the fewest of one language: 8,000 rows take 262 MB.
+SAMPLE_ROWS = 8000
+MIN_PER_LANGUAGE = 16
 CHUNK = 1 << 20
 TOGETHER = 32
 BUCKETS = 24
@@ -26,8 +28,11 @@ NEIGHBOURS = 100
 LEAST = 0.1
 
 
-@lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
+    return per_worker("letters", _letter_table)
+
+
+def _letter_table() -> np.ndarray:
     """Code point to lower-case letter, or 0 for what is no letter."""
     table = np.zeros(0x110000, dtype=np.uint32)
     for point in range(0x110000):
@@ -55,31 +60,40 @@ def _grams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_counts(texts: list[str | None]) -> np.ndarray:
-    """(texts, DIMENSIONS) counts of hashed n-grams over whole texts, long ones read in chunks."""
+    """(texts, DIMENSIONS) counts of hashed n-grams over whole texts, short ones together, long ones in overlapping chunks."""
     counts = np.zeros((len(texts), DIMENSIONS), dtype=np.float32)
     parts, owners, size = [], [], 0
 
+    def points_of(text: str) -> np.ndarray:
+        return _letters()[np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)]
+
     def flush() -> None:
         nonlocal parts, owners, size
         if parts:
-            points = _letters()[np.frombuffer("\0".join(["", *parts, ""]).encode("utf-32-le", "replace"), dtype=np.uint32)]
             # the 0 before a text is its own, so the grams that begin there are too
             lengths = np.array([*(len(p) + 1 for p in parts), 1])
             owner = np.repeat(np.array([*owners, owners[-1]]), lengths)
-            at, grams = _grams(points)
+            at, grams = _grams(points_of("\0".join(["", *parts, ""])))
             low = owners[0]
             flat = np.bincount((owner[at] - low) * DIMENSIONS + grams, minlength=(owners[-1] - low + 1) * DIMENSIONS)
             counts[low : owners[-1] + 1] += flat.reshape(-1, DIMENSIONS)
         parts, owners, size = [], [], 0
 
     for i, text in enumerate(texts):
-        for start in range(0, len(text or ""), CHUNK):
-            # the two or three grams across a chunk's end, once in a million characters, are not counted
-            parts.append(text[start : start + CHUNK])
-            owners.append(i)
-            size += len(parts[-1])
-            if size >= CHUNK or i - owners[0] >= TOGETHER - 1:
-                flush()
+        if not text:
+            continue
+        if len(text) > CHUNK:
+            bounded = f"\0{text}\0"
+            for start in range(0, len(text) + 1, CHUNK):
+                # two characters more, so that the grams which begin in the chunk are whole
+                at, grams = _grams(points_of(bounded[start : start + CHUNK + 2]))
+                counts[i] += np.bincount(grams[at < CHUNK], minlength=DIMENSIONS)
+            continue
+        parts.append(text)
+        owners.append(i)
+        size += len(text)
+        if size >= CHUNK or i - owners[0] >= TOGETHER - 1:
+            flush()
     flush()
     return counts
 
@@ -177,8 +191,9 @@ def fit(
 ) -> Model:
     """Learn from about ``per_language`` labelled rows of each language, taken by a hash of the id.
 
-    Languages are counted over all rows (at most ``MAX_LANGUAGES``, else an error); a row is taken
-    if its hash falls below its language's rate, and the driver receives its n-gram counts, never its
+    Languages are counted over all rows, and the ``MAX_LANGUAGES`` with the most rows are learned: labels beyond that are
+    rare ones of a dirty column. The driver receives about ``SAMPLE_ROWS`` rows in all, so many languages have fewer each.
+    A row is taken if its hash falls below its language's rate, and the driver receives its n-gram counts, never its
     text: at most ``DIMENSIONS`` numbers a row. Rows with a null id, text or language teach nothing.
     Every language has a radius for each size class of texts, from distances of sampled rows to centroids that
     were made without them (see :func:`_radii`). The only row of a language rejects nothing.
@@ -186,14 +201,13 @@ def fit(
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
-    found = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    per_language = min(per_language, max(MIN_PER_LANGUAGE, SAMPLE_ROWS // max(1, len(found))))
     if not found:
         return Model(np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), (), np.ones((0, BUCKETS)))
     rate = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.2 * per_language / r["count"])))])
     draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    sampled = rows.withColumn("draw", draw).filter(F.col("draw") < F.element_at(rate, F.col("lang")))
+    sampled = rows.withColumn("draw", draw).filter(F.col("draw") < F.try_element_at(rate, F.col("lang")))
 
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts = gram_counts(batch.column("text").to_pylist())
@@ -236,28 +250,41 @@ def fit(
     return Model(idf, centres, names, radius)
 
 
-def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(
+    docs: DataFrame,
+    model: Model,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: list[str] | None = None,
+    results: tuple[str, str, str] = ("lang_pred", "score", "rejected"),
+) -> DataFrame:
     """``(id, lang_pred, score, rejected)`` of every whole text, with the columns ``keep`` beside them.
 
+    The results are named by ``results``; a kept column of such a name gives way to them.
+
     Only the text is looked at. Null texts and texts without a letter are ``und`` with score 0 and
     rejected. Any other text gets the language of the nearest centroid (ties: the first by name), its
     cosine as the score, and is rejected if it lies farther away than texts of that language and length do.
     Null ids and repeated rows are predicted like any other; an empty table gives an empty result;
     with nothing to learn from, everything is ``und``. The model (well under 1 MB a language) goes with the tasks.
     """
-    keep = keep or []
-    rows = docs.select(F.col(id_col), *[F.col(c) for c in keep if c != id_col], F.col(text_col).alias("__text"))
-    kinds = [f"`{name}` {kind}" for name, kind in rows.dtypes if name != "__text"]
+    rest = [id_col, *[c for c in keep or [] if c != id_col]]
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]
+    rows = docs.select(*columns, F.col(f"`{text_col}`").alias("t"))
+    kinds = [f"{name} {kind}" for name, kind in rows.dtypes if name != "t"]
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, score, rejected = model.predict(batch.column("__text").to_pylist())
-        rest = [n for n in batch.schema.names if n != "__text"]
+        names, score, rejected = model.predict(batch.column("t").to_pylist())
+        own = batch.schema.names[:-1]
         return pa.RecordBatch.from_arrays(
-            [*[batch.column(n) for n in rest], pa.array(names, pa.string()), pa.array(score), pa.array(rejected)],
-            names=[*rest, "lang_pred", "score", "rejected"],
+            [*[batch.column(n) for n in own], pa.array(names, pa.string()), pa.array(score), pa.array(rejected)],
+            names=[*own, "pred", "score", "rejected"],
         )
 
-    return map_batches(rows, judge, ", ".join([*kinds, "lang_pred string", "score double", "rejected boolean"]), 256)
+    found = map_batches(rows, judge, ", ".join([*kinds, "pred string", "score double", "rejected boolean"]), 256)
+    judged = [F.col(column).alias(name) for column, name in zip(("pred", "score", "rejected"), results)]
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest) if c not in results], *judged)
 
 
 def identify(docs: DataFrame) -> DataFrame:

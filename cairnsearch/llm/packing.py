@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 import sys
 import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +18,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnsearch.llm.common import store
+from cairnsearch.llm.common import per_worker, store
 
 LENGTH = 1024
 END = 2
 GROUPS = 1024
 SMALL_SHARE = 4
+LONG_GAP = 4096
+#: Fixed value: the characters of the property White_Space, as ``\s`` means them in the pattern below.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+GAP = f"[{SPACES}]{{{LONG_GAP},}}"
 #: Fixed value: the pre-tokenizer pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -34,8 +38,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(maxsize=2)
 def _encoding(path: str):
+    return per_worker(f"encoding {path}", lambda: _read_encoding(path))
+
+
+def _read_encoding(path: str):
     """The vocabulary and added tokens of a byte-level BPE ``tokenizer.json`` in the faster of two equal encoders."""
     import tiktoken
 
@@ -52,12 +59,37 @@ def _encoding(path: str):
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+def without_long_gaps(text: str, ends: tuple[str, ...] = ()) -> Iterator[tuple[str, bool]]:
+    """``text`` in parts, each with whether it is one pre-token: runs of ``LONG_GAP`` or more white-space characters are
+    cut out, since the pattern looks ahead from each of their characters and the matcher's memory is bounded.
+
+    The pattern takes such a run as one pre-token, but leaves its last character to what follows, if anything does. The
+    text ends for it where one of the added tokens ``ends`` begins.
+    """
+    begin = 0
+    for gap in re.finditer(GAP, text):
+        followed = gap.end() < len(text) and not text.startswith(ends, gap.end())
+        stop = gap.end() - followed
+        if gap.start() > begin:
+            yield text[begin : gap.start()], False
+        yield text[gap.start() : stop], True
+        begin = stop
+    if begin < len(text):
+        yield text[begin:], False
+
+
 def encoder(path: str, added: bool = False) -> Callable[[str | None], bytes]:
     """Whole text to ids, packed as little-endian unsigned 32-bit numbers; with ``added``, added tokens in it are one id each."""
-    encode, allowed = _encoding(path).encode, "all" if added else set()
+    encoding, allowed = _encoding(path), "all" if added else set()
+    ends = tuple(encoding.special_tokens_set) if added else ()
 
     def ids(text: str | None) -> bytes:
-        found = array("I", encode(text or "", allowed_special=allowed, disallowed_special=()))
+        found = array("I")
+        for part, one_token in without_long_gaps(text or "", ends):
+            if one_token:
+                found.extend(encoding._encode_single_piece(part))
+            else:
+                found.extend(encoding.encode(part, allowed_special=allowed, disallowed_special=()))
         if sys.byteorder == "big":
             found.byteswap()
         return found.tobytes()

@@ -101,6 +101,89 @@ def test_language_held_out_and_rejection(spark):
     assert names[:2] == ["und", "und"] and score[:2].tolist() == [0, 0] and rejected.tolist() == [True, True, True, False]
 
 
+def test_long_texts_count_every_gram(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcé ß1 "), n)) for n in (3, 64, 65, 66, 127, 128, 129, 500)]
+    whole = lang_id.gram_counts(texts)
+    monkeypatch.setattr(lang_id, "CHUNK", 64)
+    assert (lang_id.gram_counts(texts) == whole).all()
+    assert (lang_id.gram_counts(["ab"] * 3 + [texts[-1], None, "", texts[0]])[3] == whole[-1]).all()
+
+
+def test_more_labels_than_can_be_learned(spark, monkeypatch):
+    """The commonest labels are learned; rare ones of a dirty column teach nothing and stop nothing."""
+    monkeypatch.setattr(lang_id, "MAX_LANGUAGES", 2)
+    rows = [(i, EN if i % 2 else DE, ("en", "de")[i % 2 == 0]) for i in range(40)] + [(100 + i, EN, f"dirt{i}") for i in range(9)]
+    model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.languages) == {"en", "de"}
+
+
+def test_predictions_equal_a_plain_version(spark):
+    """Counts by dictionaries, cosines by sums: the nearest centroid, its cosine and the distance bound decide."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = lang_id.fit(docs.filter(~lang_id.held_out(F.col("doc_id"))))
+    found = {r["doc_id"]: r for r in lang_id.identify(docs).collect()}
+
+    def grams(text):
+        points = [0, *[ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 0 for c in text], 0]
+        out = collections.Counter()
+        mask = (1 << 32) - 1
+        mix = lambda h: (((h ^ h >> 15) * 0x2C1B3C6D) & mask) >> (32 - 13)
+        for i, a in enumerate(points):
+            b, c = (points[i + 1 :] + [0, 0])[:2]
+            if a:
+                out[mix((a * 0x9E3779B1 + 1) & mask)] += 1
+            if i + 1 < len(points) and (a or b):
+                out[mix((a * 0x85EBCA77 + b * 0x9E3779B1 + 2) & mask)] += 1
+            if i + 2 < len(points) and b:
+                out[mix((a * 0xC2B2AE3D + b * 0x85EBCA77 + c * 0x9E3779B1 + 3) & mask)] += 1
+        return out
+
+    some = docs.filter("length(text) < 3000").limit(40).collect()
+    for row in some:
+        counts = grams(row["text"])
+        vector = {g: np.log1p(n) * float(model.idf[g]) for g, n in counts.items()}
+        length = np.sqrt(sum(v * v for v in vector.values()))
+        cosines = [sum(v * float(c[g]) for g, v in vector.items()) / length for c in model.centroids] if counts else []
+        got = found[row["doc_id"]]
+        if not counts:
+            assert (got["lang_pred"], got["score"]) == ("und", 0)
+            continue
+        best = int(np.argmax(cosines))
+        assert got["lang_pred"] == model.languages[best] and abs(got["score"] - cosines[best]) < 1e-4
+        size = min(int(np.log2(sum(counts.values()))), lang_id.BUCKETS - 1)
+        if abs(1 - cosines[best] - model.radius[best, size]) > 1e-3:
+            assert got["rejected"] == (1 - cosines[best] > model.radius[best, size])
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Task functions travel by value: with the package on the driver's path alone, language ID and packing run."""
+    import pathlib
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).resolve().parents[2]
+    script = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+import __spark_entry__ as entry
+from cairnsearch.session import build_session
+spark = build_session("by-value", **{{"spark.master": "local[2]", "spark.ui.enabled": "false", "spark.checkpoint.dir": {str(tmp_path)!r},
+                                     "spark.sql.shuffle.partitions": "2"}})
+found = entry.queries()
+for name in ("op2_language_id", "op3_best_fit_packing"):
+    print(name, found[name](spark, "/root/testdata/sf0.001").count() >= 200)
+"""
+    import os
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    path = [p for p in os.environ.get("PYTHONPATH", "").split(":") if p and not p.startswith(str(root))]
+    if path:
+        env["PYTHONPATH"] = ":".join(path)
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "op2_language_id True" in out.stdout and "op3_best_fit_packing True" in out.stdout, out.stderr[-2000:]
+
+
 def test_language_left_out_of_training_is_rejected_and_clean_texts_stay(spark):
     french = (
         "la rivière coule lentement vers la mer pendant que les enfants jouent sur le sable et leurs parents regardent les bateaux "
@@ -128,6 +211,18 @@ def test_tokens_are_those_of_the_tokenizers_library():
         assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [10, 4095, 4096, 5000, 10**6, 2 * 10**6])
+def test_long_gaps_are_tokenised_as_by_the_tokenizers_library(run):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.tokenizer_path())
+    encode = packing.encoder(packing.tokenizer_path(), added=True)
+    for gap in (" " * run, "\n" * run, " \n" * (run // 2), "\t\u3000" * (run // 2)):
+        for text in (gap, gap + "x", "x" + gap, f"a{gap}<|endoftext|>{gap}b{gap}.", f"\x1c{gap}\x1c"):
+            if run <= 5000 or text.count(gap) == 1 and gap[0] != gap[-1] or text in (gap, gap + "x"):
+                assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_added_tokens_are_packed_as_by_the_tokenizers_library(spark):
     from tokenizers import Tokenizer
 
