@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ from cairnsearch.operators.postings import (
     write_bounds,
     write_postings,
 )
+from cairnsearch.operators.signatures import SIGNATURE_SCHEMA, build_signatures
+from cairnsearch.operators.vector_store import VectorStore, embed_reusing
 from cairnsearch.plans.hybrid import hybrid_search
 from cairnsearch.plans.semantic import semantic_search
 from cairnsearch.session import shared_folder
@@ -150,6 +153,21 @@ def doc_source_split_select(spark, sf_dir):
     return documents.read_documents(spark, documents.resolve_paths(spark, manifest=manifest))
 
 
+def doc_source_local_path(spark, sf_dir):
+    """A given path wins over a pinned file and over the manifest."""
+    manifest = spark.createDataFrame([(0, "nowhere.parquet", "train")], "ordinal int, url string, split string")
+    paths = documents.resolve_paths(
+        spark,
+        local_path=" documents.parquet ",
+        working_dir=sf_dir,
+        repository="nowhere",
+        commit="c",
+        file_name="f.parquet",
+        manifest=manifest,
+    )
+    return documents.read_documents(spark, paths)
+
+
 def doc_source_limit(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     return documents.first_rows(docs, 150, key="doc_id")
@@ -272,6 +290,22 @@ def embed_distinct_queries(spark, sf_dir):
     return found.select("query_id", *letters("query_vec"))
 
 
+def embed_reused(spark, sf_dir):
+    """Texts embedded by three runs that share a store: one source's, everybody's, and everybody's once more."""
+    store = VectorStore(shared_folder(spark, "vectors"), "letters")
+    queries = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    first = queries.select(F.min("source")).first()[0]
+    runs = []
+    for i, rows in enumerate([queries.filter(F.col("source") == first), queries, queries]):
+        vectors, n_new = embed_reusing(rows, "text", store, letter_counter, 26, "vector", "doc_id")
+        counts = vectors.agg(
+            F.count("vector").alias("n_vectors"),
+            *[F.sum(column).cast("long").alias(f"sum_{name}") for column, name in zip(letters("vector"), "aez")],
+        )
+        runs.append(counts.select(F.lit(i).alias("run"), F.lit(n_new).cast("long").alias("n_embedded"), "*"))
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
 # Vector search
 
 
@@ -400,6 +434,12 @@ def fts_match_all_indexed(spark, sf_dir):
     return indexed_hits(stored_postings(spark, sf_dir), queries).select("query_id", "id", "n_terms")
 
 
+def fts_match_all_spaces(spark, sf_dir):
+    """Words as spaces part them, with their punctuation."""
+    queries = text_queries(spark)
+    return scan_hits(texts(spark, sf_dir), queries, words=text.space_tokens).select("query_id", "id", "n_terms")
+
+
 def rounded_ranks(found: DataFrame) -> DataFrame:
     return found.withColumn("rank", F.round("rank", 6))
 
@@ -565,7 +605,7 @@ def hybrid_text_only_position(spark, sf_dir):
     return rounded_results(search_both(spark, sf_dir, queries, text_score="position"))
 
 
-def semantic_search_turns(spark, sf_dir):
+def turn_queries(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("conv_id"), F.col("embedding").alias("query_vec")
     )
@@ -579,7 +619,20 @@ def semantic_search_turns(spark, sf_dir):
             "query_vec",
         )
     )
-    return rounded_results(semantic_search(corpus(spark, sf_dir), queries))
+    return queries
+
+
+def semantic_search_turns(spark, sf_dir):
+    return rounded_results(semantic_search(corpus(spark, sf_dir), turn_queries(spark, sf_dir)))
+
+
+def semantic_search_signed(spark, sf_dir):
+    """The same through stored signatures: contents are read only where the words may be."""
+    path = shared_folder(spark, "signatures")
+    build_signatures(texts(spark, sf_dir)).write.parquet(path)
+    signatures = spark.read.schema(SIGNATURE_SCHEMA).parquet(path)
+    found = semantic_search(corpus(spark, sf_dir), turn_queries(spark, sf_dir), signatures=signatures)
+    return rounded_results(found)
 
 
 def letter_vectors(spark, sf_dir) -> DataFrame:
@@ -755,6 +808,52 @@ def run_status(spark, sf_dir):
     return ingest.stream_status(spark, tables, stream).drop("finished_at")
 
 
+def status_columns(status: DataFrame) -> DataFrame:
+    return status.select("status", "label", "rows_read", "inserted", F.col("error_message").isNotNull().alias("failed"))
+
+
+def run_status_failed(spark, sf_dir):
+    """A model that fails on documents of bad quality: the good ones are stored, the run ends in an error."""
+
+    def choosy():
+        count = letter_counter()
+
+        def embed_good(texts):
+            if any(t.startswith("\x00") for t in texts):
+                raise ValueError("unreadable text")
+            return count(texts)
+
+        return embed_good
+
+    tables, source = ingest.StreamTables(shared_folder(spark, "stream")), shared_folder(spark, "arriving")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    bad = docs.filter("quality = 0").withColumn("text", F.concat(F.lit("\x00"), "text"))
+    for part in (docs.filter("quality = 1"), bad):
+        corpus_rows(part).write.mode("append").parquet(source)
+        rows = spark.readStream.schema(corpus_rows(docs).schema).parquet(source)
+        stream = ingest.start_stream(rows, tables, choosy, dim=26)
+        try:
+            stream.awaitTermination()
+        except StreamingQueryException:
+            break
+    return status_columns(ingest.stream_status(spark, tables, stream))
+
+
+def run_status_reset(spark, sf_dir):
+    """Reset after a run: nothing has been read, the documents stay."""
+    tables, _ = run_in_parts(spark, sf_dir)
+    ingest.reset_run(spark, tables)
+    n_documents = F.lit(ingest.read_ingested(spark, tables).count()).cast("long")
+    return status_columns(ingest.stream_status(spark, tables, None)).withColumn("n_documents", n_documents)
+
+
+def millis_to_instant(spark, sf_dir):
+    millis = F.col("doc_id") * 86_400_000 + F.col("n_chars")
+    shown = F.date_format(progress.snapshot_time(millis), "yyyy-MM-dd HH:mm:ss.SSS")
+    return table(spark, sf_dir, "documents").select("doc_id", shown.alias("at"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Hybrid search over the whole small corpus."""
     return hybrid_unified(spark, "/root/testdata/sf0.001")
@@ -764,6 +863,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = [
         doc_source_normalised,
         doc_source_split_select,
+        doc_source_local_path,
         doc_source_limit,
         doc_source_limit_range,
         doc_sink_append,
@@ -775,6 +875,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         embed_truncate,
         embed_dimension_check,
         embed_distinct_queries,
+        embed_reused,
         vector_topk,
         vector_topk_batch,
         vector_topk_batch_blocks,
@@ -789,6 +890,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         postings_backfill,
         fts_match_all,
         fts_match_all_indexed,
+        fts_match_all_spaces,
         fts_rank_single,
         fts_rank_and,
         fts_rank_cd,
@@ -824,10 +926,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         stream_ingest_search,
         run_history,
         run_status,
+        run_status_failed,
+        run_status_reset,
+        millis_to_instant,
     ]
     named = {query.__name__: query for query in registered}
     named["semantic_search"] = semantic_search_turns
-    named |= {query.__name__: query for query in (semantic_search_text, hybrid_search_text)}
+    named |= {query.__name__: query for query in (semantic_search_signed, semantic_search_text, hybrid_search_text)}
     return named | (llm_queries.queries() if llm_queries else {})
 
 

@@ -41,6 +41,11 @@ def word_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
 
 
+def space_tokens(text: Column) -> Column:
+    """Lower-cased words as spaces part them, punctuation kept, in order, repeats kept."""
+    return F.filter(F.split(F.lower(text), f"{WHITESPACE}+"), lambda w: w != "")
+
+
 def snippet_plain(text: Column, length: int = SNIPPET_LENGTH) -> Column:
     """``...`` only when something was cut off."""
     return F.when(F.length(text) <= length, text).otherwise(

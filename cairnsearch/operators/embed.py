@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnsearch.functions.text import is_blank, truncate
+from cairnsearch.operators.sizing import MAX_ROWS, broadcast_if
 
 EMBED_BATCH = 32
 MAX_TEXT_LENGTH = 8192
@@ -93,7 +94,8 @@ def embed_distinct(
 
     One text may make up much of ``queries``. The grouping folds repeats before the shuffle;
     joining back is salted for texts above ``rows_per_salt`` rows, so that none of them lands
-    in one task. Salts are kept per hash of the text, at most one per ``rows_per_salt`` rows.
+    in one task. Salts are kept per hash of the text, at most one per ``rows_per_salt`` rows, and
+    broadcast if they were counted to be few.
     """
     text_hash = F.xxhash64("query_text").alias("text_hash")
     counted = queries.filter("query_text IS NOT NULL").groupBy("query_text").agg(F.count("*").alias("repeats"))
@@ -102,10 +104,11 @@ def embed_distinct(
         .agg(F.ceil(F.sum("repeats") / rows_per_salt).alias("salts"))
         .filter(F.col("salts") > 1)
     )
+    few = broadcast_if(salts.limit(MAX_ROWS + 1).count() <= MAX_ROWS, salts)
     n_salts = F.coalesce("salts", F.lit(1).cast("long"))
 
     def salted(df: DataFrame, salt) -> DataFrame:
-        hashed = df.withColumn("text_hash", text_hash).join(F.broadcast(salts), "text_hash", "left")
+        hashed = df.withColumn("text_hash", text_hash).join(few, "text_hash", "left")
         return hashed.withColumn("salt", salt).drop("text_hash", "salts")
 
     vectors = embed(
@@ -124,16 +127,26 @@ def embed_distinct(
     )
 
 
-def embed_asked(queries: DataFrame, make_embedder: Callable[[], Embedder], dim: int | None = None) -> DataFrame:
+def embed_asked(
+    queries: DataFrame, make_embedder: Callable[[], Embedder], dim: int | None = None, reuse=None
+) -> DataFrame:
     """``queries`` with a ``query_vec`` made from each text; a given one is replaced.
 
-    Blank texts ask for nothing and are dropped. A row whose ``vector_mode`` is ``NONE`` gets a null vector.
+    Blank texts ask for nothing and are dropped. A row whose ``vector_mode`` is ``NONE`` gets a null vector. With
+    ``reuse``, a ``VectorStore``, only texts that it lacks are embedded.
     """
+    from cairnsearch.operators.vector_store import embed_reusing
+
+    def embedded(rows: DataFrame) -> DataFrame:
+        if reuse is None:
+            return embed_distinct(rows, make_embedder, dim)
+        return embed_reusing(rows, "query_text", reuse, make_embedder, dim, "query_vec", "query_id")[0]
+
     asked = queries.drop("query_vec").filter(~is_blank(F.col("query_text")))
     if "vector_mode" not in asked.columns:
-        return embed_distinct(asked, make_embedder, dim)
+        return embedded(asked)
     without = asked.filter("vector_mode <=> 'NONE'").withColumn("query_vec", F.lit(None).cast("array<float>"))
-    return embed_distinct(asked.filter("NOT vector_mode <=> 'NONE'"), make_embedder, dim).unionByName(without)
+    return embedded(asked.filter("NOT vector_mode <=> 'NONE'")).unionByName(without)
 
 
 def check_dimension(df: DataFrame, dim: int, column: str = "embedding") -> DataFrame:

@@ -13,7 +13,9 @@ read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnsearch.functions.ranking import WEIGHTS, cover_density_rank, frequency_rank
@@ -34,10 +36,10 @@ ROUNDING = 1e-6
 BYTES_PER_TEXT_BYTE = 5
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, words: Callable[[Column], Column] = word_tokens) -> DataFrame:
     """``(query_id, terms)``: distinct words of each query; a query without words is dropped."""
     return queries.select(
-        "query_id", F.array_distinct(word_tokens(F.col("query_text"))).alias("terms")
+        "query_id", F.array_distinct(words(F.col("query_text"))).alias("terms")
     ).filter(F.size("terms") > 0)
 
 
@@ -75,25 +77,29 @@ def _is_small(size: Size) -> bool:
 
 
 def scan_hits(
-    documents: DataFrame, queries: DataFrame, weighted: bool = False, size: Size | None = None
+    documents: DataFrame,
+    queries: DataFrame,
+    weighted: bool = False,
+    size: Size | None = None,
+    words: Callable[[Column], Column] = word_tokens,
 ) -> DataFrame:
     """Hits by scanning: ``(query_id, id, n_terms, doc_length, hits)``.
 
     With the queries broadcast, tokenising, pairing on the pivot, checking all words and
     collecting positions happen within one stage on the document's own row.
     """
-    terms = query_terms(queries)
-    docs = tokenised(documents, weighted)
-    words = F.explode_outer(F.array_distinct("tokens"))
+    terms = query_terms(queries, words)
+    docs = tokenised(documents, weighted, words)
+    spoken = F.explode_outer(F.array_distinct("tokens"))
     size = size or measure_texts(queries)
     small = _is_small(size)
     if small and size.rows <= FEW_QUERIES:
         pivots = _longest_word(terms)
     else:
-        spoken = docs.select(words.alias("lexeme"))
+        lexemes = docs.select(spoken.alias("lexeme"))
         if small:
-            spoken = spoken.join(F.broadcast(_vocabulary(terms)), "lexeme", "left_semi")
-        frequencies = spoken.groupBy("lexeme").agg(F.count("*").alias("df"))
+            lexemes = lexemes.join(F.broadcast(_vocabulary(terms)), "lexeme", "left_semi")
+        frequencies = lexemes.groupBy("lexeme").agg(F.count("*").alias("df"))
         if not small:
             frequencies = stored(frequencies, "word-counts")
         pivots = _rarest_word(terms, frequencies, small)
@@ -109,14 +115,14 @@ def scan_hits(
                                 'weight', {weight}))"""
     )
     if small:
-        paired = docs.select("id", "tokens", "title_tokens", words.alias("pivot")).join(
+        paired = docs.select("id", "tokens", "title_tokens", spoken.alias("pivot")).join(
             F.broadcast(pivots), "pivot"
         )
     else:
         # Shuffle bare (word, id) pairs; texts then meet their queries once per document.
         counts = frequencies.select(F.col("lexeme").alias("pivot"), F.col("df").alias("n"))
         pairs = split_join(
-            docs.select("id", words.alias("pivot")), pivots.select("query_id", "pivot"), "pivot", counts, "id"
+            docs.select("id", spoken.alias("pivot")), pivots.select("query_id", "pivot"), "pivot", counts, "id"
         ).select("query_id", "id")
         pairs = stored(pairs, "word-pairs")
         asked = split_join(pairs, terms, "query_id", pairs.groupBy("query_id").agg(F.count("*").alias("n")), "id")
@@ -130,14 +136,19 @@ def scan_hits(
     )
 
 
-def indexed_hits(postings: DataFrame, queries: DataFrame, size: Size | None = None) -> DataFrame:
+def indexed_hits(
+    postings: DataFrame,
+    queries: DataFrame,
+    size: Size | None = None,
+    words: Callable[[Column], Column] = word_tokens,
+) -> DataFrame:
     """Hits from the inverted index, same columns as ``scan_hits``.
 
     A short list of words is pushed into the scan, which skips the rest of a lexeme-sorted
     index. For a few queries all their postings are then grouped by document; for many, only
     those of documents holding a query's pivot.
     """
-    terms = query_terms(queries)
+    terms = query_terms(queries, words)
     size = size or measure_texts(queries)
     small = _is_small(size)
     vocabulary = _vocabulary(terms)
@@ -233,7 +244,11 @@ def ranked(hits: DataFrame, method: str) -> DataFrame:
 
 
 def top_indexed(
-    postings: DataFrame, bounds: DataFrame, queries: DataFrame, k: int
+    postings: DataFrame,
+    bounds: DataFrame,
+    queries: DataFrame,
+    k: int,
+    words: Callable[[Column], Column] = word_tokens,
 ) -> DataFrame:
     """``(query_id, id, rank, r)`` by cover density, for queries known to be few and small.
 
@@ -243,7 +258,7 @@ def top_indexed(
     largest shares. The ranges with the highest sums are ranked first; of the others, only those
     that may still reach the k-th rank found.
     """
-    terms = query_terms(queries)
+    terms = query_terms(queries, words)
     asked = _asked_for(postings, _vocabulary(terms))
     wanted = terms.select(
         "query_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("at", "lexeme")
@@ -300,22 +315,24 @@ def search_text(
     postings: DataFrame | None = None,
     size: Size | None = None,
     bounds: DataFrame | None = None,
+    words: Callable[[Column], Column] = word_tokens,
 ) -> DataFrame:
     """``(query_id, id, rank, r)``: the k best documents holding all words of each query.
 
     With ``postings`` the stored weighted vectors are searched and ranked by cover density;
     without, ``documents`` are scanned as plain text and ranked by frequency and proximity.
     ``bounds`` of the postings spare a small set of queries most of them. ``size`` is that of
-    ``queries`` if it has been measured already.
+    ``queries`` if it has been measured already. ``words`` takes texts and queries apart (see
+    ``word_tokens``, ``space_tokens``); an index must have been built with the same function.
     """
     if size is None:
         queries, size = localise(queries.select("query_id", "query_text"))
     if postings is not None and bounds is not None and _is_small(size) and size.rows <= FEW_QUERIES:
-        return top_indexed(postings, bounds, queries, k)
+        return top_indexed(postings, bounds, queries, k, words)
     if postings is not None:
-        scored = ranked(indexed_hits(postings, queries, size), "cover_density")
+        scored = ranked(indexed_hits(postings, queries, size, words), "cover_density")
     elif documents is not None:
-        scored = ranked(scan_hits(documents, queries, size=size), "frequency")
+        scored = ranked(scan_hits(documents, queries, size=size, words=words), "frequency")
     else:
         raise ValueError("give documents to scan or postings to read")
     return top_k_per_query(scored, k, F.desc("rank"), "id")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnsearch.operators.bitmaps import rows_with_keys
 from cairnsearch.operators.sizing import MAX_ROWS, broadcast_if, near_values
+from cairnsearch.session import stored
 
 PUSHED_HITS = 2_000
-# Ids alone are eight bytes each: 32 MB.
-MAX_IDS = 4_000_000
 
 
 def merge_outer(vector_scores: DataFrame, text_scores: DataFrame) -> DataFrame:
@@ -40,17 +40,19 @@ def merge_scored(scored: DataFrame, *carried: str) -> DataFrame:
 def with_documents(hits: DataFrame, documents: DataFrame, most_hits: int) -> DataFrame:
     """Fetch the columns of ``documents(id, ...)`` for ranked hits, after the final cut.
 
-    ``most_hits`` bounds their number (the sum of the queries' limits). A short list of hits is
-    worked out first, and the documents are then read by id range, so that a corpus stored in
-    id order is not read as a whole for a page of results. A longer list is broadcast. One too
-    long for that leaves out the documents without a hit by its broadcast ids before anything
-    is shuffled, if their bound allows; else both sides are shuffled as they are.
+    ``most_hits`` bounds their number (the sum of the queries' limits). The hits are worked out
+    once. A short list is held, and the documents are then read by id range, so that a corpus
+    stored in id order is not read as a whole for a page of results. A longer list is written
+    down and broadcast. One too long for that, of any length, is made into a filter of ids that
+    the documents pass as they are read, so that those without a hit are not shuffled.
     """
     found = documents
     if most_hits > PUSHED_HITS:
-        if MAX_ROWS < most_hits <= MAX_IDS:
-            found = found.join(F.broadcast(hits.select("id").distinct()), "id", "left_semi")
-        return found.join(broadcast_if(most_hits <= MAX_ROWS, hits), "id")
+        held = stored(hits, "hits")
+        n = held.count()
+        if n > MAX_ROWS:
+            found = rows_with_keys(found, "id", held.select("id"), n)
+        return found.join(broadcast_if(n <= MAX_ROWS, held), "id")
     ranked = hits.toArrow()  # PUSHED_HITS rows of ids and scores at most
     local = documents.sparkSession.createDataFrame(ranked)
     if not ranked.num_rows:

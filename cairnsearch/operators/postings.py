@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +24,20 @@ POSTINGS_SCHEMA = (
 )
 
 
-def tokenised(documents: DataFrame, weighted: bool) -> DataFrame:
+def tokenised(documents: DataFrame, weighted: bool, words: Callable[[Column], Column] = word_tokens) -> DataFrame:
     """``(id, tokens, title_tokens)``: one document's words in order, in one array.
 
     Weighted vectors take the title's words first and count them in ``title_tokens``, so the
     content's positions follow the title's. Otherwise title and content are one plain text.
+    ``words`` makes the array of words of a text.
     """
     title = F.coalesce("title", F.lit(""))
     content = F.coalesce("content", F.lit(""))
     if not weighted:
         joined = F.concat_ws(" ", title, content)
-        return documents.select("id", word_tokens(joined).alias("tokens"), F.lit(0).alias("title_tokens"))
+        return documents.select("id", words(joined).alias("tokens"), F.lit(0).alias("title_tokens"))
     return documents.select(
-        "id", word_tokens(title).alias("title_words"), word_tokens(content).alias("content_words")
+        "id", words(title).alias("title_words"), words(content).alias("content_words")
     ).select(
         "id",
         F.concat("title_words", "content_words").alias("tokens"),
@@ -44,13 +45,13 @@ def tokenised(documents: DataFrame, weighted: bool) -> DataFrame:
     )
 
 
-def build_postings(documents: DataFrame) -> DataFrame:
+def build_postings(documents: DataFrame, words: Callable[[Column], Column] = word_tokens) -> DataFrame:
     """The inverted index: one row per lexeme, document and field (``POSTINGS_SCHEMA``).
 
     All words of a document stand in one row, so position lists are finished within it: words are
     numbered batch by batch and sorted by document, word and field, and nothing is shuffled.
     """
-    tokens = tokenised(documents, weighted=True)
+    tokens = tokenised(documents, weighted=True, words=words)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,14 +130,16 @@ def read_bounds(spark, path: str) -> DataFrame:
     return spark.read.schema(BOUNDS_SCHEMA).parquet(path)
 
 
-def missing_postings(documents: DataFrame, postings: DataFrame) -> DataFrame:
+def missing_postings(
+    documents: DataFrame, postings: DataFrame, words: Callable[[Column], Column] = word_tokens
+) -> DataFrame:
     """Index rows for documents the index does not hold yet, ready to be appended.
 
     Every indexed document has exactly one posting with position 1, so its id need not be
     gathered from all its postings.
     """
     indexed = postings.filter(F.array_min("positions") == 1).select("id")
-    return build_postings(documents.join(indexed, "id", "left_anti"))
+    return build_postings(documents.join(indexed, "id", "left_anti"), words)
 
 
 def write_postings(

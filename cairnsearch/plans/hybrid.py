@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnsearch.functions import scores
-from cairnsearch.functions.text import snippet_hybrid
+from cairnsearch.functions.text import snippet_hybrid, word_tokens
 from cairnsearch.operators.cells import CellIndex, search_cells
 from cairnsearch.operators.embed import Embedder, embed_asked
 from cairnsearch.operators.fulltext import search_text
 from cairnsearch.operators.fusion import merge_scored, with_documents
 from cairnsearch.operators.nearest import nearest
 from cairnsearch.operators.sizing import Size, broadcast_if, localise
+from cairnsearch.operators.vector_store import VectorStore
 from cairnsearch.plans.requests import (
     SINGLE_CANDIDATES,
     TEXT_ONLY,
@@ -38,6 +39,8 @@ def hybrid_search(
     unified_candidates: int = UNIFIED_CANDIDATES,
     single_candidates: int = SINGLE_CANDIDATES,
     bounds: DataFrame | None = None,
+    reuse: VectorStore | None = None,
+    words: Callable[[Column], Column] = word_tokens,
 ) -> DataFrame:
     """``(query_id, id, title, content_snippet, similarity_percent, total_score)`` for all queries.
 
@@ -50,14 +53,16 @@ def hybrid_search(
     sets how text-only search scores: ``rank_value`` puts the rank's value into the reciprocal
     (a better rank then scores lower), ``position`` uses its place.
 
-    With ``make_embedder`` the queries need no ``query_vec``: each distinct text is embedded once.
+    With ``make_embedder`` the queries need no ``query_vec``: each distinct text is embedded once, or
+    with ``reuse`` taken from a store of vectors. ``words`` takes texts and queries apart; an index
+    must have been built with the same function.
     """
     if make_embedder is not None:
-        queries = embed_asked(queries, make_embedder)
+        queries = embed_asked(queries, make_embedder, reuse=reuse)
     requests, size = localise(prepare_requests(queries, unified_candidates, single_candidates))
     asked = requests.agg(F.max("candidates").alias("most"), F.sum("max_hits").alias("hits")).first()
     hits = hybrid_scores(
-        requests, size, asked["most"] or 1, documents, vectors, postings, cells, probes, text_score, rrf_k, bounds
+        requests, size, asked["most"] or 1, documents, vectors, postings, cells, probes, text_score, rrf_k, bounds, words
     )
     most_hits = asked["hits"] or 0
     # cut before the join, so that whole contents are never shuffled
@@ -79,6 +84,7 @@ def hybrid_scores(
     text_score: str = "rank_value",
     rrf_k: int = scores.RRF_K,
     bounds: DataFrame | None = None,
+    words: Callable[[Column], Column] = word_tokens,
 ) -> DataFrame:
     """``(query_id, id, total_score, similarity_percent)``, at most ``max_hits`` rows per query.
 
@@ -92,7 +98,7 @@ def hybrid_scores(
     else:
         near = search_cells(cells, with_vector, candidates, probes)
     with_text = requests.filter(F.col("kind") != VECTOR_ONLY)
-    found = search_text(with_text, candidates, documents, postings, size, bounds)
+    found = search_text(with_text, candidates, documents, postings, size, bounds, words)
     both = near.selectExpr(
         "query_id", "id", "r", "dist", "cast(NULL AS double) AS rank"
     ).unionByName(found.selectExpr("query_id", "id", "r", "cast(NULL AS double) AS dist", "rank"))

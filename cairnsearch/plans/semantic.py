@@ -13,7 +13,9 @@ from cairnsearch.operators.cells import CellIndex, search_cells
 from cairnsearch.operators.embed import Embedder, embed_asked
 from cairnsearch.operators.fusion import with_documents
 from cairnsearch.operators.nearest import nearest
+from cairnsearch.operators.signatures import may_hold
 from cairnsearch.operators.sizing import broadcast_if, localise
+from cairnsearch.operators.vector_store import VectorStore
 from cairnsearch.plans.requests import prepare_requests
 
 MIN_SIMILARITY_PERCENT = 55.0
@@ -27,16 +29,20 @@ def semantic_search(
     cells: CellIndex | None = None,
     probes: int | None = None,
     make_embedder: Callable[[], Embedder] | None = None,
+    signatures: DataFrame | None = None,
+    reuse: VectorStore | None = None,
 ) -> DataFrame:
     """``(query_id, id, title, content_snippet, similarity_percent)``.
 
     ``cells`` are searched exactly, or with a number of ``probes`` in that many of them.
 
     Both filters follow the limit, so a query may get fewer rows than it asked for. With
-    ``make_embedder`` the queries need no ``query_vec``: each distinct text is embedded once.
+    ``make_embedder`` the queries need no ``query_vec``: each distinct text is embedded once, or
+    with ``reuse`` taken from a store of vectors. With ``signatures`` (``build_signatures``) the
+    contents are fetched only of documents that may hold a query's words.
     """
     if make_embedder is not None:
-        queries = embed_asked(queries, make_embedder)
+        queries = embed_asked(queries, make_embedder, reuse=reuse)
     requests, size = localise(prepare_requests(queries))
     limits = requests.agg(F.max("max_hits").alias("largest"), F.sum("max_hits").alias("all")).first()
     k = limits["largest"] or 1
@@ -51,6 +57,10 @@ def semantic_search(
         .filter((F.col("r") <= F.col("max_hits")) & (percent >= min_similarity))
         .select("query_id", "id", percent.alias("similarity_percent"))
     )
+    if signatures is not None:
+        signed = with_documents(similar, signatures.select("id", "signature"), limits["all"] or 0)
+        signed = signed.join(broadcast_if(size.within(), requests.select("query_id", "query_text")), "query_id")
+        similar = signed.filter(may_hold(F.col("query_text"), F.col("signature"))).select(*similar.columns)
     return (
         with_documents(similar, documents.select("id", "title", "content"), limits["all"] or 0)
         .join(broadcast_if(size.within(), requests.select("query_id", "query_text")), "query_id")

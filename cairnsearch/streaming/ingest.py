@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cairnsearch.operators.embed import Embedder, embed
+from cairnsearch.operators.vector_store import VectorStore, embed_reusing
 from cairnsearch.sources.corpus_table import CORPUS_SCHEMA, append_documents, read_corpus
 from cairnsearch.sources.documents import path_exists
 from cairnsearch.sources.id_blocks import with_claimed_ids
@@ -20,10 +21,18 @@ LOG_SCHEMA = "batch_id long, at timestamp, rows_read long, inserted long"
 
 
 def embedded_documents(
-    rows: DataFrame, make_embedder: Callable[[], Embedder], dim: int | None = None
+    rows: DataFrame,
+    make_embedder: Callable[[], Embedder],
+    dim: int | None = None,
+    reuse: VectorStore | None = None,
 ) -> DataFrame:
-    """``rows(id, title, text, namespace, contributors)`` as corpus rows with their vectors."""
-    return embed(rows, "text", make_embedder, dim).withColumnRenamed("text", "content")
+    """``rows(id, title, text, namespace, contributors)`` as corpus rows with their vectors, those of known texts from
+    ``reuse``."""
+    if reuse is None:
+        embedded = embed(rows, "text", make_embedder, dim)
+    else:
+        embedded, _ = embed_reusing(rows, "text", reuse, make_embedder, dim)
+    return embedded.withColumnRenamed("text", "content")
 
 
 def ingest_batch(
@@ -33,14 +42,19 @@ def ingest_batch(
     dim: int | None = None,
     ids: str | None = None,
     writer: str | None = None,
+    reuse: VectorStore | None = None,
 ) -> DataFrame:
     """Embed and append all rows; returns ``(rows_read, inserted)``, counted as they pass.
 
     With ``ids``, a folder that all writers of a corpus share, the rows need no ``id``: blocks of ids
-    are claimed there (see ``id_blocks``) under the name ``writer``, by default one of its own.
+    are claimed there (see ``id_blocks``) under the name ``writer``, by default one of its own. With
+    ``reuse`` only texts that the store of vectors lacks are embedded.
     """
     if ids is not None:
         rows = with_claimed_ids(rows, ids, writer or uuid.uuid4().hex)
+    if reuse is not None:
+        inserted = append_documents(embedded_documents(rows, make_embedder, dim, reuse), path)
+        return rows.sparkSession.createDataFrame([(rows.count(), inserted)], "rows_read long, inserted long")
     read = Observation()
     counted = rows.observe(read, F.count(F.lit(1)).alias("rows"))
     inserted = append_documents(embedded_documents(counted, make_embedder, dim), path)
@@ -136,6 +150,15 @@ def stream_status(spark: SparkSession, tables: StreamTables, stream) -> DataFram
     )
 
 
+def reset_run(spark: SparkSession, tables: StreamTables) -> None:
+    """Forget the counts of earlier runs: their log goes, documents, ids and what has been read stay.
+
+    For when no run is active. The next run's counts start from nothing.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables.log)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_log(spark: SparkSession, tables: StreamTables) -> DataFrame:
     if not path_exists(spark, tables.log):
         return spark.createDataFrame([], LOG_SCHEMA)

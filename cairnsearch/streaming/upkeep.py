@@ -13,9 +13,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnsearch.functions.text import word_tokens
 from cairnsearch.operators.cells import (
     SIZE_SCHEMA,
     VECTOR_SCHEMA,
@@ -89,6 +90,7 @@ class IndexUpkeep:
     root: str
     lists: int = 0
     fan: int = FAN
+    words: Callable[[Column], Column] = word_tokens
 
     @property
     def postings_root(self) -> str:
@@ -116,7 +118,7 @@ class IndexUpkeep:
         """
         spark = documents.sparkSession
         name = segment_name((batch, batch))
-        added = write_postings(build_postings(documents), f"{self.postings_root}/{name}")
+        added = write_postings(build_postings(documents, self.words), f"{self.postings_root}/{name}")
         self._merge(spark, self.postings_root, POSTINGS_SCHEMA, write_postings, batch)
         write_bounds(build_bounds(added), f"{self.bounds_root}/{name}")
         self._merge(spark, self.bounds_root, BOUNDS_SCHEMA, self._store_bounds, batch)

@@ -281,6 +281,16 @@ FROM documents""",
   substr(text, 1, 512) AS query_for_embedding, length(text) AS unlimited_length FROM documents""",
         "embed_dimension_check": f"""WITH {CORPUS}
 SELECT coalesce(len(embedding), 0)::INT AS dim, count(*) AS n_documents FROM corpus GROUP BY 1""",
+        "embed_reused": f"""WITH chosen AS (SELECT min(source) AS source FROM documents),
+part AS (
+  SELECT 0 AS run, text FROM documents WHERE source = (SELECT source FROM chosen)
+  UNION ALL SELECT 1, text FROM documents UNION ALL SELECT 2, text FROM documents),
+firsts AS (SELECT text, min(run) AS run FROM part GROUP BY text),
+made AS (SELECT run, count(*) AS n FROM firsts GROUP BY run),
+counted AS (SELECT run, text, {letters('text')} FROM part)
+SELECT c.run, coalesce(any_value(m.n), 0) AS n_embedded, count(*) AS n_vectors, sum(count_a)::BIGINT AS sum_a,
+       sum(count_e)::BIGINT AS sum_e, sum(count_z)::BIGINT AS sum_z
+FROM counted c LEFT JOIN made m USING (run) GROUP BY c.run""",
         "embed_distinct_queries": f"""SELECT doc_id AS query_id, {letters('text')}
 FROM documents""",
         "vector_topk": f"""WITH {CORPUS}, {distances(ONE_VECTOR)}
@@ -310,6 +320,8 @@ FROM occurrence GROUP BY id, w""",
 SELECT id, max(doc_length) AS doc_length, count(*) AS n_positions FROM occurrence GROUP BY id""",
         "fts_match_all": matches,
         "fts_match_all_indexed": matches,
+        "fts_match_all_spaces": spaced(f"""WITH {CORPUS}, {TEXT_QUERY_ROWS}, {positions(False)}, {HITS}
+SELECT query_id, id, n_terms FROM matched"""),
         "fts_rank_single": f"WITH {text_search(TEXT_QUERY_ROWS, FREQUENCY)} {RANKS} "
         "WHERE query_id IN (SELECT query_id FROM terms WHERE n_terms = 1)",
         "fts_rank_and": f"WITH {text_search(TEXT_QUERY_ROWS, FREQUENCY)} {RANKS} "
@@ -401,11 +413,20 @@ part AS (
 counted AS (SELECT batch_id, count(*) AS n FROM part GROUP BY batch_id)
 SELECT batch_id::BIGINT AS batch_id, (sum(n) OVER (ORDER BY batch_id))::BIGINT AS rows_read,
        (sum(n) OVER (ORDER BY batch_id))::BIGINT AS inserted FROM counted""",
+        "run_status_failed": """SELECT 'ERROR' AS status, '오류' AS label, count(*) AS rows_read,
+       count(*) AS inserted, true AS failed
+FROM documents SEMI JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1) USING (doc_id)""",
+        "run_status_reset": """SELECT 'IDLE' AS status, '대기' AS label, 0::BIGINT AS rows_read, 0::BIGINT AS inserted,
+       false AS failed, count(*) AS n_documents FROM documents""",
+        "millis_to_instant": """SELECT doc_id, strftime(epoch_ms(doc_id * 86400000 + n_chars), '%Y-%m-%d %H:%M:%S.%g') AS at
+FROM documents""",
         "run_status": """SELECT 'DONE' AS status, '완료' AS label, count(*) AS rows_read, count(*) AS inserted,
        NULL::VARCHAR AS error_message FROM documents""",
     }
     # without a stored index the words are ranked by frequency
     found["stream_ingest_postings"] = found["postings_build"]
+    found["doc_source_local_path"] = found["doc_source_split_select"]
+    found["semantic_search_signed"] = found["semantic_search"]
     by_text = {
         "stream_ingest_search": vector_batch,
         "semantic_search_text": found["semantic_search"],
@@ -414,6 +435,11 @@ SELECT batch_id::BIGINT AS batch_id, (sum(n) OVER (ORDER BY batch_id))::BIGINT A
     return found | {name: on_letters(sql) for name, sql in by_text.items()}
 
 
+def spaced(sql: str) -> str:
+    """A text search whose words are what spaces part."""
+    return sql.replace(r"'[^\p{L}\p{N}]+'", r"'[\s\x1c-\x1f\p{Z}]+'")
+
+
 def on_letters(sql: str) -> str:
     """A search over given vectors as one over letter counts of documents and query texts."""
     turns = f"""SELECT conv_id * 100 + turn AS query_id, {letter_vector('text')} AS vec
