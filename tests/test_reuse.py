@@ -101,7 +101,7 @@ def test_signatures_rule_out_no_confirmed_document(spark):
     rng = np.random.default_rng(5)
     docs = [(i, None if i % 9 == 0 else " ".join(rng.choice(words, 3)), " ".join(rng.choice(words, 12))) for i in range(60)]
     documents = spark.createDataFrame(docs, "id long, title string, content string")
-    asked = [*words, "TREE baum", " été ", "no such words at all, but long enough x", "q" * 60, "tree " * 8, "zebra topaz quartz rhubarb knife wool"]
+    asked = [*words, "TREE baum", " été ", "nonsense phrase without matching anything", "q" * 60, "tree " * 8, "zebra topaz quartz rhubarb knife wool"]
     queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query_text string")
     pairs = documents.join(signatures.build_signatures(documents), "id").join(F.broadcast(queries), F.lit(True))
     judged = pairs.select(
