@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnsearch.llm.common import join_hot, only_members, store
+from cairnsearch.llm.common import broadcast_checked, join_hot, only_members, store
 from cairnsearch.llm.components import connected
 
 WORDS = 5
@@ -273,22 +273,27 @@ def near_duplicates(
     placed = members.filter("id != leader").join(component, "id", "left")
     placed = placed.select("band", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
     open_rows = store(_open(placed, rows_banded), "minhash-open")
-    useful = useful_shingles(wanted, open_rows.select("id").distinct(), words)
+    # a row per document from here on, until its bands are set side by side
+    useful = useful_shingles(wanted, open_rows.select("id").distinct(), words).dropDuplicates(["id"])
     mass = F.aggregate("useful", F.lit(0).cast("long"), lambda total, x: total + x)
-    open_rows = open_rows.join(useful.dropDuplicates(["id"]).withColumn("mass", mass), "id")
-    enough = F.col("mass") * 100 >= F.col("n_shingles") * percent
-    open_rows = _open(open_rows.filter(enough), rows_banded)
+    facts = open_rows.select("id", "n_shingles", "component").distinct().join(useful.withColumn("mass", mass), "id")
+    facts = store(facts.filter(F.col("mass") * 100 >= F.col("n_shingles") * percent), "minhash-facts")
+    still = open_rows.select("band", "id", "component").join(broadcast_checked(facts.select("id")), "id", "left_semi")
+    still = _open(still, rows_banded).groupBy("id").agg(F.collect_set("band").alias("bands"))  # at most all of a document
     met = members.groupBy("id").agg(F.collect_set("leader").alias("met"))  # at most one a band
     sketched = speakers.select("id", "sketch").dropDuplicates(["id"])
-    open_rows = store(open_rows.join(met, "id").join(sketched, "id"), "minhash-open")
+    open_docs = store(still.join(facts, "id").join(met, "id").join(sketched, "id"), "minhash-open")
 
     needed = (F.col("n_shingles_a") + F.col("n_shingles_b")) * percent
     smaller = F.zip_with("useful_a", "useful_b", lambda x, y: F.least(x, y))
     common = F.aggregate(smaller, F.lit(0).cast("long"), lambda total, x: total + x)
     differing = [F.bit_count(F.get("sketch_a", i).bitwiseXOR(F.get("sketch_b", i))) for i in range(-(-bands * rows // 64))]
-    kept = [c for c in open_rows.columns if c != "band"]
-    a = open_rows.select("band", *[F.col(c).alias(f"{c}_a") for c in kept])
-    b = open_rows.select("band", *[F.col(c).alias(f"{c}_b") for c in kept])
+    a, b = (
+        open_docs.select(F.explode("bands").alias("band"), *[F.col(c).alias(f"{c}_{side}") for c in open_docs.columns])
+        for side in "ab"
+    )
+    # a pair is made in the first of the bands it shares
+    first_shared = F.array_min(F.array_intersect("bands_a", "bands_b"))
     # rows of one band go to all tasks, whichever join Spark picks
     b = b.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id_b")
     across = a.join(b, "band").filter(
@@ -298,8 +303,9 @@ def near_duplicates(
         & (reduce(add, differing) <= most_differing_bits(bands * rows, percent))
         & ~F.array_contains("met_b", F.col("id_a"))
         & (common * (100 + percent) >= needed)
+        & (F.col("band") == first_shared)
     )
-    across = across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    across = across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     more = store(verified(store(across, "minhash-across"), wanted, words, percent), "minhash-links")
     if not more.isEmpty():
         component = connected(component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
