@@ -5,17 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The rows a new configuration table starts with.
-DEFAULT_CONFIG = [
-    ("search2.sqlSectionLabel", "Generated SQL"),
-    ("search2.explanationSectionLabel", "Query Explanation"),
-    ("search2.emptySqlPlaceholder", "-- 검색어 입력 후 SEARCH"),
-    ("search2.emptyExplanationPlaceholder", "[]"),
-    ("search2.noSearchSqlPlaceholder", "-- Vector: NONE, BM25: off. Enable at least one."),
-    ("search2.errorSqlPlaceholder", "-- 오류 발생"),
-    ("search2.errorExplanationPlaceholder", "[]"),
-]
-
 
 def seed_if_absent(config: DataFrame, seeds: DataFrame) -> DataFrame:
     """``config`` plus those ``seeds`` whose key it lacks; stored values are never replaced."""

@@ -17,7 +17,7 @@ def with_generated_id(df: DataFrame, start: int = 0) -> DataFrame:
 
 
 def next_id(corpus: DataFrame) -> int:
-    """One above the highest stored id; Parquet keeps the maximum in its footers."""
+    """One above the highest stored id, for a single writer; see ``id_blocks`` for several."""
     highest = corpus.agg(F.max("id")).first()[0]
     return 0 if highest is None else highest + 1
 
