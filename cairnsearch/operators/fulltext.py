@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,9 @@ FEW_QUERIES = 16
 PUSHED_LEXEMES = 500
 MAX_CANDIDATES = 200_000
 SEED_RANGES = 4
+#: Ranges per query up to which all of them are ranked at once.
+FEW_RANGES = 64
+RANKED_SCHEMA = "query_id {}, id long, rank double, r int"
 #: Ranks are single precision, bounds double.
 ROUNDING = 1e-6
 # A one-letter word takes two bytes of text and about nine as an array element.
@@ -258,14 +262,14 @@ def top_indexed(
     largest shares. The ranges with the highest sums are ranked first; of the others, only those
     that may still reach the k-th rank found.
     """
-    terms = query_terms(queries, words)
-    asked = _asked_for(postings, _vocabulary(terms))
+    spark, terms = postings.sparkSession, query_terms(queries, words)
+    lexemes = sorted({word for row in terms.collect() for word in row["terms"]})  # few and small, as the queries are
+    asked, bounds = (df.filter(F.col("lexeme").isin(lexemes)) for df in (postings, bounds))
     wanted = terms.select(
         "query_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("at", "lexeme")
     )
     ranges = (
-        _asked_for(bounds, _vocabulary(terms))
-        .groupBy("lexeme", "block")
+        bounds.groupBy("lexeme", "block")
         .agg(F.max("share").alias("share"))
         .join(F.broadcast(wanted), "lexeme")
         .groupBy("query_id", "block")
@@ -273,33 +277,56 @@ def top_indexed(
         .filter(F.col("found") == F.col("n_terms"))
         .select("query_id", "block", "most")
     )
-    ranges = _local_or_stored(ranges)
-    seeds = _local_or_stored(top_k_per_query(ranges, SEED_RANGES, F.desc("most"), "block").drop("r"))
-    first = _ranked_in(asked, wanted, seeds)
-    best = _local_or_stored(top_k_per_query(first, k, F.desc("rank"), "id"))
+    held = ranges.limit(MAX_CANDIDATES + 1).toArrow()
+    if held.num_rows > MAX_CANDIDATES:
+        ranges = stored(ranges, "text-ranges")
+        seeds = top_k_per_query(ranges, SEED_RANGES, F.desc("most"), "block").drop("r").toArrow()
+    else:
+        ranges, seeds = spark.createDataFrame(held, ranges.schema), _highest_ranges(held, SEED_RANGES)
+    if held.num_rows <= FEW_RANGES * max(1, len(seeds)) // SEED_RANGES:
+        # so few that ranking all of them takes no longer than finding out which to leave
+        found = asked.join(F.broadcast(wanted), "lexeme")
+        return top_k_per_query(ranked(_complete(found), "cover_density"), k, F.desc("rank"), "id")
+    first = _ranked_in(asked, wanted, spark.createDataFrame(seeds, ranges.schema), seeds)
+    best = spark.createDataFrame(top_k_per_query(first, k, F.desc("rank"), "id").toArrow(), RANKED_SCHEMA.format(_kind(queries)))
     reached = best.filter(F.col("r") == k).select("query_id", F.col("rank").alias("reached"))
+    done = spark.createDataFrame(seeds, ranges.schema).select("query_id", "block")
     more = (
-        ranges.join(F.broadcast(seeds.select("query_id", "block")), ["query_id", "block"], "left_anti")
+        ranges.join(F.broadcast(done), ["query_id", "block"], "left_anti")
         .join(F.broadcast(reached), "query_id", "left")
         .filter(F.col("reached").isNull() | (F.col("most") * (1 + ROUNDING) >= F.col("reached")))
+        .select("query_id", "block", "most")
     )
-    rest = _ranked_in(asked, wanted, _local_or_stored(more.select("query_id", "block")))
+    few = more.limit(MAX_CANDIDATES + 1).toArrow()
+    if few.num_rows > MAX_CANDIDATES:
+        rest = _ranked_in(asked, wanted, more, None)
+    else:
+        rest = _ranked_in(asked, wanted, spark.createDataFrame(few, ranges.schema), few)
     return top_k_per_query(best.drop("r").unionByName(rest), k, F.desc("rank"), "id")
 
 
-def _local_or_stored(df: DataFrame) -> DataFrame:
-    """``df``, computed now: held on the driver if that is proven to be few rows, else written down."""
-    rows = df.limit(MAX_CANDIDATES + 1).toArrow()
-    if rows.num_rows > MAX_CANDIDATES:
-        return stored(df, "text-ranges")
-    return df.sparkSession.createDataFrame(rows, df.schema)
+def _kind(queries: DataFrame) -> str:
+    return queries.schema["query_id"].dataType.simpleString()
 
 
-def _ranked_in(asked: DataFrame, wanted: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``(query_id, id, rank)`` of the complete hits within ``ranges(query_id, block)``, reading only those."""
+def _highest_ranges(ranges: pa.Table, n: int) -> pa.Table:
+    """The ``n`` rows of each query with the largest ``most``."""
+    ordered = ranges.sort_by([("query_id", "ascending"), ("most", "descending"), ("block", "ascending")])
+    taken, rows = {}, []
+    for i, query in enumerate(ordered.column("query_id").to_pylist()):
+        taken[query] = taken.get(query, 0) + 1
+        if taken[query] <= n:
+            rows.append(i)
+    return ordered.take(rows)
+
+
+def _ranked_in(asked: DataFrame, wanted: DataFrame, ranges: DataFrame, held: pa.Table | None) -> DataFrame:
+    """``(query_id, id, rank)`` of the complete hits within ``ranges(query_id, block)``, reading only those.
+
+    ``held`` are the same rows if they are few.
+    """
     pairs = ranges.select("query_id", "block")
-    held = pairs.limit(MAX_CANDIDATES + 1).toArrow()
-    if held.num_rows <= MAX_CANDIDATES:
+    if held is not None:
         blocks = held.column("block").to_pylist()
         asked = asked.filter(near_values(F.col("id"), blocks, BLOCK_IDS)) if blocks else asked.limit(0)
         pairs = F.broadcast(pairs)

@@ -225,11 +225,12 @@ def test_bounded_search_equals_the_plain_one(spark, data, tables, monkeypatch, s
     for module in (fulltext, index):
         monkeypatch.setattr(module, "BLOCK_IDS", span)
     monkeypatch.setattr(fulltext, "SEED_RANGES", seeds)
+    monkeypatch.setattr(fulltext, "FEW_RANGES", 0)
     postings, bounds = stored_index(spark, tables[0])
     for k in (1, 4, 50):
         plain = search_text(tables[1], k, postings=postings).collect()
         assert sorted(search_text(tables[1], k, postings=postings, bounds=bounds).collect()) == sorted(plain)
-    monkeypatch.setattr(fulltext, "MAX_CANDIDATES", 3)  # nothing held on the driver
+    monkeypatch.setattr(fulltext, "MAX_CANDIDATES", 3)  # ranges are written down instead of held
     assert sorted(search_text(tables[1], 4, postings=postings, bounds=bounds).collect()) == sorted(
         search_text(tables[1], 4, postings=postings).collect()
     )
@@ -256,9 +257,9 @@ def test_ranges_that_cannot_reach_the_best_are_not_ranked(spark, monkeypatch):
     postings, bounds = stored_index(spark, spark.createDataFrame(rows, "id long, title string, content string"))
     ranged, kept = [], fulltext._ranked_in
 
-    def counting(asked, wanted, ranges):
+    def counting(asked, wanted, ranges, held):
         ranged.extend(r["block"] for r in ranges.collect())
-        return kept(asked, wanted, ranges)
+        return kept(asked, wanted, ranges, held)
 
     monkeypatch.setattr(fulltext, "_ranked_in", counting)
     asked = spark.createDataFrame([(1, "tree")], "query_id long, query_text string")
