@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import threading
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,47 +19,49 @@ def claim_blocks(spark: SparkSession, folder: str, owner: str, n: int) -> list[i
     """``n`` block numbers that no other ``owner`` has; asked again, an owner gets those it had, and more if need be.
 
     A block is a file named by its number, created only if it is absent, which the file system
-    decides for all writers. It holds its owner's name; if that was never written, because the
-    writer died in between, the block stays unused.
+    decides for all writers. What an owner has is then written down under its name; blocks of a
+    writer that died before that stay unused.
     """
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(folder)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path = jvm.org.apache.hadoop.fs.Path
+    blocks = path(f"{folder}/blocks")
+    mine = path(f"{folder}/owners/{hashlib.sha256(owner.encode()).hexdigest()}")
+    system = blocks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     with _turn:
-        system.mkdirs(target)
-        taken = sorted(int(status.getPath().getName()) for status in system.listStatus(target))
-        own = [block for block in taken if _owner(jvm, system, target, block) == owner][:n]
-        block = taken[-1] + 1 if taken else 0
-        while len(own) < n:
-            if _create(jvm, system, target, block, owner):
-                own.append(block)
-            block += 1
-    return own
-
-
-def _file(jvm, folder, block: int):
-    return jvm.org.apache.hadoop.fs.Path(folder, f"{block:012d}")
-
-
-def _create(jvm, system, folder, block: int, owner: str) -> bool:
-    path = _file(jvm, folder, block)
+        system.mkdirs(blocks)
+        own = _numbers(jvm, system, mine)
+        if len(own) < n:
+            taken = [int(status.getPath().getName()) for status in system.listStatus(blocks)]
+            block = max(taken, default=-1) + 1
+            while len(own) < n:
+                if _created(system, path(f"{folder}/blocks/{block:012d}")):
+                    own.append(block)
+                block += 1
+            stream = system.create(mine, True)
+            stream.write(bytearray(",".join(map(str, own)).encode()))
+            stream.close()
+    return own[:n]
+
+
+def _created(system, path) -> bool:
     try:
-        stream = system.create(path, False)
-    except Exception:
+        system.create(path, False).close()
+    except Py4JJavaError:
         if system.exists(path):
             return False
         raise
-    stream.write(bytearray(owner.encode()))
-    stream.close()
     return True
 
 
-def _owner(jvm, system, folder, block: int) -> str:
-    stream = system.open(_file(jvm, folder, block))
+def _numbers(jvm, system, path) -> list[int]:
+    if not system.exists(path):
+        return []
+    stream = system.open(path)
     try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        text = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
     finally:
         stream.close()
+    return [int(number) for number in text.split(",") if number]
 
 
 def with_claimed_ids(rows: DataFrame, folder: str, owner: str) -> DataFrame:
