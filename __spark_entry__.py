@@ -648,12 +648,16 @@ def semantic_search_text(spark, sf_dir):
     return rounded_results(found)
 
 
-def hybrid_search_text(spark, sf_dir):
-    queries = table(spark, sf_dir, "benchmark").select(
+def passages(spark, sf_dir) -> DataFrame:
+    """The benchmark passages as queries without a vector."""
+    return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query_text")
     )
+
+
+def hybrid_search_text(spark, sf_dir):
     found = hybrid_search(
-        texts(spark, sf_dir), queries, vectors=letter_vectors(spark, sf_dir), make_embedder=letter_counter
+        texts(spark, sf_dir), passages(spark, sf_dir), vectors=letter_vectors(spark, sf_dir), make_embedder=letter_counter
     )
     return rounded_results(found)
 
@@ -759,11 +763,11 @@ def run_in_parts(spark, sf_dir, **options):
     return tables, stream
 
 
-def run_with_index(spark, sf_dir) -> upkeep.IndexUpkeep:
-    """An index kept by a stream of three batches, of which the first two have been merged when the last one arrives."""
+def run_with_index(spark, sf_dir) -> tuple[ingest.StreamTables, upkeep.IndexUpkeep]:
+    """A stream of three batches and its index, of which the first two segments are merged when the last batch arrives."""
     index = upkeep.IndexUpkeep(shared_folder(spark, "index"), lists=20, fan=2)
-    run_in_parts(spark, sf_dir, index=index)
-    return index
+    tables, _ = run_in_parts(spark, sf_dir, index=index)
+    return tables, index
 
 
 def shown_postings(postings: DataFrame) -> DataFrame:
@@ -772,16 +776,29 @@ def shown_postings(postings: DataFrame) -> DataFrame:
 
 
 def stream_ingest_postings(spark, sf_dir):
-    return shown_postings(run_with_index(spark, sf_dir).postings(spark))
+    _, index = run_with_index(spark, sf_dir)
+    return shown_postings(index.postings(spark))
 
 
 def stream_ingest_search(spark, sf_dir):
     """Exact search through the cells that a stream kept, for vectors of the benchmark passages."""
-    asked = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.col("text").alias("query_text")
+    _, index = run_with_index(spark, sf_dir)
+    asked = embedding.embed_asked(passages(spark, sf_dir), letter_counter, 26)
+    return rounded_hits(search_cells(index.cells(spark), asked, TOP))
+
+
+def stream_ingest_hybrid(spark, sf_dir):
+    """Hybrid search over nothing but what a stream stored: documents, postings and cells."""
+    tables, index = run_with_index(spark, sf_dir)
+    found = hybrid_search(
+        ingest.read_ingested(spark, tables),
+        passages(spark, sf_dir),
+        postings=index.postings(spark),
+        bounds=index.bounds(spark),
+        cells=index.cells(spark),
+        make_embedder=letter_counter,
     )
-    asked = embedding.embed_asked(asked, letter_counter, 26)
-    return rounded_hits(search_cells(run_with_index(spark, sf_dir).cells(spark), asked, TOP))
+    return rounded_results(found)
 
 
 def ingest_claimed_ids(spark, sf_dir):
@@ -924,6 +941,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         stream_ingest,
         stream_ingest_postings,
         stream_ingest_search,
+        stream_ingest_hybrid,
         run_history,
         run_status,
         run_status_failed,

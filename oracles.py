@@ -429,6 +429,7 @@ FROM documents""",
     found["semantic_search_signed"] = found["semantic_search"]
     by_text = {
         "stream_ingest_search": vector_batch,
+        "stream_ingest_hybrid": hybrid(BENCHMARK_ROWS, BENCHMARK_VECTORS, COVER_DENSITY),
         "semantic_search_text": found["semantic_search"],
         "hybrid_search_text": hybrid(BENCHMARK_ROWS, BENCHMARK_VECTORS, FREQUENCY),
     }
