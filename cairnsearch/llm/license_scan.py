@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -100,8 +101,13 @@ def postings_of(spark, templates: list[tuple[str, str, str]], idf: dict[str, flo
         words = template.split()
         rarest = sorted(set(words), key=lambda w: (-idf[w], w))[:indexed]
         whole = sum(idf[w] for w in rarest)
-        rows += [(w, label, i, idf[w] / words.count(w), whole) for i, w in enumerate(words) if w in rarest]
-    return spark.createDataFrame(rows, "word string, label string, place int, weight double, whole double")
+        rows += [
+            {"word": w, "label": label, "place": i, "weight": idf[w] / words.count(w), "whole": whole}
+            for i, w in enumerate(words)
+            if w in rarest
+        ]
+    kind = "array<struct<word:string,label:string,place:int,weight:double,whole:double>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
 
 def scan(
@@ -137,14 +143,11 @@ def scan(
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words")
     )
-    found = F.array_intersect(known, F.coalesce("words", F.array().cast("array<string>")))
-    rows = rows.select(
-        "row",
-        "id",
-        F.size("words").cast("long").alias("n_words"),
-        found.alias("found"),
-        F.when((F.size(found) > 0) | F.arrays_overlap("words", last_words), F.col("words")).alias("words"),
-    )
+    # most files have neither a phrase's last word nor the rarest word of any key phrase, and are done with
+    sure = {min(key.split(), key=lambda w: (-idf[w], w)) for _, _, key in templates} - {p.split()[-1] for p in phrases}
+    asked = F.arrays_overlap("words", F.array_union(last_words, F.array(*[F.lit(w) for w in sorted(sure)])))
+    rows = rows.select("row", "id", F.size("words").cast("long").alias("n_words"), F.when(asked, F.col("words")).alias("words"))
+    rows = rows.withColumn("found", F.when(F.col("words").isNotNull(), F.array_intersect(known, F.col("words"))))
     line = F.when(F.col("words").isNotNull(), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
     rows = rows.withColumn("line", line)
 
