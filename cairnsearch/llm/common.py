@@ -41,6 +41,15 @@ def store(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(stored: DataFrame) -> None:
+    """Delete a table of :func:`store` that nothing reads any more."""
+    files = stored.inputFiles()
+    if files:
+        spark = stored.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def map_batches(df: DataFrame, function: Callable[..., pa.RecordBatch], schema: str, rows: int = 512) -> DataFrame:
     """``function`` over Arrow batches of at most ``rows`` rows, whatever size Spark sends."""
 
@@ -103,13 +112,19 @@ def passes(df: DataFrame, filters: DataFrame, probes: list[Column], name: str) -
 
 
 def only_members(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is in the one-column ``members``, and perhaps a few others.
+    """Rows of ``df`` whose ``key`` is in the first column of ``members``, and perhaps a few others.
 
     A Bloom filter of bounded size, so rows that are not asked for are left out before a shuffle.
     """
+    return split_members(df, key, members)[1]
+
+
+def split_members(df: DataFrame, key: str, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose ``key`` is surely not in the first column of ``members``, and the others."""
     bits = filter_bits(members.count())
     numbers = members.select(F.explode(F.array(*slots(F.col(members.columns[0]), bits))).alias("slot"))
-    return passes(df, bitmaps(numbers, "slot"), slots(F.col(key), bits), "__member").filter("__member").drop("__member")
+    known = passes(df, bitmaps(numbers, "slot"), slots(F.col(key), bits), "__member")
+    return known.filter("NOT __member").drop("__member"), known.filter("__member").drop("__member")
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnsearch.llm.common import join_hot, store
+from cairnsearch.llm.common import join_hot, split_members, store
 
 MIN_PAGES = 5
 IMPORTANCE = 0.3
@@ -20,7 +20,7 @@ ARTICLE_PRIOR = 0.2
 CONTENT_SHARE = 0.9
 #: Fixed values of HTML: elements without an end tag, elements whose content is no text, and elements that end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("head title script style noscript template iframe object svg math canvas audio video select option button textarea".split())
+SILENT = frozenset("head title script style noscript template iframe svg canvas audio video select option button textarea".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -270,10 +270,16 @@ def extract(
     found = store(parsed(pages, id_col, url_col, html_col), "html-blocks")
     each = found.select("row", "page", "site", F.posexplode("blocks").alias("place", "b")).select("row", "page", "site", "place", "b.*")
     low = unimportant(each, min_pages, importance, content_share, article_prior).groupBy("row").agg(F.collect_set("place").alias("low"))
+    low = store(low, "html-low")
+    whole, marked = split_members(found, "row", low)
+    # only pages that lose a block meet their marks; the others stay where they are
     none = F.array().cast("array<int>")
-    cleaned = found.join(low, "row", "left").withColumn("low", F.coalesce("low", none))
+    cleaned = marked.join(low, "row", "left").withColumn("low", F.coalesce("low", none))
     kept = F.filter("blocks", lambda b, i: ~F.array_contains(F.col("low"), i))
-    return cleaned.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.array_join(kept["text"], "\n\n").alias("text"))
+    names = [F.col("id").alias(id_col), F.col("url").alias(url_col)]
+    return whole.select(*names, F.array_join(F.col("blocks.text"), "\n\n").alias("text")).unionByName(
+        cleaned.select(*names, F.array_join(kept["text"], "\n\n").alias("text"))
+    )
 
 
 def digest(pages: DataFrame) -> DataFrame:
