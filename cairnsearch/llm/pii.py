@@ -128,7 +128,8 @@ def disclosing_terms(
     added in which the entity is as rare as everywhere, so few texts are weaker evidence than many; none are too few.
 
     Terms too frequent to reach ``generalise`` with any entity, even if all its texts held them, are left out by
-    their frequency before pairs are made. The entities of a text that are in no other text stand for each other.
+    their frequency before pairs are made. Entities that stand in the same texts tell the same, and one of them stands for
+    all: two lists that share ten thousand addresses pair their terms once, not ten thousand times.
     """
     texts = deduplicate(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), id_col="id")
     total = float(max(docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).distinct().count(), 1))
@@ -138,10 +139,12 @@ def disclosing_terms(
     kept = own.select("copy", "row", "entities", F.array_distinct("places.term").alias("terms"))
     once = store(kept.join(first, ["copy", "row"], "left_semi").drop("row"), "pii-once")
     entities = once.select("copy", F.explode("entities").alias("entity"))
-    n_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    who = [F.bit_xor(F.xxhash64("copy", F.lit(seed))).alias(f"who{seed}") for seed in (1, 2)]
+    n_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity"), *who)
     known = join_hot(entities, n_entity, ["entity"], "n_entity", entities.count()).filter(F.col("n_entity") < total)
-    # of an entity in all texts there is nothing to know; those of one text are one
-    held = known.select("copy", F.when(F.col("n_entity") > 1, F.col("entity")).alias("entity"), "n_entity").distinct()
+    # of an entity in all texts there is nothing to know; those that stand in the same texts are one
+    stands = F.when(F.col("n_entity") > 1, F.struct("who1", "who2"))
+    held = known.select("copy", stands.alias("entity"), "n_entity").distinct()
     held = store(held, "pii-entities")
     most = held.select("n_entity").distinct().select(
         F.max(_highest(F.col("n_entity"), total, generalise, smoothing)).alias("most")
