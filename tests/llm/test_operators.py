@@ -529,6 +529,44 @@ def test_style_tree_covers_articles_and_counts_copies_once(spark):
     assert got == want | {300 + i: f"text {min(i, 20)}" for i in range(41)}
 
 
+def test_style_tree_equals_a_plain_one(spark):
+    """Importance of every block by dictionaries: entropy of styles, spread of texts over different pages, on both paths."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for row in range(120):
+        site, page = f"host{row % 3}", int(rng.integers(0, 40))
+        own = np.random.default_rng(page)  # equal pages have equal blocks
+        for place in range(6):
+            path, plain = int(own.integers(0, 4)), int(own.integers(10, 12))
+            text = ("menu", "legal", f"text {page} {place}", f"teaser {page % 5}")[int(own.integers(0, 4))]
+            rows.append((row, page, site, place, path, int(own.integers(0, 3)), plain, int(own.integers(0, 2)), text, bool(own.integers(0, 2))))
+    schema = "row long, page long, site string, place int, path long, style long, plain long, plain_style long, text string, inside boolean"
+    args = (5, 0.45, 0.9, 0.2)
+    found = {(r["row"], r["place"]) for r in html_text.unimportant(spark.createDataFrame(rows, schema), *args).collect()}
+    pages, styles, texts = (collections.defaultdict(set) for _ in range(3))
+    for _, page, site, _, path, style, plain, plain_style, text, inside in rows:
+        for at, look in {(path, style), (plain, plain_style)}:
+            pages[site, at].add(page)
+            styles[site, at, look].add(page)
+            texts[site, at, text, inside].add(page)
+
+    def low(site, at, text, inside):
+        m = len(pages[site, at])
+        if m < 5:
+            return False
+        shares = [len(p) / m for (s, a, _), p in styles.items() if (s, a) == (site, at)]
+        looks = -sum(x * np.log(x) for x in shares) / np.log(m)
+        content = 1 - np.log(len(texts[site, at, text, inside])) / np.log(m)
+        return 0.1 * looks + 0.9 * content + 0.2 * inside < 0.45
+
+    want = {
+        (row, place)
+        for row, _, site, place, path, _, plain, _, text, inside in rows
+        if low(site, path, text, inside) or low(site, plain, text, inside)
+    }
+    assert found == want and 0 < len(want) < len(rows)
+
+
 def test_mix_reaches_targets(spark):
     rng = np.random.default_rng(7)
     rows = [(i, "w " * int(rng.integers(1, 200)), "abcd"[int(i**0.5) % 4] if i % 9 else None) for i in range(1200)]

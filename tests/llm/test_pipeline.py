@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +45,42 @@ def test_stages_decide(spark, docs):
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in mixed.collect()}
 
 
+def test_dedup_stages_equal_plain_versions(spark):
+    """On a given table: equal texts by a dictionary, similarity of all pairs by sets, components by merging."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    copies = docs.filter("doc_id < 30").withColumn("doc_id", F.col("doc_id") + 1000)
+    near = docs.filter("doc_id between 30 and 60").withColumn("doc_id", F.col("doc_id") + 2000)
+    near = near.withColumn("text", F.concat("text", F.lit(" one more")))
+    docs = docs.unionByName(copies).unionByName(near)
+    distinct = corpus_pipeline.drop_exact_copies(spark, docs, "")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    largest = {}
+    for i, text in texts.items():
+        largest[text] = max(i, largest.get(text, i))
+    assert {r["doc_id"] for r in distinct.collect()} == set(largest.values())
+    apart = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(distinct.collect(), distinct.schema), "")
+    sets = {}
+    for i in largest.values():
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), texts[i]).encode().split()
+        n = min(5, len(words))
+        sets[i] = {tuple(words[j : j + n]) for j in range(len(words) - n + 1)} if n else set()
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    assert {r["doc_id"] for r in apart.collect()} == {i for i in ids if root(i) == i}
+
+
 def test_columns_named_like_results_are_kept(spark, docs):
     extra = {"score": F.lit(7), "lang_pred": F.lit("x"), "rejected": F.lit(True), "kept": F.lit(False), "keep_id": F.lit("k"), "component_id": F.lit(1)}
     named = docs.withColumns(extra)
