@@ -354,6 +354,26 @@ def test_few_vectors_give_all_candidates(spark):
     assert ann.search_fiftieths(table.limit(0)).count() == 0
 
 
+def test_equal_vectors_ask_once_and_leave_out_themselves(spark):
+    """Two thirds of the vectors are copies; rows repeat ids; every row asks, and gets what brute force gives."""
+    rng = np.random.default_rng(12)
+    vectors = {i: rng.normal(size=6) if i % 3 == 0 else np.arange(1.0, 7.0) for i in range(90)}
+    rows = [(i, v.tolist(), 5, "x") for i, v in vectors.items()] + [(4, np.arange(1.0, 7.0).tolist(), 5, "x")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score string").repartition(3)
+    found = collections.defaultdict(list)
+    for r in sorted(rows_of(ann.nearest(table, table)), key=lambda r: (r["query_id"], r["rank"])):
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    shared = 0
+    for i, q in vectors.items():
+        scores = {j: float(q @ v / np.sqrt((q @ q) * (v @ v))) for j, v in vectors.items() if j != i}
+        want = sorted(scores, key=lambda j: (-round(scores[j], 12), j))[:5]
+        got = [j for j, _ in found[i]]
+        assert len(set(got)) == 5 and (i % 3 == 0 or got == want)
+        assert all(abs(s - scores[j]) < 1e-12 for j, s in found[i])
+        shared += len(set(got) & set(want))
+    assert shared >= 0.9 * 5 * len(vectors)
+
+
 def test_exact_groups(spark, odd, tmp_path):
     odd.write.parquet(str(tmp_path / "odd"))
     stored = spark.read.parquet(str(tmp_path / "odd"))
