@@ -28,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnsearch.llm.common import bitmaps, filter_bits, only_members, passes, slots, store
+from cairnsearch.llm.common import discard, only_members, split_members, store
 
 LENGTH = 400
-CHUNK = 1 << 20
-PLACE_BITS = np.uint64(21)
-ROWS_PER_BUCKET = 250_000
+CHUNK = 1 << 18
+PLACE_BITS = np.uint64(20)
+ROWS_PER_BUCKET = 120_000
 SMALL = 4096
 #: An odd multiplier and its inverse modulo 2**64.
 STEP = 0x9E3779B97F4A7C15
@@ -298,14 +298,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = keyed(docs, id_col, text_col)
     covered = store(_covered(rows, length), "suffix-spans")
-    bits = filter_bits(covered.count())
-    slot = covered.select(F.explode(F.array(*slots(F.col("k1"), bits))).alias("slot"))
-    maybe = passes(rows, bitmaps(slot, "slot"), slots(F.col("k1"), bits), "maybe")
-    none = F.array().cast(SPANS)
     # documents that lose nothing are not shuffled
-    untouched = maybe.filter("NOT maybe").select("id", "data", none.alias("spans"))
-    touched = maybe.filter("maybe").join(covered, ["k1", "k2"], "left")
-    return untouched.unionByName(touched.select("id", "data", F.coalesce("spans", none).alias("spans")))
+    untouched, maybe = split_members(rows, "k1", covered)
+    none = F.array().cast(SPANS)
+    touched = maybe.join(covered, ["k1", "k2"], "left").select("id", "data", F.coalesce("spans", none).alias("spans"))
+    return untouched.select("id", "data", none.alias("spans")).unionByName(touched)
 
 
 def _covered(rows: DataFrame, length: int) -> DataFrame:
@@ -315,6 +312,7 @@ def _covered(rows: DataFrame, length: int) -> DataFrame:
     for gram in grams:
         runs = store(anchored_runs(stretches, length, gram), "suffix-runs")
         found = with_neighbours(runs, TOKENS, 2, [*KEY, "low"])
+        discard(runs)
         settled = found.filter("same").select("k1", "k2", "low", (F.col("high") + length).alias("high"))
         spans = settled if spans is None else spans.unionByName(settled)
         if gram < length:
@@ -323,9 +321,12 @@ def _covered(rows: DataFrame, length: int) -> DataFrame:
             if gram == grams[0]:
                 # a document that stands in several rows has all its runs settled already; one of the rows is enough
                 stretches = only_members(stretches, "k1", asked.select("k1")).join(asked, KEY).dropDuplicates(KEY)
+                stretches = store(covered_stretches(stretches, length), "suffix-stretches")
             else:
-                stretches = stretches.join(asked, KEY)
-            stretches = store(covered_stretches(stretches, length), "suffix-stretches")
+                open_still = store(covered_stretches(stretches.join(asked, KEY), length), "suffix-stretches")
+                discard(stretches)
+                stretches = open_still
+            discard(asked)
     collected = spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
