@@ -88,6 +88,10 @@ _COVER_DENSITY = f"""
 """
 
 
+# One term: every hit is a cover of its own, worth its weight.
+_ONE_TERM_COVERS = "aggregate(hits, 0D, (s, h) -> s + h.weight) / ln(doc_length + 1D)"
+
+
 def _float4(rank: str) -> Column:
     """Ranks are single precision; keeping that makes equal ranks tie exactly."""
     return F.expr(f"cast(cast({rank} AS float) AS double)")
@@ -98,4 +102,4 @@ def frequency_rank() -> Column:
 
 
 def cover_density_rank() -> Column:
-    return _float4(_COVER_DENSITY)
+    return _float4(f"if(n_terms = 1, {_ONE_TERM_COVERS}, {_COVER_DENSITY})")
