@@ -23,7 +23,7 @@ from cairnsearch.functions.ranking import WEIGHTS, cover_density_rank, frequency
 from cairnsearch.functions.text import word_tokens
 from cairnsearch.operators.nearest import top_k_per_query
 from cairnsearch.operators.postings import BLOCK_IDS, CONTENT_WEIGHT, TITLE_WEIGHT, block_of, tokenised
-from cairnsearch.operators.sizing import MAX_BYTES, Size, broadcast_if, localise, measure, near_values
+from cairnsearch.operators.sizing import MAX_BYTES, Size, broadcast_if, localise, measure, near_values, small_files
 from cairnsearch.operators.skew import split_join
 from cairnsearch.session import stored
 
@@ -31,8 +31,9 @@ FEW_QUERIES = 16
 PUSHED_LEXEMES = 500
 MAX_CANDIDATES = 200_000
 SEED_RANGES = 4
-#: Ranges per query up to which all of them are ranked at once.
+#: Ranges per query, and bytes of bounds, up to which all ranges are ranked at once.
 FEW_RANGES = 64
+SMALL_BOUNDS = 16 * 1024 * 1024
 RANKED_SCHEMA = "query_id {}, id long, rank double, r int"
 #: Ranks are single precision, bounds double.
 ROUNDING = 1e-6
@@ -268,6 +269,13 @@ def top_indexed(
     wanted = terms.select(
         "query_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("at", "lexeme")
     )
+
+    def rank_all() -> DataFrame:
+        found = asked.join(F.broadcast(wanted), "lexeme")
+        return top_k_per_query(ranked(_complete(found), "cover_density"), k, F.desc("rank"), "id")
+
+    if small_files(bounds, SMALL_BOUNDS):
+        return rank_all()
     ranges = (
         bounds.groupBy("lexeme", "block")
         .agg(F.max("share").alias("share"))
@@ -285,8 +293,7 @@ def top_indexed(
         ranges, seeds = spark.createDataFrame(held, ranges.schema), _highest_ranges(held, SEED_RANGES)
     if held.num_rows <= FEW_RANGES * max(1, len(seeds)) // SEED_RANGES:
         # so few that ranking all of them takes no longer than finding out which to leave
-        found = asked.join(F.broadcast(wanted), "lexeme")
-        return top_k_per_query(ranked(_complete(found), "cover_density"), k, F.desc("rank"), "id")
+        return rank_all()
     first = _ranked_in(asked, wanted, spark.createDataFrame(seeds, ranges.schema), seeds)
     best = spark.createDataFrame(top_k_per_query(first, k, F.desc("rank"), "id").toArrow(), RANKED_SCHEMA.format(_kind(queries)))
     reached = best.filter(F.col("r") == k).select("query_id", F.col("rank").alias("reached"))

@@ -64,6 +64,21 @@ def localise(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> tuple[DataFrame,
     return df.sparkSession.createDataFrame(df.toArrow()), size
 
 
+def small_files(df: DataFrame, max_bytes: int, max_files: int = 64) -> bool:
+    """Whether ``df`` is read from a few files of no more than ``max_bytes`` together; no job is run."""
+    files = df.inputFiles()
+    if not files or len(files) > max_files:
+        return False
+    spark = df.sparkSession
+    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for file in files:
+        total += path(file).getFileSystem(conf).getFileStatus(path(file)).getLen()
+        if total > max_bytes:
+            return False
+    return True
+
+
 def near_values(column: Column, values: list[int], width: int = 1) -> Column:
     """A filter a scan can prune by: at most ``PUSHED_RANGES`` ranges that cover ``values``, or with a ``width`` above 1
     the stretches of that many values that they number."""

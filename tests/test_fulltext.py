@@ -226,6 +226,7 @@ def test_bounded_search_equals_the_plain_one(spark, data, tables, monkeypatch, s
         monkeypatch.setattr(module, "BLOCK_IDS", span)
     monkeypatch.setattr(fulltext, "SEED_RANGES", seeds)
     monkeypatch.setattr(fulltext, "FEW_RANGES", 0)
+    monkeypatch.setattr(fulltext, "SMALL_BOUNDS", 0)
     postings, bounds = stored_index(spark, tables[0])
     for k in (1, 4, 50):
         plain = search_text(tables[1], k, postings=postings).collect()
@@ -253,6 +254,7 @@ def test_ranges_that_cannot_reach_the_best_are_not_ranked(spark, monkeypatch):
 
     monkeypatch.setattr(fulltext, "BLOCK_IDS", 10)
     monkeypatch.setattr(index, "BLOCK_IDS", 10)
+    monkeypatch.setattr(fulltext, "SMALL_BOUNDS", 0)
     rows = [(i, None, "tree " * (30 if 40 <= i < 50 else 1) + "other words here " * 9) for i in range(2000)]
     postings, bounds = stored_index(spark, spark.createDataFrame(rows, "id long, title string, content string"))
     ranged, kept = [], fulltext._ranked_in
