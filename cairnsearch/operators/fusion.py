@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnsearch.operators.bitmaps import rows_with_keys
-from cairnsearch.operators.sizing import MAX_ROWS, broadcast_if, near_values
+from cairnsearch.operators.sizing import MAX_ROWS, broadcast_if, measure, near_values
 from cairnsearch.session import stored
 
 PUSHED_HITS = 2_000
@@ -49,10 +49,10 @@ def with_documents(hits: DataFrame, documents: DataFrame, most_hits: int) -> Dat
     found = documents
     if most_hits > PUSHED_HITS:
         held = stored(hits, "hits")
-        n = held.count()
-        if n > MAX_ROWS:
-            found = rows_with_keys(found, "id", held.select("id"), n)
-        return found.join(broadcast_if(n <= MAX_ROWS, held), "id")
+        size = measure(held)
+        if size.rows > MAX_ROWS:
+            found = rows_with_keys(found, "id", held.select("id"), size.rows)
+        return found.join(broadcast_if(size.within(), held), "id")
     ranked = hits.toArrow()  # PUSHED_HITS rows of ids and scores at most
     local = documents.sparkSession.createDataFrame(ranked)
     if not ranked.num_rows:

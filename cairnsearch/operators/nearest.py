@@ -22,22 +22,29 @@ MAX_BROADCAST_VALUES = 8 * 1024 * 1024
 VECTOR_BLOCK = 65_536
 QUERY_BLOCK = 2_048
 SCORED_AT_ONCE = 4_000_000
+MAX_ROWS_AT_ONCE = 32_768
+#: Single-precision products, and queries, of the pieces that are screened at once.
+CACHED, QUERIES_AT_ONCE = 512 * 1024, 512
 TIE_MARGIN = 1e-9
 
 
 class RunningTopK:
     """The k nearest (distance, id) per query over the vectors offered so far.
 
-    A matrix product screens; what it cannot rule out is measured again pair by pair, in an
+    A product of unit vectors in single precision screens, in pieces that stay in the processor's
+    cache; what it cannot rule out, its rounding allowed for, is measured again pair by pair, in an
     order that does not depend on where a vector lies in its batch. Equal vectors therefore
-    get equal distances, and ties fall to the lower id.
+    get equal distances, and ties fall to the lower id. With a ``bound`` per query, vectors that
+    are farther need not be found.
     """
 
-    def __init__(self, queries: np.ndarray, k: int):
-        self.queries = queries
-        self.norms = np.sqrt((queries * queries).sum(axis=1))
+    def __init__(self, queries: np.ndarray, k: int, bound: np.ndarray | None = None):
+        self.queries = queries.astype(np.float64)
+        self.norms = np.sqrt((self.queries * self.queries).sum(axis=1))
+        self.unit, self.sound = _unit(self.queries, self.norms)
+        self.margin = (queries.shape[1] + 8) * 2.0**-23 + TIE_MARGIN if queries.ndim == 2 else TIE_MARGIN
         self.k = k
-        self.bound = np.full(len(queries), np.inf)
+        self.bound = np.full(len(queries), np.inf) if bound is None else np.where(np.isnan(bound), np.inf, bound)
         self.query = np.empty(0, dtype=np.int64)
         self.id = np.empty(0, dtype=np.int64)
         self.distance = np.empty(0, dtype=np.float64)
@@ -50,26 +57,48 @@ class RunningTopK:
             raise ValueError(
                 f"vectors have {vectors.shape[1]} dimensions, queries {self.queries.shape[1]}"
             )
-        rows_at_once = max(1, SCORED_AT_ONCE // len(chosen))
-        for start in range(0, len(ids), rows_at_once):
+        # the first rows give bounds; the better these are, the more rows may pass before they are renewed
+        start, rows_at_once = 0, max(1, SCORED_AT_ONCE // len(chosen))
+        while start < len(ids):
             stop = start + rows_at_once
             self._offer_slice(ids[start:stop], vectors[start:stop].astype(np.float64), chosen)
+            start, rows_at_once = stop, min(2 * rows_at_once, MAX_ROWS_AT_ONCE)
 
     def _offer_slice(self, ids: np.ndarray, vectors: np.ndarray, chosen: np.ndarray) -> None:
         norms = np.sqrt((vectors * vectors).sum(axis=1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rough = 1.0 - (vectors @ self.queries[chosen].T) / np.outer(norms, self.norms[chosen])
-        rough[np.isnan(rough)] = np.inf
-        bound = self.bound[chosen]
-        if len(ids) > self.k:
-            bound = np.minimum(bound, np.partition(rough, self.k - 1, axis=0)[self.k - 1])
-        rows, columns = np.nonzero(rough <= bound + TIE_MARGIN)
+        unit, sound = _unit(vectors, norms)
+        columns = max(1, min(len(ids), CACHED // QUERIES_AT_ONCE))
+        held = np.empty((min(len(chosen), QUERIES_AT_ONCE), columns), dtype=np.float32)
+        found = []
+        for first in range(0, len(chosen), QUERIES_AT_ONCE):
+            asked = chosen[first : first + QUERIES_AT_ONCE]
+            mine, lost = self.unit[asked], ~self.sound[asked]
+            least = 1.0 - self.bound[asked] - self.margin
+            for start in range(0, len(ids), columns):
+                part = slice(start, min(start + columns, len(ids)))
+                size = part.stop - start
+                cosine = held[: len(asked)] if size == columns else np.empty((len(asked), size), dtype=np.float32)
+                np.matmul(mine, unit[part].T, out=cosine)
+                if not sound[part].all():
+                    cosine[:, ~sound[part]] = -np.inf
+                if lost.any():
+                    cosine[lost] = -np.inf
+                if start == 0 and size > self.k:
+                    kth = np.partition(cosine, size - self.k, axis=1)[:, size - self.k]
+                    least = np.maximum(least, kth.astype(np.float64) - 2 * self.margin)
+                at = np.flatnonzero(cosine >= _below(least)[:, None])
+                found.append((asked[at // size], at % size + start))
+        c, r = (np.concatenate(x) for x in zip(*found))
         step = max(1, SCORED_AT_ONCE // vectors.shape[1])
-        for start in range(0, len(rows), step):
-            r, c = rows[start : start + step], chosen[columns[start : start + step]]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cosine = (vectors[r] * self.queries[c]).sum(axis=1) / (norms[r] * self.norms[c])
-            self._keep(c, ids[r], 1.0 - np.clip(cosine, -1.0, 1.0))
+        for start in range(0, len(r), step):
+            self._measure(ids, vectors, norms, r[start : start + step], c[start : start + step])
+
+    def _measure(self, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray, r: np.ndarray, c: np.ndarray) -> None:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cosine = (vectors[r] * self.queries[c]).sum(axis=1) / (norms[r] * self.norms[c])
+        distance = 1.0 - np.clip(cosine, -1.0, 1.0)
+        near = ~(distance > self.bound[c])
+        self._keep(c[near], ids[r[near]], distance[near])
 
     def _keep(self, query: np.ndarray, ids: np.ndarray, distance: np.ndarray) -> None:
         query = np.concatenate([self.query, query])
@@ -85,6 +114,19 @@ class RunningTopK:
         self.bound[query[last]] = np.where(np.isnan(full), np.inf, full)
 
 
+def _unit(matrix: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length one in single precision, and which rows have a direction; the others are zero."""
+    sound = (norms > 0) & np.isfinite(norms)
+    unit = np.zeros(matrix.shape, dtype=np.float32)
+    unit[sound] = matrix[sound] / norms[sound, None]
+    return unit, sound
+
+
+def _below(values: np.ndarray) -> np.ndarray:
+    """``values`` in single precision, rounded down."""
+    return np.nextafter(values.astype(np.float32), np.float32(-np.inf))
+
+
 def vector_matrix(column: pa.Array) -> np.ndarray:
     """An Arrow list column as an (n, dim) matrix, without a Python object per row."""
     if not len(column):

@@ -3,8 +3,9 @@
 Angles between vectors obey the triangle inequality, so a vector of a cell is no nearer to a query
 than the angle to the cell's centre less the cell's radius. Every query first visits cells until
 they hold k vectors; its k-th distance then rules cells out, round by round. Queries travel to the
-cells they still have to visit. Vectors are never copied: each lies in one block of its cell, and
-goes to one task a round, where the queries of that block stream past it.
+cells they still have to visit, in the last round to groups of neighbouring cells: where the radii
+rule out little, a query would be copied to nearly every cell. Where there is much to score, the larger
+side of a cell or group is dealt over tasks and the smaller one copied to them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairnsearch.operators.nearest import QUERY_BLOCK, VECTOR_BLOCK, RunningTopK, top_k_per_query, vector_matrix
 from cairnsearch.session import stored
@@ -25,6 +27,12 @@ MARGIN = 1e-6
 MORE_CELLS = 4
 ROUNDS = 3
 MAX_SAMPLED_CENTRES = 1024
+#: At most so many groups of cells in the last round, of about so many vectors at least.
+LAST_GROUPS, GROUP_VECTORS = 128, 8_192
+#: Pairs that one task scores where there are more of them.
+TASK_PAIRS = 1 << 28
+MAX_TASKS = 20_000
+KEY = ["cell", "block", "strip", "side"]
 
 
 @dataclass(frozen=True)
@@ -141,51 +149,102 @@ def nearest_join(vectors: DataFrame, cells: CellBounds, queries: DataFrame, k: i
     """
     kind = queries.schema["query_id"].dataType.simpleString()
     spark = vectors.sparkSession
-    queries = stored(queries.select("query_id", F.col("query_vec").cast("array<double>")), "join-queries")
+    if queries.schema["query_vec"].dataType != T.ArrayType(T.FloatType()):
+        queries = queries.withColumn("query_vec", F.col("query_vec").cast("array<double>"))
+    queries = stored(queries.select("query_id", "query_vec"), "join-queries")
     best = spark.createDataFrame([], f"query_id {kind}, id long, dist double")
     for number in range(ROUNDS):
         full = best.groupBy("query_id").agg(F.count("*").alias("n"), F.max("dist").alias("bound")).filter(F.col("n") >= k)
         asking = queries.join(full.select("query_id", "bound"), "query_id", "left") if number else queries.withColumn(
             "bound", F.lit(None).cast("double")
         )
-        visits = stored(round_visits(asking, cells, k, number), "join-visits")
+        groups = min(LAST_GROUPS, max(1, int(cells.counts.sum()) // GROUP_VECTORS))
+        grouped = number == ROUNDS - 1 and len(cells.centres) > groups
+        group = neighbouring_cells(cells, groups) if grouped else None
+        visits = stored(round_visits(asking, cells, k, number, group), "join-visits")
         asked = {row["cell"]: row["count"] for row in visits.groupBy("cell").count().collect()}  # a row per centre
         if not asked:
             continue
-        scored = score_visits(vectors, visits, cells, asked, k)
-        best = stored(top_k_per_query(best.unionByName(scored), k, "dist", "id").drop("r"), "join-best")
+        if not grouped:
+            both = best.unionByName(score_visits(vectors, visits, cells, asked, k))
+        else:
+            # a cell visited before may be in a group visited now, so a hit may be found twice
+            whole = CellBounds(cells.centres[:groups], cells.radii[:groups], np.bincount(group, cells.counts, groups))
+            scored = score_visits(in_groups(vectors, group, asked), visits, whole, asked, k)
+            both = top_k_per_query(best.unionByName(scored), 2 * k, "dist", "id").drop("r").dropDuplicates(["query_id", "id"])
+        best = stored(top_k_per_query(both, k, "dist", "id").drop("r"), "join-best")
     return top_k_per_query(best, k, "dist", "id")
 
 
-def round_visits(asking: DataFrame, cells: CellBounds, k: int, number: int) -> DataFrame:
-    """``(query_id, query_vec, cell)``: the cells that each of ``asking(query_id, query_vec, bound)`` visits."""
-    shared = asking.sparkSession.sparkContext.broadcast(cells)
+def neighbouring_cells(cells: CellBounds, groups: int) -> np.ndarray:
+    """The group, below ``groups``, of each cell: the group with the most vectors is cut in two, across its longest
+    direction, until there are enough."""
+    weight = cells.counts + 1
+    found = [np.arange(len(cells.centres))]
+    while len(found) < groups:
+        members = max(found, key=lambda m: (len(m) > 1, weight[m].sum()))
+        if len(members) < 2:
+            break
+        found = [m for m in found if m is not members]
+        offset = cells.centres[members] - cells.centres[members].mean(axis=0)
+        along = offset @ np.linalg.svd(offset, full_matrices=False)[2][0]
+        members = members[np.argsort(along, kind="stable")]
+        half = np.searchsorted(np.cumsum(weight[members]), weight[members].sum() / 2)
+        half = min(max(1, half), len(members) - 1)
+        found += [members[:half], members[half:]]
+    group = np.empty(len(cells.centres), dtype=np.int64)
+    for number, members in enumerate(found):
+        group[members] = number
+    return group
+
+
+def in_groups(vectors: DataFrame, group: np.ndarray, asked: dict[int, int]) -> DataFrame:
+    """``vectors(id, embedding, cell)`` of the groups ``asked`` for, with the group as their ``cell``."""
+    wanted = [cell for cell, number in enumerate(group.tolist()) if number in asked]
+    number = F.get(F.array(*[F.lit(int(g)) for g in group]), F.col("cell")).alias("cell")
+    return vectors.filter(F.col("cell").isin(wanted)).select("id", "embedding", number)
+
+
+def round_visits(
+    asking: DataFrame, cells: CellBounds, k: int, number: int, group: np.ndarray | None = None
+) -> DataFrame:
+    """``(query_id, query_vec, bound, cell)``: the cells that each of ``asking(query_id, query_vec, bound)`` visits, or
+    with a ``group`` of each cell their groups."""
+    shared = asking.sparkSession.sparkContext.broadcast((cells, group))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, QUERY_BLOCK):
                 part = batch.slice(start, QUERY_BLOCK)
                 bound = part.column("bound").to_numpy(zero_copy_only=False).astype(np.float64)
-                found = cells_of_round(vector_matrix(part.column("query_vec")), bound, shared.value, k, number)
+                cells, group = shared.value
+                found = cells_of_round(vector_matrix(part.column("query_vec")), bound, cells, k, number)
+                if group is not None:
+                    found = [np.unique(group[f]) for f in found]
                 rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                 cell = pa.array(np.concatenate(found).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("query_id").take(rows), part.column("query_vec").take(rows), cell],
-                    names=["query_id", "query_vec", "cell"],
+                    [*[part.column(c).take(rows) for c in ("query_id", "query_vec", "bound")], cell],
+                    names=["query_id", "query_vec", "bound", "cell"],
                 )
 
-    kind = asking.schema["query_id"].dataType.simpleString()
-    return asking.select("query_id", "query_vec", "bound").mapInArrow(
-        visit, f"query_id {kind}, query_vec array<double>, cell int"
-    )
+    asking = asking.select("query_id", "query_vec", "bound")
+    return asking.mapInArrow(visit, T.StructType([*asking.schema.fields, T.StructField("cell", T.IntegerType())]))
+
+
+def strips_of(counts: np.ndarray, asked: dict[int, int], blocks: dict[int, int], pairs: int) -> dict[int, int]:
+    """Strips of the queries of a cell, to each of which its vectors are copied, so that in none of them more than ``pairs``
+    are scored."""
+    return {c: min(asked[c], math.ceil(int(counts[c]) * asked[c] / (pairs * b))) or 1 for c, b in blocks.items()}
 
 
 def blocks_of(counts: np.ndarray, asked: dict[int, int], vector_block: int, query_block: int) -> dict[int, int]:
-    """Blocks per visited cell, so that neither its vectors nor the pairs to be scored in one block are too many."""
+    """Blocks per visited cell, so that its vectors are not too many for one, nor, unless the queries are more than the
+    vectors (``strips_of``), the pairs to be scored."""
     out = {}
     for cell, n_queries in asked.items():
         n = int(counts[cell])
-        by_work = min(n, math.ceil(n * n_queries / (vector_block * query_block)))
+        by_work = min(n, math.ceil(n * n_queries / (vector_block * query_block))) if n_queries <= n else 1
         out[cell] = max(1, math.ceil(n / vector_block), by_work)
     return out
 
@@ -205,43 +264,59 @@ def score_visits(
     vector_block: int = VECTOR_BLOCK,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """``(query_id, id, dist)``: the best k per query and block for ``visits(query_id, query_vec, cell)``."""
+    """``(query_id, id, dist)``: the best k per query and block for ``visits(query_id, query_vec, cell)``.
+
+    With a ``bound`` in the visits, hits that are farther may be left out.
+    """
     spark = vectors.sparkSession
+    if "bound" not in visits.columns:
+        visits = visits.withColumn("bound", F.lit(None).cast("double"))
     blocks = blocks_of(cells.counts, asked, vector_block, query_block)
-    sizes = spark.createDataFrame([(int(c), int(b)) for c, b in blocks.items()], "cell int, blocks int")
+    strips = strips_of(cells.counts, asked, blocks, TASK_PAIRS)
+    sizes = spark.createDataFrame([(int(c), int(b), int(strips[c])) for c, b in blocks.items()], "cell int, blocks int, strips int")
     wanted = sorted(blocks)
     if len(wanted) < len(cells.centres):
         vectors = vectors.filter(F.col("cell").isin(wanted))
-    id_type = visits.schema["query_id"].dataType
-    resting = place_vectors(vectors, sizes).select(
+    id_type, vector_type = visits.schema["query_id"].dataType, visits.schema["query_vec"].dataType
+    resting = place_vectors(vectors, sizes.drop("strips"))
+    if max(strips.values()) > 1:
+        each = F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("strip")
+        resting = resting.join(F.broadcast(sizes.drop("blocks")), "cell").select("*", each).drop("strips")
+    else:
+        resting = resting.withColumn("strip", F.lit(0))
+    resting = resting.select(
         "cell",
         "block",
+        "strip",
         F.lit(0).alias("side"),
         "id",
         "embedding",
         F.lit(None).cast(id_type).alias("query_id"),
-        F.lit(None).cast("array<double>").alias("query_vec"),
+        F.lit(None).cast(vector_type).alias("query_vec"),
+        F.lit(None).cast("double").alias("bound"),
     )
     passing = visits.join(F.broadcast(sizes), "cell").select(
         "cell",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("query_id"), F.col("strips")).cast("int").alias("strip"),
         F.lit(1).alias("side"),
         F.lit(None).cast("long").alias("id"),
         F.lit(None).cast("array<float>").alias("embedding"),
         "query_id",
         "query_vec",
+        "bound",
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, pieces, matrix = None, [], [], None
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "block", "side")], axis=1)
+            keys = np.stack([batch.column(c).to_numpy() for c in KEY], axis=1)
             changes = np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1
             edges = [0, *changes.tolist(), len(keys)] if len(keys) else []
             for start, stop in zip(edges, edges[1:]):
-                cell, block, side = keys[start].tolist()
-                if at != (cell, block):
-                    at, ids, pieces, matrix = (cell, block), [], [], None
+                *place, side = keys[start].tolist()
+                if at != place:
+                    at, ids, pieces, matrix = place, [], [], None
                 if side == 0:
                     ids.append(batch.column("id").slice(start, stop - start).to_numpy())
                     pieces.append(vector_matrix(batch.column("embedding").slice(start, stop - start)))
@@ -253,7 +328,8 @@ def score_visits(
                     pieces = []
                 for first in range(start, stop, query_block):
                     many = min(query_block, stop - first)
-                    best = RunningTopK(vector_matrix(batch.column("query_vec").slice(first, many)), k)
+                    bound = batch.column("bound").slice(first, many).to_numpy(zero_copy_only=False).astype(np.float64)
+                    best = RunningTopK(vector_matrix(batch.column("query_vec").slice(first, many)), k, bound)
                     best.offer(ids[0], matrix)
                     names = batch.column("query_id").slice(first, many)
                     yield pa.RecordBatch.from_arrays(
@@ -261,6 +337,11 @@ def score_visits(
                         names=["query_id", "id", "dist"],
                     )
 
-    key = ["cell", "block", "side"]
-    meeting = resting.unionByName(passing).repartition(*key[:2]).sortWithinPartitions(*key)
-    return meeting.mapInArrow(score, f"query_id {id_type.simpleString()}, id long, dist double")
+    meeting = resting.unionByName(passing)
+    pairs = sum(int(cells.counts[c]) * n for c, n in asked.items())
+    if pairs > TASK_PAIRS:  # small in bytes, so Spark would put too many of them into one task
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_TASKS, 2 * pairs // TASK_PAIRS))
+        meeting = meeting.repartition(tasks, *KEY[:-1])
+    else:
+        meeting = meeting.repartition(*KEY[:-1])
+    return meeting.sortWithinPartitions(*KEY).mapInArrow(score, f"query_id {id_type.simpleString()}, id long, dist double")

@@ -61,9 +61,14 @@ def semantic_search(
         signed = with_documents(similar, signatures.select("id", "signature"), limits["all"] or 0)
         signed = signed.join(broadcast_if(size.within(), requests.select("query_id", "query_text")), "query_id")
         similar = signed.filter(may_hold(F.col("query_text"), F.col("signature"))).select(*similar.columns)
+    asked = broadcast_if(size.within(), requests.select("query_id", "query_text"))
+    wanted = documents.select("id", "title", "content")
+    if size.within():
+        found = with_documents(similar, wanted, limits["all"] or 0).join(asked, "query_id")
+    else:  # the texts asked for travel to the hits, not contents to the texts, a copy for each hit
+        found = with_documents(similar.join(asked, "query_id"), wanted, limits["all"] or 0)
     return (
-        with_documents(similar, documents.select("id", "title", "content"), limits["all"] or 0)
-        .join(broadcast_if(size.within(), requests.select("query_id", "query_text")), "query_id")
+        found
         .filter(lexically_confirmed(F.col("query_text"), F.col("title"), F.col("content")))
         .select(
             "query_id",

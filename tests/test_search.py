@@ -151,3 +151,22 @@ def test_searches_embed_their_own_texts(spark, docs):
     for search in (hybrid_search, semantic_search):
         own = sorted(map(str, search(docs, queries, make_embedder=constant).collect()))
         assert own == sorted(map(str, search(docs, given).collect()))
+
+
+def test_contents_are_not_shuffled_to_the_texts_asked_for(spark, docs, monkeypatch):
+    """With more queries than can be broadcast, their texts join the hits before contents are fetched."""
+    from cairnsearch.operators import sizing
+    from cairnsearch.plans import semantic
+
+    asked = spark.createDataFrame([(i, "tall tree", [1.0, 0.1 * i]) for i in range(3)], "query_id long, query_text string, query_vec array<float>")
+    plain = sorted(map(tuple, semantic.semantic_search(docs, asked).collect()))
+    fetched, kept = [], semantic.with_documents
+
+    def watching(hits, *args):
+        fetched.append(hits.columns)
+        return kept(hits, *args)
+
+    monkeypatch.setattr(semantic, "with_documents", watching)
+    monkeypatch.setattr(sizing.Size, "within", lambda self, *args: False)
+    assert sorted(map(tuple, semantic.semantic_search(docs, asked).collect())) == plain
+    assert "query_text" in fetched[-1]

@@ -176,3 +176,64 @@ def test_a_stored_index_is_reopened_and_appended_to(spark, data, tables):
     append_cells(late, path)
     index = read_cells(spark, path)
     assert by_query(search_cells(index, tables[1], 10, probes=99)) == brute_force(*data, 10)
+
+
+def test_the_last_round_copies_queries_to_few_groups(spark, monkeypatch):
+    """Vectors without structure rule out no cells; a query then goes to groups of them, not to each."""
+    rng = np.random.default_rng(8)
+    vectors = {i: rng.normal(size=12).astype(np.float32) for i in range(900)}
+    queries = {i: rng.normal(size=12) for i in range(40)}
+    queries[3] = vectors[5].astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "id long, embedding array<float>")
+    asked = spark.createDataFrame([(i, q.tolist()) for i, q in queries.items()], "query_id long, query_vec array<double>")
+    seen, kept = [], join.score_visits
+
+    def counting(vectors, visits, *args):
+        seen.append(visits.count())
+        return kept(vectors, visits, *args)
+
+    monkeypatch.setattr(join, "score_visits", counting)
+    monkeypatch.setattr(join, "GROUP_VECTORS", 300, raising=False)
+    assert by_query(near.nearest(rows, asked, 10, strategy="blocks")) == brute_force(vectors, queries, 10)
+    assert seen[-1] <= 3 * len(queries)  # of 30 cells
+    monkeypatch.setattr(join, "TASK_PAIRS", 500)  # vectors are copied to strips of the queries
+    monkeypatch.setattr(join, "GROUP_VECTORS", 20)
+    assert by_query(near.nearest(rows, asked, 10, strategy="blocks")) == brute_force(vectors, queries, 10)
+
+
+def test_more_queries_than_vectors_copy_the_vectors():
+    counts = np.array([100, 70_000])
+    asked = {0: 1_000_000, 1: 10}
+    blocks = join.blocks_of(counts, asked, 65_536, 16)
+    assert blocks == {0: 1, 1: 2}
+    assert join.strips_of(counts, asked, blocks, 1_000_000) == {0: 100, 1: 1}
+
+
+def test_groups_of_cells_are_even_and_complete():
+    rng = np.random.default_rng(2)
+    cells = join.CellBounds(join.unit_rows(rng.normal(size=(200, 6))), np.zeros(200), rng.integers(0, 50, 200))
+    group = join.neighbouring_cells(cells, 16)
+    sizes = np.bincount(group, cells.counts, 16)
+    assert sorted(set(group)) == list(range(16)) and sizes.max() < 3 * sizes.mean()
+    assert list(join.neighbouring_cells(join.CellBounds(np.ones((2, 3)), np.zeros(2), np.array([0, 9])), 5)) == [0, 1]
+
+
+@pytest.mark.parametrize("kind", ["normal", "integers"])
+def test_screening_in_single_precision_loses_nothing(kind, monkeypatch):
+    monkeypatch.setattr(near, "CACHED", 90)
+    monkeypatch.setattr(near, "QUERIES_AT_ONCE", 7)
+    monkeypatch.setattr(near, "SCORED_AT_ONCE", 700)
+    rng = np.random.default_rng(4)
+    make = rng.normal if kind == "normal" else lambda size: rng.integers(0, 3, size=size)
+    vectors, queries = np.asarray(make(size=(300, 5)), np.float32), np.asarray(make(size=(20, 5)), float)
+    vectors[3] = 0
+    want = brute_force(dict(enumerate(vectors)), dict(enumerate(queries)), 6)
+    for bound in (None, np.full(20, np.inf)):
+        best = near.RunningTopK(queries, 6, bound)
+        for ids in np.array_split(rng.permutation(300), 3):
+            best.offer(ids, vectors[ids])
+        found = {q: best.id[best.query == q].tolist() for q in range(20)}
+        assert {q: f for q, f in found.items() if queries[q].any()} == {q: w for q, w in want.items() if queries[q].any()}
+    near_enough = near.RunningTopK(queries, 6, best.bound)
+    near_enough.offer(np.arange(300), vectors)
+    assert near_enough.id.tolist() == best.id.tolist()
