@@ -140,3 +140,20 @@ def test_words_as_spaces_part_them(spark):
     for bounds in (None, build_bounds(postings)):
         ranked = search_text(queries, 5, postings=postings, bounds=bounds, words=space_tokens).collect()
         assert {(r["query_id"], r["id"]) for r in ranked} == found
+
+
+def test_a_model_s_worker_holds_few_texts_at_a_time(spark):
+    """Texts become Python objects as the model is given them, not a whole Arrow batch at once."""
+    from cairnsearch.operators.embed import embed
+
+    def counting():
+        import gc
+
+        def held(texts):
+            return [[float(sum(isinstance(s, list) and len(s) > 100 and isinstance(s[0], str) and s[0].startswith("text ") for s in gc.get_objects()))] for _ in texts]
+
+        return held
+
+    rows = spark.range(400).repartition(1).selectExpr("id", "concat('text ', id) AS text")
+    found = embed(rows, "text", counting, dim=1, batch_size=8).select("embedding").collect()
+    assert len(found) == 400 and max(r["embedding"][0] for r in found) == 0
