@@ -53,14 +53,25 @@ def angles(unit_vectors: np.ndarray, unit_centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(unit_vectors @ unit_centres.T, -1.0, 1.0))
 
 
-def visiting_order(queries: np.ndarray, cells: CellBounds) -> tuple[np.ndarray, np.ndarray]:
-    """Cells in the order to visit them, and the least angle at which each may hold a vector; one row per query."""
+def least_angles(queries: np.ndarray, cells: CellBounds) -> tuple[np.ndarray, np.ndarray]:
+    """The angle to each centre, and the least one at which its cell may hold a vector; one row per query."""
     if queries.shape[1] != cells.centres.shape[1]:
         raise ValueError(f"vectors have {cells.centres.shape[1]} dimensions, queries {queries.shape[1]}")
     to_centre = angles(unit_rows(queries.astype(np.float64)), cells.centres)
     least = np.maximum(to_centre - cells.radii - MARGIN, 0.0)
     least[np.linalg.norm(queries, axis=1) == 0] = 0.0
     least[:, cells.counts == 0] = np.inf
+    return to_centre, least
+
+
+def reach_of(bound: np.ndarray) -> np.ndarray:
+    """The angle up to which a query's k-th distance so far (infinite if unknown) lets a vector be of use."""
+    return np.where(np.isfinite(bound), np.arccos(np.clip(1.0 - bound, -1.0, 1.0)) + MARGIN, np.pi + 1)
+
+
+def visiting_order(queries: np.ndarray, cells: CellBounds) -> tuple[np.ndarray, np.ndarray]:
+    """Cells in the order to visit them, and the least angle at which each may hold a vector; one row per query."""
+    to_centre, least = least_angles(queries, cells)
     order = np.lexsort((to_centre, least), axis=1)
     return order, np.take_along_axis(least, order, axis=1)
 
@@ -72,7 +83,7 @@ def cells_of_round(queries: np.ndarray, bound: np.ndarray, cells: CellBounds, k:
     first = (held < k).sum(axis=1) + 1
     begin = {0: np.zeros(len(queries), int), 1: first}.get(number, first + MORE_CELLS)
     end = {0: first, 1: first + MORE_CELLS}.get(number, np.full(len(queries), order.shape[1]))
-    reach = np.where(np.isfinite(bound), np.arccos(np.clip(1.0 - bound, -1.0, 1.0)) + MARGIN, np.pi + 1)
+    reach = reach_of(bound)
     return [o[b:e][row[b:e] <= r] for o, row, b, e, r in zip(order, least, begin, end, reach)]
 
 
@@ -167,11 +178,12 @@ def nearest_join(vectors: DataFrame, cells: CellBounds, queries: DataFrame, k: i
             continue
         if not grouped:
             both = best.unionByName(score_visits(vectors, visits, cells, asked, k))
+        elif visits.filter("more").isEmpty():
+            continue
         else:
-            # a cell visited before may be in a group visited now, so a hit may be found twice
+            # groups hold cells visited before: all that may hold a neighbour are scored, and earlier hits only bound them
             whole = CellBounds(cells.centres[:groups], cells.radii[:groups], np.bincount(group, cells.counts, groups))
-            scored = score_visits(in_groups(vectors, group, asked), visits, whole, asked, k)
-            both = top_k_per_query(best.unionByName(scored), 2 * k, "dist", "id").drop("r").dropDuplicates(["query_id", "id"])
+            both = score_visits(in_groups(vectors, group, asked), visits.drop("more"), whole, asked, k)
         best = stored(top_k_per_query(both, k, "dist", "id").drop("r"), "join-best")
     return top_k_per_query(best, k, "dist", "id")
 
@@ -208,8 +220,11 @@ def in_groups(vectors: DataFrame, group: np.ndarray, asked: dict[int, int]) -> D
 def round_visits(
     asking: DataFrame, cells: CellBounds, k: int, number: int, group: np.ndarray | None = None
 ) -> DataFrame:
-    """``(query_id, query_vec, bound, cell)``: the cells that each of ``asking(query_id, query_vec, bound)`` visits, or
-    with a ``group`` of each cell their groups."""
+    """``(query_id, query_vec, bound, cell)``: the cells that each of ``asking(query_id, query_vec, bound)`` visits.
+
+    With a ``group`` of each cell, the groups of all cells that may hold a neighbour, and in ``more`` whether any of these
+    cells has not been visited in an earlier round.
+    """
     shared = asking.sparkSession.sparkContext.broadcast((cells, group))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,18 +233,23 @@ def round_visits(
                 part = batch.slice(start, QUERY_BLOCK)
                 bound = part.column("bound").to_numpy(zero_copy_only=False).astype(np.float64)
                 cells, group = shared.value
-                found = cells_of_round(vector_matrix(part.column("query_vec")), bound, cells, k, number)
+                matrix = vector_matrix(part.column("query_vec"))
+                found = cells_of_round(matrix, bound, cells, k, number)
+                more = [len(f) > 0 for f in found]
                 if group is not None:
-                    found = [np.unique(group[f]) for f in found]
+                    near = least_angles(matrix, cells)[1] <= reach_of(bound)[:, None]
+                    found = [np.unique(group[f]) for f in near]
                 rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                 cell = pa.array(np.concatenate(found).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c).take(rows) for c in ("query_id", "query_vec", "bound")], cell],
-                    names=["query_id", "query_vec", "bound", "cell"],
+                    [*[part.column(c).take(rows) for c in ("query_id", "query_vec", "bound")], cell, pa.array(more).take(rows)],
+                    names=["query_id", "query_vec", "bound", "cell", "more"],
                 )
 
     asking = asking.select("query_id", "query_vec", "bound")
-    return asking.mapInArrow(visit, T.StructType([*asking.schema.fields, T.StructField("cell", T.IntegerType())]))
+    schema = T.StructType([*asking.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("more", T.BooleanType())])
+    visits = asking.mapInArrow(visit, schema)
+    return visits.drop("more") if group is None else visits
 
 
 def strips_of(counts: np.ndarray, asked: dict[int, int], blocks: dict[int, int], pairs: int) -> dict[int, int]:

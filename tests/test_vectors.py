@@ -199,6 +199,9 @@ def test_the_last_round_copies_queries_to_few_groups(spark, monkeypatch):
     monkeypatch.setattr(join, "TASK_PAIRS", 500)  # vectors are copied to strips of the queries
     monkeypatch.setattr(join, "GROUP_VECTORS", 20)
     assert by_query(near.nearest(rows, asked, 10, strategy="blocks")) == brute_force(vectors, queries, 10)
+    monkeypatch.setattr(join, "GROUP_VECTORS", 300)
+    twice = by_query(near.nearest(rows.unionByName(rows), asked, 10, strategy="blocks"))  # rows that come twice count twice
+    assert twice == {q: [i for i in found[:5] for _ in range(2)] for q, found in brute_force(vectors, queries, 5).items()}
 
 
 def test_more_queries_than_vectors_copy_the_vectors():
