@@ -311,3 +311,20 @@ def test_unknown_method(tables):
         ranked(scan_hits(*tables), "bm25")
     with pytest.raises(ValueError):
         search_text(tables[1], 3)
+
+
+def test_files_of_an_index_hold_a_bounded_number_of_rows(spark, tables, monkeypatch):
+    """Their number follows the rows, not a setting, so that no task sorts more as the corpus grows."""
+    monkeypatch.setattr(index, "FILE_ROWS", 300, raising=False)
+    monkeypatch.setattr(index, "FILE_BOUNDS", 20, raising=False)
+    postings, bounds = stored_index(spark, tables[0])
+    for stored, most in ((postings, 300), (bounds, 20)):
+        sizes = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
+        assert len(sizes) > 2 and max(sizes) <= 2 * most
+
+
+def test_hits_are_shuffled_as_position_lists(tables):
+    """A position takes four bytes on the way, not a structure of three fields."""
+    plan = indexed_hits(index.build_postings(tables[0]), tables[1])._jdf.queryExecution().executedPlan().toString()
+    collected = [line for line in plan.splitlines() if "collect_list" in line]
+    assert collected and "placed" not in plan and "parts" in plan
