@@ -704,3 +704,31 @@ def test_pipeline_stages(spark, tmp_path):
     assert left[2] == set(range(1, 41))
     assert left[3] <= left[2]
     assert {r["doc_id"] for r in rows_of(corpus_pipeline.run(spark, str(tmp_path)))} == left[3]
+
+
+def test_bands_of_near_copies_meet_their_documents_once(spark, monkeypatch):
+    """Joins by id in near-duplicate detection make a row per document, however many bands a group of near copies shares."""
+    import random
+
+    from cairnsearch.llm import minhash
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        text = list(base)
+        for at in rng.sample(range(60), 9):
+            text[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made, kind, kept = [], type(docs), type(docs).join
+
+    def counting(self, other, on=None, how=None):
+        joined = kept(self, other, on, how)
+        if isinstance(on, str) and on == "id" and how == "left_semi":
+            made.append(joined.count())
+        return joined
+
+    monkeypatch.setattr(kind, "join", counting)
+    found = minhash.near_duplicates(docs, words=2)
+    assert found.count() == 40 and made and max(made) <= 40
