@@ -30,11 +30,12 @@ from cairnsearch.operators.cells import (
 from cairnsearch.operators.postings import (
     BOUNDS_SCHEMA,
     POSTINGS_SCHEMA,
-    build_bounds,
     build_postings,
-    write_bounds,
+    shares_of,
+    write_largest_shares,
     write_postings,
 )
+from cairnsearch.operators.ranges import one_in
 
 FAN = 8
 Range = tuple[int, int]
@@ -84,13 +85,15 @@ class IndexUpkeep:
     """The inverted index and the vector cells below ``root``, kept by one writer, read by any number.
 
     With ``lists`` vectors are kept in that many cells; their centres are trained on the first
-    batch that has vectors, or stored beforehand with :meth:`set_centres`.
+    batch that has vectors, or stored beforehand with :meth:`set_centres`. Without ``keep_merged`` segments
+    go as soon as a merged one hides them, for an index that nobody searches while documents arrive.
     """
 
     root: str
     lists: int = 0
     fan: int = FAN
     words: Callable[[Column], Column] = word_tokens
+    keep_merged: bool = True
 
     @property
     def postings_root(self) -> str:
@@ -112,25 +115,29 @@ class IndexUpkeep:
         store_centres(spark, centres, self.root)
 
     def add(self, documents: DataFrame, batch: int) -> None:
-        """Index ``documents(id, title, content, embedding)`` as ``batch``, then merge what is due.
+        """Merge what is due, then index ``documents(id, title, content, embedding)`` as ``batch``.
 
         Only batches before this one are merged: they will not be replayed.
         """
         spark = documents.sparkSession
         name = segment_name((batch, batch))
-        added = write_postings(build_postings(documents, self.words), f"{self.postings_root}/{name}")
         self._merge(spark, self.postings_root, POSTINGS_SCHEMA, write_postings, batch)
-        write_bounds(build_bounds(added), f"{self.bounds_root}/{name}")
         self._merge(spark, self.bounds_root, BOUNDS_SCHEMA, self._store_bounds, batch)
+        if self.lists:
+            self._merge(spark, self.vectors_root, VECTOR_SCHEMA, self._store_cells, batch)
+        if not self.keep_merged:
+            self.drop_merged(spark)
+        some = build_postings(one_in(documents, "id"), self.words)
+        added = write_postings(build_postings(documents, self.words), f"{self.postings_root}/{name}", some=some)
+        write_largest_shares(shares_of(added), f"{self.bounds_root}/{name}")
         if self.lists:
             vectors = documents.filter("embedding IS NOT NULL").select("id", "embedding")
             centres = self._centres(spark, vectors)
             placed = spark.createDataFrame([], VECTOR_SCHEMA) if centres is None else assign_cells(vectors, centres)
             self._store_cells(placed, f"{self.vectors_root}/{name}")
-            self._merge(spark, self.vectors_root, VECTOR_SCHEMA, self._store_cells, batch)
 
     def _store_bounds(self, bounds: DataFrame, path: str) -> None:
-        write_bounds(bounds.groupBy("lexeme", "block").agg(F.max("share").alias("share")), path)
+        write_largest_shares(bounds.select("lexeme", "block", F.lit(0.0).alias("title"), F.col("share").alias("content")), path)
 
     def _store_cells(self, vectors: DataFrame, path: str) -> None:
         store_vectors(vectors, path, path.replace(self.vectors_root, self.sizes_root))

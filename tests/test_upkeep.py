@@ -2,13 +2,23 @@
 
 import sys
 import threading
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from cairnsearch.operators import ranges
 from cairnsearch.operators.cells import search_cells
 from cairnsearch.operators.fulltext import search_text
 from cairnsearch.operators.nearest import nearest
-from cairnsearch.operators.postings import build_postings
+from cairnsearch.operators.postings import (
+    build_bounds,
+    build_postings,
+    read_bounds,
+    shares_of,
+    write_largest_shares,
+    write_postings,
+)
 from cairnsearch.session import shared_folder
 from cairnsearch.sources import id_blocks
 from cairnsearch.sources.corpus_table import read_corpus
@@ -78,6 +88,48 @@ def test_a_batch_reads_its_own_rows_only(spark):
     assert len(rows_of(index.postings(spark))) == 2 * len(first)
 
 
+def held_blocks(spark):
+    return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().size()
+
+
+def test_what_is_no_longer_read_leaves_the_disk(spark):
+    """Storing an index leaves no shuffle files behind, and a merge, if nobody searches meanwhile, no hidden segments."""
+    rows = [(i, f"title {i}", f"a{i % 7} b c{i % 3} common", [1.0, float(i)]) for i in range(600)]
+    documents = spark.createDataFrame(rows, "id long, title string, content string, embedding array<float>")
+    index = upkeep.IndexUpkeep(shared_folder(spark, "index"), fan=2, keep_merged=False)
+    before = held_blocks(spark)
+    for batch in range(4):
+        index.add(documents.filter(F.col("id") % 4 == batch), batch)
+    for _ in range(100):  # files go in the background
+        if held_blocks(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert held_blocks(spark) <= before
+    for root in (index.postings_root, index.bounds_root):
+        assert upkeep.stored_segments(spark, root) == [(0, 1), (2, 2), (3, 3)]
+    assert rows_of(index.postings(spark)) == whole_index(documents)
+
+
+def test_bounds_of_segments_are_those_of_their_postings(spark):
+    """Also of words in title and content, of repeated and null ids, and with ranges that end within a word."""
+    rows = [(None if i % 9 == 0 else i // 2, f"b {i % 5}", f"a{i % 7} b b c{i % 3} common") for i in range(3000)]
+    documents = spark.createDataFrame(rows, "id long, title string, content string").repartition(3)
+    path = shared_folder(spark, "bounds")
+    postings = write_postings(build_postings(documents), f"{path}/postings", partitions=7)
+    write_largest_shares(shares_of(postings), f"{path}/bounds")
+    assert sorted(map(str, read_bounds(spark, f"{path}/bounds").collect())) == sorted(map(str, build_bounds(postings).collect()))
+    found = postings.groupBy(F.input_file_name().alias("file")).agg(F.min(F.struct("lexeme", "id")), F.max(F.struct("lexeme", "id")), F.count("*"))
+    files = sorted([(*[(x[0], -1 if x[1] is None else x[1]) for x in ends], n) for _, *ends, n in found.collect()])
+    assert len(files) == 7 and all(one[1] < two[0] for one, two in zip(files, files[1:]))
+    assert max(n for _, _, n in files) < 4 * min(n for _, _, n in files)
+
+
+def test_folded_rows_meet_across_batches():
+    parts = [pa.record_batch({"word": w, "n": n, "x": x}) for w, n, x in ((["a", "a"], [1, 2], [3.0, 1.0]), (["a", "b"], [2, None], [5.0, 0.5]))]
+    once = pa.Table.from_batches(ranges.folded_in_order(iter(parts), ["word", "n"]))
+    assert once.to_pydict() == {"word": ["a", "a", "b"], "n": [1, 2, None], "x": [3.0, 5.0, 0.5]}
+
+
 def test_segments_without_rows(spark):
     documents = spark.createDataFrame([], "id long, title string, content string, embedding array<float>")
     index = upkeep.IndexUpkeep(shared_folder(spark, "index"), lists=2)
