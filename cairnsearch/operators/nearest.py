@@ -26,6 +26,57 @@ MAX_ROWS_AT_ONCE = 32_768
 #: Single-precision products, and queries, of the pieces that are screened at once.
 CACHED, QUERIES_AT_ONCE = 512 * 1024, 512
 TIE_MARGIN = 1e-9
+#: Vectors of a leaf, and the directions by which leaves are cut; fewer vectors than these are not cut.
+LEAF_ROWS, LEAF_AXES, LEAST_CUT = 128, 5, 1024
+#: Rounding of a leaf's box and of a query's place, in single precision.
+BOX_MARGIN = 1e-5
+
+
+class Leaves:
+    """Vectors in leaves of neighbours, with a box around each that shows which queries may find something in it.
+
+    A unit vector is placed by its shares of the main directions of all vectors and by the length of what they leave, so
+    places are unit vectors too, and no nearer to each other than the vectors are. Vectors without a direction are in ``rest``.
+    """
+
+    def __init__(self, vectors: np.ndarray):
+        vectors = vectors.astype(np.float64)
+        self.vectors, self.norms = vectors, np.sqrt((vectors * vectors).sum(axis=1))
+        unit, sound = _unit(vectors, self.norms)
+        self.rest = np.flatnonzero(~sound)
+        rows = np.flatnonzero(sound)
+        whole = unit[rows].astype(np.float64)
+        self.axes = np.linalg.eigh(whole.T @ whole)[1][:, ::-1][:, :LEAF_AXES]
+        places = self.places(whole)
+        open_, self.members = [np.arange(len(rows))] if len(rows) else [], []
+        while open_:
+            part = open_.pop()
+            if len(part) <= LEAF_ROWS:
+                self.members.append(part)
+                continue
+            mine = places[part]
+            order = np.argpartition(mine[:, np.argmax(mine.max(axis=0) - mine.min(axis=0))], len(part) // 2)
+            open_ += [part[order[: len(part) // 2]], part[order[len(part) // 2 :]]]
+        self.low = np.array([places[part].min(axis=0) for part in self.members])
+        self.high = np.array([places[part].max(axis=0) for part in self.members])
+        self.members = [rows[part] for part in self.members]
+        self.units = [np.ascontiguousarray(unit[part].T) for part in self.members]
+
+    def places(self, unit: np.ndarray) -> np.ndarray:
+        along = unit @ self.axes
+        left = np.sqrt(np.maximum((unit * unit).sum(axis=1) - (along * along).sum(axis=1), 0.0))
+        return np.column_stack([along, left]).astype(np.float32)
+
+    def highest(self, unit: np.ndarray) -> np.ndarray:
+        """The highest cosine that a vector of each leaf may have with each of the ``unit`` vectors."""
+        places = self.places(unit.astype(np.float64))
+        square = np.zeros((len(places), len(self.members)), dtype=np.float32)
+        for axis in range(places.shape[1]):
+            here = places[:, axis, None]
+            gap = np.maximum(self.low[None, :, axis] - here, here - self.high[None, :, axis])
+            np.maximum(gap, 0, out=gap)
+            square += gap * gap
+        return 1 - square / 2 + np.float32(BOX_MARGIN)
 
 
 class RunningTopK:
@@ -64,6 +115,47 @@ class RunningTopK:
             self._offer_slice(ids[start:stop], vectors[start:stop].astype(np.float64), chosen)
             start, rows_at_once = stop, min(2 * rows_at_once, MAX_ROWS_AT_ONCE)
 
+    def offer_leaves(self, ids: np.ndarray, leaves: Leaves) -> None:
+        """:meth:`offer` for vectors in leaves: a query first looks into its nearest leaf, then into those its bound leaves.
+
+        A query without a bound is offered all vectors.
+        """
+        whole = ~(self.sound & np.isfinite(self.bound))
+        self.offer(ids[leaves.rest], leaves.vectors[leaves.rest], np.flatnonzero(~whole))
+        self.offer(ids, leaves.vectors, np.flatnonzero(whole))
+        asked = np.flatnonzero(~whole)
+        if not len(asked) or not leaves.members:
+            return
+        highest = leaves.highest(self.unit[asked])
+        nearest_leaf = highest.argmax(axis=1)
+        first = np.zeros(highest.shape, dtype=bool)
+        first[np.arange(len(asked)), nearest_leaf] = True
+        self._offer_visits(ids, leaves, asked, first)
+        least = _below(1.0 - self.bound[asked] - self.margin)
+        self._offer_visits(ids, leaves, asked, (highest >= least[:, None]) & ~first)
+
+    def _offer_visits(self, ids: np.ndarray, leaves: Leaves, asked: np.ndarray, visits: np.ndarray) -> None:
+        least = _below(1.0 - self.bound[asked] - self.margin)
+        found, n = [], 0
+        for leaf in np.flatnonzero(visits.any(axis=0)):
+            here = np.flatnonzero(visits[:, leaf])
+            cosine = self.unit[asked[here]] @ leaves.units[leaf]
+            at = np.flatnonzero(cosine >= least[here, None])
+            found.append((asked[here[at // cosine.shape[1]]], leaves.members[leaf][at % cosine.shape[1]]))
+            n += len(at)
+            if n > SCORED_AT_ONCE:
+                self._measure_found(ids, leaves, found)
+                found, n = [], 0
+        self._measure_found(ids, leaves, found)
+
+    def _measure_found(self, ids: np.ndarray, leaves: Leaves, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        if not found:
+            return
+        c, r = (np.concatenate(x) for x in zip(*found))
+        step = max(1, SCORED_AT_ONCE // leaves.vectors.shape[1])
+        for start in range(0, len(r), step):
+            self._measure(ids, leaves.vectors, leaves.norms, r[start : start + step], c[start : start + step])
+
     def _offer_slice(self, ids: np.ndarray, vectors: np.ndarray, chosen: np.ndarray) -> None:
         norms = np.sqrt((vectors * vectors).sum(axis=1))
         unit, sound = _unit(vectors, norms)

@@ -20,7 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnsearch.operators.nearest import QUERY_BLOCK, VECTOR_BLOCK, RunningTopK, top_k_per_query, vector_matrix
+from cairnsearch.operators.nearest import (
+    LEAF_ROWS,
+    LEAST_CUT,
+    QUERY_BLOCK,
+    VECTOR_BLOCK,
+    Leaves,
+    RunningTopK,
+    top_k_per_query,
+    vector_matrix,
+)
 from cairnsearch.session import stored
 
 MARGIN = 1e-6
@@ -328,7 +337,7 @@ def score_visits(
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, pieces, matrix = None, [], [], None
+        at, ids, pieces, matrix, leaves = None, [], [], None, None
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in KEY], axis=1)
             changes = np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1
@@ -336,7 +345,7 @@ def score_visits(
             for start, stop in zip(edges, edges[1:]):
                 *place, side = keys[start].tolist()
                 if at != place:
-                    at, ids, pieces, matrix = place, [], [], None
+                    at, ids, pieces, matrix, leaves = place, [], [], None, None
                 if side == 0:
                     ids.append(batch.column("id").slice(start, stop - start).to_numpy())
                     pieces.append(vector_matrix(batch.column("embedding").slice(start, stop - start)))
@@ -346,11 +355,15 @@ def score_visits(
                 if matrix is None:
                     ids, matrix = [np.concatenate(ids)], np.concatenate(pieces)
                     pieces = []
+                    leaves = Leaves(matrix) if len(matrix) >= LEAST_CUT and stop - start >= LEAF_ROWS else None
                 for first in range(start, stop, query_block):
                     many = min(query_block, stop - first)
                     bound = batch.column("bound").slice(first, many).to_numpy(zero_copy_only=False).astype(np.float64)
                     best = RunningTopK(vector_matrix(batch.column("query_vec").slice(first, many)), k, bound)
-                    best.offer(ids[0], matrix)
+                    if leaves is None:
+                        best.offer(ids[0], matrix)
+                    else:
+                        best.offer_leaves(ids[0], leaves)
                     names = batch.column("query_id").slice(first, many)
                     yield pa.RecordBatch.from_arrays(
                         [names.take(pa.array(best.query)), pa.array(best.id), pa.array(best.distance)],

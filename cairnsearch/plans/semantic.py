@@ -17,6 +17,7 @@ from cairnsearch.operators.signatures import may_hold
 from cairnsearch.operators.sizing import broadcast_if, localise
 from cairnsearch.operators.vector_store import VectorStore
 from cairnsearch.plans.requests import prepare_requests
+from cairnsearch.session import stored
 
 MIN_SIMILARITY_PERCENT = 55.0
 
@@ -42,7 +43,8 @@ def semantic_search(
     contents are fetched only of documents that may hold a query's words.
     """
     if make_embedder is not None:
-        queries = embed_asked(queries, make_embedder, reuse=reuse)
+        # a search mentions its queries in several places
+        queries = stored(embed_asked(queries, make_embedder, reuse=reuse), "asked")
     requests, size = localise(prepare_requests(queries))
     limits = requests.agg(F.max("max_hits").alias("largest"), F.sum("max_hits").alias("all")).first()
     k = limits["largest"] or 1

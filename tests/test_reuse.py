@@ -1,6 +1,7 @@
 """Vectors reused between runs, hits fetched at any number, contents read only where words may be, choice of words."""
 
 import sys
+import uuid
 
 import numpy as np
 import pytest
@@ -157,3 +158,20 @@ def test_a_model_s_worker_holds_few_texts_at_a_time(spark):
     rows = spark.range(400).repartition(1).selectExpr("id", "concat('text ', id) AS text")
     found = embed(rows, "text", counting, dim=1, batch_size=8).select("embedding").collect()
     assert len(found) == 400 and max(r["embedding"][0] for r in found) == 0
+
+
+def test_texts_asked_for_are_embedded_once(spark, tmp_path):
+    """However many times a search mentions its queries, and however many there are of them."""
+
+    def counting():
+        def embed_and_note(texts):
+            (tmp_path / uuid.uuid4().hex).write_text("\n".join(texts))
+            return [np.array([len(t), t.count("a") + 1], np.float32) for t in texts]
+
+        return embed_and_note
+
+    documents = spark.createDataFrame([(i, f"t{i}", "a" * i, [float(i), 1.0]) for i in range(9)], "id long, title string, content string, embedding array<float>")
+    queries = spark.createDataFrame([(i, f"q{i}") for i in range(4200)], "query_id long, query_text string")
+    semantic.semantic_search(documents, queries, make_embedder=counting).count()
+    noted = sorted(text for note in tmp_path.iterdir() for text in note.read_text().split("\n"))
+    assert noted == sorted(f"q{i}" for i in range(4200))

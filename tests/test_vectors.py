@@ -240,3 +240,54 @@ def test_screening_in_single_precision_loses_nothing(kind, monkeypatch):
     near_enough = near.RunningTopK(queries, 6, best.bound)
     near_enough.offer(np.arange(300), vectors)
     assert near_enough.id.tolist() == best.id.tolist()
+
+
+@pytest.mark.parametrize("dim", [3, 26, 64])
+def test_leaves_give_what_all_pairs_give(dim):
+    """Also with equal, zero and nearly equal vectors, queries without a direction or a bound, and loose bounds."""
+    rng = np.random.default_rng(dim)
+    centres = rng.gamma(1.0, size=(4, dim))
+    vectors = (centres[rng.integers(4, size=5000)] + rng.normal(scale=0.05, size=(5000, dim))).astype(np.float32)
+    vectors[100:160], vectors[7], vectors[8] = vectors[100], 0, np.nan
+    queries = np.concatenate([vectors[90:110] * 3, centres[rng.integers(4, size=200)] + rng.normal(scale=0.2, size=(200, dim)), np.zeros((1, dim))])
+    ids = rng.permutation(5000)
+    exact = near.RunningTopK(queries, 20)
+    exact.offer(ids, vectors)
+    leaves = near.Leaves(vectors)
+    assert sorted(np.concatenate([*leaves.members, leaves.rest])) == list(range(5000)) and list(leaves.rest) == [7, 8]
+    for bound in (exact.bound, exact.bound * 1.5 + 1e-12, np.where(np.arange(221) % 3 == 0, np.nan, exact.bound)):
+        plain, cut = near.RunningTopK(queries, 20, bound.copy()), near.RunningTopK(queries, 20, bound.copy())
+        plain.offer(ids, vectors)
+        cut.offer_leaves(ids, leaves)
+        for one, two in ((plain.query, cut.query), (plain.id, cut.id), (plain.distance, cut.distance)):
+            np.testing.assert_array_equal(one, two)
+
+
+def test_leaves_rule_out_most_pairs():
+    """Counts of letters in texts of many lengths: the pairs scored are a small part of all, and no leaf hides a neighbour."""
+    rng = np.random.default_rng(1)
+    words = rng.dirichlet(np.full(26, 0.7), size=4)
+    counts = np.array([rng.multinomial(n, words[n % 4]) for n in rng.integers(100, 3000, size=20_000)])
+    asked = np.array([rng.multinomial(n, words[n % 4]) for n in rng.integers(60, 300, size=300)]).astype(float)
+    best = near.RunningTopK(asked, 20)
+    best.offer(np.arange(20_000), counts)
+    leaves = near.Leaves(counts)
+    may = leaves.highest(best.unit) >= (1 - best.bound)[:, None]
+    leaf_of = np.empty(20_000, int)
+    for leaf, members in enumerate(leaves.members):
+        leaf_of[members] = leaf
+    assert may[best.query, leaf_of[best.id]].all()
+    assert may.mean() < 0.3
+
+
+def test_the_join_searches_groups_by_leaves(spark, monkeypatch):
+    """The last round of a join through leaves finds what scoring every vector finds."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.gamma(1.0, size=6).round(3).tolist()) for i in range(6000)]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(i, rng.gamma(1.0, size=6).tolist()) for i in range(700)], "query_id long, query_vec array<double>")
+    exact = near.nearest(vectors, asked, 10, strategy="broadcast")
+    for name in ("LAST_GROUPS", "GROUP_VECTORS", "LEAST_CUT"):
+        monkeypatch.setattr(join, name, {"LAST_GROUPS": 3, "GROUP_VECTORS": 1500, "LEAST_CUT": 200}[name])
+    found = near.nearest(vectors, asked, 10, strategy="blocks")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, exact.collect()))
